@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .text import map_rows
 
 #: States kept before the table is dropped; whole pieces whose output is remembered; their greatest length.
-MAX_STATES, MAX_PIECES, PIECE_CHARS = 250_000, 150_000, 48
+MAX_STATES, MAX_PIECES, PIECE_CHARS = 300_000, 400_000, 48
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
