@@ -54,13 +54,15 @@ def ngram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def map_rows(df: DataFrame, columns: list[str], schema: str, setup: Callable[[], Callable[..., Iterator[tuple] | list[tuple]]], sources: int | None = None) -> DataFrame:
+def map_rows(df: DataFrame, columns: list[str], schema: str, setup: Callable[[], Callable | tuple[Callable, Callable]]) -> DataFrame:
     """Apply ``setup()(*values)`` to the named columns of each row; it yields any number of output rows.
-    ``setup`` runs once in a task. Batches leave in small pieces, so memory follows a few rows."""
+    ``setup`` runs once in a task; it may return a pair, whose second function gives the rows that end the task.
+    Batches leave in small pieces, so memory follows a few rows."""
     target = _arrow(df, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = setup()
+        fn, end = fn if isinstance(fn, tuple) else (fn, list)
         out: list[tuple] = []
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
@@ -70,8 +72,9 @@ def map_rows(df: DataFrame, columns: list[str], schema: str, setup: Callable[[],
                     if len(out) >= OUT_ROWS:
                         yield _batch(out, target)
                         out = []
-        if out:
-            yield _batch(out, target)
+        out.extend(end())
+        for start in range(0, len(out), 10 * OUT_ROWS):
+            yield _batch(out[start : start + 10 * OUT_ROWS], target)
 
     return df.select(*columns).mapInArrow(run, schema)
 
