@@ -6,16 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import url_filter, vector_search
 from .bpe import op10_byte_bpe
+from .packing import op2_packing
 from .pii import op7_pii
 from .quality import op8_quality_rules
 from .secrets import op9_secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": url_filter.op1_url_filter,
+    "op2_packing": op2_packing,
+    "op6_top_k": vector_search.op6_top_k,
     "op7_pii": op7_pii,
     "op8_quality_rules": op8_quality_rules,
     "op9_secret_scan": op9_secret_scan,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_url_filter": url_filter.ORACLE,
+    "op6_top_k": vector_search.ORACLE,
+}
