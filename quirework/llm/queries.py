@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import url_filter, vector_search
 from .bpe import op10_byte_bpe
+from .near_dedup import op3_near_duplicates
 from .packing import op2_packing
 from .pii import op7_pii
 from .quality import op8_quality_rules
@@ -16,6 +17,7 @@ from .secrets import op9_secret_scan
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_packing": op2_packing,
+    "op3_near_duplicates": op3_near_duplicates,
     "op6_top_k": vector_search.op6_top_k,
     "op7_pii": op7_pii,
     "op8_quality_rules": op8_quality_rules,
@@ -25,5 +27,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_url_filter": url_filter.ORACLE,
+    "op3_near_duplicates": op3_near_duplicates,
     "op6_top_k": vector_search.ORACLE,
 }
