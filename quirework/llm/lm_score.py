@@ -33,7 +33,7 @@ from ..scratch import keep
 from .text import map_rows, words
 
 #: Characters of text in a block, about, and its most rows.
-BLOCK_CHARS, BLOCK_ROWS = 8_000_000, 4_000
+BLOCK_CHARS, BLOCK_ROWS = 32_000_000, 20_000
 FOLDS, HELD_OUT = 7, 2
 MARK = "▁"
 LN10 = math.log(10)
