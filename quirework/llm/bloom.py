@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import keep
+
 #: 1 MB; more keys only let more rows through to the join that must follow.
 CELLS, PROBES = 1 << 17, 3
 
@@ -18,15 +20,14 @@ def cells(keys: DataFrame, name: str) -> DataFrame:
     places = keys.select(F.explode(F.array(*(_place(F.col(name), i) for i in range(PROBES)))).alias("p"))
     some = places.groupBy(F.expr("p div 64").alias("cell")).agg(F.expr("bit_or(shiftleft(1L, CAST(p % 64 AS INT)))").alias("b"))
     grid = keys.sparkSession.range(CELLS).withColumnRenamed("id", "cell")
-    return grid.join(some, "cell", "left").agg(F.array_sort(F.collect_list(F.struct("cell", F.coalesce("b", F.lit(0).cast("long")).alias("b")))).alias("x")).select(F.col("x.b").alias("bits"))
+    # Written once, since each probe reads it.
+    return keep(grid.join(some, "cell", "left").agg(F.array_sort(F.collect_list(F.struct("cell", F.coalesce("b", F.lit(0).cast("long")).alias("b")))).alias("x")).select(F.col("x.b").alias("bits")), "bits")
 
 
 def passing(df: DataFrame, name: str, bits: DataFrame) -> Column:
     """Whether the key may be in the filter; true for all that are, false for a null one."""
-    table = bits.scalar()
-    test = F.lit(True)
+    table, found = bits.scalar(), F.lit(True)
     for i in range(PROBES):
         p = _place(F.col(name), i)
-        cell = F.element_at(table, (F.floor(p / 64) + 1).cast("int"))
-        test = test & (F.getbit(cell, F.pmod(p, F.lit(64)).cast("int")) == 1)
-    return F.col(name).isNotNull() & test
+        found = found & (F.getbit(F.element_at(table, (F.floor(p / 64) + 1).cast("int")), F.pmod(p, F.lit(64)).cast("int")) == 1)
+    return F.col(name).isNotNull() & found

@@ -1,16 +1,17 @@
 """Near duplicates by bottom-k sketches of one hash function (operator 3).
 
 A document's sketch is the ``K`` smallest hashes of its word shingles. Exact copies of a shingle set become one class
-first. Inverted lists of the retained values then give candidate pairs of classes; the sketch of the union of a pair
+first. Inverted lists of the ``LISTED`` smallest of them then give candidate pairs of classes; the sketch of the union of a pair
 (the K smallest of both sketches) estimates its similarity and drops pairs that can't reach the threshold (one in 10^9
 of those that do may be dropped by chance); the full sets of the rest are compared exactly. Links are joined into connected
 components.
 
 Long lists never give all their pairs. A list of at most ``SHORT`` classes is expanded whole. Of a longer one every
-member meets ``PIVOTS`` members picked by hash, which ties large groups of near copies together. After these links are
+member meets ``PIVOTS`` members that lie in most long lists (the text that near copies were made from, if it is there)
+and as many picked by hash, which ties large groups of near copies together. After these links are
 components, only pairs that share nothing but long lists can be missing, and only across components. Classes with
-too few long lists leave, and lists within one component. What is left is compared by an exact prefix filter on full
-sets, rarest shingles first: passages that many documents share come last there and make no pairs. Nothing is capped.
+too few long lists leave, and lists within one component. What is left is compared by an exact prefix filter on what
+sets differ in from their lists' pivot, rarest shingles first. Nothing is capped.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. A text with fewer words than a shingle has is one shingle. Null or
 wordless text has an empty set and no links. Rows without an id take no part: their component is null, and they are
@@ -33,7 +34,7 @@ from ..scratch import keep
 from . import bloom
 from .text import WordHashes, map_rows, ngram_hashes, words
 
-K, SHORT, PIVOTS = 24, 32, 4
+K, LISTED, SHORT, PIVOTS = 48, 24, 32, 2
 #: Chance that a pair at the threshold is dropped by its sketches.
 MISS = 1e-9
 
@@ -58,10 +59,10 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
     return map_rows(docs, ["doc_id", "text"], "doc_id long, n long, digest binary, sketch array<long>", setup)
 
 
-def least_shared(percent: int) -> list[int]:
-    """For a union sketch of 0..K values, how many must be shared: a pair at the threshold has fewer by chance MISS."""
+def least_shared(percent: int, most: int = K) -> list[int]:
+    """For a union sketch of 0..most values, how many must be shared: a pair at the threshold has fewer by chance MISS."""
     t, out = percent / 100, []
-    for size in range(K + 1):
+    for size in range(most + 1):
         below, s = 0.0, 0
         while s < size and below + comb(size, s) * t**s * (1 - t) ** (size - s) <= MISS:
             below += comb(size, s) * t**s * (1 - t) ** (size - s)
@@ -84,7 +85,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
     likely = keep(likely, "likely")
     wanted = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = docs.select(F.col("doc_id").alias("id"), "text")
-    texts = texts.where(bloom.passing(texts, "id", bloom.cells(wanted, "id")))
+    texts = keep(texts.where(bloom.passing(texts, "id", bloom.cells(wanted, "id"))), "texts")
     full = likely.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
 
     def setup():
@@ -103,10 +104,9 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
 
 
 def _lists(entries: DataFrame, by: str) -> DataFrame:
-    """Entries (v, rep, n, group, …) in lists with more than one group, with the list's size and pivots."""
-    pivot = lambda i: F.min(F.struct(F.xxhash64("rep", F.lit(i)).alias("h"), "rep", "n")).alias(f"p{i}")
-    size = entries.groupBy("v").agg(F.count("*").alias("c"), F.min(by).alias("lo"), F.max(by).alias("hi"), *(pivot(i) for i in range(PIVOTS)))
-    return entries.join(size.where("lo < hi"), "v")
+    """Entries (v, rep, n, …) in lists with more than one group, with the list's size."""
+    size = entries.groupBy("v").agg(F.count("*").alias("c"), F.min(by).alias("lo"), F.max(by).alias("hi"))
+    return entries.join(size.where("lo < hi").drop("lo", "hi"), "v")
 
 
 def _expanded(listed: DataFrame, percent: int, by: str) -> DataFrame:
@@ -117,47 +117,90 @@ def _expanded(listed: DataFrame, percent: int, by: str) -> DataFrame:
     return a.join(b.withColumnRenamed("v", "w"), (F.col("v") == F.col("w")) & fit).select("a", "b")
 
 
-def _with_pivots(listed: DataFrame, percent: int) -> DataFrame:
-    met = listed.select("rep", "n", F.explode(F.array(*(f"p{i}" for i in range(PIVOTS)))).alias("p")).where((F.col("rep") != F.col("p.rep")) & _sizes_fit(F.col("n"), F.col("p.n"), percent))
+def _pivots(long: DataFrame) -> DataFrame:
+    """(v, ps) for long lists: their pivots. They are plain minima, so no list is gathered."""
+    central = long.groupBy("rep").agg((-F.count("*")).alias("m"))
+    pick = lambda i, *first: F.min(F.struct(*first, F.xxhash64("rep", F.lit(i)).alias("h"), "rep", "n"))
+    lists = long.join(central, "rep").groupBy("v").agg(*(pick(i).alias(f"h{i}") for i in range(PIVOTS)), *(pick(i, F.col("m")).alias(f"m{i}") for i in range(PIVOTS)))
+    pivot = lambda c: F.struct(F.col(f"{c}.rep").alias("rep"), F.col(f"{c}.n").alias("n"))
+    return lists.select("v", F.array_distinct(F.array(*(pivot(f"{k}{i}") for k in "hm" for i in range(PIVOTS)))).alias("ps"))
+
+
+def _with_pivots(long: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs of the members of long lists and their list's pivots."""
+    met = long.join(lists, "v").select("rep", "n", F.explode("ps").alias("p")).where((F.col("rep") != F.col("p.rep")) & _sizes_fit(F.col("n"), F.col("p.n"), percent))
     return met.select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b"))
 
 
 def components(found: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """(rep, component) for the classes that are linked to another one. ``found``: rows of ``sketches``."""
     classes = keep(found.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min(F.struct(F.col("doc_id").alias("rep"), "n", "sketch")).alias("x")).select("x.*"), "classes")
-    entries = classes.select("rep", "n", F.explode("sketch").alias("v"))
+    entries = classes.select("rep", "n", F.explode(F.slice("sketch", 1, LISTED)).alias("v"))
     listed = keep(_lists(entries, "rep"), "lists")
-    pairs = _expanded(listed.where(F.col("c") <= SHORT), percent, "rep").unionByName(_with_pivots(listed.where(F.col("c") > SHORT), percent)).distinct()
+    long = listed.where(F.col("c") > SHORT).select("v", "rep", "n")
+    pairs = _expanded(listed.where(F.col("c") <= SHORT), percent, "rep").unionByName(_with_pivots(long, _pivots(long), percent)).distinct()
     links = keep(confirmed(pairs, classes, docs, width, percent), "links")
-    joined = connected_components(links, "a", "b")
+    joined = connected_components(links, "a", "b").withColumnRenamed("node", "rep")
 
     # Pairs that share nothing but long lists, and aren't in one component yet.
-    groups = joined.withColumnRenamed("node", "rep")
-    long = listed.where(F.col("c") > SHORT).select("v", "rep", "n").join(groups, "rep", "left").select("v", "rep", "n", F.coalesce("component", "rep").alias("group"))
-    fewest = F.when(F.col("n") < K, F.lit(1)).otherwise(F.lit(least_shared(percent)[K]))
-    left = keep(_lists(long, "group").groupBy("rep").agg(F.first("n").alias("n"), F.first("group").alias("group"), F.count("*").alias("m")).where(F.col("m") >= fewest).drop("m"), "left")
-    more = keep(confirmed(_by_prefix(left, docs, width, percent), classes, docs, width, percent), "links")
+    long = keep(_lists(long.join(joined, "rep", "left").select("v", "rep", "n", F.coalesce("component", "rep").alias("group")), "group"), "long")
+    fewest = F.when(F.col("n") < LISTED, F.lit(1)).otherwise(F.lit(least_shared(percent, LISTED)[LISTED]))
+    left = long.groupBy("rep").agg(F.first("n").alias("n"), F.count("*").alias("m")).where(F.col("m") >= fewest).select("rep")
+    left = keep(long.join(left, "rep").select("v", "rep", "n", "group"), "left")
+    more = keep(confirmed(_by_difference(left, docs, width, percent), classes, docs, width, percent), "links")
     return connected_components(links.unionByName(more), "a", "b").withColumnRenamed("node", "rep")
 
 
-def _by_prefix(left: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs of ``left`` (rep, n, group), across groups, that share a shingle among the rarest of both: similar sets must
-    share one of the first n - ceil(percent * n / 100) + 1 in any common order."""
-    texts = docs.select(F.col("doc_id").alias("rep"), "text")
-    texts = texts.where(bloom.passing(texts, "rep", bloom.cells(left, "rep"))).join(left.select("rep"), "rep", "left_semi")
+def _by_difference(left: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Candidate pairs of ``left`` (list v, rep, n, group), across groups, among members of one list.
+
+    Each list belongs to its member p whose shingles are most common among all, and each p has a core C: the shingles that
+    more than half of its lists' members hold (the text that near copies were made from). With D(A) the symmetric
+    difference of A and C, A and B are similar if and only if D(A) and D(B) differ in at most r * (|A| + |B|) places, r =
+    (1 - t) / (1 + t). Let A1 be the member of least |D|. Every A with |D(A)| + |D(A1)| within its bound is surely similar
+    to A1, and is paired with A1 alone. Two others can only be similar without a common element of D if the larger sizes of
+    some texts leave room for that; such A are few and meet all within bounds. All the rest share at least
+    (|D(A)| + |D(B)| - r * (|A| + |B|)) / 2 elements; one of them is among the first (1 - t) / t * |A| + 1 of both in any
+    common order, and not too far back for the rest to be shared. With rare shingles first, texts that were changed in
+    different places don't meet, however much of the core they share. A pair meets under the best p it has in common."""
+    t = percent / 100
+    r, c = (1 - t) / (1 + t), F.col
+    ids = left.select("rep").distinct()
+    texts = docs.select(c("doc_id").alias("rep"), "text")
+    texts = texts.where(bloom.passing(texts, "rep", bloom.cells(ids, "rep"))).join(ids, "rep", "left_semi")
 
     def setup():
         hashes = WordHashes()
-        return lambda rep, text: [(rep, v) for v in (shingles(words(text, lower=True), hashes, width) >> np.uint64(1)).astype(np.int64).tolist()]
-
-    sets = keep(map_rows(texts, ["rep", "text"], "rep long, v long", setup), "sets")
-    common = sets.join(sets.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "v").join(left, "rep")
-    # Shingles of one set alone come first and match nothing; the others follow, rarest first.
-    place = F.row_number().over(Window.partitionBy("rep").orderBy("df", "v"))
-    alone = F.col("n") - F.count("*").over(Window.partitionBy("rep"))
-    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    first = common.withColumn("place", place + alone).where(F.col("place") <= prefix).select("v", "rep", "n", "group")
-    return _expanded(_lists(first, "group"), percent, "group").distinct()
+        return lambda rep, text: [(rep, (shingles(words(text, lower=True), hashes, width) >> np.uint64(1)).astype(np.int64).tolist())]
+
+    sets = keep(map_rows(texts, ["rep", "text"], "rep long, s array<long>", setup), "sets")
+    each = sets.select("rep", F.explode("s").alias("v"))
+    df = keep(each.groupBy("v").agg(F.count("*").alias("df")), "df")
+    central = each.join(df, "v").groupBy("rep").agg(F.avg("df").alias("central"))
+    pivots = left.join(central, "rep").groupBy("v").agg(F.max(F.struct("central", (-c("rep")).alias("q"))).alias("best"))
+    some = left.join(pivots, "v").groupBy("rep").agg(F.first("n").alias("n"), F.first("group").alias("group"), F.sort_array(F.collect_set("best"), asc=False).alias("best"))
+    some = some.select("rep", "n", "group", F.transform("best", lambda x: -x["q"]).alias("ps"))
+    held = some.withColumn("p", F.explode("ps")).join(sets, "rep")
+    members = some.select(F.explode("ps").alias("p")).groupBy("p").agg(F.count("*").alias("members"))
+    core = held.select("p", F.explode("s").alias("v")).groupBy("p", "v").agg(F.count("*").alias("k")).join(members, "p").where(2 * c("k") > c("members")).groupBy("p").agg(F.collect_list("v").alias("core"))
+    apart = held.join(core, "p", "left").withColumn("core", F.coalesce("core", F.array().cast("array<long>"))).select("rep", "n", "group", "ps", "p", F.concat(F.array_except("s", "core"), F.array_except("core", "s")).alias("d"))
+    apart = keep(apart.withColumn("size", F.size("d")), "apart")
+    least = apart.groupBy("p").agg(F.min(F.struct("size", "rep", "n")).alias("one"), F.max("n").alias("top"))
+    sum_size = c("size") + c("one.size")
+    apart = apart.join(least, "p").withColumn("near", sum_size <= r * (c("n") + c("one.n"))).withColumn("between", ~c("near") & (sum_size <= r * (c("n") + c("top"))))
+    ranked = apart.select("rep", "n", "group", "ps", "p", "size", "near", F.explode("d").alias("v")).join(df, "v")
+    ranked = ranked.withColumn("i", F.row_number().over(Window.partitionBy("rep", "p").orderBy("df", "v")))
+    first = keep(ranked.where(c("i") <= F.floor(c("n") * ((1 - t) / t) + 1e-9) + 1).drop("df"), "first")
+    a, b = (first.select(*(c(x).alias(f"{side}_{x}") for x in first.columns)) for side in "ab")
+    rest = F.least(c("a_size") - c("a_i"), c("b_size") - c("b_i")) + 1
+    shared = F.ceil((c("a_size") + c("b_size") - r * (c("a_n") + c("b_n")) - 1e-9) / 2)
+    met = (c("a_p") == c("b_p")) & (c("a_v") == c("b_v")) & (c("a_rep") < c("b_rep")) & (c("a_group") != c("b_group")) & ~(c("a_near") & c("b_near")) & _sizes_fit(c("a_n"), c("b_n"), percent) & (rest >= shared)
+    met = met & (c("a_p") == F.element_at(F.array_intersect("a_ps", "b_ps"), 1))
+    pairs = a.join(b, met).select(c("a_rep").alias("a"), c("b_rep").alias("b"))
+    to_one = apart.where(c("near") & (c("rep") != c("one.rep"))).select(F.least("rep", "one.rep").alias("a"), F.greatest("rep", "one.rep").alias("b"))
+    x, y = apart.where("between").select("p", c("rep").alias("a"), c("n").alias("na"), c("size").alias("da")), apart.select(c("p").alias("q"), c("rep").alias("b"), c("n").alias("nb"), c("size").alias("db"))
+    odd = x.join(y, (c("p") == c("q")) & (c("a") != c("b")) & (c("da") + c("db") <= r * (c("na") + c("nb")) + 1e-9)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return pairs.unionByName(to_one).unionByName(odd).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
