@@ -11,23 +11,20 @@ from .scratch import keep
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, component) for every node of an edge; ``component`` is the smallest node reachable.
 
-    Alternates two steps until nothing changes: each node's larger neighbours are tied to the least node around it, then
-    its smaller ones are. Each step is two aggregations and a join on narrow rows, hubs have their minimum taken by
-    partial aggregation, and the number of rounds grows with the logarithm of the longest chain."""
+    Alternates two steps until the edges are a forest of stars: each node's larger neighbours are tied to the least node
+    around it, then its smaller ones are. Rows are narrow, hubs have their minimum taken by partial aggregation, and the
+    number of rounds grows with the logarithm of the longest chain."""
     e = edges.where(F.col(src) != F.col(dst)).select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).distinct()
     e = keep(e, "edges")
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v")
-        nxt = keep(small.where(F.col("u") != F.col("v")).distinct(), "edges")
-        # A star forest, each edge from a leaf to its least node, stays as it is.
-        inner = nxt.select(F.col("v").alias("u")).distinct()
-        more = nxt.join(inner, "u", "left_semi").limit(1).count() or nxt.groupBy("u").count().where("count > 1").limit(1).count()
-        e = nxt
-        if not more:
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
+        e = keep(e.join(least, F.col("v") == F.col("w")).select("u", F.col("m").alias("v"), (F.col("m") < F.col("w")).alias("moved")), "edges")
+        least = e.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("top"), F.bool_or("moved").alias("moved"))
+        if not least.agg(F.coalesce(F.bool_or(F.col("moved") | (F.col("m") < F.col("top"))), F.lit(False))).first()[0]:
             break
-    leaves = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        pair = lambda a: F.struct(F.col(a).alias("u"), F.col("m").alias("v"))
+        e = e.join(least.select("u", "m"), "u").select(F.explode(F.array(pair("u"), pair("v"))).alias("x")).select("x.u", "x.v")
+        e = keep(e.where(F.col("u") != F.col("v")).distinct(), "edges")
+    leaves = e.select(F.col("u").alias("node"), F.col("v").alias("component")).distinct()
     return leaves.unionByName(leaves.select(F.col("component").alias("node"), "component").distinct())
