@@ -75,7 +75,7 @@ def zone_texture(pixels: DataFrame, zones: DataFrame) -> DataFrame:
     """Entropy in bits, mean distance to the median, and share below 80, from a histogram per zone."""
     h = in_zones(pixels, zones).groupBy("page_id", "zone_id", "v").agg(F.count("*").alias("n"))
     key = ["page_id", "zone_id"]
-    t = h.groupBy(*key).agg(F.sum("n").alias("t"), F.percentile("v", 0.5, "n").alias("mid"))
+    t = h.groupBy(*key).agg(F.sum("n").alias("t"), F.expr("percentile(v, 0.5, n)").alias("mid"))
     j = h.join(t, key)
     p = F.col("n") / F.col("t")
     return j.groupBy(*key).agg((-F.sum(p * F.log2(p))).alias("entropy"), (F.sum(F.abs(F.col("v") - F.col("mid")) * F.col("n")) / F.first("t")).alias("spread"), (F.sum(F.when(F.col("v") < 80, F.col("n")).otherwise(0)) / F.first("t")).alias("dark_share"))

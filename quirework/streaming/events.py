@@ -15,6 +15,11 @@ TERMINAL = ["succeeded", "failed"]
 RANK = {"queued": 0, "running": 1, "succeeded": 2, "failed": 2}
 
 
+def micros(ts):
+    """Microseconds since the epoch of a timestamp, with or without a time zone."""
+    return F.unix_micros(ts.cast("timestamp"))
+
+
 def _rank(status):
     out = F.lit(-1)
     for name, r in RANK.items():
@@ -30,7 +35,7 @@ def job_state(events: DataFrame) -> DataFrame:
     go = F.max(F.when(~terminal, F.struct(_rank(F.col("status")).alias("r"), "ts", "event_id", "status")))
     s = events.groupBy("job_id").agg(F.min("ts").alias("begun"), F.max("ts").alias("seen"), end.alias("end"), go.alias("go"))
     last = F.when(F.col("end").isNotNull(), F.col("end.ts")).otherwise(F.col("seen"))
-    return s.select("job_id", F.coalesce("end.status", "go.status").alias("status"), (F.unix_micros(last) - F.unix_micros("begun")).alias("elapsed_us"), F.col("end").isNotNull().alias("final"))
+    return s.select("job_id", F.coalesce("end.status", "go.status").alias("status"), (micros(last) - micros(F.col("begun"))).alias("elapsed_us"), F.col("end").isNotNull().alias("final"))
 
 
 def job_state_stream(events: DataFrame) -> DataFrame:
@@ -58,7 +63,7 @@ def stage_durations(events: DataFrame) -> DataFrame:
     """Time from each stage event of a job to the next."""
     w = Window.partitionBy("job_id").orderBy("ts", "event_id")
     nxt = F.lead("ts").over(w)
-    return events.select("job_id", "event_id", "stage", (F.unix_micros(nxt) - F.unix_micros("ts")).alias("duration_us")).where("duration_us IS NOT NULL")
+    return events.select("job_id", "event_id", "stage", (micros(nxt) - micros(F.col("ts"))).alias("duration_us")).where("duration_us IS NOT NULL")
 
 
 def watchdog(starts: DataFrame, ends: DataFrame, seconds: int) -> DataFrame:
