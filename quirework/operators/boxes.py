@@ -38,9 +38,10 @@ def greedy_nms(boxes: DataFrame, key: str = "page_id", threshold: float = 0.1, m
 
 
 def unletterbox_boxes(boxes: DataFrame) -> DataFrame:
-    """Boxes in model pixels to page pixels. Needs page_w, page_h, input_size; halves round to even; empty boxes go."""
+    """Boxes in model pixels to page pixels. Needs page_w, page_h, input_size, and takes pad_x, pad_y if they are there (else the
+    page lies at the top left); halves round to even; empty boxes go."""
     scale = F.least(F.col("input_size") / F.col("page_w"), F.col("input_size") / F.col("page_h"))
-    pad_x, pad_y = (F.col("input_size") - F.col("page_w") * scale) / 2, (F.col("input_size") - F.col("page_h") * scale) / 2
+    pad_x, pad_y = (F.col(c) if c in boxes.columns else d(0) for c in ("pad_x", "pad_y"))
     at = lambda c, pad, most: F.least(F.greatest(F.bround((F.col(c) - pad) / scale), d(0)), F.col(most).cast("double"))
     out = boxes.withColumns({"x1": at("x1", pad_x, "page_w"), "y1": at("y1", pad_y, "page_h"), "x2": at("x2", pad_x, "page_w"), "y2": at("y2", pad_y, "page_h")})
     return out.where((F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1"))).withColumns({"width": F.col("x2") - F.col("x1"), "height": F.col("y2") - F.col("y1")})

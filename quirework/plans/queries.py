@@ -159,8 +159,8 @@ def detector_candidates(r):
 
 
 @query("""WITH s AS (SELECT *, least(640 / CAST(page_w AS DOUBLE), 640 / CAST(page_h AS DOUBLE)) AS sc FROM boxes),
-t AS (SELECT page_id, box_id, least(greatest(round_even((x - (640 - page_w * sc) / 2) / sc, 0), 0), page_w) AS x1, least(greatest(round_even((y - (640 - page_h * sc) / 2) / sc, 0), 0), page_h) AS y1,
-least(greatest(round_even((x + w - (640 - page_w * sc) / 2) / sc, 0), 0), page_w) AS x2, least(greatest(round_even((y + h - (640 - page_h * sc) / 2) / sc, 0), 0), page_h) AS y2 FROM s)
+t AS (SELECT page_id, box_id, least(greatest(round_even(x / sc, 0), 0), page_w) AS x1, least(greatest(round_even(y / sc, 0), 0), page_h) AS y1,
+least(greatest(round_even((x + w) / sc, 0), 0), page_w) AS x2, least(greatest(round_even((y + h) / sc, 0), 0), page_h) AS y2 FROM s)
 SELECT page_id, box_id, x1, y1, x2 - x1 AS width, y2 - y1 AS height FROM t WHERE x2 > x1 AND y2 > y1""")
 def unletterbox_boxes(r):
     return B.unletterbox_boxes(xyxy(r.boxes).withColumn("input_size", F.lit(640))).select("page_id", "box_id", "x1", "y1", "width", "height")
