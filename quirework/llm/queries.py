@@ -6,10 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import url_filter, vector_search
+from . import near_dedup, url_filter, vector_search
 from .bpe import op10_byte_bpe
 from .lm_score import op4_lm_score
-from .near_dedup import op3_near_duplicates
 from .packing import op2_packing
 from .pii import op7_pii
 from .quality import op8_quality_rules
@@ -19,7 +18,7 @@ from .token_counts import op5_token_counts
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_packing": op2_packing,
-    "op3_near_duplicates": op3_near_duplicates,
+    "op3_near_duplicates": near_dedup.op3_near_duplicates,
     "op4_lm_score": op4_lm_score,
     "op5_token_counts": op5_token_counts,
     "op6_top_k": vector_search.op6_top_k,
@@ -31,5 +30,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_url_filter": url_filter.ORACLE,
+    "op3_near_duplicates": near_dedup.ORACLE,
     "op6_top_k": vector_search.ORACLE,
 }
