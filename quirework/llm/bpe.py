@@ -11,6 +11,7 @@ when the table is full, so memory is bounded for any text.
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
@@ -190,6 +191,12 @@ class PieceMemo(dict):
         return ids
 
 
+@functools.lru_cache(maxsize=1)
+def shared_codec(ranks_path: str) -> MergeTransducer:
+    """The transducer of this worker process; its tables outlive a task."""
+    return MergeTransducer(load_ranks(ranks_path))
+
+
 class Splitter:
     """Cuts text into the matches of a pattern. Texts within Latin-1 take the standard library's engine with
     the Unicode classes written out; any other text takes ``regex``, with the pattern as it is."""
@@ -270,7 +277,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_column:
     empty table gives an empty one."""
 
     def setup():
-        codec, split = MergeTransducer(load_ranks(ranks_path)), Splitter(pattern)
+        codec, split = shared_codec(ranks_path), Splitter(pattern)
 
         def one(key, text):
             ids = np.frombuffer(codec.encode_pieces(split(text or "")), "<u4").tolist()
@@ -288,7 +295,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     Null text counts as empty; equal rows each give a row."""
 
     def setup():
-        codec, split = MergeTransducer(load_ranks(ranks_path)), Splitter(pattern)
+        codec, split = shared_codec(ranks_path), Splitter(pattern)
 
         def one(key, text):
             ids = codec.encode_pieces(split(text or ""))
