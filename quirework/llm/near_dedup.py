@@ -182,7 +182,7 @@ def _by_difference(left: DataFrame, docs: DataFrame, width: int, percent: int) -
     some = some.select("rep", "n", "group", F.transform("best", lambda x: -x["q"]).alias("ps"))
     held = some.withColumn("p", F.explode("ps")).join(sets, "rep")
     members = some.select(F.explode("ps").alias("p")).groupBy("p").agg(F.count("*").alias("members"))
-    core = held.select("p", F.explode("s").alias("v")).groupBy("p", "v").agg(F.count("*").alias("k")).join(members, "p").where(2 * c("k") > c("members")).groupBy("p").agg(F.collect_list("v").alias("core"))
+    core = held.select("p", F.explode("s").alias("v")).groupBy("p", "v").agg(F.count("*").alias("k")).where("k > 1").join(members, "p").where(2 * c("k") > c("members")).groupBy("p").agg(F.collect_list("v").alias("core"))
     apart = held.join(core, "p", "left").withColumn("core", F.coalesce("core", F.array().cast("array<long>"))).select("rep", "n", "group", "ps", "p", F.concat(F.array_except("s", "core"), F.array_except("core", "s")).alias("d"))
     apart = keep(apart.withColumn("size", F.size("d")), "apart")
     least = apart.groupBy("p").agg(F.min(F.struct("size", "rep", "n")).alias("one"), F.max("n").alias("top"))
