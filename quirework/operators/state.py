@@ -120,6 +120,17 @@ def append_pages(pages: DataFrame, new: DataFrame, book: str = "book_id") -> Dat
     return pages.unionByName(shifted.select(pages.columns))
 
 
+def camel_names(df: DataFrame) -> DataFrame:
+    """Columns renamed from snake_case to camelCase."""
+    camel = lambda name: name.split("_")[0] + "".join(x.capitalize() for x in name.split("_")[1:])
+    return df.select(*(F.col(c).alias(camel(c)) for c in df.columns))
+
+
+def proxied_asset(path: Column, prefix: str) -> Column:
+    """``path`` below the proxy's prefix; null unless it is a path of the first API version."""
+    return F.when(F.startswith(path, F.lit("/v1/")), F.concat(F.lit(prefix), F.substring(path, 4, 1 << 20)))
+
+
 def export_plan(pages: DataFrame, prefix: Column, name: str = "name", book: str = "book_id") -> DataFrame:
     """File names PREFIX_001_base.ext in page order, for pages with a payload."""
     from ..functions.exprs import split_name

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import raster, state
+from ..functions import exprs as X
+from ..operators import curate, raster, state
 from ..streaming import events as E
 from .queries import query
 
@@ -101,6 +102,31 @@ def append_pages(r):
     return state.append_pages(p, p.where("page_index < 2").withColumn("page_id", F.col("page_id") + 1000000))
 
 
+@query("""SELECT page_id AS "pageId", book_id AS "bookId", CASE WHEN page_id % 4 <> 0 THEN '/api/clean/' || CAST(page_id AS VARCHAR) END AS "assetPath" FROM book_pages""")
+def decode_result(r):
+    path = F.concat(F.when(F.col("page_id") % 4 != 0, "/v1/").otherwise("/v2/"), F.col("page_id").cast("string"))
+    return state.camel_names(r.book_pages.select("page_id", "book_id", state.proxied_asset(path, "/api/clean").alias("asset_path")))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END AS a, user_id * 1e0 AS b, CAST(event_id % 3 <> 0 AS INT) + 1 AS n FROM events")
+def numeric_entries(r):
+    a = F.when(F.col("event_id") % 3 == 0, F.lit("fast")).otherwise(F.col("value").cast("string"))
+    m = X.numeric_entries(F.create_map(F.lit("a"), a, F.lit("b"), F.col("user_id").cast("string")))
+    return r.events.select("event_id", m.alias("m")).select("event_id", F.try_element_at("m", F.lit("a")).alias("a"), F.try_element_at("m", F.lit("b")).alias("b"), F.size("m").alias("n"))
+
+
+@query("SELECT DISTINCT c.path_hash, c.content_sha FROM candidates c WHERE content_sha IN (SELECT x.content_sha FROM candidates x JOIN labels l ON x.doc_id = l.doc_id WHERE l.quality = 1)")
+def with_review_label(r):
+    labels = r.candidates.join(r.labels, "doc_id").select("content_sha", F.when(F.col("quality") == 1, "original_comic").otherwise("reject").alias("label"))
+    return curate.with_review_label(r.candidates, labels).select("path_hash", "content_sha")
+
+
+@query("SELECT content_sha, 'reject' AS label FROM candidates ORDER BY substring(sha256('20260727:' || path_hash), 1, 16) DESC, path_hash LIMIT 30")
+def review_template(r):
+    chosen = curate.seeded_sample(r.candidates, "path_hash", 30).withColumn("category", F.lit("text-free"))
+    return curate.review_template(chosen)[1]
+
+
 # --- rasters ----------------------------------------------------------------------------------------------
 
 _IN = "iz AS (SELECT p.page_id, zone_id, y, x, v FROM raster p JOIN rects z ON p.page_id = z.page_id AND x >= zx AND x < zx + zw AND y >= zy AND y < zy + zh)"
