@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 #: Rows in one Arrow batch that a Python task returns.
 OUT_ROWS = 2000
 #: Distinct words whose hash a worker remembers; others are hashed anew each time.
-MEMO = 400_000
+MEMO = 120_000
 _U = np.uint64
 
 
