@@ -2,10 +2,11 @@
 
 Three kinds are found by rule. A fourth, ``random``, comes from two first-order character models, one of random
 strings and one of ordinary identifiers. Their labelled samples come from the corpus itself: what the rules found
-is random; a run whose parts are letters alone or digits alone is ordinary. Any other run of at least
-``MIN_RUN`` characters and outside all spans found by rule is a secret if its log-likelihood ratio per character
-exceeds ``THRESHOLD``. All documents train the models; counts of distinct runs are summed before they are cut into
-characters, and the model is a table of fixed size (one number for each pair of printable ASCII characters).
+is random; a run outside all spans found by rule whose parts are letters alone or digits alone is ordinary. Every run of
+at least ``MIN_RUN`` characters outside those spans, of whatever shape, is a secret if its log-likelihood ratio exceeds
+``THRESHOLD`` per character, and ``LEAST`` in all, which is more for short runs. All documents train the models; each
+distinct run counts once, so that copies of a secret don't make it ordinary, and the model is a table of fixed size (one
+number for each pair of printable ASCII characters).
 
 Null text counts as empty; repeated rows each give a row; other columns don't matter; an empty table gives an
 empty one. Without samples of both classes the models say nothing.
@@ -21,7 +22,9 @@ from ..scratch import keep
 
 #: Nats per character by which the random model must be likelier.
 THRESHOLD = 0.5
-MIN_RUN = 16
+#: Nats in all by which the random model must be likelier.
+LEAST = 8.0
+MIN_RUN = 8
 #: Kind, pattern, group that is the secret, least length of it, test that must hold for any match.
 RULES = [
     ("assign", r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, ("=", ":")),
@@ -30,7 +33,9 @@ RULES = [
 ]
 #: Labels a run ordinary: its parts between separators are letters alone or digits alone.
 ORDINARY = r"^([A-Za-z]+|[0-9]+|[+/_-]+)([+/_-]+([A-Za-z]+|[0-9]+))*[+/_-]*$"
-RUN = r"([A-Za-z0-9+/_-]{16,})"
+RUN = rf"([A-Za-z0-9+/_-]{{{MIN_RUN},}})"
+#: Holds for a run ``x`` outside all spans found by rule.
+OUTSIDE = "NOT exists(base, b -> b.s < x.e AND x.s < b.e)"
 ALPHABET, SYMBOLS = 95, 64  # printable ASCII, from space on; those that random strings draw from
 _ITEM = "struct<s:bigint,e:bigint,r:int,kind:string,v:string>"
 
@@ -81,15 +86,15 @@ def train(located: DataFrame) -> DataFrame:
     ordinary). The random model is mixed half and half with the even choice of ``SYMBOLS`` characters, the ordinary
     one backs off to its single characters. Empty if a class has no sample."""
     samples = located.select(F.explode("base.v").alias("v")).withColumn("random", F.lit(True)).unionByName(
-        located.select(F.explode("runs.v").alias("v")).where(F.col("v").rlike(ORDINARY)).withColumn("random", F.lit(False))
+        located.select(F.explode(F.expr(f"transform(filter(runs, x -> {OUTSIDE}), x -> x.v)")).alias("v")).where(F.col("v").rlike(ORDINARY)).withColumn("random", F.lit(False))
     )
-    distinct = samples.groupBy("v", "random").agg(F.count("*").alias("n"))
+    distinct = samples.distinct()
     pairs = (
         distinct.withColumn("c", F.split("v", ""))
-        .select("random", "n", F.explode(F.expr(f"transform(sequence(0, size(c) - 2), i -> {_pair('c[i]', 'c[i+1]')})")).alias("pair"))
+        .select("random", F.explode(F.expr(f"transform(sequence(0, size(c) - 2), i -> {_pair('c[i]', 'c[i+1]')})")).alias("pair"))
         .where(F.col("pair").between(0, ALPHABET * ALPHABET - 1))
         .groupBy("pair")
-        .agg(F.sum(F.when(F.col("random"), F.col("n")).otherwise(0)).alias("x"), F.sum(F.when(F.col("random"), 0).otherwise(F.col("n"))).alias("y"))
+        .agg(F.count_if("random").alias("x"), F.count_if(~F.col("random")).alias("y"))
     )
     grid = located.sparkSession.range(ALPHABET * ALPHABET).select(F.col("id").cast("int").alias("pair"))
     # The grid and all that joins it have a fixed number of rows.
@@ -118,8 +123,7 @@ def scan(located: DataFrame, model: DataFrame, threshold: float = THRESHOLD, id_
     return df.withColumn(
         "found",
         F.expr(
-            f"""filter(runs, x -> size(model) > 0 AND NOT x.v RLIKE '{ORDINARY}'
-            AND NOT exists(base, b -> b.s < x.e AND x.s < b.e) AND {score} > {threshold}D * (length(x.v) - 1))"""
+            f"""filter(runs, x -> size(model) > 0 AND {OUTSIDE} AND {score} > greatest({LEAST}D, {threshold}D * (length(x.v) - 1)))"""
         ),
     ).drop("model")
 

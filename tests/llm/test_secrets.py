@@ -63,3 +63,21 @@ def test_redact_and_empty(spark, tmp_path):
     out = {r.doc_id: r for r in secrets.redact(docs).collect()}
     assert out[0].text == "a <SECRET> b" and out[2].text == "é <SECRET>." and not out[1].text and out[0].base == "x"
     assert run(spark, [], tmp_path) == {}
+
+
+def test_likelihood_decides_runs_of_any_shape(spark, tmp_path):
+    rnd = random.Random(8)
+    lower = "abcdefghijklmnopqrstuvwxyz"
+    draw = lambda alphabet, n: "".join(rnd.choice(alphabet) for _ in range(n))
+    syllables = ["ther", "tion", "ing", "and", "er", "the", "com", "pre", "qua", "vi", "bel", "jun", "ful", "ky", "zo", "wis", "mex", "dar"]
+    word = lambda: rnd.choice([str, str, str.capitalize, str.upper])("".join(rnd.choice(syllables) for _ in range(rnd.randrange(3, 7))))
+    hexes = ["see " + draw("0123456789abcdef", 32) for _ in range(60)]
+    plain = [" ".join(word() for _ in range(40)) for _ in range(300)]
+    keys = [draw(lower, 16) for _ in range(40)] + [draw(lower + lower.upper(), 20) for _ in range(40)] + [draw(lower.upper(), 16) for _ in range(40)]
+    keys += ["-".join(draw(lower, 5) for _ in range(4)) for _ in range(40)] + [draw(lower + lower.upper() + "0123456789", 10) for _ in range(40)]
+    texts = hexes + plain + keys + [keys[0]] * 300
+    got = run(spark, texts, tmp_path)
+    n = len(hexes) + len(plain)
+    assert sum("random" in got[n + i].spans for i in range(len(keys))) >= 0.9 * len(keys)
+    assert "random" in got[n].spans and "random" in got[len(texts) - 1].spans
+    assert sum(got[i].spans.count("random") for i in range(len(hexes), n)) <= 12
