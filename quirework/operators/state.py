@@ -36,13 +36,22 @@ def reconcile_results(saved: DataFrame, pages: DataFrame, loaded: DataFrame) ->
     return saved.join(p, "page_id", "left").join(on, "page_id", "left").select(*[saved[c] for c in saved.columns], state.alias("state"))
 
 
-def lookup_url(wanted: DataFrame, images: DataFrame, shortest: int = 5) -> DataFrame:
-    """(id, image_id, tier): the first image with the same url; else the first whose url holds the wanted file name, if that
-    is longer than ``shortest``. The second tier is an equi-join on the file names that a url holds, not a nested loop."""
-    exact = wanted.join(images, "url").groupBy("id").agg(F.min("image_id").alias("image_id")).withColumn("tier", F.lit(1))
-    left = wanted.join(exact.select("id"), "id", "left_anti").withColumn("name", F.element_at(F.split(F.regexp_extract("url", r"^([^?#]*)", 1), "/"), -1)).where(F.length("name") > shortest)
-    # A name without a slash lies within one stretch between slashes or marks of the other url.
-    names = images.select("image_id", F.explode(F.array_distinct(F.split("url", r"[/?#&=]"))).alias("name"))
+def lookup_url(wanted: DataFrame, images: DataFrame, shortest: int = 5, salts: int = 16) -> DataFrame:
+    """(id, image_id, tier): the first image with the same url; else the first whose url contains the wanted file name (the
+    column ``name``, or else the last segment of the url), if that is longer than ``shortest``. The second tier is two
+    equi-joins, not a nested loop: places of a url that begin as a name does, then the stretches there of a name's length."""
+    first = images.groupBy("url").agg(F.min("image_id").alias("image_id"))
+    exact = wanted.join(first, "url").groupBy("id").agg(F.min("image_id").alias("image_id")).withColumn("tier", F.lit(1))
+    left = wanted.join(exact.select("id"), "id", "left_anti")
+    if "name" not in wanted.columns:
+        left = left.withColumn("name", F.element_at(F.split(F.regexp_extract("url", r"^([^?#]*)", 1), "/"), -1))
+    left = left.where(F.length("name") > shortest)
+    width = F.lit(shortest + 1)
+    heads = left.select(F.substr("name", F.lit(1), width).alias("head"), F.length("name").alias("n")).distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    # Salted, as most urls share beginnings such as "https:".
+    places = first.where(F.length("url") > shortest).select("image_id", "url", F.pmod(F.xxhash64("url"), F.lit(salts)).cast("int").alias("salt"), F.explode(F.sequence(F.lit(1), F.length("url") - shortest)).alias("at"))
+    near = places.withColumn("head", F.substr("url", F.col("at"), width)).join(heads, ["head", "salt"]).where(F.col("at") + F.col("n") <= F.length("url") + 1)
+    names = near.groupBy(F.substr("url", F.col("at"), F.col("n")).alias("name")).agg(F.min("image_id").alias("image_id"))
     found = left.join(names, "name").groupBy("id").agg(F.min("image_id").alias("image_id")).withColumn("tier", F.lit(2))
     return exact.unionByName(found)
 

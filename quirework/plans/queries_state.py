@@ -49,6 +49,15 @@ def lookup_url(r):
     return state.lookup_url(wanted, r.pages.select(F.col("page_id").alias("image_id"), "url"))
 
 
+@query("""WITH w AS (SELECT page_id AS id, regexp_extract(url, '/([a-z]+/[0-9]+)', 1) AS name, CASE WHEN page_id % 2 = 0 THEN url ELSE split_part(url, '?', 1) END AS url FROM pages), i AS (SELECT page_id AS image_id, url FROM pages),
+ex AS (SELECT w.id, min(image_id) AS image_id FROM w JOIN i USING (url) GROUP BY w.id), lf AS (SELECT id, name FROM w WHERE id NOT IN (SELECT id FROM ex) AND length(name) > 5)
+SELECT id, image_id, 1 AS tier FROM ex UNION ALL SELECT lf.id, min(i.image_id), 2 FROM lf JOIN i ON contains(i.url, lf.name) GROUP BY lf.id""")
+def lookup_url_by_name(r):
+    """The file name is bound to lang/number, as the last segments are too short for the second tier."""
+    wanted = r.pages.select(F.col("page_id").alias("id"), F.regexp_extract("url", "/([a-z]+/[0-9]+)", 1).alias("name"), F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise(F.split_part("url", F.lit("?"), F.lit(1))).alias("url"))
+    return state.lookup_url(wanted, r.pages.select(F.col("page_id").alias("image_id"), "url"))
+
+
 def _overridden(r):
     base = r.regions.select("page_id", "region", F.lit("needs_review").alias("status"), F.lit("clean").alias("action"), F.lit("review").alias("text_role"), F.lit(1).alias("version"))
     o = r.boxes.where("pk % 6 = 0").select(

@@ -143,3 +143,13 @@ def test_edit_replay(spark):
     assert (r.value, r.depth) == ("a", 2)
     many = spark.createDataFrame([(1, 1, i, "push", str(i)) for i in range(70)], "session_id long, page_id long, seq int, op string, value string")
     assert one(E.replay_edits(many)).depth == 50
+
+
+def test_lookup_url_finds_names_within_stretches(spark):
+    images = [(1, "https://h/x/other.png"), (2, "https://h/thumb_page01.jpg"), (3, "https://h/page01.jpg.webp"), (4, "https://h/a/page02.jpg"), (5, None), (6, "https://h/q?f=page03.jpg&w=2"), (0, "tiny")]
+    wanted = [(1, "https://w/page01.jpg?v=1"), (2, "https://h/a/page02.jpg"), (3, "https://w/page03.jpg"), (4, "https://w/a.jpg"), (5, "https://w/page04.jpg"), (6, None), (7, "https://w/page01.jpg")]
+    i = spark.createDataFrame(images, "image_id int, url string")
+    w = spark.createDataFrame(wanted, "id int, url string")
+    assert sorted(map(tuple, state.lookup_url(w, i).collect())) == [(1, 2, 2), (2, 4, 1), (3, 6, 2), (7, 2, 2)]
+    named = spark.createDataFrame([(1, "u", "a/page0"), (2, "u", "page")], "id int, url string, name string")
+    assert [tuple(r) for r in state.lookup_url(named, i).collect()] == [(1, 4, 2)]
