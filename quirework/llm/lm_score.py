@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import keep
-from .text import map_rows, words
+from .text import bounded, map_rows, words
 
 #: Characters of text in a block, about, and its most rows.
 BLOCK_CHARS, BLOCK_ROWS = 32_000_000, 20_000
@@ -118,7 +118,7 @@ def gathered(docs: DataFrame) -> DataFrame:
                     block, chars, rows = block + 1, 0, 0
         yield from word_rows()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
 def piece_logs(vocabulary: DataFrame, documents: int, model_path: str) -> tuple[list[float], float]:

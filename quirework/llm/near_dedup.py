@@ -6,17 +6,17 @@ first. Inverted lists of the ``LISTED`` smallest of them then give candidate pai
 of those that do may be dropped by chance); the full sets of the rest are compared exactly. Links are joined into connected
 components.
 
-Long lists never give all their pairs. A list of at most ``SHORT`` classes is expanded whole. Of a longer one every
-member meets ``PIVOTS`` members that lie in most long lists (the text that near copies were made from, if it is there)
-and as many picked by hash, which ties large groups of near copies together. After these links are
-components, only pairs that share nothing but long lists can be missing, and only across components. Classes with
-too few long lists leave, and lists within one component. What is left is compared by an exact prefix filter on what
-sets differ in from their lists' pivot, rarest shingles first. Nothing is capped.
+No list gives all its pairs at once. First every member of a list meets two of its members: the one that lies in most lists
+(the text that near copies were made from, if it is there) and one picked by hash. Links make components; lists within
+one component leave. Of the lists left, those of at most ``SHORT`` classes are expanded whole, across components. After that,
+only pairs that share nothing but long lists can be missing, and only across components. Classes with too few long lists
+leave. What is left is compared by an exact prefix filter on what sets differ in from their lists' core. Nothing is capped.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. A text with fewer words than a shingle has is one shingle. Null or
-wordless text has an empty set and no links. Rows without an id take no part: their component is null, and they are
-kept. Repeated rows each give a row with the same component; an empty table gives an empty one; other columns don't
-matter.
+wordless text has an empty set and no links; very long texts are hashed whole. Repeated rows each give a row with the same
+component. Rows that share an id but not their text, and rows without an id, are documents of their own: they are
+compared like all others, and the component is the least id in it (null if it has none). Ties go to the smaller id. An empty table
+gives an empty one; other columns, whatever their names, don't matter.
 """
 
 from __future__ import annotations
@@ -27,14 +27,15 @@ import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..graph import connected_components
 from ..scratch import keep
 from . import bloom
 from .text import WordHashes, map_rows, ngram_hashes, words
 
-K, LISTED, SHORT, PIVOTS = 48, 24, 32, 2
+K, LISTED, SHORT = 48, 24, 32
+#: Members that meet one copy of a hub's text, about: a hub with more partners is copied to several tasks.
+HUB_PAIRS = 256
 #: Chance that a pair at the threshold is dropped by its sketches.
 MISS = 1e-9
 
@@ -45,18 +46,20 @@ def shingles(tokens: list[bytes], hashes: WordHashes, width: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n, digest, sketch): size of the set, a 128-bit digest of all of it, its K smallest hashes."""
+    """(doc_id, place, n, digest, sketch): hash of the text, which tells rows of one id apart; size of the set, a 128-bit
+    digest of all of it, its K smallest hashes."""
 
     def setup():
         hashes = WordHashes()
 
-        def one(doc_id, text):
+        def one(doc_id, place, text):
             s = shingles(words(text, lower=True), hashes, width)
-            return [(doc_id, len(s), xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None, (s[:K] >> np.uint64(1)).astype(np.int64).tolist())]
+            return [(doc_id, place, len(s), xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None, (s[:K] >> np.uint64(1)).astype(np.int64).tolist())]
 
         return one
 
-    return map_rows(docs, ["doc_id", "text"], "doc_id long, n long, digest binary, sketch array<long>", setup)
+    rows = docs.select("doc_id", F.xxhash64("text").alias("place"), "text")
+    return map_rows(rows, ["doc_id", "place", "text"], "doc_id long, place long, n long, digest binary, sketch array<long>", setup)
 
 
 def least_shared(percent: int, most: int = K) -> list[int]:
@@ -75,38 +78,75 @@ def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
     return (100 * F.least(a, b)) >= (percent * F.greatest(a, b))
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that are similar: filtered by union sketches, then by their full sets."""
+def classes_of(found: DataFrame) -> DataFrame:
+    """(rep, doc_id, place, n, digest, sketch), a row for each distinct set: its first row and its node ``rep``. That is the
+    row's id; where there is none, or other sets have it too, a number below all ids."""
+    row = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "place", "n", "sketch")
+    held = keep(found.where("n > 0").groupBy("digest").agg(F.min(row).alias("x")).select("x.doc_id", "x.place", "x.n", "digest", "x.sketch"), "classes")
+    clash = held.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("other"), F.lit(True).alias("clash"))
+    clash = keep(clash, "clash")
+    if clash.isEmpty():
+        return held.withColumn("rep", F.col("doc_id"))
+    below = held.agg(F.coalesce(F.min("doc_id"), F.lit(0))).first()[0]
+    named = held.join(clash, F.col("doc_id").eqNullSafe(F.col("other")), "left")
+    return keep(named.withColumn("rep", F.when(F.col("clash"), F.lit(below) - 1 - F.monotonically_increasing_id()).otherwise(F.col("doc_id"))).drop("other", "clash"), "classes")
+
+
+def texts_of(reps: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(rep, text) of the wanted classes; a row that the table holds several times comes several times."""
+    key = F.xxhash64("doc_id", "place").alias("key")
+    rows = keep(classes.select("rep", "doc_id", "place").join(reps, "rep", "left_semi").select("rep", F.col("doc_id").alias("id"), F.col("place").alias("at"), key), "rows")
+    source = docs.select("doc_id", F.xxhash64("text").alias("place"), "text").withColumn("key", key)
+    source = source.where(bloom.passing(source, "key", bloom.cells(rows, "key"))).drop("key")
+    return keep(source.join(rows, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("place") == F.col("at"))).select("rep", "text"), "texts")
+
+
+def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose union sketches allow them to be similar."""
     need = F.array(*(F.lit(x) for x in least_shared(percent)))
     side = lambda x: classes.select(F.col("rep").alias(x), F.col("sketch").alias(f"s{x}"))
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, K)
     shared = F.size(F.array_intersect("union", F.array_intersect("sa", "sb")))
-    likely = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("union", union).where(shared >= F.element_at(need, F.size("union") + 1)).select("a", "b")
-    likely = keep(likely, "likely")
-    wanted = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = docs.select(F.col("doc_id").alias("id"), "text")
-    texts = keep(texts.where(bloom.passing(texts, "id", bloom.cells(wanted, "id"))), "texts")
-    full = likely.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
+    return pairs.join(side("a"), "a").join(side("b"), "b").withColumn("union", union).where(shared >= F.element_at(need, F.size("union") + 1)).select("a", "b")
 
-    def setup():
-        hashes, last = WordHashes(), [None, None]
 
-        def one(a, b, ta, tb):
-            if last[0] != b:  # neighbours often share one side
-                last[:] = [b, shingles(words(tb, lower=True), hashes, width)]
-            x, y = shingles(words(ta, lower=True), hashes, width), last[1]
+def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that are similar by their full sets. Of each pair the one with more partners is the hub: its text
+    leads a group of at most about HUB_PAIRS members, whose own texts follow it in the order of the partition."""
+    degree = keep(pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("d")), "degree")
+    of = lambda x: degree.select(F.col("rep").alias(x), F.col("d").alias(f"d{x}"))
+    first = (F.col("da") > F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("a") < F.col("b")))
+    both = pairs.join(of("a"), "a").join(of("b"), "b").select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("member"), F.greatest("da", "db").alias("d"))
+    both = keep(both.select("hub", F.pmod(F.xxhash64("member"), F.ceil(F.col("d") / HUB_PAIRS)).alias("salt"), "member"), "oriented")
+    texts = texts_of(degree.select("rep"), classes, docs)
+    members = both.join(texts.toDF("member", "text"), "member").select("hub", "salt", F.lit(True).alias("follows"), "member", "text")
+    hubs = both.select("hub", "salt").distinct().join(texts.toDF("hub", "text"), "hub").select("hub", "salt", F.lit(False).alias("follows"), F.col("hub").alias("member"), "text")
+    stream = hubs.unionByName(members).repartition("hub", "salt").sortWithinPartitions("hub", "salt", "follows", "member")
+
+    def setup():
+        hashes, last = WordHashes(), [None, None, None, None]  # hub, salt, the hub's set, the last member
+
+        def one(hub, salt, follows, member, text):
+            if last[:2] == [hub, salt] and last[3] == (follows, member):
+                return []  # a repeated row
+            x = shingles(words(text, lower=True), hashes, width)
+            if not follows:
+                last[:] = [hub, salt, x, (follows, member)]
+                return []
+            last[3] = (follows, member)
+            y = last[2]
             both = len(np.intersect1d(x, y, assume_unique=True))
-            return [(a, b)] if 100 * both >= percent * (len(x) + len(y) - both) and both else []
+            return [(min(hub, member), max(hub, member))] if 100 * both >= percent * (len(x) + len(y) - both) and both else []
 
         return one
 
-    return map_rows(full, ["a", "b", "ta", "tb"], "a long, b long", setup)
+    return map_rows(stream, ["hub", "salt", "follows", "member", "text"], "a long, b long", setup)
 
 
 def _lists(entries: DataFrame, by: str) -> DataFrame:
-    """Entries (v, rep, n, …) in lists with more than one group, with the list's size."""
+    """Entries (v, rep, n, ...) in lists with more than one group, with the list's size."""
     size = entries.groupBy("v").agg(F.count("*").alias("c"), F.min(by).alias("lo"), F.max(by).alias("hi"))
-    return entries.join(size.where("lo < hi").drop("lo", "hi"), "v")
+    return entries.join(keep(size.where("lo < hi").drop("lo", "hi"), "sizes"), "v")
 
 
 def _expanded(listed: DataFrame, percent: int, by: str) -> DataFrame:
@@ -114,120 +154,153 @@ def _expanded(listed: DataFrame, percent: int, by: str) -> DataFrame:
     a = listed.select("v", F.col("rep").alias("a"), F.col("n").alias("na"), F.col(by).alias("ga"))
     b = listed.select("v", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col(by).alias("gb"))
     fit = (F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb")) & _sizes_fit(F.col("na"), F.col("nb"), percent)
-    return a.join(b.withColumnRenamed("v", "w"), (F.col("v") == F.col("w")) & fit).select("a", "b")
+    return a.join(b.withColumnRenamed("v", "w"), (F.col("v") == F.col("w")) & fit).select("a", "b").distinct()
 
 
-def _pivots(long: DataFrame) -> DataFrame:
-    """(v, ps) for long lists: their pivots. They are plain minima, so no list is gathered."""
-    central = long.groupBy("rep").agg((-F.count("*")).alias("m"))
-    pick = lambda i, *first: F.min(F.struct(*first, F.xxhash64("rep", F.lit(i)).alias("h"), "rep", "n"))
-    lists = long.join(central, "rep").groupBy("v").agg(*(pick(i).alias(f"h{i}") for i in range(PIVOTS)), *(pick(i, F.col("m")).alias(f"m{i}") for i in range(PIVOTS)))
+def _with_pivots(listed: DataFrame, percent: int) -> DataFrame:
+    """Pairs of the members of lists and two members of each: the one in most lists, and one by hash. They are plain
+    minima, so no list is gathered."""
+    central = listed.groupBy("rep").agg((-F.count("*")).alias("m"))
+    h = F.xxhash64("rep").alias("h")
+    pivots = listed.join(central, "rep").groupBy("v").agg(F.min(F.struct("m", h, "rep", "n")).alias("x"), F.min(F.struct(h, "rep", "n")).alias("y"))
     pivot = lambda c: F.struct(F.col(f"{c}.rep").alias("rep"), F.col(f"{c}.n").alias("n"))
-    return lists.select("v", F.array_distinct(F.array(*(pivot(f"{k}{i}") for k in "hm" for i in range(PIVOTS)))).alias("ps"))
+    pivots = keep(pivots.select("v", F.array_distinct(F.array(pivot("x"), pivot("y"))).alias("ps")), "pivots")
+    met = listed.join(pivots, "v").select("rep", "n", F.explode("ps").alias("p")).where((F.col("rep") != F.col("p.rep")) & _sizes_fit(F.col("n"), F.col("p.n"), percent))
+    return met.select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b")).distinct()
 
 
-def _with_pivots(long: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
-    """Pairs of the members of long lists and their list's pivots."""
-    met = long.join(lists, "v").select("rep", "n", F.explode("ps").alias("p")).where((F.col("rep") != F.col("p.rep")) & _sizes_fit(F.col("n"), F.col("p.n"), percent))
-    return met.select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b"))
-
-
-def components(found: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(rep, component) for the classes that are linked to another one. ``found``: rows of ``sketches``."""
-    classes = keep(found.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min(F.struct(F.col("doc_id").alias("rep"), "n", "sketch")).alias("x")).select("x.*"), "classes")
+def components(classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(rep, component) for the classes that are linked to another one."""
     entries = classes.select("rep", "n", F.explode(F.slice("sketch", 1, LISTED)).alias("v"))
     listed = keep(_lists(entries, "rep"), "lists")
-    long = listed.where(F.col("c") > SHORT).select("v", "rep", "n")
-    pairs = _expanded(listed.where(F.col("c") <= SHORT), percent, "rep").unionByName(_with_pivots(long, _pivots(long), percent)).distinct()
-    links = keep(confirmed(pairs, classes, docs, width, percent), "links")
-    joined = connected_components(links, "a", "b").withColumnRenamed("node", "rep")
-
-    # Pairs that share nothing but long lists, and aren't in one component yet.
-    long = keep(_lists(long.join(joined, "rep", "left").select("v", "rep", "n", F.coalesce("component", "rep").alias("group")), "group"), "long")
-    fewest = F.when(F.col("n") < LISTED, F.lit(1)).otherwise(F.lit(least_shared(percent, LISTED)[LISTED]))
-    left = long.groupBy("rep").agg(F.first("n").alias("n"), F.count("*").alias("m")).where(F.col("m") >= fewest).select("rep")
-    left = keep(long.join(left, "rep").select("v", "rep", "n", "group"), "left")
-    more = keep(confirmed(_by_difference(left, docs, width, percent), classes, docs, width, percent), "links")
-    return connected_components(links.unionByName(more), "a", "b").withColumnRenamed("node", "rep")
-
-
-def _by_difference(left: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Candidate pairs of ``left`` (list v, rep, n, group), across groups, among members of one list.
-
-    Each list belongs to its member p whose shingles are most common among all, and each p has a core C: the shingles that
-    more than half of its lists' members hold (the text that near copies were made from). With D(A) the symmetric
-    difference of A and C, A and B are similar if and only if D(A) and D(B) differ in at most r * (|A| + |B|) places, r =
-    (1 - t) / (1 + t). Let A1 be the member of least |D|. Every A with |D(A)| + |D(A1)| within its bound is surely similar
-    to A1, and is paired with A1 alone. Two others can only be similar without a common element of D if the larger sizes of
-    some texts leave room for that; such A are few and meet all within bounds. All the rest share at least
-    (|D(A)| + |D(B)| - r * (|A| + |B|)) / 2 elements; one of them is among the first (1 - t) / t * |A| + 1 of both in any
-    common order, and not too far back for the rest to be shared. With rare shingles first, texts that were changed in
-    different places don't meet, however much of the core they share. A pair meets under the best p it has in common."""
-    t = percent / 100
-    r, c = (1 - t) / (1 + t), F.col
-    ids = left.select("rep").distinct()
-    texts = docs.select(c("doc_id").alias("rep"), "text")
-    texts = texts.where(bloom.passing(texts, "rep", bloom.cells(ids, "rep"))).join(ids, "rep", "left_semi")
+    tried = keep(likely(_with_pivots(listed, percent), classes, percent), "likely")
+    links = keep(confirmed(tried, classes, docs, width, percent), "links")
+    joined = keep(connected_components(links, "a", "b"), "joined")
+
+    def grouped(entries: DataFrame) -> DataFrame:
+        """The entries in lists that span components."""
+        named = entries.join(joined.withColumnRenamed("node", "rep"), "rep", "left")
+        return keep(_lists(named.select("v", "rep", "n", F.coalesce("component", "rep").alias("group")), "group"), "spanning")
+
+    def compared(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The pairs that were not compared before and are likely; the components with their links."""
+        new = keep(likely(pairs.join(tried, ["a", "b"], "left_anti"), classes, percent), "likely")
+        if new.isEmpty():
+            return new, joined
+        edges = confirmed(new, classes, docs, width, percent).unionByName(joined.toDF("a", "b"))
+        return new, keep(connected_components(edges, "a", "b"), "joined")
+
+    spanning = grouped(listed.select("v", "rep", "n"))
+    new, joined = compared(_expanded(spanning.where(F.col("c") <= SHORT), percent, "group"))
+    tried = tried.unionByName(new)
+    long = spanning.where(F.col("c") > SHORT).select("v", "rep", "n")
+    if not long.isEmpty():
+        _, joined = compared(_by_difference(grouped(long), classes, docs, width, percent))
+    return joined.withColumnRenamed("node", "rep")
+
+
+def _by_difference(long: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Candidate pairs of ``long`` (list v, rep, n, group), across groups, among members of one list.
+
+    Similar sets share at least ``fewest`` lists by their sketches, so members of fewer leave. Each list belongs to its
+    member p that lies in most lists, and a member is held under the p's of its lists but for the last fewest - 1 of them in
+    the order of p, which a similar pair can't have alone in common. Each p has a core C: the shingles of p that more than half of
+    its members hold. With D(A) the symmetric difference of A and C, A and B are similar if and only if D(A) and D(B)
+    differ in at most r * (|A| + |B|) places, r = (1 - t) / (1 + t). Let A1 be the member of least |D|. Every A with |D(A)| +
+    |D(A1)| within its bound is surely similar to A1, and is paired with A1 alone. Two others can only be similar
+    without a common element of D if the larger sizes of some texts leave room for that; such A are few and meet all within bounds. All
+    the rest share at least (|D(A)| + |D(B)| - r * (|A| + |B|)) / 2 elements; one of them is among the first (1 - t) / t * |A| + 1
+    of both in any common order, and not too far back for the rest to be shared. The order takes shingles outside the core
+    first, then those of the core that most members hold; so texts that were changed in different places don't meet,
+    and only these first elements leave the row. A pair meets under the first p it has in common. Bounds are compared in
+    integers, with t = percent / 100."""
+    c, less, more = F.col, 100 - percent, 100 + percent
+    fewest = F.when(c("n") < LISTED, F.lit(1)).otherwise(F.lit(least_shared(percent, LISTED)[LISTED]))
+    ids = long.groupBy("rep").agg(F.first("n").alias("n"), F.count("*").alias("m")).where(c("m") >= fewest).select("rep", "m")
+    left = keep(long.join(ids, "rep").select("v", "rep", "n", "group", "m"), "left")
+    pivots = keep(left.groupBy("v").agg(F.min(F.struct((-c("m")).alias("m"), "rep")).alias("x")).select("v", c("x.rep").alias("q")), "pivots")
+    some = left.join(pivots, "v").groupBy("rep").agg(F.first("n").alias("n"), F.first("group").alias("group"), F.sort_array(F.collect_list("q")).alias("all"))
+    some = some.select("rep", "n", "group", F.array_distinct(F.slice("all", F.lit(1), F.greatest(F.size("all") - fewest + 1, F.lit(1)))).alias("ps"))
+    some = keep(some.withColumn("p", F.explode("ps")), "held")
+    spanning = keep(some.groupBy("p").agg(F.count("*").alias("members"), F.max("n").alias("top"), F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi").select("p", "members", "top"), "cores")
+    some = some.join(spanning.select("p"), "p", "left_semi")
 
     def setup():
         hashes = WordHashes()
         return lambda rep, text: [(rep, (shingles(words(text, lower=True), hashes, width) >> np.uint64(1)).astype(np.int64).tolist())]
 
-    sets = keep(map_rows(texts, ["rep", "text"], "rep long, s array<long>", setup), "sets")
-    each = sets.select("rep", F.explode("s").alias("v"))
-    df = keep(each.groupBy("v").agg(F.count("*").alias("df")), "df")
-    central = each.join(df, "v").groupBy("rep").agg(F.avg("df").alias("central"))
-    pivots = left.join(central, "rep").groupBy("v").agg(F.max(F.struct("central", (-c("rep")).alias("q"))).alias("best"))
-    some = left.join(pivots, "v").groupBy("rep").agg(F.first("n").alias("n"), F.first("group").alias("group"), F.sort_array(F.collect_set("best"), asc=False).alias("best"))
-    some = some.select("rep", "n", "group", F.transform("best", lambda x: -x["q"]).alias("ps"))
-    held = some.withColumn("p", F.explode("ps")).join(sets, "rep")
-    members = some.select(F.explode("ps").alias("p")).groupBy("p").agg(F.count("*").alias("members"))
-    core = held.select("p", F.explode("s").alias("v")).groupBy("p", "v").agg(F.count("*").alias("k")).where("k > 1").join(members, "p").where(2 * c("k") > c("members")).groupBy("p").agg(F.collect_list("v").alias("core"))
-    apart = held.join(core, "p", "left").withColumn("core", F.coalesce("core", F.array().cast("array<long>"))).select("rep", "n", "group", "ps", "p", F.concat(F.array_except("s", "core"), F.array_except("core", "s")).alias("d"))
-    apart = keep(apart.withColumn("size", F.size("d")), "apart")
-    least = apart.groupBy("p").agg(F.min(F.struct("size", "rep", "n")).alias("one"), F.max("n").alias("top"))
-    sum_size = c("size") + c("one.size")
-    apart = apart.join(least, "p").withColumn("near", sum_size <= r * (c("n") + c("one.n"))).withColumn("between", ~c("near") & (sum_size <= r * (c("n") + c("top"))))
-    ranked = apart.select("rep", "n", "group", "ps", "p", "size", "near", F.explode("d").alias("v")).join(df, "v")
-    ranked = ranked.withColumn("i", F.row_number().over(Window.partitionBy("rep", "p").orderBy("df", "v")))
-    first = keep(ranked.where(c("i") <= F.floor(c("n") * ((1 - t) / t) + 1e-9) + 1).drop("df"), "first")
-    a, b = (first.select(*(c(x).alias(f"{side}_{x}") for x in first.columns)) for side in "ab")
-    rest = F.least(c("a_size") - c("a_i"), c("b_size") - c("b_i")) + 1
-    shared = F.ceil((c("a_size") + c("b_size") - r * (c("a_n") + c("b_n")) - 1e-9) / 2)
-    met = (c("a_p") == c("b_p")) & (c("a_v") == c("b_v")) & (c("a_rep") < c("b_rep")) & (c("a_group") != c("b_group")) & ~(c("a_near") & c("b_near")) & _sizes_fit(c("a_n"), c("b_n"), percent) & (rest >= shared)
+    wanted = some.select("rep").unionByName(spanning.select(c("p").alias("rep"))).distinct()
+    sets = map_rows(texts_of(wanted, classes, docs), ["rep", "text"], "rep long, s array<long>", setup)
+    sets = keep(sets.groupBy("rep").agg(F.min("s").alias("s")), "sets")
+    held = keep(some.join(sets, "rep"), "members")
+    own = keep(spanning.select("p").join(sets.toDF("p", "own"), "p"), "own")
+    core = held.select("p", "s").join(own, "p").select("p", F.explode(F.array_intersect("s", "own")).alias("v")).groupBy("p", "v").agg(F.count("*").alias("k"))
+    core = core.join(spanning, "p").where(2 * c("k") > c("members")).groupBy("p").agg(F.sort_array(F.collect_list(F.struct((-c("k")).alias("k"), "v"))).alias("x")).select("p", c("x.v").alias("core"))
+    apart = held.join(keep(core, "core"), "p", "left").withColumn("core", F.coalesce("core", F.array().cast("array<long>")))
+    apart = apart.select("rep", "n", "group", "ps", "p", F.concat(F.array_except("s", "core"), F.array_except("core", "s")).alias("d"))
+    first = F.slice("d", F.lit(1), (F.floor(c("n") * less / percent) + 1).cast("int"))
+    apart = keep(apart.select("rep", "n", "group", "ps", "p", F.size("d").cast("long").alias("size"), first.alias("first")), "apart")
+    least = apart.groupBy("p").agg(F.min(F.struct("size", "rep", "n", "group")).alias("one"))
+    sum_size = more * (c("size") + c("one.size"))
+    apart = apart.join(keep(least.join(spanning.select("p", "top"), "p"), "least"), "p").withColumn("near", sum_size <= less * (c("n") + c("one.n"))).withColumn("between", ~c("near") & (sum_size <= less * (c("n") + c("top"))))
+    each = keep(apart.select("rep", "n", "group", "ps", "p", "size", "near", F.posexplode("first").alias("i", "v")), "first")
+    a, b = (each.select(*(c(x).alias(f"{side}_{x}") for x in each.columns)) for side in "ab")
+    rest = F.least(c("a_size") - c("a_i"), c("b_size") - c("b_i"))
+    shared = more * (c("a_size") + c("b_size")) - less * (c("a_n") + c("b_n"))
+    met = (c("a_p") == c("b_p")) & (c("a_v") == c("b_v")) & (c("a_rep") < c("b_rep")) & (c("a_group") != c("b_group")) & ~(c("a_near") & c("b_near")) & _sizes_fit(c("a_n"), c("b_n"), percent) & (2 * more * rest >= shared)
     met = met & (c("a_p") == F.element_at(F.array_intersect("a_ps", "b_ps"), 1))
     pairs = a.join(b, met).select(c("a_rep").alias("a"), c("b_rep").alias("b"))
-    to_one = apart.where(c("near") & (c("rep") != c("one.rep"))).select(F.least("rep", "one.rep").alias("a"), F.greatest("rep", "one.rep").alias("b"))
-    x, y = apart.where("between").select("p", c("rep").alias("a"), c("n").alias("na"), c("size").alias("da")), apart.select(c("p").alias("q"), c("rep").alias("b"), c("n").alias("nb"), c("size").alias("db"))
-    odd = x.join(y, (c("p") == c("q")) & (c("a") != c("b")) & (c("da") + c("db") <= r * (c("na") + c("nb")) + 1e-9)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    to_one = apart.where(c("near") & (c("group") != c("one.group"))).select(F.least("rep", "one.rep").alias("a"), F.greatest("rep", "one.rep").alias("b"))
+    x, y = apart.where("between").select("p", c("rep").alias("a"), c("n").alias("na"), c("size").alias("da"), c("group").alias("ga")), apart.select(c("p").alias("q"), c("rep").alias("b"), c("n").alias("nb"), c("size").alias("db"), c("group").alias("gb"))
+    odd = x.join(y, (c("p") == c("q")) & (c("ga") != c("gb")) & (more * (c("da") + c("db")) <= less * (c("na") + c("nb")))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return pairs.unionByName(to_one).unionByName(odd).distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: documents are linked if their sets of ``width``-word shingles have a Jaccard
-    similarity of at least ``percent`` in a hundred."""
+def judged(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(doc_id, place, n, component_id, stays) for each row; ``stays`` holds for the rows that are the one of their component,
+    which is that of the least id, then the least place, and for rows without words."""
     found = keep(sketches(docs, width), "sketches")
-    linked = components(found, docs, width, percent)
-    reps = found.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    # Only classes with copies or links say more than a document says of itself.
-    told = reps.join(linked, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    full = found.select("doc_id", "n", "digest").join(told, "digest", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return full.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    classes = classes_of(found)
+    linked = components(classes, docs, width, percent)
+    row = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "place")
+    named = linked.join(classes.select("rep", "doc_id", "place"), "rep")
+    chosen = named.groupBy("component").agg(F.min(row).alias("x"))
+    linked = keep(linked.join(chosen, "component").select("rep", "x"), "chosen")
+    # Only classes with copies or links say more than a document says of itself, but all are small rows.
+    told = keep(classes.select("rep", "digest", row.alias("own")).join(linked, "rep", "left").select(F.col("digest").alias("of"), F.coalesce("x", "own").alias("x")), "told")
+    full = found.select("doc_id", "place", "n", "digest").join(told, F.col("digest") == F.col("of"), "left")
+    stays = F.col("of").isNull() | (F.col("doc_id").eqNullSafe(F.col("x.doc_id")) & (F.col("place") == F.col("x.place")))
+    component = F.when(F.col("of").isNull(), F.col("doc_id")).otherwise(F.col("x.doc_id"))
+    return full.select("doc_id", "place", "n", component.alias("component_id"), stays.alias("stays"))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept (doc_id = component_id, or the row has no id and its component neither):
+    documents are linked if their sets of ``width``-word shingles have a Jaccard similarity of at least ``percent`` in a hundred."""
+    return judged(docs, width, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _unused(names: list[str], like: str) -> str:
+    while like in names:
+        like += "_"
+    return like
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs``, all columns, with one document of each component. Rows that share an id count as copies of it; the texts
-    of documents that stay aren't shuffled, but for the few that a Bloom filter of the others lets through."""
-    judged = keep(near_duplicates(docs, width, percent), "near-duplicates")
-    gone = judged.where(~F.col("kept")).select("doc_id")
-    again = judged.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
-    suspects = keep(gone.unionByName(again).distinct(), "suspects")
-    maybe = bloom.passing(docs, "doc_id", bloom.cells(suspects, "doc_id"))
-    tagged = docs.withColumn("_maybe", maybe)
-    clear = tagged.where(~F.col("_maybe")).drop("_maybe")
-    rest = tagged.where(F.col("_maybe")).drop("_maybe").join(gone.distinct(), "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return clear.unionByName(rest).select(docs.columns)
+    """``docs``, all columns, with one row of each component, and all rows without words. The texts of rows that stay aren't
+    shuffled, but for the few that a Bloom filter of the others lets through."""
+    verdicts = judged(docs, width, percent).groupBy("doc_id", "place").agg(F.count("*").alias("c"), F.bool_or("stays").alias("stays"), F.max("n").alias("n"))
+    # Rows that go, and repeated rows of which one stays.
+    suspects = keep(verdicts.where("n > 0 AND (NOT stays OR c > 1)").select(F.xxhash64("doc_id", "place").alias("key"), F.col("doc_id").alias("id"), F.col("place").alias("at"), "stays"), "suspects")
+    place, maybe = _unused(docs.columns, "place"), _unused(docs.columns, "maybe")
+    keyed = docs.withColumn(place, F.xxhash64("text")).withColumn(maybe, F.xxhash64("doc_id", place))
+    tagged = keyed.withColumn(maybe, bloom.passing(keyed, maybe, bloom.cells(suspects, "key")))
+    clear = tagged.where(~F.col(maybe)).select(docs.columns)
+    a, b = tagged.where(F.col(maybe)).alias("a"), suspects.select("id", "at", "stays").alias("b")
+    same = F.col("a.doc_id").eqNullSafe(F.col("b.id")) & (F.col(f"a.{place}") == F.col("b.at"))
+    others = a.join(b, same, "left_anti").select(docs.columns)
+    once = a.join(b.where("stays"), same, "left_semi").dropDuplicates(["doc_id", place]).select(docs.columns)
+    return clear.unionByName(others).unionByName(once)
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

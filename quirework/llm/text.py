@@ -10,6 +10,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+#: Bytes in one Arrow batch that a Python task gets, about: texts differ in length by orders of magnitude.
+BATCH_BYTES = 4 << 20
+
 #: Rows in one Arrow batch that a Python task returns.
 OUT_ROWS = 2000
 #: Distinct words whose hash a worker remembers; others are hashed anew each time.
@@ -54,6 +57,12 @@ def ngram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, whose session from now on sends Arrow batches of at most BATCH_BYTES to Python."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df
+
+
 def map_rows(df: DataFrame, columns: list[str], schema: str, setup: Callable[[], Callable | tuple[Callable, Callable]]) -> DataFrame:
     """Apply ``setup()(*values)`` to the named columns of each row; it yields any number of output rows.
     ``setup`` runs once in a task; it may return a pair, whose second function gives the rows that end the task.
@@ -76,7 +85,7 @@ def map_rows(df: DataFrame, columns: list[str], schema: str, setup: Callable[[],
         for start in range(0, len(out), 10 * OUT_ROWS):
             yield _batch(out[start : start + 10 * OUT_ROWS], target)
 
-    return df.select(*columns).mapInArrow(run, schema)
+    return bounded(df).select(*columns).mapInArrow(run, schema)
 
 
 def _arrow(df: DataFrame, schema: str) -> pa.Schema:

@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from quirework.llm import near_dedup as nd
 
@@ -69,5 +70,29 @@ def test_dropping_and_odd_rows(spark):
     rows = [(5, a, "x"), (3, a, "y"), (4, a.replace("w50 ", ""), "z"), (None, a, "n"), (None, None, "m"), (7, "other text", "o"), (7, "other text", "o"), (8, None, "p")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, digest string")
     out = nd.drop_near_duplicates(docs, 3, 85)
-    assert sorted(r.digest for r in out.collect()) == ["m", "n", "o", "p", "y"] and out.columns == docs.columns
+    assert sorted(r.digest for r in out.collect()) == ["m", "o", "p", "y"] and out.columns == docs.columns
     assert nd.near_duplicates(docs.limit(0)).count() == 0 and nd.drop_near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_shared_and_missing_ids(spark):
+    rnd = random.Random(3)
+    text = lambda: [f"w{rnd.randrange(10**6)}" for _ in range(120)]
+    a, b, c = text(), text(), text()
+    near = lambda w: " ".join([*w[:60], "changed", *w[61:]])
+    rows = [(1, " ".join(a), "a1"), (1, " ".join(b), "b1"), (2, near(a), "a2"), (3, near(b), "b3"), (None, " ".join(c), "c0"), (None, near(c), "c1"), (9, near(b), "b9"), (None, "alone it stands", "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, maybe string").withColumn("place", F.lit("x"))
+    out = nd.drop_near_duplicates(docs, 3, 85)
+    kept = sorted(r.maybe for r in out.collect())
+    assert len(kept) == 4 and [k[0] for k in kept] == ["a", "b", "c", "d"] and kept[:2] == ["a1", "b1"] and out.columns == docs.columns
+    got = sorted((r.doc_id or 0, r.component_id or 0) for r in nd.near_duplicates(docs, 3, 85).collect())
+    assert got == [(0, 0), (0, 0), (0, 0), (1, 1), (1, 1), (2, 1), (3, 1), (9, 1)]
+
+
+def test_many_copies_round_one_text(spark, monkeypatch):
+    monkeypatch.setattr(nd, "HUB_PAIRS", 7)
+    rnd = random.Random(5)
+    base = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join([*base[: (k := rnd.randrange(119))], f"x{i}", *base[k + 1 :]])) for i in range(100, 200)] + [(50, " ".join(base))]
+    docs = spark.createDataFrame([*rows, *rows[:30]], "doc_id long, text string")
+    assert {(r.component_id, r.kept == (r.doc_id == 50)) for r in nd.near_duplicates(docs, 3, 85).collect()} == {(50, True)}
+    assert [r.doc_id for r in nd.drop_near_duplicates(docs, 3, 85).collect()] == [50]
