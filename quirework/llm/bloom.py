@@ -18,10 +18,11 @@ def _place(key: Column, probe: int) -> Column:
 def cells(keys: DataFrame, name: str) -> DataFrame:
     """One row: ``bits``, an array of CELLS longs, whatever the number of keys."""
     places = keys.select(F.explode(F.array(*(_place(F.col(name), i) for i in range(PROBES)))).alias("p"))
-    some = places.groupBy(F.expr("p div 64").alias("cell")).agg(F.expr("bit_or(shiftleft(1L, CAST(p % 64 AS INT)))").alias("b"))
-    grid = keys.sparkSession.range(CELLS).withColumnRenamed("id", "cell")
+    some = places.select(F.expr("p div 64").alias("cell"), F.expr("shiftleft(1L, CAST(p % 64 AS INT))").alias("b"))
+    grid = keys.sparkSession.range(CELLS).select(F.col("id").alias("cell"), F.lit(0).cast("long").alias("b"))
+    full = some.unionByName(grid).groupBy("cell").agg(F.bit_or("b").alias("b"))
     # Written once, since each probe reads it.
-    return keep(grid.join(some, "cell", "left").agg(F.array_sort(F.collect_list(F.struct("cell", F.coalesce("b", F.lit(0).cast("long")).alias("b")))).alias("x")).select(F.col("x.b").alias("bits")), "bits")
+    return keep(full.agg(F.array_sort(F.collect_list(F.struct("cell", "b"))).alias("x")).select(F.col("x.b").alias("bits")), "bits")
 
 
 def passing(df: DataFrame, name: str, bits: DataFrame) -> Column:

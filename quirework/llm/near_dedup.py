@@ -84,7 +84,6 @@ def classes_of(found: DataFrame) -> DataFrame:
     row = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "place", "n", "sketch")
     held = keep(found.where("n > 0").groupBy("digest").agg(F.min(row).alias("x")).select("x.doc_id", "x.place", "x.n", "digest", "x.sketch"), "classes")
     clash = held.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("other"), F.lit(True).alias("clash"))
-    clash = keep(clash, "clash")
     if clash.isEmpty():
         return held.withColumn("rep", F.col("doc_id"))
     below = held.agg(F.coalesce(F.min("doc_id"), F.lit(0))).first()[0]
@@ -102,23 +101,20 @@ def texts_of(reps: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose union sketches allow them to be similar."""
+    """The pairs (hub, member) whose union sketches allow them to be similar."""
     need = F.array(*(F.lit(x) for x in least_shared(percent)))
-    side = lambda x: classes.select(F.col("rep").alias(x), F.col("sketch").alias(f"s{x}"))
-    union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, K)
-    shared = F.size(F.array_intersect("union", F.array_intersect("sa", "sb")))
-    return pairs.join(side("a"), "a").join(side("b"), "b").withColumn("union", union).where(shared >= F.element_at(need, F.size("union") + 1)).select("a", "b")
+    side = lambda x: classes.select(F.col("rep").alias(x), F.col("sketch").alias(f"s_{x}"))
+    union = F.slice(F.array_sort(F.array_union("s_hub", "s_member")), 1, K)
+    shared = F.size(F.array_intersect("union", F.array_intersect("s_hub", "s_member")))
+    return pairs.join(side("member"), "member").join(side("hub"), "hub").withColumn("union", union).where(shared >= F.element_at(need, F.size("union") + 1)).select("hub", "member")
 
 
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that are similar by their full sets. Of each pair the one with more partners is the hub: its text
-    leads a group of at most about HUB_PAIRS members, whose own texts follow it in the order of the partition."""
-    degree = keep(pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("d")), "degree")
-    of = lambda x: degree.select(F.col("rep").alias(x), F.col("d").alias(f"d{x}"))
-    first = (F.col("da") > F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("a") < F.col("b")))
-    both = pairs.join(of("a"), "a").join(of("b"), "b").select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("member"), F.greatest("da", "db").alias("d"))
-    both = keep(both.select("hub", F.pmod(F.xxhash64("member"), F.ceil(F.col("d") / HUB_PAIRS)).alias("salt"), "member"), "oriented")
-    texts = texts_of(degree.select("rep"), classes, docs)
+    """The pairs (a, b) of ``pairs`` (hub, member) that are similar by their full sets. The hub's text leads a group of about
+    HUB_PAIRS members at most, whose own texts follow it in the order of the partition."""
+    degree = pairs.groupBy("hub").agg(F.ceil(F.count("*") / HUB_PAIRS).alias("salts"))
+    both = keep(pairs.join(degree, "hub").select("hub", F.pmod(F.xxhash64("member"), "salts").alias("salt"), "member"), "oriented")
+    texts = texts_of(both.select(F.explode(F.array("hub", "member")).alias("rep")).distinct(), classes, docs)
     members = both.join(texts.toDF("member", "text"), "member").select("hub", "salt", F.lit(True).alias("follows"), "member", "text")
     hubs = both.select("hub", "salt").distinct().join(texts.toDF("hub", "text"), "hub").select("hub", "salt", F.lit(False).alias("follows"), F.col("hub").alias("member"), "text")
     stream = hubs.unionByName(members).repartition("hub", "salt").sortWithinPartitions("hub", "salt", "follows", "member")
@@ -146,7 +142,12 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
 def _lists(entries: DataFrame, by: str) -> DataFrame:
     """Entries (v, rep, n, ...) in lists with more than one group, with the list's size."""
     size = entries.groupBy("v").agg(F.count("*").alias("c"), F.min(by).alias("lo"), F.max(by).alias("hi"))
-    return entries.join(keep(size.where("lo < hi").drop("lo", "hi"), "sizes"), "v")
+    return entries.join(size.where("lo < hi").drop("lo", "hi"), "v")
+
+
+def _once(pairs: DataFrame) -> DataFrame:
+    """Each unordered pair once."""
+    return pairs.groupBy(F.least("hub", "member").alias("a"), F.greatest("hub", "member").alias("b")).agg(F.min("hub").alias("hub")).select("hub", (F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a"))).alias("member"))
 
 
 def _expanded(listed: DataFrame, percent: int, by: str) -> DataFrame:
@@ -154,7 +155,7 @@ def _expanded(listed: DataFrame, percent: int, by: str) -> DataFrame:
     a = listed.select("v", F.col("rep").alias("a"), F.col("n").alias("na"), F.col(by).alias("ga"))
     b = listed.select("v", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col(by).alias("gb"))
     fit = (F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb")) & _sizes_fit(F.col("na"), F.col("nb"), percent)
-    return a.join(b.withColumnRenamed("v", "w"), (F.col("v") == F.col("w")) & fit).select("a", "b").distinct()
+    return a.join(b.withColumnRenamed("v", "w"), (F.col("v") == F.col("w")) & fit).select(F.col("a").alias("hub"), F.col("b").alias("member"))
 
 
 def _with_pivots(listed: DataFrame, percent: int) -> DataFrame:
@@ -166,36 +167,29 @@ def _with_pivots(listed: DataFrame, percent: int) -> DataFrame:
     pivot = lambda c: F.struct(F.col(f"{c}.rep").alias("rep"), F.col(f"{c}.n").alias("n"))
     pivots = keep(pivots.select("v", F.array_distinct(F.array(pivot("x"), pivot("y"))).alias("ps")), "pivots")
     met = listed.join(pivots, "v").select("rep", "n", F.explode("ps").alias("p")).where((F.col("rep") != F.col("p.rep")) & _sizes_fit(F.col("n"), F.col("p.n"), percent))
-    return met.select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b")).distinct()
+    return met.select(F.col("p.rep").alias("hub"), F.col("rep").alias("member"))
 
 
 def components(classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """(rep, component) for the classes that are linked to another one."""
     entries = classes.select("rep", "n", F.explode(F.slice("sketch", 1, LISTED)).alias("v"))
     listed = keep(_lists(entries, "rep"), "lists")
-    tried = keep(likely(_with_pivots(listed, percent), classes, percent), "likely")
+    tried = keep(likely(_once(_with_pivots(listed, percent)), classes, percent), "likely")
     links = keep(confirmed(tried, classes, docs, width, percent), "links")
     joined = keep(connected_components(links, "a", "b"), "joined")
 
-    def grouped(entries: DataFrame) -> DataFrame:
-        """The entries in lists that span components."""
-        named = entries.join(joined.withColumnRenamed("node", "rep"), "rep", "left")
-        return keep(_lists(named.select("v", "rep", "n", F.coalesce("component", "rep").alias("group")), "group"), "spanning")
-
-    def compared(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """The pairs that were not compared before and are likely; the components with their links."""
-        new = keep(likely(pairs.join(tried, ["a", "b"], "left_anti"), classes, percent), "likely")
-        if new.isEmpty():
-            return new, joined
-        edges = confirmed(new, classes, docs, width, percent).unionByName(joined.toDF("a", "b"))
-        return new, keep(connected_components(edges, "a", "b"), "joined")
-
-    spanning = grouped(listed.select("v", "rep", "n"))
-    new, joined = compared(_expanded(spanning.where(F.col("c") <= SHORT), percent, "group"))
-    tried = tried.unionByName(new)
-    long = spanning.where(F.col("c") > SHORT).select("v", "rep", "n")
+    # The entries in lists that span components.
+    named = listed.select("v", "rep", "n").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
+    spanning = keep(_lists(named.select("v", "rep", "n", F.coalesce("component", "rep").alias("group")), "group"), "spanning")
+    pairs = _expanded(spanning.where(F.col("c") <= SHORT), percent, "group")
+    long = spanning.where(F.col("c") > SHORT).select("v", "rep", "n", "group")
     if not long.isEmpty():
-        _, joined = compared(_by_difference(grouped(long), classes, docs, width, percent))
+        pairs = pairs.unionByName(_by_difference(long, classes, docs, width, percent))
+    both = tried.unionByName(tried.select(F.col("member").alias("hub"), F.col("hub").alias("member")))
+    new = keep(likely(_once(pairs).join(both, ["hub", "member"], "left_anti"), classes, percent), "likely")
+    if not new.isEmpty():
+        # Those of the components stand for the links found before.
+        joined = connected_components(confirmed(new, classes, docs, width, percent).unionByName(joined.toDF("a", "b")), "a", "b")
     return joined.withColumnRenamed("node", "rep")
 
 
@@ -249,11 +243,11 @@ def _by_difference(long: DataFrame, classes: DataFrame, docs: DataFrame, width:
     shared = more * (c("a_size") + c("b_size")) - less * (c("a_n") + c("b_n"))
     met = (c("a_p") == c("b_p")) & (c("a_v") == c("b_v")) & (c("a_rep") < c("b_rep")) & (c("a_group") != c("b_group")) & ~(c("a_near") & c("b_near")) & _sizes_fit(c("a_n"), c("b_n"), percent) & (2 * more * rest >= shared)
     met = met & (c("a_p") == F.element_at(F.array_intersect("a_ps", "b_ps"), 1))
-    pairs = a.join(b, met).select(c("a_rep").alias("a"), c("b_rep").alias("b"))
-    to_one = apart.where(c("near") & (c("group") != c("one.group"))).select(F.least("rep", "one.rep").alias("a"), F.greatest("rep", "one.rep").alias("b"))
+    pairs = a.join(b, met).select(c("a_rep").alias("hub"), c("b_rep").alias("member"))
+    to_one = apart.where(c("near") & (c("group") != c("one.group"))).select(c("one.rep").alias("hub"), c("rep").alias("member"))
     x, y = apart.where("between").select("p", c("rep").alias("a"), c("n").alias("na"), c("size").alias("da"), c("group").alias("ga")), apart.select(c("p").alias("q"), c("rep").alias("b"), c("n").alias("nb"), c("size").alias("db"), c("group").alias("gb"))
-    odd = x.join(y, (c("p") == c("q")) & (c("ga") != c("gb")) & (more * (c("da") + c("db")) <= less * (c("na") + c("nb")))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return pairs.unionByName(to_one).unionByName(odd).distinct()
+    odd = x.join(y, (c("p") == c("q")) & (c("ga") != c("gb")) & (more * (c("da") + c("db")) <= less * (c("na") + c("nb")))).select(c("b").alias("hub"), c("a").alias("member"))
+    return pairs.unionByName(to_one).unionByName(odd)
 
 
 def judged(docs: DataFrame, width: int, percent: int) -> DataFrame:
