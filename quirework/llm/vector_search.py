@@ -1,16 +1,18 @@
 """Exact top-k search by vector-approximation files (operator 6).
 
-Vectors are cut into parts and queries into blocks, both of bounded size; every query block meets every part (a
-stated query set against all rows). In a part each component is quantised into 256 even cells. A query first scans
-the cells: the cell's middle gives its score within half a cell's width times the query's component, which bounds the
-score of the vector from above and below. Exact vectors are then read in the order of those bounds until the k-th
-best score is at least the bound of all that remain, so the result is certain. The best k of each part
-meet by query in a window.
-
-Components become floor(scale * x), so scores are integers; they are exact as long as they fit 63 bits.
-Vectors that are null, or hold a null or non-finite component, or have no id take no part; a vector of another
-length than the query is no candidate for it; rows repeated with the same id and vector count once; ties go to the smaller
-id; an empty table gives an empty one; other columns don't matter.
+Vectors are cut into parts of bounded size, and each part is stored as an approximation of one byte a component: the
+component's cell among 256 even ones between its least and greatest value in the part. Queries are cut into blocks; every
+block meets the cells of every part (a stated query set against all rows). The middles of the cells give each score within half
+a cell's width times the query's component, so there is a lower and an upper bound. A vector whose upper bound is
+below k lower bounds is out, first within its part, then among all. Exact vectors are read by id, in the order of the bounds: first
+the k best of each query, then those whose bound reaches the k-th exact score so far. All others are certain to
+score less.
+
+Components become floor(scale * x), so scores are integers; they are exact at any size, and those outside the range of a
+long count as its ends. Vectors that are null, or hold a null or non-finite component (before or after scaling), or have no id
+take no part; a vector of another length than the query is no candidate for it; rows repeated with the same id and vector
+count once, rows of one id with several vectors are candidates each; ties go to the smaller id; very long vectors
+make parts of fewer rows; an empty table gives an empty one; other columns, whatever their names, don't matter.
 """
 
 from __future__ import annotations
@@ -21,90 +23,126 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-PART_ROWS, BLOCK_ROWS, CELLS, AT_ONCE = 8192, 1024, 256, 64
-
-
-def products(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Exact inner products of integers, by floating point where that is exact."""
-    most = int(np.abs(queries).max(initial=0)) * int(np.abs(vectors).max(initial=0)) * max(1, queries.shape[-1])
-    if most < 2**53:
-        return (queries.astype(np.float64) @ vectors.astype(np.float64).T).astype(np.int64)
-    return queries @ vectors.T
-
-
-class Approximation:
-    """Quantised cells of a part, with bounds on inner products."""
-
-    def __init__(self, vectors: np.ndarray):
-        low, high = vectors.min(axis=0).astype(np.float64), vectors.max(axis=0).astype(np.float64)
-        self.width = np.maximum((high - low) / CELLS, 1e-9)
-        self.low = low
-        self.codes = np.minimum((vectors - low) // self.width, CELLS - 1).astype(np.uint8)
-        self.slack = 1 + 1e-9 * float(np.abs(vectors).max()) * vectors.shape[1]
-
-    def upper(self, queries: np.ndarray) -> np.ndarray:
-        """Upper bounds of the scores, a row for each query."""
-        q = queries.astype(np.float64)
-        middles = self.low + (self.codes + 0.5) * self.width
-        return q @ middles.T + (np.abs(q) @ (self.width / 2) + self.slack * (1 + np.abs(q).max(axis=1, initial=0)))[:, None]
-
-
-def search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query_id, vec_id, score) of the k best of this part for each query, other than itself."""
-    cells, out = Approximation(vectors), []
-    for start in range(0, len(queries), AT_ONCE):
-        block = queries[start : start + AT_ONCE]
-        for own, query, bound in zip(query_ids[start : start + AT_ONCE], block, cells.upper(block), strict=True):
-            bound[ids == own] = -np.inf
-            n = min(len(bound), max(64, 4 * k))
-            first = np.argpartition(-bound, n - 1)[:n]
-            first = first[np.isfinite(bound[first])]
-            score = products(query[None], vectors[first])[0]
-            if len(score) >= k and n < len(bound):
-                # What could still reach the k-th best, ties included, in the order of its bounds.
-                kth = np.partition(score, len(score) - k)[len(score) - k]
-                bound[first] = -np.inf
-                rest = np.flatnonzero(bound >= kth)
-                rest = rest[np.argsort(-bound[rest], kind="stable")]
-                for at in range(0, len(rest), 256):
-                    more = rest[at : at + 256]
-                    if bound[more[0]] < kth:
-                        break
-                    first, score = np.concatenate([first, more]), np.concatenate([score, products(query[None], vectors[more])[0]])
-                    kth = np.partition(score, len(score) - k)[len(score) - k]
-            best = np.lexsort((ids[first], -score))[:k]
-            out += [(int(own), int(ids[first[i]]), int(score[i])) for i in best]
-    return out
+from ..scratch import keep
+from .text import map_rows
+
+#: Components in a part, and in a block of queries, about.
+PART_SIZE, BLOCK_SIZE = 1 << 19, 1 << 16
+CELLS, AT_ONCE = 256, 64
+LONG = 2**63
+
+
+def score(query: np.ndarray, vector: np.ndarray) -> int:
+    """Exact inner product of integers held as doubles."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        if np.abs(query).max(initial=0) * np.abs(vector).max(initial=0) * len(query) < 2**53:
+            return int(query @ vector)
+    return max(-LONG, min(LONG - 1, sum(int(x) * int(y) for x, y in zip(query, vector, strict=True))))
+
+
+def quantised(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, low, width): the cell of each component, and each component's least value and cell width."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        low = vectors.min(axis=0)
+        width = np.maximum((vectors.max(axis=0) - low) / CELLS, 1e-9)
+        return np.nan_to_num((vectors - low) // width, nan=0, posinf=CELLS - 1).clip(0, CELLS - 1).astype(np.uint8), low, width
+
+
+def bounds(queries: np.ndarray, codes: np.ndarray, low: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper bounds of the scores, a row for each query. What can't be bounded has infinite ones."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        middles = low + (codes + 0.5) * width
+        most = np.abs(middles).max(initial=0) + width.max(initial=0)
+        size = np.abs(queries).sum(axis=1)
+        # The second part stands for what floating point loses.
+        error = np.abs(queries) @ (width / 2) + 1e-9 * (1 + size) * (1 + most)
+        about = queries @ middles.T
+        return np.nan_to_num(about - error[:, None], nan=-np.inf), np.nan_to_num(about + error[:, None], nan=np.inf, posinf=np.inf)
 
 
 def integers(vectors: DataFrame, id_column: str, vector_column: str, scale: int) -> DataFrame:
-    """(vec_id, v): valid vectors as integers, without repeats."""
+    """(vec_id, h, v, d): valid vectors as integers in doubles, without repeats; a hash and the length of each."""
     x = F.col(vector_column)
-    good = x.isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.col(id_column).isNotNull()
-    return vectors.where(good).select(F.col(id_column).cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(F.lit(float(scale)) * c.cast("double"))).alias("v")).distinct()
+    scaled = F.transform(x, lambda c: F.lit(float(scale)) * c.cast("double"))
+    good = F.col(id_column).isNotNull() & x.isNotNull() & F.forall(scaled, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    # From 2^53 on a double has no fraction.
+    whole = F.transform(scaled, lambda c: F.when(F.abs(c) < float(2**53), F.floor(c).cast("double")).otherwise(c))
+    rows = vectors.where(good).select(F.col(id_column).cast("long").alias("vec_id"), whole.alias("v"))
+    return rows.withColumn("h", F.xxhash64("v")).dropDuplicates(["vec_id", "h"]).withColumn("d", F.size("v")).where("d > 0")
+
+
+def stored(rows: DataFrame, parts: int) -> DataFrame:
+    """One row for each part: its approximation."""
+
+    def build(part: pd.DataFrame) -> pd.DataFrame:
+        codes, low, width = quantised(np.stack(part["v"]))
+        return pd.DataFrame({"d": [len(low)], "part": [part["part"].iloc[0]], "ids": [part["vec_id"].to_numpy(np.int64).tobytes()], "hs": [part["h"].to_numpy(np.int64).tobytes()], "low": [low.tobytes()], "width": [width.tobytes()], "codes": [codes.tobytes()]})
+
+    placed = rows.withColumn("part", F.pmod(F.xxhash64("vec_id", "h"), F.lit(parts)))
+    return keep(placed.groupBy("d", "part").applyInPandas(build, "d int, part long, ids binary, hs binary, low binary, width binary, codes binary"), "cells")
+
+
+def candidates(rows: DataFrame, is_query: Column, k: int) -> DataFrame:
+    """(query_id, query_h, vec_id, h, upper): what the cells leave."""
+    asked = rows.where(is_query)
+    count = rows.agg(F.coalesce(F.sum("d"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(is_query, F.col("d"))), F.lit(0)).alias("q")).first()
+    parts, blocks = max(1, -(-count.n // PART_SIZE)), max(1, -(-count.q // BLOCK_SIZE))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+
+    def packed(block: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"d": [len(block["v"].iloc[0])], "block": [block["block"].iloc[0]], "query_ids": [block["vec_id"].to_numpy(np.int64).tobytes()], "query_hs": [block["h"].to_numpy(np.int64).tobytes()], "queries": [np.stack(block["v"]).tobytes()]})
+
+    questions = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", "h", F.lit(2)), F.lit(blocks))).groupBy("d", "block").applyInPandas(packed, "d int, block long, query_ids binary, query_hs binary, queries binary")
+    met = stored(rows, parts).withColumn("block", each(blocks)).join(questions.withColumn("part", each(parts)), ["d", "part", "block"])
+
+    def setup():
+        def one(d, ids, hs, low, width, codes, query_ids, query_hs, queries):
+            ids, hs, query_ids, query_hs = (np.frombuffer(x, np.int64) for x in (ids, hs, query_ids, query_hs))
+            low, width, codes, queries = np.frombuffer(low), np.frombuffer(width), np.frombuffer(codes, np.uint8).reshape(-1, d), np.frombuffer(queries).reshape(-1, d)
+            for start in range(0, len(queries), AT_ONCE):
+                for i, (least, most) in enumerate(zip(*bounds(queries[start : start + AT_ONCE], codes, low, width), strict=True), start):
+                    other = np.flatnonzero(ids != query_ids[i])
+                    least, most = least[other], most[other]
+                    if len(other) > k:
+                        near = most >= np.partition(least, len(least) - k)[len(least) - k]
+                        other, least, most = other[near], least[near], most[near]
+                    for j, a, b in zip(other.tolist(), least.tolist(), most.tolist(), strict=True):
+                        yield int(query_ids[i]), int(query_hs[i]), int(ids[j]), int(hs[j]), a, b
+
+        return one
+
+    found = keep(map_rows(met, ["d", "ids", "hs", "low", "width", "codes", "query_ids", "query_hs", "queries"], "query_id long, query_h long, vec_id long, h long, lower double, upper double", setup), "bounds")
+    reach = _kth(found, "lower", k)
+    return keep(found.join(reach, ["query_id", "query_h"]).where(F.col("upper") >= F.col("kth")).drop("kth", "lower"), "candidates")
+
+
+def _kth(found: DataFrame, column: str, k: int) -> DataFrame:
+    """(query_id, query_h, kth): the k-th highest value of each query, or minus infinity if there are fewer."""
+    best = found.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "query_h").orderBy(F.desc(column)))).where(F.col("r") <= k)
+    return best.groupBy("query_id", "query_h").agg(F.when(F.count("*") == k, F.min(column)).otherwise(F.lit(float("-inf"))).alias("kth"))
+
+
+def _read(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``pairs`` with their exact scores."""
+    queries = rows.select(F.col("vec_id").alias("query_id"), F.col("h").alias("query_h"), F.col("v").alias("q"))
+    full = pairs.join(rows.select("vec_id", "h", "v"), ["vec_id", "h"]).join(queries, ["query_id", "query_h"])
+    return map_rows(full, ["query_id", "query_h", "vec_id", "h", "q", "v"], "query_id long, query_h long, vec_id long, h long, score long", lambda: lambda a, b, c, d, q, v: [(a, b, c, d, score(np.array(q), np.array(v)))])
+
+
+def scored(rows: DataFrame, is_query: Column, k: int) -> DataFrame:
+    """The exact scores that had to be read."""
+    left = candidates(rows, is_query, k).withColumn("r", F.row_number().over(Window.partitionBy("query_id", "query_h").orderBy(F.desc("upper"), "vec_id", "h")))
+    left = keep(left, "ordered")
+    first = keep(_read(left.where(F.col("r") <= k), rows), "scores")
+    rest = left.where(F.col("r") > k).join(_kth(first, "score", k), ["query_id", "query_h"]).where(F.col("upper") >= F.col("kth"))
+    return first.unionByName(_read(rest, rows))
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_column: str = "vec_id", vector_column: str = "embedding", scale: int = 1024) -> DataFrame:
     """query_id, rank, vec_id, score. ``is_query`` is a condition on ``vec_id``."""
-    rows = integers(vectors, id_column, vector_column, scale)
-    counted = rows.agg(F.count("*").alias("n"), F.count_if(is_query).alias("q")).first()
-    parts, blocks = max(1, -(-counted.n // PART_ROWS)), max(1, -(-counted.q // BLOCK_ROWS))
-    shape = F.size("v").alias("d")
-    place = lambda n, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(n))
-    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    stored = rows.select("vec_id", "v", shape, place(parts, 1).alias("part"), each(blocks).alias("block"))
-    asked = rows.where(is_query).select("vec_id", "v", shape, each(parts).alias("part"), place(blocks, 2).alias("block"))
-
-    def meet(queries: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(queries) and len(part):
-            found = search(queries["vec_id"].to_numpy(), np.stack(queries["v"]), part["vec_id"].to_numpy(), np.stack(part["v"]), k)
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
-
-    key = ["d", "part", "block"]
-    near = asked.groupBy(*key).cogroup(stored.groupBy(*key)).applyInPandas(meet, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    rows = keep(integers(vectors, id_column, vector_column, scale), "vectors")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id", "query_h", "h")
+    return scored(rows, is_query, k).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,6 +28,27 @@ def test_parts_and_blocks(spark, monkeypatch):
     rng = np.random.default_rng(4)
     df = spark.createDataFrame([(int(i), [float(x) for x in rng.normal(size=8)]) for i in range(500)], "vec_id long, embedding array<float>")
     whole = {tuple(r) for r in vs.top_k(df, F.col("vec_id") % 10 == 0).collect()}
-    monkeypatch.setattr(vs, "PART_ROWS", 60)
-    monkeypatch.setattr(vs, "BLOCK_ROWS", 11)
+    monkeypatch.setattr(vs, "PART_SIZE", 480)
+    monkeypatch.setattr(vs, "BLOCK_SIZE", 88)
     assert {tuple(r) for r in vs.top_k(df, F.col("vec_id") % 10 == 0).collect()} == whole and len(whole) == 500
+
+
+def test_few_exact_vectors_are_read(spark):
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(int(i), [float(x) for x in rng.normal(0, 0.3, 32)]) for i in range(3000)], "vec_id long, embedding array<double>")
+    rows = vs.keep(vs.integers(df, "vec_id", "embedding", 1024), "vectors")
+    read = vs.scored(rows, F.col("vec_id") % 100 == 0, 10).count()
+    assert 300 <= read < 0.05 * 30 * 3000
+
+
+def test_huge_values_and_shared_ids(spark):
+    big = [(0, [1e300, 1.0]), (1, [1e300, 1.0]), (2, [-1e300, 1.0]), (3, [0.001, 2.0]), (4, [1e10, 3.0]), (5, [1e308, 1e308]), (7, [1.0, 1.0]), (7, [2.0, 2.0])]
+    df = spark.createDataFrame([(i, v, "x") for i, v in big], "vec_id long, embedding array<double>, h string")
+    got = [tuple(r) for r in vs.top_k(df, F.col("vec_id") == 0).orderBy("rank").collect()]
+    want = []
+    q = [int(1024 * x) for x in big[0][1]]
+    for i, v in big[1:]:
+        if all(abs(1024 * x) < float("inf") for x in v):
+            s = sum(a * int(np.floor(1024 * b)) for a, b in zip(q, v))
+            want.append((-max(-(2**63), min(2**63 - 1, s)), i))
+    assert [(-s, i) for _, _, i, s in got] == sorted(want) and [r[1] for r in got] == list(range(1, len(want) + 1))
