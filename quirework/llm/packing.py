@@ -8,8 +8,9 @@ piece that fits (best fit), and its new gap is looked up again. The plan is a li
 rank, go to consecutive sequences at one offset. Pieces get their rank within a length by salted buckets, so a length
 that a third of all rows share is ranked by many tasks.
 
-Null text is an empty document (the end token alone). Every row is packed, repeated rows too; an empty table gives
-an empty one; columns of ``docs`` other than the id and the text don't matter.
+Null text is an empty document (the end token alone); very long texts are cut into pieces. Every row is packed, repeated rows
+too; which of several pieces of one length gets which place is any; an empty table gives an empty one; columns of ``docs``
+other than the id and the text don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ from .text import map_rows
 SEQUENCE, END = 4096, 1
 #: Words whose ids a worker remembers.
 MEMO = 500_000
-#: Pieces that one task ranks within a length, about.
-RANKED = 200_000
+#: Pieces that are ranked together within a length, about.
+RANKED = 2_000
 
 
 class WordMemo(dict):
@@ -87,11 +88,21 @@ def pieces(docs: DataFrame, tokenizer: Callable[[], Callable[[str], bytes]], seq
 
 
 class Available:
-    """Counts by length, with lookups of exact complements."""
+    """Counts by length, with an index of exact complements: for each sum a length that opens a pair, or three, of that sum.
+    Counts only fall, so an entry that fails is moved down for good."""
 
     def __init__(self, counts: np.ndarray):
         self.counts = counts.copy()
         self.there = self.counts > 0
+        size, lengths = len(counts), np.flatnonzero(self.there)
+        self.pairs, self.triples = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        for a in lengths:  # the largest comes last and stays
+            sums = a + lengths[lengths <= (a if self.counts[a] > 1 else a - 1)]
+            self.pairs[sums[sums < size]] = a
+        two = np.flatnonzero(self.pairs)
+        for a in lengths:
+            sums = a + two
+            self.triples[sums[sums < size]] = a
 
     def take(self, lengths: tuple[int, ...], n: int) -> None:
         for x in lengths:
@@ -101,13 +112,21 @@ class Available:
     def times(self, lengths: tuple[int, ...]) -> int:
         return min(int(self.counts[x]) // lengths.count(x) for x in lengths)
 
-    def pair(self, gap: int) -> tuple[int, int] | None:
-        """Two lengths that add up to ``gap``, the larger one as large as possible."""
-        half = np.arange(gap - 1, (gap - 1) // 2, -1)
-        both = half[self.there[half] & self.there[gap - half]] if gap >= 2 else half
-        for a in both[:2]:
-            if 2 * a != gap or self.counts[a] >= 2:
-                return int(a), int(gap - a)
+    def pair(self, gap: int, besides: int = 0) -> tuple[int, int] | None:
+        """Two lengths that add up to ``gap``, the larger one as large as possible, while one of ``besides`` is spoken for."""
+        a = int(self.pairs[gap])
+        while a:
+            if self.there[a] and self.there[gap - a] and self.times((a, gap - a)):
+                used = [x for x in (a, gap - a, besides) if x]
+                if not besides or self.times(tuple(used)):
+                    return a, gap - a
+            elif a == self.pairs[gap]:
+                self.pairs[gap] = -a  # out of use; the next one found takes its place
+            half = np.arange(a - 1, (gap - 1) // 2, -1)
+            rest = half[self.there[half] & self.there[gap - half]]
+            a = int(rest[0]) if len(rest) else 0
+            if self.pairs[gap] < 0:
+                self.pairs[gap] = a
         return None
 
     def exact(self, gap: int) -> tuple[int, ...] | None:
@@ -116,14 +135,12 @@ class Available:
             return (gap,)
         if two := self.pair(gap):
             return two
-        for a in np.flatnonzero(self.there[: max(gap - 1, 0)])[::-1]:
-            if 3 * a < gap:  # the largest of three is at least a third
-                break
-            self.there[a] = self.counts[a] > 1
-            two = self.pair(gap - int(a))
-            self.there[a] = True
-            if two and (all_three := (int(a), *two)) and self.times(all_three):
-                return all_three
+        while a := int(self.triples[gap]):
+            if self.there[a] and (two := self.pair(gap - a, a)):
+                return a, *two
+            rest = np.arange(a)
+            rest = np.flatnonzero(self.there[:a] & (self.pairs[gap - rest] > 0))
+            self.triples[gap] = rest[-1] if len(rest) else 0
         return None
 
     def largest(self, gap: int) -> int:
@@ -172,7 +189,7 @@ def _fill(pattern: list[int], n: int, left: Available, sequence: int, place: Cal
 
 
 def pack(found: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
-    """``found`` (pieces with a ``length``) with ``sequence_id`` and ``offset``."""
+    """``found`` (pieces with a ``length``, a written table) with ``sequence_id`` and ``offset``."""
     spark = found.sparkSession
     sizes = found.groupBy("length").agg(F.count("*").alias("n"))
     # At most SEQUENCE rows reach the driver.
@@ -181,7 +198,8 @@ def pack(found: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
     counts[table.length.astype(int)] = table.n
     buckets = max(1, int(counts.max()) // RANKED + 1)
     runs = spark.createDataFrame(plan(counts, sequence) or [(0, 0, 0, 0, 0)], "length long, first long, n long, sequence long, offset long")
-    salted = found.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
+    # By place in the written table, so that repeated rows are spread as well.
+    salted = found.withColumn("bucket", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(buckets)))
     order = Window.partitionBy("length").orderBy("bucket")
     before = salted.groupBy("length", "bucket").agg(F.count("*").alias("m")).withColumn("before", F.sum("m").over(order) - F.col("m")).drop("m")
     ranked = salted.withColumn("r", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1)
