@@ -2,14 +2,14 @@
 
 Three kinds are found by rule. A fourth, ``random``, comes from two first-order character models, one of random
 strings and one of ordinary identifiers. Their labelled samples come from the corpus itself: what the rules found
-is random; a run outside all spans found by rule whose parts are letters alone or digits alone is ordinary. Every run of
+is random; a run outside all spans found by rule whose parts are letters, digits, or letters and a short number is ordinary. Every run of
 at least ``MIN_RUN`` characters outside those spans, of whatever shape, is a secret if its log-likelihood ratio exceeds
 ``THRESHOLD`` per character, and ``LEAST`` in all, which is more for short runs. All documents train the models; each
 distinct run counts once, so that copies of a secret don't make it ordinary, and the model is a table of fixed size (one
 number for each pair of printable ASCII characters).
 
-Null text counts as empty; repeated rows each give a row; other columns don't matter; an empty table gives an
-empty one. Without samples of both classes the models say nothing.
+Null text counts as empty; very long texts and texts of very many matches take time little above proportion; repeated
+rows each give a row; other columns don't matter; an empty table gives an empty one. Without samples of both classes the models say nothing.
 """
 
 from __future__ import annotations
@@ -31,17 +31,22 @@ RULES = [
     ("access", r"(AKIA[A-Z0-9]+)", 1, 20, ("AKIA",)),
     ("hex", r"([0-9a-f]{24,})", 1, 24, ()),
 ]
-#: Labels a run ordinary: its parts between separators are letters alone or digits alone.
-ORDINARY = r"^([A-Za-z]+|[0-9]+|[+/_-]+)([+/_-]+([A-Za-z]+|[0-9]+))*[+/_-]*$"
+#: Fixed values. A run is labelled ordinary if none of these is in it: a digit before a letter, five digits after a letter. So
+#: its parts are letters, digits, or letters and a short number.
+MIXED = r"[0-9][A-Za-z]|[A-Za-z][0-9]{5}"
 RUN = rf"([A-Za-z0-9+/_-]{{{MIN_RUN},}})"
-#: Holds for a run ``x`` outside all spans found by rule.
-OUTSIDE = "NOT exists(base, b -> b.s < x.e AND x.s < b.e)"
+#: Spans found by rule, in stretches with their bounds, so that a run is held against few of them however many there are.
+STRETCHES = """transform(IF(size(base) = 0, CAST(array() AS array<bigint>), sequence(0L, CAST(size(base) - 1 AS bigint), CAST(ceil(sqrt(size(base))) AS bigint))),
+    i -> slice(base, CAST(i AS int) + 1, CAST(ceil(sqrt(size(base))) AS int)))"""
+BOUNDED = f"transform({STRETCHES}, k -> named_struct('lo', array_min(transform(k, b -> b.s)), 'hi', array_max(transform(k, b -> b.e)), 'all', k))"
+#: Holds for a run ``x`` outside all of them.
+OUTSIDE = "NOT exists(stretches, k -> k.lo < x.e AND x.s < k.hi AND exists(k.all, b -> b.s < x.e AND x.s < b.e))"
 ALPHABET, SYMBOLS = 95, 64  # printable ASCII, from space on; those that random strings draw from
 _ITEM = "struct<s:bigint,e:bigint,r:int,kind:string,v:string>"
 
 
 def _found(text: Column, kind: str, rank: int, pattern: str, group: int, least: int, needs: tuple[str, ...], name: str) -> list[tuple[str, Column]]:
-    """Columns (in three steps) for the leftmost non-overlapping matches with their places in code points. The text
+    """Columns (in steps) for the leftmost non-overlapping matches with their places in code points. The text
     between matches, cut out by ``split``, gives the places."""
     gate = F.lit(True)
     if needs:
@@ -53,14 +58,25 @@ def _found(text: Column, kind: str, rank: int, pattern: str, group: int, least:
         (f"{name}_h", F.when(gate, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(empty)),
         (f"{name}_g", F.when(F.size(f"{name}_h") > 0, F.regexp_extract_all(text, F.lit(pattern), F.lit(group))).otherwise(empty)),
         (f"{name}_p", F.when(F.size(f"{name}_h") > 0, F.transform(F.split(text, pattern, -1), F.length)).otherwise(F.array().cast("array<int>"))),
+        # Where matches begin is summed up in stretches of about the square root of their number, so no long array is copied
+        # for each match.
+        (f"{name}_w", F.expr(f"CAST(greatest(1, ceil(sqrt(size({name}_h)))) AS int)")),
+        (f"{name}_l", F.expr(f"transform({name}_h, (h, i) -> length(h) + {name}_p[i])")),
+        (
+            f"{name}_b",
+            F.expr(
+                f"""aggregate(transform(sequence(0, greatest(size({name}_h) - 1, 0), {name}_w), i -> aggregate(slice({name}_l, i + 1, {name}_w), 0L, (t, x) -> t + x)),
+                named_struct('at', 0L, 'out', CAST(array() AS array<bigint>)), (a, n) -> named_struct('at', a.at + n, 'out', concat(a.out, array(a.at))), a -> a.out)"""
+            ),
+        ),
         (
             name,
             F.expr(
-                f"""CASE WHEN size({name}_h) = 0 THEN CAST(array() AS array<{_ITEM}>) ELSE filter(aggregate(sequence(0, size({name}_h) - 1),
-                named_struct('at', 0L, 'out', CAST(array() AS array<{_ITEM}>)),
-                (a, i) -> named_struct('at', a.at + {name}_p[i] + length({name}_h[i]), 'out', concat(a.out, array(named_struct(
-                    's', a.at + {name}_p[i], 'e', a.at + {name}_p[i] + length({name}_h[i]), 'r', {rank}, 'kind', '{kind}', 'v', {name}_g[i])))),
-                a -> a.out), x -> length(x.v) >= {least}) END"""
+                f"""CASE WHEN size({name}_h) = 0 THEN CAST(array() AS array<{_ITEM}>) ELSE filter(flatten(transform({name}_b, (start, k) -> aggregate(
+                sequence(k * {name}_w, least((k + 1) * {name}_w, size({name}_h)) - 1), named_struct('at', start, 'out', CAST(array() AS array<{_ITEM}>)),
+                (a, i) -> named_struct('at', a.at + {name}_l[i], 'out', concat(a.out, array(named_struct(
+                    's', a.at + {name}_p[i], 'e', a.at + {name}_l[i], 'r', {rank}, 'kind', '{kind}', 'v', {name}_g[i])))),
+                a -> a.out))), x -> length(x.v) >= {least}) END"""
             ),
         ),
     ]
@@ -86,7 +102,7 @@ def train(located: DataFrame) -> DataFrame:
     ordinary). The random model is mixed half and half with the even choice of ``SYMBOLS`` characters, the ordinary
     one backs off to its single characters. Empty if a class has no sample."""
     samples = located.select(F.explode("base.v").alias("v")).withColumn("random", F.lit(True)).unionByName(
-        located.select(F.explode(F.expr(f"transform(filter(runs, x -> {OUTSIDE}), x -> x.v)")).alias("v")).where(F.col("v").rlike(ORDINARY)).withColumn("random", F.lit(False))
+        located.select("runs", F.expr(BOUNDED).alias("stretches")).select(F.explode(F.expr(f"transform(filter(runs, x -> {OUTSIDE}), x -> x.v)")).alias("v")).where(~F.col("v").rlike(MIXED)).withColumn("random", F.lit(False))
     )
     distinct = samples.distinct()
     pairs = (
@@ -118,19 +134,19 @@ def train(located: DataFrame) -> DataFrame:
 
 def scan(located: DataFrame, model: DataFrame, threshold: float = THRESHOLD, id_column: str = "doc_id") -> DataFrame:
     """``located`` with ``found``: the spans of the models. The model, one row, is a scalar subquery."""
-    df = located.withColumn("model", model.scalar())
+    df = located.withColumn("model", model.scalar()).withColumn("stretches", F.expr(BOUNDED))
     score = f"""aggregate(transform(array(split(x.v, '')), c -> aggregate(sequence(0, size(c) - 2), 0D, (t, i) -> t + element_at(model, {_pair('c[i]', 'c[i+1]')} + 1))), 0D, (t, y) -> t + y)"""
     return df.withColumn(
         "found",
         F.expr(
             f"""filter(runs, x -> size(model) > 0 AND {OUTSIDE} AND {score} > greatest({LEAST}D, {threshold}D * (length(x.v) - 1)))"""
         ),
-    ).drop("model")
+    ).drop("model", "stretches")
 
 
 def redact(docs: DataFrame, threshold: float = THRESHOLD, mask: str = "<SECRET>") -> DataFrame:
     """The documents with all secrets found in ``text`` replaced; every other column stays."""
-    tagged = docs.withColumn("_row", F.struct(*docs.columns))
+    tagged = docs.select(F.col("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
     located = keep(locate(tagged, "_row", "text"), "secrets")
     out = scan(located, train(located), threshold, "_row")
     cut = F.expr(
@@ -139,7 +155,7 @@ def redact(docs: DataFrame, threshold: float = THRESHOLD, mask: str = "<SECRET>"
         ELSE named_struct('at', x.e, 'out', concat(a.out, substring(_row.text, CAST(a.at AS INT) + 1, CAST(x.s - a.at AS INT)), '{mask}')) END,
         a -> concat(a.out, substring(_row.text, CAST(a.at AS INT) + 1)))"""
     )
-    return out.withColumn("_cut", cut).select(*(F.col("_cut").alias(c) if c == "text" else F.col(f"_row.{c}") for c in docs.columns))
+    return out.withColumn("_cut", cut).select(*(F.col("_cut").alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
 
 
 def report(located: DataFrame) -> DataFrame:

@@ -81,3 +81,26 @@ def test_likelihood_decides_runs_of_any_shape(spark, tmp_path):
     assert sum("random" in got[n + i].spans for i in range(len(keys))) >= 0.9 * len(keys)
     assert "random" in got[n].spans and "random" in got[len(texts) - 1].spans
     assert sum(got[i].spans.count("random") for i in range(len(hexes), n)) <= 12
+
+
+def test_hostile_texts(spark, tmp_path):
+    texts = ["a-1_" * 50_000, "a1b2" * 50_000, "password=abcdef " * 20_000, "wordword " * 40_000, "deadbeef" * 5, None]
+    got = run(spark, texts, tmp_path)
+    for i in (2, 4):
+        assert got[i].base_sha256 == hashlib.sha256(",".join(brute(texts[i])).encode()).hexdigest()
+    assert [got[i].n_assign for i in range(6)] == [0, 0, 20_000, 0, 0, 0]
+
+
+def test_mixed_identifiers_are_ordinary(spark, tmp_path):
+    rnd = random.Random(11)
+    parts = ["invoice", "total", "user", "name", "final", "report", "index", "value", "order", "page", "daily", "summary", "count", "table"]
+    name = lambda: "".join(x.capitalize() for x in rnd.sample(parts, 3)) + str(rnd.randrange(1900, 2100))
+    hexes = ["see " + "".join(rnd.choice("0123456789abcdef") for _ in range(32)) for _ in range(60)]
+    plain = [" ".join([name(), "_".join(rnd.sample(parts, 3)), "-".join(rnd.sample(parts, 2)) + str(rnd.randrange(99))]) for _ in range(200)]
+    held = [name() for _ in range(100)]
+    alphabet = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    keys = ["".join(rnd.choice(alphabet) for _ in range(16)) for _ in range(100)]
+    got = run(spark, hexes + plain + held + keys, tmp_path)
+    n = len(hexes) + len(plain)
+    assert sum("random" in got[n + i].spans for i in range(100)) <= 5
+    assert sum("random" in got[n + 100 + i].spans for i in range(100)) >= 90
