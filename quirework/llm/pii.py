@@ -2,22 +2,24 @@
 
 Values found by rule are the protected entities. A term's disclosure of an entity is estimated from the corpus: of the
 documents that hold the term, the share ``p(e|t)`` in which it stands within ``WINDOW`` words of the entity, on the same
-line; the pointwise information is log2 of p(e|t) / p(e). A term is sensitive if, for some entity, it was seen in at
-least ``CONTEXTS`` different surroundings (exact copies of a passage are one), p(e|t) >= ``DISCLOSURE`` and the
-information is at least ``BITS``. Sensitive terms are marked wherever they stand. In redaction those with p(e|t) >=
+line; the pointwise information is log2 of p(e|t) / p(e). Both are taken at the lower bound of p(e|t) (Wilson's, SURE standard
+errors), so a rare term needs a purer record. A term is sensitive if, for some entity, it was seen in at least ``CONTEXTS``
+different surroundings (exact copies of a passage are one), p(e|t) >= ``DISCLOSURE`` and the information is at least ``BITS``. An
+entity is the same however its digits are grouped. Sensitive terms are marked wherever they stand. In redaction those with p(e|t) >=
 ``REMOVE`` are removed, others give way to a general word.
 
 Counts cover all documents. To count the documents of candidate terms and to find sensitive ones, a Bloom filter of
 fixed size goes to the tasks; terms that pass it by chance fall out of the join that follows, so results are exact at any number of terms.
 
-Null text counts as empty; repeated rows each give a row; other columns don't matter; an empty table gives an
-empty one.
+Null text counts as empty; very long texts are read whole; repeated rows each give a row; of spans that start alike the
+longer comes last; other columns, whatever their names, don't matter; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import numpy as np
@@ -26,10 +28,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import keep
-from .text import WordHashes, map_rows, words
+from .text import WordHashes, bounded, map_rows, words
 
 KINDS = ["email", "ip", "card", "phone"]
-WINDOW, CONTEXTS, DISCLOSURE, BITS, REMOVE = 5, 3, 0.5, 4.0, 0.9
+WINDOW, CONTEXTS, DISCLOSURE, BITS, REMOVE = 5, 2, 0.5, 4.0, 0.9
+#: Standard errors of the confidence bound on p(e|t).
+SURE = 1.0
 #: Bits in the Bloom filter (1 MB), and probes for each term.
 BLOOM_BITS, PROBES = 1 << 23, 4
 
@@ -67,7 +71,7 @@ def rules(text: str) -> list[tuple[str, int, int]]:
     """All spans found by rule, by kind as listed, then start; ends are exclusive."""
     out = [("email", s, e) for s, e in emails(text)] if "@" in text else []
     if DIGIT.search(text):
-        out += [("ip", *m.span()) for m in IP.finditer(text) if all(len(x.lstrip("0")) < 4 and int(x) < 256 for x in m[0].split("."))]
+        out += [("ip", *m.span()) for m in IP.finditer(text) if all(len(x := part.lstrip("0") or "0") < 4 and int(x) < 256 for part in m[0].split("."))]
         for m in CARD.finditer(text):
             if m.end() - m.start() >= 13:
                 digits = [int(c) for c in m[0] if c in "0123456789"]
@@ -98,11 +102,28 @@ def terms(text: str, start: int, end: int) -> list[tuple[str, int, int]]:
     return out
 
 
+def entity_of(kind: str, value: str) -> int:
+    """Hash of what a value names, however it is written: digits of a card or phone, numbers of an ip, small letters."""
+    if kind in ("card", "phone"):
+        value = "".join(c for c in value if c in "0123456789")
+    elif kind == "ip":
+        value = ".".join(x.lstrip("0") or "0" for x in value.split("."))
+    return xxhash.xxh64_intdigest(f"{kind}:{value.lower()}") >> 1
+
+
 def nearby(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """(term, hash of the entity, hash of the surroundings) for the terms around each span."""
     out = set()
+    # Spans joined where they overlap: ordered by start as by end, so each term is held against one of them.
+    joined: list[list[int]] = []
+    for s, e in sorted((s, e) for _, s, e in spans):
+        if joined and s < joined[-1][1]:
+            joined[-1][1] = max(joined[-1][1], e)
+        else:
+            joined.append([s, e])
+    starts = [s for s, _ in joined]
     for kind, s, e in spans:
-        entity = xxhash.xxh64_intdigest(f"{kind}:{text[s:e].lower()}") >> 1
+        entity = entity_of(kind, text[s:e])
         left, right = text.rfind("\n", 0, s) + 1, text.find("\n", e)
         right = len(text) if right < 0 else right
         # A few words are looked for in a stretch that doubles until it holds them, so long lines cost little.
@@ -117,7 +138,8 @@ def nearby(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, int,
         b = after[WINDOW - 1].end() if len(after) >= WINDOW else b
         around = xxhash.xxh64_intdigest(text[a:s] + "\0" + text[e:b]) >> 1
         for word, x, y in terms(text, a, s) + terms(text, e, b):
-            if not any(p < y and x < q for _, p, q in spans):
+            i = bisect_left(starts, y) - 1  # the last that begins before the term ends
+            if i < 0 or joined[i][1] <= x:
                 out.add((word, entity, around))
     return sorted(out)
 
@@ -222,8 +244,10 @@ def occurrences(docs: DataFrame, bits: np.ndarray) -> DataFrame:
 def sensitive(df: DataFrame, wanted: DataFrame, n_docs: int) -> DataFrame:
     """(term, risk): terms whose disclosure of some entity exceeds the thresholds."""
     risk = F.least(F.col("docs") / F.col("df"), F.lit(1.0))
-    bits = F.log2(risk * n_docs / F.col("holders"))
-    return wanted.join(df, "term").where((risk >= DISCLOSURE) & (bits >= BITS)).groupBy("term").agg(F.max(risk).alias("risk"))
+    n, z2 = F.col("df"), SURE**2
+    sure = (risk + z2 / (2 * n) - SURE * F.sqrt(risk * (1 - risk) / n + z2 / (4 * n * n))) / (1 + z2 / n)
+    bits = F.log2(sure * n_docs / F.col("holders"))
+    return wanted.join(df, "term").where((sure >= DISCLOSURE) & (bits >= BITS)).groupBy("term").agg(F.max(risk).alias("risk"))
 
 
 def method_spans(docs: DataFrame, located: DataFrame) -> DataFrame | None:
@@ -261,11 +285,11 @@ def report(docs: DataFrame) -> DataFrame:
         def one(doc_id, base, found):
             said = [f"{x['kind']}:{x['s']}:{x['e']}" for x in base]
             extra = [f"term:{x['s']}:{x['e']}" for x in found or []]
-            return [(doc_id, *(sum(x["kind"] == k for x in base) for k in KINDS), hashlib.sha256(",".join(said).encode()).hexdigest(), ",".join(said + extra))]
+            return [(doc_id, *(sum(x["kind"] == k for x in base) for k in KINDS), hashlib.sha256(",".join(said).encode()).hexdigest(), ",".join(said + extra), len(said + extra))]
 
         return one
 
-    return map_rows(full, ["doc_id", "base", "found"], "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string", setup)
+    return map_rows(full, ["doc_id", "base", "found"], "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long", setup)
 
 
 def cut(text: str, spans: list[tuple[int, int, str]]) -> str:
@@ -320,7 +344,7 @@ def keyed(docs: DataFrame, text: str) -> DataFrame:
     def key(texts):
         return texts.map(lambda t: xxhash.xxh64_intdigest((t or "").encode("utf-8", "surrogatepass")) >> 1)
 
-    return docs.withColumn("key", key(F.col(text)))
+    return bounded(docs).withColumn("key", key(F.col(text)))
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

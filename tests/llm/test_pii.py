@@ -65,3 +65,35 @@ def test_terms_that_disclose(spark, tmp_path):
 
 def test_empty(spark, tmp_path):
     assert run(spark, tmp_path, []) == {}
+
+
+def test_hostile_texts(spark, tmp_path):
+    texts = ["0" * 5000 + ".1.1.1", "+1 988 555 2485 ab cd " * 20_000, "1.2.3.4 " * 30_000, "word " * 200_000, "a@b.c" * 50_000]
+    got = run(spark, tmp_path, texts)
+    assert [got[0].n_ip, got[1].n_phone, got[2].n_ip, got[3].n_spans] == [1, 20_000, 30_000, 0] and got[4].n_email > 0
+
+
+def test_planted_links_are_found(spark, tmp_path):
+    rnd = random.Random(12)
+    word = lambda n=5: "".join(rnd.choice("abcdefghijklmnop") for _ in range(n))
+    common = [word() for _ in range(300)]
+    prose = lambda n: " ".join(rnd.choice(common) for _ in range(n))
+    people = [(word(9).capitalize(), f"{word(6)}@mail.example.com", f"+1 ({rnd.randrange(200, 999)}) 555-{rnd.randrange(1000, 9999)}") for _ in range(30)]
+    texts, holds = [], {}
+    for name, mail, phone in people:
+        digits = phone.replace("(", "").replace(")", "")
+        for value in [(mail, mail.upper(), mail.title(), mail), (phone, digits, digits.replace(" ", "-"), phone)][len(holds) % 2]:
+            texts.append(f"{prose(20)}\n{prose(2)} {name} at {value} {prose(3)}\n{prose(10)}")
+        texts.append(f"{prose(12)} {name} was seen {prose(12)}")
+        holds[len(texts) - 1] = name
+    # Names that stand without data as often as with it, and text without any.
+    neutral = [word(8) for _ in range(20)]
+    for n in neutral:
+        texts += [f"{prose(4)} {n} {prose(2)} x{rnd.randrange(10**6)}@mail.example.com {prose(3)}", *(f"{prose(10)} {n} {prose(10)}" for _ in range(3))]
+    texts += [prose(40) for _ in range(600)]
+    got = run(spark, tmp_path, texts)
+    marked = {i: [texts[i][int(x.split(":")[1]) : int(x.split(":")[2])] for x in r.spans.split(",") if x.startswith("term")] for i, r in got.items()}
+    names = {n for n, *_ in people}
+    caught = sum(name in marked[i] for i, name in holds.items())
+    terms = [t for x in marked.values() for t in x]
+    assert caught >= 0.95 * len(holds) and sum(t in names for t in terms) >= 0.95 * len(terms) and not {*neutral} & {*terms}
