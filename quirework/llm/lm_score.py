@@ -11,8 +11,8 @@ The corpus is gathered as word counts: documents fall into blocks of bounded siz
 words once. Words are counted and scored in one table, and each block gets back the rows of its own words. Nothing that
 grows with the corpus goes through the driver or a broadcast (the piece table is as large as the vocabulary).
 
-Null text counts as empty (the end alone); repeated rows each give a row; an empty table gives an empty one; other
-columns don't matter. Without training documents N and V are 0 and every piece is equally likely.
+Null text counts as empty (the end alone); very long texts are scored whole; repeated rows each give a row; an empty table
+gives an empty one; other columns, whatever their names, don't matter. Without training documents N and V are 0 and every piece is equally likely.
 """
 
 from __future__ import annotations
@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from ..scratch import keep
 from .text import bounded, map_rows, words
 
-#: Characters of text in a block, about, and its most rows.
-BLOCK_CHARS, BLOCK_ROWS = 32_000_000, 20_000
+#: Characters of text in a block, about, its most rows, and its distinct words, about (a document's words stay together).
+BLOCK_CHARS, BLOCK_ROWS, BLOCK_WORDS = 32_000_000, 20_000, 1_000_000
 FOLDS, HELD_OUT = 7, 2
 MARK = "▁"
 LN10 = math.log(10)
@@ -113,7 +113,7 @@ def gathered(docs: DataFrame) -> DataFrame:
                     chars += len(text or "")
                 rows += len(ids)
                 yield batch_of(doc_id=ids, held=held, tokens=coded)
-                if chars > BLOCK_CHARS or rows > BLOCK_ROWS:
+                if chars > BLOCK_CHARS or rows > BLOCK_ROWS or len(place) > BLOCK_WORDS:
                     yield from word_rows()
                     block, chars, rows = block + 1, 0, 0
         yield from word_rows()

@@ -4,13 +4,14 @@ A digest array holds the 64-bit xxhash of each key, sorted, in a file that is me
 in the same order. A batch of strings is probed by one vectorised binary search; a hit counts only if the stored
 string is the probed one, so collisions do no harm.
 
-Rules (host and path) are one small array: a url probes every suffix of its host joined to every path prefix whose
-length some rule has; the longest rule wins (of equal length, the longer host). Urls without a rule are held against
+Rules (host and path) are one small array: a url probes every suffix of its host that has no more labels than a rule's host,
+joined to every path prefix whose length some rule has; the longest rule wins (of equal length, the longer host). Urls without a rule are held against
 a list of urls, which may be as large as the crawl: it is cut by digest into shards of bounded size, each an array of
 its own, and meets the distinct probes of that shard. A url that many pages share is probed once.
 
 A null url, or one without ``://``, has an empty host and path, fits no rule, and is allowed. Repeated rows each give
-a row; other columns don't matter; an empty table gives an empty one.
+a row; very long urls cost as much as their length; other columns, whatever their names, don't matter; an empty table
+gives an empty one.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .text import bounded
+
 #: Keys and probes of one shard, about.
 SHARD_ROWS = 100_000
 #: The rules of the registered query.
@@ -52,7 +55,8 @@ class DigestArray:
         """Place of each string among the sorted keys, -1 if it is not a key."""
         sought = digests(strings)
         at, found = np.searchsorted(self.digests, sought), np.full(len(strings), -1, np.int64)
-        for i in np.flatnonzero(at < len(self.digests)):
+        hits = np.flatnonzero(at < len(self.digests))
+        for i in hits[self.digests[at[hits]] == sought[hits]]:
             j = at[i]
             while j < len(self.keys) and self.digests[j] == sought[i]:
                 if self.keys[j] == strings[i]:
@@ -68,13 +72,15 @@ class RuleArray:
     def __init__(self, rules: list[tuple[str, str]], folder: str):
         self.verdicts = dict(rules)
         self.lengths = sorted({len(rule) - rule.index("/") for rule, _ in rules})
+        self.labels = max((rule.partition("/")[0].count(".") + 1 for rule, _ in rules), default=0)
         self.array = DigestArray(self.verdicts, folder)
 
     def match(self, hosts: list[str], paths: list[str]) -> list[str | None]:
         tries: list[str] = []
         owner: list[int] = []
         for i, (host, path) in enumerate(zip(hosts, paths, strict=True)):
-            labels = host.split(".") if host else []
+            # Suffixes of no more labels than some rule's host has, the longest first.
+            labels = host.rsplit(".", self.labels)[-self.labels :] if host and self.labels else []
             for a in range(len(labels)):
                 suffix = ".".join(labels[a:])
                 for n in self.lengths:
@@ -106,7 +112,7 @@ def with_rules(urls: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
                 found = lookup.match(batch.column("host").to_pylist(), batch.column("path").to_pylist())
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array([lookup.verdicts.get(r) for r in found], pa.string())], names=[*batch.schema.names, "rule", "ruled"])
 
-    return urls.mapInArrow(run, "page_id long, host string, path string, bare string, rule string, ruled string")
+    return bounded(urls).mapInArrow(run, "page_id long, host string, path string, bare string, rule string, ruled string")
 
 
 def on_list(probes: DataFrame, listed: DataFrame, rows: int = SHARD_ROWS) -> DataFrame:

@@ -46,3 +46,8 @@ def test_shards_and_empty(spark):
     assert uf.on_list(df, df.where("url LIKE '%7%'"), rows=10).count() == df.where("url LIKE '%7%'").count()
     empty = spark.createDataFrame([], "page_id long, url string")
     assert uf.filter_urls(empty, uf.RULES, empty).count() == 0
+
+
+def test_long_hosts(spark):
+    df = spark.createDataFrame([(1, "http://" + "a." * 500_000 + "example.org/es/" + "x" * 1000), (2, "http://" + "." * 1000 + "com/de/")], "page_id long, url string")
+    assert {r.page_id: (r.rule, r.verdict) for r in uf.filter_urls(df, uf.RULES, df).collect()} == {1: ("example.org/es/", "block"), 2: ("com/de/", "block")}
