@@ -140,6 +140,11 @@ def iou(a, b) -> Column:
     return F.try_divide(w * h, area(a) + area(b) - w * h)
 
 
+def retry_key(automatic_key: Column, region_id: Column, mask: Column) -> Column:
+    """Key of a retry: the automatic key, the region and the mask's bytes, hashed one after the other."""
+    return F.sha2(F.concat(automatic_key.cast("string").cast("binary"), region_id.cast("string").cast("binary"), mask.cast("binary")), 256)
+
+
 def gap(ax, ay, aw, ah, bx, by, bw, bh) -> Column:
     """Distance between two rectangles; 0 if they touch."""
     dx = F.greatest(d(0), F.greatest(ax, bx) - F.least(ax + aw, bx + bw))

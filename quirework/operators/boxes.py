@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.exprs import clip, d, gap, half_up, iou
-from ..graph import connected_components
+from ..graph import components_within
 from ..scratch import keep
 
 
@@ -72,11 +72,13 @@ def flag_invalid_boxes(bubbles: DataFrame) -> DataFrame:
     return bubbles.withColumn("is_invalid_box", ~four | ((w >= 950) & (h >= 950)) | ((w == 0) & (h == 0))).withColumn("box", b)
 
 
-def tile_to_page(bubbles: DataFrame) -> DataFrame:
-    """``box`` of a tile (sx, sy, tile_w, tile_h) to the page (page_w, page_h), both 0 to 1000; halves round up."""
-    y = lambda i: half_up((F.col("box")[i] / 1000 * F.col("tile_h") + F.col("sy")) / F.col("page_h") * 1000).cast("double")
-    x = lambda i: half_up((F.col("box")[i] / 1000 * F.col("tile_w") + F.col("sx")) / F.col("page_w") * 1000).cast("double")
-    return bubbles.withColumn("box", F.array(y(0), x(1), y(2), x(3)))
+def tile_to_page(bubbles: DataFrame, whole: bool = True) -> DataFrame:
+    """``box`` of a tile or crop (sx, sy, tile_w, tile_h) to the page (page_w, page_h), both 0 to 1000. Tiles give ``whole`` numbers,
+    halves up; crops don't round. A box that isn't four numbers stays as it is."""
+    put = half_up if whole else lambda c: c
+    y = lambda i: put((F.col("box")[i] / 1000 * F.col("tile_h") + F.col("sy")) / F.col("page_h") * 1000).cast("double")
+    x = lambda i: put((F.col("box")[i] / 1000 * F.col("tile_w") + F.col("sx")) / F.col("page_w") * 1000).cast("double")
+    return bubbles.withColumn("box", F.when(F.size("box") == 4, F.array(y(0), x(1), y(2), x(3))).otherwise(F.col("box")))
 
 
 def merge_tiles(bubbles: DataFrame, threshold: float = 0.4) -> DataFrame:
@@ -154,14 +156,16 @@ def aligned() -> Column:
 def group_regions(boxes: DataFrame, policy: str = "gap") -> DataFrame:
     """Regions of nearby boxes (page_id, box_id, x, y, w, h, stroke, page_w, page_h): connected components under
     gap <= max(1, 1.5 * median height, 0.02 * shorter side), or by axes. One row a region, numbered by smallest member."""
-    limit = boxes.groupBy("page_id").agg(F.percentile("h", 0.5).alias("mid"), F.min("page_w").alias("pw"), F.min("page_h").alias("ph"))
-    limit = limit.select("page_id", F.greatest(d(1), 1.5 * F.col("mid"), 0.02 * F.least("pw", "ph")).alias("reach"))
+    limit = boxes.groupBy("page_id").agg(F.percentile("h", 0.5).alias("mid"), F.min("page_w").alias("pw"), F.min("page_h").alias("ph"), F.max("h").alias("tallest"))
+    reach = F.greatest(d(1), 1.5 * F.col("mid"), 0.02 * F.least("pw", "ph"))
+    # No two boxes that meet begin further apart than this.
+    band = F.col("tallest") + (reach if policy == "gap" else 0.04 * F.col("ph"))
+    limit = limit.select("page_id", reach.alias("reach"), F.greatest(d(1), band).alias("band"))
     held = keep(boxes.join(limit, "page_id"), "boxes")
-    pairs = box_pairs(held, near(F.col("a_reach")) if policy == "gap" else aligned())
-    node = lambda c: F.struct("page_id", F.col(c).alias("box_id"))
-    found = connected_components(pairs.select(node("a").alias("src"), node("b").alias("dst")))
-    root = found.select(F.col("node.page_id").alias("page_id"), F.col("node.box_id").alias("box_id"), F.col("component.box_id").alias("root"))
-    all_boxes = held.join(root, ["page_id", "box_id"], "left").withColumn("root", F.coalesce("root", "box_id"))
+    pairs = box_pairs(held, near(F.col("a_reach")) if policy == "gap" else aligned(), F.floor(F.col("y") / F.col("band")))
+    found = components_within(pairs, "page_id", "a", "b")
+    root = found.select("page_id", F.col("node").alias("box_id"), F.col("component").alias("root"))
+    all_boxes = held.join(root, ["page_id", "box_id"], "left").withColumn("root", F.coalesce("root", "box_id").cast(boxes.schema["box_id"].dataType))
     regions = all_boxes.groupBy("page_id", "root").agg(
         F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + F.col("w")).alias("x2"), F.max(F.col("y") + F.col("h")).alias("y2"),
         F.max("stroke").alias("stroke"), F.sort_array(F.collect_list("box_id")).alias("members"),
@@ -181,10 +185,13 @@ def overlaps(a: str, b: str) -> Column:
     return (c(f"{a}x") < c(f"{b}x") + c(f"{b}w")) & (c(f"{b}x") < c(f"{a}x") + c(f"{a}w")) & (c(f"{a}y") < c(f"{b}y") + c(f"{b}h")) & (c(f"{b}y") < c(f"{a}y") + c(f"{a}h"))
 
 
-def intersects_flag(boxes: DataFrame, zones: DataFrame, name: str, grow: float = 0.0) -> DataFrame:
-    """``boxes`` with ``name``: whether any zone of the page (zx, zy, zw, zh), grown by ``grow``, meets the box."""
+def intersects_flag(boxes: DataFrame, zones: DataFrame, name: str, grow: float = 0.0, band: float = 256.0) -> DataFrame:
+    """``boxes`` with ``name``: whether any zone of the page (zx, zy, zw, zh), grown by ``grow``, meets the box. Both meet by the
+    bands of the page that they lie in."""
+    rows = lambda y, h: F.explode(F.sequence(F.floor(F.col(y) / band), F.greatest(F.floor(F.col(y) / band), F.floor((F.col(y) + F.col(h)) / band)))).alias("band")
     z = zones.select("page_id", (F.col("zx") - grow).alias("zx"), (F.col("zy") - grow).alias("zy"), (F.col("zw") + 2 * grow).alias("zw"), (F.col("zh") + 2 * grow).alias("zh"))
-    hit = boxes.join(z, "page_id").where(overlaps("", "z")).select("page_id", "box_id").distinct().withColumn(name, F.lit(True))
+    places = boxes.select("page_id", "box_id", "x", "y", "w", "h", rows("y", "h"))
+    hit = places.join(z.select("*", rows("zy", "zh")), ["page_id", "band"]).where(overlaps("", "z")).select("page_id", "box_id").distinct().withColumn(name, F.lit(True))
     return boxes.join(hit, ["page_id", "box_id"], "left").withColumn(name, F.coalesce(name, F.lit(False)))
 
 

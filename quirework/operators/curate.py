@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.exprs import CATEGORIES, argmax_category, seeded_key
+from ..scratch import keep
 
 
 def dedupe_content(rows: DataFrame, by: str, order: list[Column]) -> DataFrame:
@@ -28,24 +29,27 @@ def ranked_by_category(candidates: DataFrame, most: int) -> DataFrame:
 
 
 def stratified_select(candidates: DataFrame, count: int) -> DataFrame:
-    """``count`` candidates (path_hash, content_sha, scores), unique by path and content: the best of each category in the
-    fixed order, then the rest by seeded key, with their best category. Raises if that can't be met.
+    """``count`` candidates (path_hash, content_sha, scores), unique by path and content: for each category in the fixed order the
+    best by score, then seeded key, whose path and content are not taken yet; then the rest by seeded key, with their best
+    category. Raises if that can't be met.
 
-    Each category needs at most as many ranks as there are picks before it, doubled for clashes of content, so the
-    pick folds over a table of fixed size; the fill is a top-n."""
+    A pick is one aggregate over the narrow candidates, whatever their number of paths or contents; the fill is a top-n."""
     if count < len(CATEGORIES):
         raise ValueError(f"count must be at least {len(CATEGORIES)}")
-    tie = seeded_key(F.col("path_hash"))
-    unique = dedupe_content(dedupe_content(candidates, "path_hash", [F.asc("content_sha")]), "content_sha", [F.desc(tie), F.asc("path_hash")])
-    top = ranked_by_category(unique, 2 * len(CATEGORIES))
-    order = F.array_position(F.array(*map(F.lit, CATEGORIES)), F.col("category"))
-    item = F.struct(order.alias("o"), "rank", "category", "path_hash", "content_sha")
-    none = F.slice("all", 1, 0)
-    taken = lambda acc, b: F.exists(acc, lambda k: (k["o"] == b["o"]) | (k["path_hash"] == b["path_hash"]) | (k["content_sha"] == b["content_sha"]))
-    picks = top.agg(F.array_sort(F.collect_list(item)).alias("all")).select(F.explode(F.aggregate("all", none, lambda acc, b: F.when(taken(acc, b), acc).otherwise(F.concat(acc, F.array(b))))).alias("b"))
-    picks = picks.select("b.path_hash", "b.content_sha", "b.category")
-    rest = unique.join(picks.select("path_hash"), "path_hash", "left_anti").orderBy(F.desc(tie), "path_hash").limit(count - len(CATEGORIES))
-    out = picks.unionByName(rest.select("path_hash", "content_sha", argmax_category(F.col("scores")).alias("category")))
+    held = keep(candidates.select("path_hash", "content_sha", "scores", seeded_key(F.col("path_hash")).alias("tie")), "candidates")
+    spark, picks = candidates.sparkSession, []
+    left = held
+    for category in CATEGORIES:
+        # As many rows on the driver as there are categories.
+        best = left.agg(F.max_by(F.struct("path_hash", "content_sha"), F.struct(F.col("scores")[category], "tie", "content_sha")).alias("b")).first().b
+        if best is None:
+            raise ValueError(f"no unique candidate for {category}")
+        picks.append((best.path_hash, best.content_sha, category))
+        left = left.where((F.col("path_hash") != best.path_hash) & (F.col("content_sha") != best.content_sha))
+    one = dedupe_content(dedupe_content(left, "content_sha", [F.desc("tie"), F.asc("path_hash")]), "path_hash", [F.asc("content_sha")])
+    rest = one.orderBy(F.desc("tie"), "path_hash").limit(count - len(CATEGORIES))
+    first = spark.createDataFrame(picks, "path_hash string, content_sha string, category string")
+    out = keep(first.unionByName(rest.select("path_hash", "content_sha", argmax_category(F.col("scores")).alias("category"))), "selected")
     if out.count() < count:
         raise ValueError("too few unique candidates")
     return out

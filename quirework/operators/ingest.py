@@ -43,6 +43,13 @@ def merge_bubbles(pages: DataFrame, found: DataFrame, manual: DataFrame) -> Data
     return out.select("page_id", F.when(F.col("all").isNull(), "clean-only").otherwise("render").alias("kind"), F.coalesce(F.size("all"), F.lit(0)).alias("n_bubbles"), F.coalesce(F.col("all.t"), F.array().cast("array<string>")).alias("texts"))
 
 
+def manual_bubbles(cached: DataFrame, active: DataFrame, cached_pages: DataFrame | None = None) -> DataFrame:
+    """Manual bubbles (is_manual) of each page: from the cache where it has the page, else from the active set. ``cached_pages``
+    names the pages of the cache if some of them have no bubbles."""
+    held = (cached if cached_pages is None else cached_pages).select("page_id").distinct()
+    return cached.where("is_manual").unionByName(active.where("is_manual").join(held, "page_id", "left_anti"))
+
+
 def build_requests(bubbles: DataFrame, prompt: Column) -> DataFrame:
     """One payload a page: the prompt, and the texts by idx as a JSON array."""
     body = F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("idx", "t"))), lambda x: F.struct(x["t"].alias("t"))))
@@ -55,6 +62,27 @@ def validate(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return df.withColumn("violations", F.array_compact(broken))
 
 
+def required_string(c: str) -> Column:
+    return F.coalesce(F.length(F.trim(c)) > 0, F.lit(False))
+
+
+def finite_within(c: str, least: float | None = None, most: float | None = None) -> Column:
+    """A number that is finite and within the bounds given."""
+    x = F.col(c).cast("double")
+    ok = x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    return ok & (F.lit(True) if least is None else x >= least) & (F.lit(True) if most is None else x <= most)
+
+
+def hex_digits(c: str, n: int) -> Column:
+    return F.col(c).rlike(f"^[0-9a-f]{{{n}}}$")
+
+
+def split_valid(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """(rows that keep all rules, the others with their ``violations``)."""
+    judged = validate(df, rules)
+    return judged.where(F.size("violations") == 0).drop("violations"), judged.where(F.size("violations") > 0)
+
+
 def dimension_mismatch(left: DataFrame, right: DataFrame) -> DataFrame:
     """Pages whose two images differ in size, or have a size that isn't positive."""
     a = left.select("page_id", F.col("width").alias("w1"), F.col("height").alias("h1"))

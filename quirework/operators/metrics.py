@@ -88,13 +88,17 @@ def page_legend(regions: DataFrame) -> DataFrame:
     return regions.groupBy("page_id").agg(n_if(F.col("status") == "repaired").alias("clean"), n_if(F.col("status") == "needs_review").alias("review"), n_if(F.col("status") == "preserved").alias("protected"), F.min_by("page_role", "ord").alias("page_role"))
 
 
-def residual_score(pixels: DataFrame, strokes: DataFrame) -> DataFrame:
+def residual_score(pixels: DataFrame, strokes: DataFrame, ocr: DataFrame | None = None) -> DataFrame:
     """0.75 * mean probability + 0.25 * min(1, strokes / max(1, n / 64)) per region, in [0, 1]; strokes are components of at
-    least 3 pixels."""
+    least 3 pixels. Regions with a reading in ``ocr`` (page_id, region, ocr) are blended with it, 0.75 to 0.25."""
     p = pixels.groupBy("page_id", "region").agg(F.avg("prob").alias("mean"), F.count("*").alias("n"))
     s = strokes.groupBy("page_id", "region").agg(F.count_if(F.col("area") >= 3).alias("strokes"))
     score = d(0.75) * F.col("mean") + d(0.25) * F.least(d(1), F.coalesce("strokes", F.lit(0)) / F.greatest(d(1), F.col("n") / 64))
-    return p.join(s, ["page_id", "region"], "left").select("page_id", "region", clip(score).alias("residual"))
+    out = p.join(s, ["page_id", "region"], "left").select("page_id", "region", score.alias("base"))
+    if ocr is None:
+        return out.select("page_id", "region", clip(F.col("base")).alias("residual"))
+    blended = F.when(F.col("ocr").isNull(), F.col("base")).otherwise(d(0.75) * F.col("base") + d(0.25) * clip(F.col("ocr")))
+    return out.join(ocr.select("page_id", "region", "ocr"), ["page_id", "region"], "left").select("page_id", "region", clip(blended).alias("residual"))
 
 
 def text_coverage(boxes: DataFrame) -> DataFrame:
@@ -116,5 +120,11 @@ def stage_timings(events: DataFrame, stages: list[str], key: str = "page_id") ->
     return wide.withColumn("total", total)
 
 
+def stage_percentiles(timings: DataFrame, stages: list[str]) -> DataFrame:
+    """Over the rows of ``stage_timings``: median and 95th percentile of each stage and of the total, a row each."""
+    each = F.explode(F.array(*(F.struct(F.lit(s).alias("stage"), F.col(s).alias("ms")) for s in [*stages, "total"]))).alias("x")
+    return timings.select(each).groupBy("x.stage").agg(F.percentile("x.ms", 0.5).alias("median_ms"), F.percentile("x.ms", 0.95).alias("p95_ms"))
+
+
 def slice_tally(tiles: DataFrame) -> DataFrame:
     return tiles.groupBy("page_id").agg(n_if(F.col("status") != "malformed").alias("ok"), F.count("*").alias("tiles")).withColumn("failed", F.col("ok") == 0)

@@ -33,11 +33,22 @@ def zonal_stats(pixels: DataFrame, zones: DataFrame) -> DataFrame:
 
 
 def page_stats(pixels: DataFrame, sample_stride: int = 1) -> DataFrame:
+    """Shares of light, dark and middle grey, contrast, and how upright the page is, 0 to 1. With channels ``r``, ``g``, ``b``
+    (0 to 255) also mean saturation and mean spread of a pixel's channels."""
+    size = pixels.groupBy("page_id").agg((F.max("x") + 1).alias("pw"), (F.max("y") + 1).alias("ph")) if sample_stride > 1 else None
     if sample_stride > 1:
         pixels = pixels.where((F.col("x") % sample_stride == 0) & (F.col("y") % sample_stride == 0))
     share = lambda c: F.avg(c.cast("double"))
     v = F.col("v")
-    return pixels.groupBy("page_id").agg(share(v >= 238).alias("white"), share(v <= 55).alias("dark"), share((v > 60) & (v < 220)).alias("midtone"), (F.stddev_pop("v") / 96).alias("contrast"), F.when(F.max("y") > F.max("x"), d(1)).otherwise(d(0)).alias("portrait"))
+    colour = []
+    if {"r", "g", "b"} <= set(pixels.columns):
+        top, low, mean = F.greatest("r", "g", "b"), F.least("r", "g", "b"), (F.col("r") + F.col("g") + F.col("b")) / 3
+        apart = F.sqrt(sum(((F.col(c) - mean) * (F.col(c) - mean) for c in "rgb"), F.lit(0)) / 3)
+        colour = [F.avg(F.when(top == 0, d(0)).otherwise(F.round(255 * (top - low) / top) / 255)).alias("saturation"), (F.avg(apart) / 120).alias("channel_spread")]
+    out = pixels.groupBy("page_id").agg(share(v >= 238).alias("white"), share(v <= 55).alias("dark"), share((v > 60) & (v < 220)).alias("midtone"), (F.stddev_pop("v") / 96).alias("contrast"), *colour, (F.max("x") + 1).alias("pw"), (F.max("y") + 1).alias("ph"))
+    if size is not None:
+        out = out.drop("pw", "ph").join(size, "page_id")
+    return out.withColumn("portrait", clip((F.col("ph") / F.col("pw") - 1) / 0.8)).drop("pw", "ph")
 
 
 def page_profile(pixels: DataFrame, dark: int = 128) -> DataFrame:
@@ -50,11 +61,12 @@ def page_profile(pixels: DataFrame, dark: int = 128) -> DataFrame:
 
 
 def raster_diff(original: DataFrame, cleaned: DataFrame, support: DataFrame, protected: DataFrame) -> DataFrame:
-    """Changed pixels per page, those outside the support and inside protected masks (pixel tables), and identity."""
+    """Changed pixels per page, those outside the support and inside protected masks (pixel tables), and identity. A pixel that
+    one side lacks is changed."""
     at = ["page_id", "y", "x"]
-    both = original.join(cleaned.withColumnRenamed("v", "v2"), at)
+    both = original.select(*at, "v").join(cleaned.select(*at, F.col("v").alias("v2")), at, "full")
     both = both.join(support.select(*at).distinct().withColumn("s", F.lit(True)), at, "left").join(protected.select(*at).distinct().withColumn("p", F.lit(True)), at, "left")
-    c = F.col("v") != F.col("v2")
+    c = ~F.col("v").eqNullSafe(F.col("v2"))
     return both.groupBy("page_id").agg(F.count_if(c).alias("changed"), F.count_if(c & F.col("s").isNull()).alias("outside"), F.count_if(c & F.col("p").isNotNull()).alias("inside_protected"), (F.count_if(c) == 0).alias("identical"))
 
 
@@ -72,13 +84,19 @@ def mask_subtract(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def zone_texture(pixels: DataFrame, zones: DataFrame) -> DataFrame:
-    """Entropy in bits, mean distance to the median, and share below 80, from a histogram per zone."""
-    h = in_zones(pixels, zones).groupBy("page_id", "zone_id", "v").agg(F.count("*").alias("n"))
+    """Entropy in bits, mean distance to the median, and share below 80, from a histogram per zone. With gradients ``gx``, ``gy`` of
+    the pixels also ``coherence``: the length of their sum by the sum of their lengths, 0 where there is none."""
+    inside = in_zones(pixels, zones)
+    h = inside.groupBy("page_id", "zone_id", "v").agg(F.count("*").alias("n"))
     key = ["page_id", "zone_id"]
     t = h.groupBy(*key).agg(F.sum("n").alias("t"), F.expr("percentile(v, 0.5, n)").alias("mid"))
     j = h.join(t, key)
     p = F.col("n") / F.col("t")
-    return j.groupBy(*key).agg((-F.sum(p * F.log2(p))).alias("entropy"), (F.sum(F.abs(F.col("v") - F.col("mid")) * F.col("n")) / F.first("t")).alias("spread"), (F.sum(F.when(F.col("v") < 80, F.col("n")).otherwise(0)) / F.first("t")).alias("dark_share"))
+    out = j.groupBy(*key).agg((-F.sum(p * F.log2(p))).alias("entropy"), (F.sum(F.abs(F.col("v") - F.col("mid")) * F.col("n")) / F.first("t")).alias("spread"), (F.sum(F.when(F.col("v") < 80, F.col("n")).otherwise(0)) / F.first("t")).alias("dark_share"))
+    if not {"gx", "gy"} <= set(pixels.columns):
+        return out
+    g = inside.groupBy(*key).agg(F.hypot(F.sum("gx"), F.sum("gy")).alias("along"), F.sum(F.hypot("gx", "gy")).alias("all"))
+    return out.join(g.select(*key, F.when(F.col("all") <= 1e-6, d(0)).otherwise(F.least(d(1), F.col("along") / F.col("all"))).alias("coherence")), key)
 
 
 def backing_uniformity(pixels: DataFrame, mask: DataFrame, zones: DataFrame) -> DataFrame:

@@ -486,12 +486,13 @@ def review_selection(r):
     return curate.review_selection(_scored(r), 25)
 
 
-_STRATA = f"""{_SCORED}, u AS (SELECT * FROM cat QUALIFY row_number() OVER (PARTITION BY content_sha ORDER BY tie DESC, path_hash) = 1),
+_STRATA = f"""{_SCORED}, u AS (SELECT * FROM cat),
 pick(k, paths, shas) AS (SELECT 0, CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]) UNION ALL
-    SELECT k + 1, list_append(paths, b.path_hash), list_append(shas, b.content_sha) FROM (SELECT p.k, p.paths, p.shas, (SELECT arg_max({{'path_hash': u.path_hash, 'content_sha': u.content_sha}}, {{'a': u.s[p.k + 1], 'b': u.tie}}) FROM u WHERE NOT list_contains(p.paths, u.path_hash)) AS b FROM pick p WHERE p.k < 9)),
-done AS (SELECT paths FROM pick WHERE k = 9), first AS (SELECT path_hash, i FROM (SELECT unnest(paths) AS path_hash, unnest(range(1, 10)) AS i FROM done)),
-rest AS (SELECT path_hash, content_sha, category FROM u WHERE path_hash NOT IN (SELECT path_hash FROM first) ORDER BY tie DESC, path_hash LIMIT 21),
-chosen AS (SELECT f.path_hash, u.content_sha, u.n[f.i] AS category FROM first f JOIN u USING (path_hash) UNION ALL SELECT * FROM rest)"""
+    SELECT k + 1, list_append(paths, b.path_hash), list_append(shas, b.content_sha) FROM (SELECT p.k, p.paths, p.shas, (SELECT arg_max({{'path_hash': u.path_hash, 'content_sha': u.content_sha}}, {{'a': u.s[p.k + 1], 'b': u.tie}}) FROM u WHERE NOT list_contains(p.paths, u.path_hash) AND NOT list_contains(p.shas, u.content_sha)) AS b FROM pick p WHERE p.k < 9)),
+done AS (SELECT paths, shas FROM pick WHERE k = 9), first AS (SELECT unnest(paths) AS path_hash, unnest(shas) AS content_sha, unnest(range(1, 10)) AS i FROM done),
+once AS (SELECT * FROM u WHERE path_hash NOT IN (SELECT path_hash FROM first) AND content_sha NOT IN (SELECT content_sha FROM first) QUALIFY row_number() OVER (PARTITION BY content_sha ORDER BY tie DESC, path_hash) = 1),
+rest AS (SELECT path_hash, content_sha, category FROM once ORDER BY tie DESC, path_hash LIMIT 21),
+chosen AS (SELECT f.path_hash, f.content_sha, names.n[f.i] AS category FROM first f CROSS JOIN names UNION ALL SELECT * FROM rest)"""
 
 
 @query(f"WITH {_STRATA} SELECT path_hash, content_sha, category FROM chosen")
@@ -521,3 +522,23 @@ def manifest_checks(r):
 def verify_inventory(r):
     c = r.candidates.select(F.col("doc_id").alias("id"), F.col("content_sha").alias("sha"))
     return curate.verify_inventory(c.where("id % 4 <> 0"), c.where("id % 3 <> 0").withColumn("sha", F.when(F.col("id") % 9 == 2, "x").otherwise(F.col("sha"))))
+
+
+@query("""SELECT page_id, idx, t FROM lines WHERE page_id % 3 = 0 AND idx % 2 = 0 AND page_id % 5 < 3
+UNION ALL SELECT page_id, idx, t FROM lines WHERE page_id % 2 = 0 AND idx % 4 < 2 AND page_id NOT IN (SELECT page_id FROM lines WHERE page_id % 3 = 0 AND page_id % 5 < 3)""")
+def manual_bubbles(r):
+    cached = r.lines.where("page_id % 3 = 0 AND page_id % 5 < 3").select("page_id", "idx", "t", (F.col("idx") % 2 == 0).alias("is_manual"))
+    active = r.lines.where("page_id % 2 = 0").select("page_id", "idx", "t", (F.col("idx") % 4 < 2).alias("is_manual"))
+    return ingest.manual_bubbles(cached, active).select("page_id", "idx", "t")
+
+
+@query("SELECT page_id, box_id, round(1e3 * (20 + y / 1e3 * 400) / page_h, 9) AS y1, round(1e3 * (30 + x / 1e3 * 300) / page_w, 9) AS x1 FROM boxes")
+def crop_to_page(r):
+    crops = r.boxes.withColumns({"box": F.array("y", "x", "y", "x"), "sx": F.lit(30), "sy": F.lit(20), "tile_w": F.lit(300), "tile_h": F.lit(400)})
+    out = B.tile_to_page(crops, whole=False)
+    return out.select("page_id", "box_id", F.round(F.col("box")[0], 9).alias("y1"), F.round(F.col("box")[1], 9).alias("x1"))
+
+
+@query("SELECT page_id, box_id, sha256(CAST(page_id AS VARCHAR) || CAST(box_id AS VARCHAR) || CAST(sk AS VARCHAR)) AS key FROM boxes")
+def retry_key(r):
+    return r.boxes.select("page_id", "box_id", X.retry_key(F.col("page_id"), F.col("box_id"), F.col("sk").cast("string")).alias("key"))

@@ -147,7 +147,7 @@ def zonal_stats(r):
     return raster.zonal_stats(r.raster, r.rects)
 
 
-@query("SELECT page_id, avg(CASE WHEN v >= 238 THEN 1e0 ELSE 0 END) AS white, avg(CASE WHEN v <= 55 THEN 1e0 ELSE 0 END) AS dark, avg(CASE WHEN v > 60 AND v < 220 THEN 1e0 ELSE 0 END) AS midtone, round(stddev_pop(v) / 96, 9) AS contrast, CASE WHEN max(y) > max(x) THEN 1e0 ELSE 0e0 END AS portrait FROM raster GROUP BY page_id")
+@query("SELECT page_id, avg(CASE WHEN v >= 238 THEN 1e0 ELSE 0 END) AS white, avg(CASE WHEN v <= 55 THEN 1e0 ELSE 0 END) AS dark, avg(CASE WHEN v > 60 AND v < 220 THEN 1e0 ELSE 0 END) AS midtone, round(stddev_pop(v) / 96, 9) AS contrast, least(1e0, greatest(0e0, ((max(y) + 1) / CAST(max(x) + 1 AS DOUBLE) - 1) / 8e-1)) AS portrait FROM raster GROUP BY page_id")
 def page_stats(r):
     return raster.page_stats(r.raster).withColumn("contrast", F.round("contrast", 9))
 

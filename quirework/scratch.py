@@ -12,9 +12,12 @@ _own: list[str] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a local one of our own where it is unset (tests)."""
+    """The shared folder named by ``spark.checkpoint.dir``; a local one of our own where it is unset and the
+    master is local (tests). On a cluster it must be set."""
     if root := spark.conf.get("spark.checkpoint.dir", None):
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="quirework-"))
     return _own[0]

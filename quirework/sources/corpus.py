@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,18 +39,19 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_report(summary: DataFrame, pages: DataFrame, path: str) -> None:
-    """One nested JSON document: the summary row, and its pages. For reports of a bounded number of pages."""
-    nested = pages.agg(F.sort_array(F.collect_list(F.struct(*sorted(pages.columns)))).alias("pages"))
-    one = summary.select(F.struct(*sorted(summary.columns)).alias("summary")).withColumn("k", F.lit(1)).join(nested.withColumn("k", F.lit(1)), "k").drop("k")
-    one.coalesce(1).write.mode("overwrite").json(path)
+    """JSON: the summary row below ``summary``, and the pages, one object a line, in as many files as they have partitions below
+    ``pages``. Keys are sorted."""
+    summary.select(*sorted(summary.columns)).coalesce(1).write.mode("overwrite").json(f"{path}/summary")
+    pages.select(*sorted(pages.columns)).write.mode("overwrite").json(f"{path}/pages")
 
 
 def store_if_absent(spark: SparkSession, new: DataFrame, path: str, key: str = "key") -> None:
     """Append rows whose key isn't stored yet; the commit protocol publishes whole files only."""
     try:
         held = spark.read.schema(new.schema).parquet(path)
-        held.limit(0).count()
-    except Exception:  # noqa: BLE001  nothing stored yet
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         held = new.limit(0)
     cache_put(held, new, key).write.mode("append").parquet(path)
 

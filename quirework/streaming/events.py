@@ -6,8 +6,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
@@ -27,6 +29,11 @@ def _rank(status):
     return out
 
 
+def _expire(state: GroupState, at_ms: int, expire_ms: int) -> None:
+    """Let the state go when the watermark is ``expire_ms`` past ``at_ms``."""
+    state.setTimeoutTimestamp(max(int(at_ms) + expire_ms, state.getCurrentWatermarkMs() + 1))
+
+
 def job_state(events: DataFrame) -> DataFrame:
     """Batch: state of each job (job_id, ts, event_id, status). The first terminal event sticks and freezes the elapsed time;
     before one, the furthest status counts, and among equal ones the latest."""
@@ -38,10 +45,14 @@ def job_state(events: DataFrame) -> DataFrame:
     return s.select("job_id", F.coalesce("end.status", "go.status").alias("status"), (micros(last) - micros(F.col("begun"))).alias("elapsed_us"), F.col("end").isNotNull().alias("final"))
 
 
-def job_state_stream(events: DataFrame) -> DataFrame:
-    """Streaming twin: a row for each job and micro-batch that changed it. State is a few numbers a job."""
+def job_state_stream(events: DataFrame, expire_ms: int = 86_400_000, delay: str = "1 day") -> DataFrame:
+    """Streaming twin: a row for each job and micro-batch that changed it. State is a few numbers a job, dropped when the job had no
+    event for ``expire_ms`` by the watermark, which is ``delay`` behind."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         begun, seen, status, rank, at, end = state.get if state.exists else (None, None, None, -1, None, None)
         for batch in batches:
             for ts, event_id, new in zip(batch["ts"].astype("int64") // 1000, batch["event_id"], batch["status"], strict=True):
@@ -53,10 +64,11 @@ def job_state_stream(events: DataFrame) -> DataFrame:
                 elif end is None and (RANK.get(new, -1), *order) > (rank, *(at or (0, 0))):
                     rank, at, status = RANK.get(new, -1), [*order], new
         state.update((begun, seen, status, rank, at, end))
+        _expire(state, seen // 1000, expire_ms)
         last = end[0] if end else seen
         yield pd.DataFrame({"job_id": [key[0]], "status": [status], "elapsed_us": [last - begun], "final": [end is not None]})
 
-    return events.groupBy("job_id").applyInPandasWithState(step, "job_id long, status string, elapsed_us long, final boolean", "begun long, seen long, status string, rank int, at array<long>, end array<long>", "update", GroupStateTimeout.NoTimeout)
+    return events.withWatermark("ts", delay).groupBy("job_id").applyInPandasWithState(step, "job_id long, status string, elapsed_us long, final boolean", "begun long, seen long, status string, rank int, at array<long>, end array<long>", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def stage_durations(events: DataFrame) -> DataFrame:
@@ -73,6 +85,34 @@ def watchdog(starts: DataFrame, ends: DataFrame, seconds: int) -> DataFrame:
     return starts.join(first, "id", "left").select("id", F.when(on_time, "published").when(F.col("done").isNotNull(), "late").otherwise("missing").alias("outcome"))
 
 
+def watchdog_stream(starts: DataFrame, ends: DataFrame, seconds: int, delay: str = "1 minute") -> DataFrame:
+    """Streaming twin: (id, published). A start is published when a completion within ``seconds`` of it arrives, and fails when the
+    watermark has passed that time without one; then both leave the state. Each completion in time gives a row."""
+    s = starts.select("id", "ts").withWatermark("ts", delay)
+    e = ends.select(F.col("id").alias("of"), F.col("ts").alias("done")).withWatermark("done", delay)
+    within = (F.col("id") == F.col("of")) & (F.col("done") >= F.col("ts")) & F.expr(f"done <= ts + INTERVAL {int(seconds)} SECONDS")
+    return s.join(e, within, "left").select("id", F.col("done").isNotNull().alias("published"))
+
+
+def drop_stale_stream(results: DataFrame, expire_ms: int = 86_400_000, delay: str = "1 day") -> DataFrame:
+    """Streaming twin of ``drop_stale`` (page_id, ts, event_id, token): the state is one token a page, dropped when the page had no
+    result for ``expire_ms`` by the watermark, which is ``delay`` behind."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        newest = state.get[0] if state.exists else None
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"], kind="stable")
+        best = rows["token"].cummax() if newest is None else rows["token"].cummax().clip(lower=newest)
+        state.update((int(best.iloc[-1]),))
+        _expire(state, rows["ts"].max().value // 1_000_000, expire_ms)
+        yield rows[rows["token"] >= best]
+
+    rows = results.select("page_id", "ts", "event_id", F.col("token").cast("long").alias("token"))
+    return rows.withWatermark("ts", delay).groupBy("page_id").applyInPandasWithState(step, rows.schema, "newest long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def debounce_last(edits: DataFrame, quiet: str, key: str = "key") -> DataFrame:
     """The last value of each burst of a key: bursts end after ``quiet`` without an edit. Works on streams (complete mode)."""
     return edits.groupBy(key, F.session_window("ts", quiet).alias("w")).agg(F.max_by("value", F.struct("ts", "event_id")).alias("value"), F.count("*").alias("n")).select(key, F.col("w.start").alias("begun"), "value", "n")
@@ -99,23 +139,45 @@ def invalidate_derived(derived: DataFrame, recleans: DataFrame) -> DataFrame:
 
 def replay_edits(log: DataFrame, depth: int = 50) -> DataFrame:
     """Value that each edit log (session_id, page_id, seq, op, value) ends on: push, undo, redo, clear. A push cuts what could be
-    redone; at most ``depth`` entries are kept. One ordered fold per session and page."""
-    item = F.struct("seq", "op", "value")
-    folded = log.groupBy("session_id", "page_id").agg(F.array_sort(F.collect_list(item)).alias("ops"))
-    start = F.struct(F.array().cast("array<string>").alias("stack"), F.lit(0).alias("at"))
-
-    def step(acc, e):
-        pushed = F.concat(F.slice(acc["stack"], 1, acc["at"]), F.array(e["value"]))
-        kept = F.when(F.size(pushed) > depth, F.slice(pushed, 2, depth)).otherwise(pushed)
-        return (
-            F.when(e["op"] == "push", F.struct(kept.alias("stack"), F.size(kept).alias("at")))
-            .when(e["op"] == "undo", F.struct(acc["stack"].alias("stack"), F.greatest(F.lit(0), acc["at"] - 1).alias("at")))
-            .when(e["op"] == "redo", F.struct(acc["stack"].alias("stack"), F.least(F.size(acc["stack"]), acc["at"] + 1).alias("at")))
-            .otherwise(start)
-        )
-
-    s = F.aggregate("ops", start, step)
-    return folded.select("session_id", "page_id", s.alias("s")).select("session_id", "page_id", F.when(F.col("s.at") > 0, F.element_at("s.stack", F.col("s.at"))).alias("value"), F.size("s.stack").alias("depth"))
+    redone; at most ``depth`` entries are kept. Logs are sorted within partitions and folded row by row, so a task holds one
+    log's stack, however long the log."""
+    keys = ["session_id", "page_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, stack, at, out = None, [], 0, []
+
+        def done() -> list[tuple]:
+            return [] if key is None else [(*key, stack[at - 1] if at else None, len(stack))]
+
+        for batch in batches:
+            for *new, op, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if new != key:
+                    out += done()
+                    key, stack, at = new, [], 0
+                if op == "push":
+                    stack = [*stack[:at], value][-depth:]
+                    at = len(stack)
+                elif op == "undo":
+                    at = max(0, at - 1)
+                elif op == "redo":
+                    at = min(len(stack), at + 1)
+                else:
+                    stack, at = [], 0
+            yield batch_of(out)
+            out = []
+        yield batch_of(done())
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    rows = log.select(*keys, "op", F.col("value").cast("string").alias("value"), "seq").repartition(*keys).sortWithinPartitions(*keys, "seq", "op", "value").drop("seq")
+    result = T.StructType([*(rows.schema[k] for k in keys), T.StructField("value", T.StringType()), T.StructField("depth", T.IntegerType())])
+    target = to_arrow_schema(result)
+
+    def batch_of(found: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*found, strict=True)) or [[]] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, target, strict=True)], schema=target)
+
+    return rows.mapInArrow(run, result)
 
 
 def job_throughput(events: DataFrame, length: str, slide: str | None = None, delay: str | None = None) -> DataFrame:

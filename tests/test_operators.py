@@ -153,3 +153,100 @@ def test_lookup_url_finds_names_within_stretches(spark):
     assert sorted(map(tuple, state.lookup_url(w, i).collect())) == [(1, 2, 2), (2, 4, 1), (3, 6, 2), (7, 2, 2)]
     named = spark.createDataFrame([(1, "u", "a/page0"), (2, "u", "page")], "id int, url string, name string")
     assert [tuple(r) for r in state.lookup_url(named, i).collect()] == [(1, 4, 2)]
+
+
+def test_components_within_pages(spark):
+    from quirework.graph import components_within
+
+    edges = [(1, 1, 2), (1, 5, 4), (1, 2, 4), (2, 1, 2), (2, 8, 9), (3, 7, 3)]
+    got = components_within(spark.createDataFrame(edges, "page_id long, src int, dst int"), "page_id").collect()
+    assert sorted(map(tuple, got)) == [(1, 1, 1), (1, 2, 1), (1, 4, 1), (1, 5, 1), (2, 1, 1), (2, 2, 1), (2, 8, 8), (2, 9, 8), (3, 3, 3), (3, 7, 3)]
+    assert components_within(spark.createDataFrame([], "page_id long, src int, dst int"), "page_id").count() == 0
+
+
+def test_page_stats_of_upright_coloured_pages(spark):
+    from quirework.operators import raster
+
+    pixels = [(1, y, x, 100, 200, 100, 0) for y in range(14) for x in range(10)] + [(2, y, x, 0, 0, 0, 0) for y in range(4) for x in range(8)]
+    got = {r.page_id: r for r in raster.page_stats(spark.createDataFrame(pixels, "page_id long, y int, x int, v int, r int, g int, b int")).collect()}
+    assert abs(got[1].portrait - 0.5) < 1e-9 and got[2].portrait == 0 and got[1].saturation == 1 and got[2].saturation == 0
+    assert abs(got[1].channel_spread - (20000 / 3) ** 0.5 / 120) < 1e-9
+
+
+def test_missing_pixels_count_as_changed(spark):
+    from quirework.operators import raster
+
+    a = spark.createDataFrame([(1, 0, 0, 5), (1, 0, 1, 5)], "page_id long, y int, x int, v int")
+    none = a.where("false")
+    r = raster.raster_diff(a, a.where("x = 0"), a.where("x = 0"), none).collect()[0]
+    assert (r.changed, r.outside, r.identical) == (1, 1, False)
+
+
+def test_zone_coherence_and_ocr_blend(spark):
+    from quirework.operators import metrics, raster
+
+    px = spark.createDataFrame([(1, 0, x, 9, 3.0, 4.0 if x else -4.0) for x in range(2)], "page_id long, y int, x int, v int, gx double, gy double")
+    zone = spark.createDataFrame([(1, 0, 0.0, 0.0, 2.0, 1.0)], "page_id long, zone_id int, zx double, zy double, zw double, zh double")
+    assert abs(raster.zone_texture(px, zone).collect()[0].coherence - 0.6) < 1e-9
+    probs = spark.createDataFrame([(1, 1, 0.4), (1, 2, 0.4)], "page_id long, region int, prob double")
+    strokes = spark.createDataFrame([(1, 1, 9)], "page_id long, region int, area int")
+    ocr = spark.createDataFrame([(1, 2, 2.0)], "page_id long, region int, ocr double")
+    got = {r.region: round(r.residual, 9) for r in metrics.residual_score(probs, strokes, ocr).collect()}
+    assert got == {1: 0.55, 2: 0.475}
+
+
+def test_selection_takes_the_better_of_one_path(spark):
+    from quirework.functions.exprs import CATEGORIES
+    from quirework.operators import curate
+
+    scores = lambda **x: {c: x.get(c.replace("-", "_"), 0.1) for c in CATEGORIES}
+    top = CATEGORIES[0].replace("-", "_")
+    rows = [("p0", "a", scores(**{top: 0.5})), ("p0", "b", scores(**{top: 0.9}))] + [(f"p{i}", f"c{i}", scores()) for i in range(1, 12)]
+    df = spark.createDataFrame(rows, "path_hash string, content_sha string, scores map<string,double>")
+    got = curate.stratified_select(df, 10).collect()
+    assert len(got) == 10 and len({r.path_hash for r in got}) == 10 and ("b", CATEGORIES[0]) in {(r.content_sha, r.category) for r in got}
+
+
+def test_streams_of_watchdog_and_tokens(spark, tmp_path):
+    import datetime as dt
+
+    from quirework.streaming import events as E
+
+    at = lambda s: dt.datetime(2026, 1, 1) + dt.timedelta(seconds=s)
+    spark.createDataFrame([(1, at(0)), (2, at(1)), (3, at(900))], "id long, ts timestamp").write.parquet(f"{tmp_path}/starts")
+    spark.createDataFrame([(1, at(5)), (1, at(6)), (2, at(300)), (3, at(901))], "id long, ts timestamp").write.parquet(f"{tmp_path}/ends")
+    read = lambda name, schema: spark.readStream.schema(schema).parquet(f"{tmp_path}/{name}")
+    out = E.watchdog_stream(read("starts", "id long, ts timestamp"), read("ends", "id long, ts timestamp"), 30)
+    q = out.writeStream.format("memory").queryName("dogs").outputMode("append").option("checkpointLocation", f"{tmp_path}/c1").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert {(r.id, r.published) for r in spark.table("dogs").collect()} == {(1, True), (2, False), (3, True)}
+    rows = [(7, at(1), 1, 10), (7, at(2), 2, 9), (7, at(3), 3, 12), (7, at(4), 4, 12), (8, at(1), 5, 1)]
+    schema = "page_id long, ts timestamp, event_id long, token long"
+    table = spark.createDataFrame(rows, schema)
+    table.write.parquet(f"{tmp_path}/tokens")
+    q = E.drop_stale_stream(read("tokens", schema)).writeStream.format("memory").queryName("tokens").outputMode("append").option("checkpointLocation", f"{tmp_path}/c2").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    batch = E.drop_stale(table, table).select("page_id", "event_id")
+    assert sorted((r.page_id, r.event_id) for r in spark.table("tokens").collect()) == sorted(map(tuple, batch.collect())) == [(7, 1), (7, 3), (7, 4), (8, 5)]
+
+
+def test_sources_and_sinks(spark, tmp_path):
+    from quirework.operators import ingest
+    from quirework.sources import corpus
+
+    (tmp_path / "m.json").write_text('{"pages": [{"path": "a.png", "n": 1}, {"path": "b.png", "n": 2}]}')
+    (tmp_path / "l.json").write_text('{"labels": {"x": "reject"}}')
+    (tmp_path / "k.json").write_text('{"y": "original_comic"}')
+    assert [tuple(r) for r in corpus.read_pages(spark, str(tmp_path / "m.json"), "path:string,n:int").collect()] == [("a.png", 1), ("b.png", 2)]
+    assert [tuple(r) for n in "lk" for r in corpus.read_labels(spark, str(tmp_path / f"{n}.json")).collect()] == [("x", "reject"), ("y", "original_comic")]
+    pages = spark.range(20).withColumnRenamed("id", "page_id").repartition(4)
+    corpus.write_report(pages.selectExpr("count(*) AS n"), pages, str(tmp_path / "r"))
+    assert spark.read.json(f"{tmp_path}/r/summary").first().n == 20 and spark.read.json(f"{tmp_path}/r/pages").count() == 20
+    change = lambda v: spark.createDataFrame([("k", v, v), ("j", 0, v)], "key string, v int, at int")
+    for v in (1, 2):
+        latest = corpus.upsert(spark, change(v), f"{tmp_path}/store", ["key"], ["at"])
+    assert {r.key: r.at for r in latest.collect()} == {"k": 2, "j": 2}
+    rules = {"name": ingest.required_string("name"), "score": ingest.finite_within("score", 0, 1), "sha": ingest.hex_digits("sha", 4)}
+    rows = spark.createDataFrame([("a", 0.5, "00ff"), (" ", float("nan"), "XY"), (None, 2.0, None)], "name string, score double, sha string")
+    valid, bad = ingest.split_valid(rows, rules)
+    assert valid.count() == 1 and [r.violations for r in bad.collect()] == [["name", "score", "sha"]] * 2
