@@ -22,8 +22,8 @@ from ..scratch import keep
 
 #: Nats per character by which the random model must be likelier.
 THRESHOLD = 0.5
-#: Nats in all by which the random model must be likelier.
-LEAST = 8.0
+#: Nats in all by which the random model must be likelier: the log odds against a secret if one run in e^12, about 160,000, is one.
+LEAST = 12.0
 MIN_RUN = 8
 #: Kind, pattern, group that is the secret, least length of it, test that must hold for any match.
 RULES = [
