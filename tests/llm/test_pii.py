@@ -1,6 +1,9 @@
 import hashlib
+import math
 import random
 import re
+import string
+from collections import defaultdict
 
 from quirework.llm import pii
 
@@ -97,3 +100,59 @@ def test_planted_links_are_found(spark, tmp_path):
     caught = sum(name in marked[i] for i, name in holds.items())
     terms = [t for x in marked.values() for t in x]
     assert caught >= 0.95 * len(holds) and sum(t in names for t in terms) >= 0.95 * len(terms) and not {*neutral} & {*terms}
+
+
+def brute_terms(texts):
+    """The spans of terms that disclose, by plain loops over all texts."""
+    edge, word = string.punctuation, re.compile(r"[^\x20\x09-\x0D]+")
+    lower = lambda x: "".join(c.lower() if c in string.ascii_uppercase else c for c in x)
+
+    def found(text, s, e):
+        for m in word.finditer(text, s, e):
+            bare = m[0].strip(edge)
+            at = m.start() + len(m[0]) - len(m[0].lstrip(edge))
+            if len(bare.encode()) >= 3 and any(c.isalpha() for c in bare):
+                yield lower(bare), at, at + len(bare)
+
+    near, around, holders, df = defaultdict(set), defaultdict(set), defaultdict(set), defaultdict(set)
+    for i, text in enumerate(texts):
+        text = text or ""
+        spans = [(k, m.start(), m.end()) for k, p, ok in RULES for m in re.finditer(p, text) if ok(m)]
+        for term, _, _ in found(text, 0, len(text)):
+            df[term].add(i)
+        for kind, s, e in spans:
+            value = text[s:e].lower()
+            entity = kind, re.sub("[^0-9]", "", value) if kind in ("card", "phone") else ".".join(str(int(x)) for x in value.split(".")) if kind == "ip" else value
+            left, right = text.rfind("\n", 0, s) + 1, (text + "\n").index("\n", e)
+            before, after = list(word.finditer(text, left, s))[-5:], list(word.finditer(text, e, right))[:5]
+            a, b = before[0].start() if len(before) == 5 else left, after[-1].end() if len(after) == 5 else right
+            for term, x, y in [*found(text, a, s), *found(text, e, b)]:
+                if not any(p < y and x < q for _, p, q in spans):
+                    near[term, entity].add(i)
+                    around[term, entity].add((text[a:s], text[e:b]))
+                    holders[entity].add(i)
+    marked = set()
+    for (term, entity), docs in near.items():
+        n = len(df[term])
+        p = min(1, len(docs) / n)
+        sure = (p + 1 / (2 * n) - math.sqrt(p * (1 - p) / n + 1 / (4 * n * n))) / (1 + 1 / n)
+        if len(around[term, entity]) >= 2 and sure >= 0.5 and math.log2(sure * len(texts) / len(holders[entity])) >= 4:
+            marked.add(term)
+    return [[f"term:{s}:{e}" for term, s, e in found(t or "", 0, len(t or "")) if term in marked] for t in texts]
+
+
+def test_spans_of_terms_match_brute_force(spark, tmp_path):
+    rnd = random.Random(31)
+    word = lambda n: "".join(rnd.choice("abcdefghijk") for _ in range(n))
+    common = [word(4) for _ in range(60)] + ["Über", "naïve", "(x)", "it's", "of", "…", "7"]
+    people = [(word(7).capitalize(), f"{word(5)}@mail.example.com") for _ in range(12)] + [(word(7), f"+1 (988) 555-{rnd.randrange(1000, 9999)}") for _ in range(6)] + [("Ängström", "10.0.7.1")]
+    prose = lambda n: " ".join(rnd.choice(common) for _ in range(n))
+    texts = [prose(rnd.randrange(30)) for _ in range(250)]
+    for _ in range(120):
+        name, value = rnd.choice(people)
+        texts.append(rnd.choice(["{0} {2}, ({1}) {0}", "{0}\n{1} {2} {0}", "{0} {1}; {0}", "{2} {0} {1}\n{0}", "{1}:{2}"]).format(prose(rnd.randrange(9)), name, value))
+    texts += [None, "", *texts[250:270]]
+    got = run(spark, tmp_path, texts)
+    want = brute_terms(texts)
+    assert [[x for x in got[i].spans.split(",") if x.startswith("term")] for i in range(len(texts))] == want
+    assert sum(map(len, want)) > 30 and any(not x for x in want[250:])

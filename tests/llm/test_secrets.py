@@ -1,6 +1,8 @@
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 from quirework.llm import secrets
 
@@ -104,3 +106,44 @@ def test_mixed_identifiers_are_ordinary(spark, tmp_path):
     n = len(hexes) + len(plain)
     assert sum("random" in got[n + i].spans for i in range(100)) <= 5
     assert sum("random" in got[n + 100 + i].spans for i in range(100)) >= 90
+
+
+def brute_random(texts):
+    """The spans of the models, by plain loops over all texts."""
+    runs, values = [], {True: set(), False: set()}
+    for t in texts:
+        base = [(m.start(), m.end(), m) for k, p, f, ok in RULES for m in re.finditer(p, t or "", f) if ok(m)]
+        values[True] |= {m[2] if m.re.groups == 2 else m[0] for _, _, m in base}
+        found = [m for m in re.finditer(r"[A-Za-z0-9+/_-]{8,}", t or "") if not any(s < m.end() and m.start() < e for s, e, _ in base)]
+        values[False] |= {m[0] for m in found if not re.search(r"[0-9][A-Za-z]|[A-Za-z][0-9]{5}", m[0])}
+        runs.append(found)
+    pairs = {kind: Counter(p for v in vs for p in zip(v, v[1:], strict=False)) for kind, vs in values.items()}
+    first = {kind: Counter() for kind in pairs}
+    second = Counter()
+    for kind, counts in pairs.items():
+        for (a, b), n in counts.items():
+            first[kind][a] += n
+            second[b] += n if not kind else 0
+    if not pairs[True] or not pairs[False]:
+        return [[] for _ in texts]
+
+    def llr(a, b):
+        random_p = 0.5 * (pairs[True][a, b] / first[True][a] if first[True][a] else 1 / 64) + 0.5 / 64
+        single = (second[b] + 1) / (sum(second.values()) + 95)
+        return math.log(random_p) - math.log((pairs[False][a, b] + single) / (first[False][a] + 1))
+
+    return [[f"random:{m.start()}:{m.end()}" for m in found if sum(llr(*p) for p in zip(m[0], m[0][1:], strict=False)) > max(12, 0.5 * (len(m[0]) - 1))] for found in runs]
+
+
+def test_spans_of_the_models_match_brute_force(spark, tmp_path):
+    rnd = random.Random(21)
+    draw = lambda alphabet, n: "".join(rnd.choice(alphabet) for _ in range(n))
+    letters, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    word = lambda: "".join(rnd.choice(["ther", "tion", "ing", "and", "er", "com", "qua"]) for _ in range(rnd.randrange(2, 6)))
+    kinds = [word, word, word, lambda: draw(letters + digits, rnd.randrange(6, 20)), lambda: draw(letters, rnd.randrange(6, 14)), lambda: "password=" + draw(letters + digits, 12), lambda: draw("0123456789abcdef", 24), lambda: word() + "2024", lambda: "é" + word() + "-" + draw(digits, 3), lambda: "😀"]
+    texts = [" ".join(rnd.choice(kinds)() for _ in range(rnd.randrange(12))) for _ in range(300)]
+    texts += [None, "", *texts[:5]]
+    got = run(spark, texts, tmp_path)
+    want = brute_random(texts)
+    assert [[x for x in got[i].spans.split(",") if x.startswith("random")] for i in range(len(texts))] == want
+    assert sum(map(len, want)) > 100
