@@ -113,6 +113,34 @@ def drop_stale_stream(results: DataFrame, expire_ms: int = 86_400_000, delay: st
     return rows.withWatermark("ts", delay).groupBy("page_id").applyInPandasWithState(step, rows.schema, "newest long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def stage_durations_stream(events: DataFrame, expire_ms: int = 86_400_000, delay: str = "1 hour") -> DataFrame:
+    """Streaming twin of ``stage_durations``: an event's duration comes once the watermark, ``delay`` behind, has passed the next event of its
+    job, so late events take their place. The state is a job's events since then, and the last one before; it goes in the first
+    micro-batch without events of the job in which the watermark is ``expire_ms`` past it."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        watermark = state.getCurrentWatermarkMs()
+        held = list(zip(*state.get, strict=True)) if state.exists else []
+        if not state.hasTimedOut:
+            for batch in batches:
+                held += zip((batch["ts"].astype("int64") // 1000).tolist(), batch["event_id"].tolist(), batch["stage"].tolist(), strict=True)
+        held.sort(key=lambda e: e[:2])
+        ripe = sum(ts // 1000 < watermark for ts, *_ in held[1:])
+        out = [(key[0], event_id, stage, after[0] - ts) for (ts, event_id, stage), after in zip(held[:ripe], held[1:], strict=False)]
+        held = held[ripe:]
+        if len(held) == 1 and held[0][0] // 1000 + expire_ms < watermark:
+            state.remove()
+        else:
+            state.update(tuple(map(list, zip(*held, strict=True))))
+            # The next event that becomes ripe, or the end of the last one's time.
+            wake = held[1][0] // 1000 + 1 if len(held) > 1 else held[0][0] // 1000 + expire_ms
+            state.setTimeoutTimestamp(max(wake, watermark + 1))
+        yield pd.DataFrame(out, columns=["job_id", "event_id", "stage", "duration_us"])
+
+    rows = events.select("job_id", "ts", "event_id", "stage")
+    return rows.withWatermark("ts", delay).groupBy("job_id").applyInPandasWithState(step, "job_id long, event_id long, stage string, duration_us long", "ts array<long>, event_id array<long>, stage array<string>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def debounce_last(edits: DataFrame, quiet: str, key: str = "key") -> DataFrame:
     """The last value of each burst of a key: bursts end after ``quiet`` without an edit. Works on streams (complete mode)."""
     return edits.groupBy(key, F.session_window("ts", quiet).alias("w")).agg(F.max_by("value", F.struct("ts", "event_id")).alias("value"), F.count("*").alias("n")).select(key, F.col("w.start").alias("begun"), "value", "n")
@@ -137,6 +165,70 @@ def invalidate_derived(derived: DataFrame, recleans: DataFrame) -> DataFrame:
     return derived.join(last, "page_id", "left").withColumn("valid", F.col("_at").isNull() | (F.col("ts") > F.col("_at"))).drop("_at")
 
 
+def invalidate_derived_stream(derived: DataFrame, recleans: DataFrame, expire_ms: int = 86_400_000, delay: str = "1 day") -> DataFrame:
+    """Streaming twin (page_id, event_id, valid): a row for each derived row when it comes, and one more if a later re-clean of its page
+    makes it invalid. The state of a page is its last re-clean and the rows still valid, dropped when the page had neither for
+    ``expire_ms`` by the watermark, which is ``delay`` behind."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last, seen, ids, times = state.get if state.exists else (None, 0, [], [])
+        fresh = []
+        for batch in batches:
+            for ts, event_id in zip((batch["ts"].astype("int64") // 1000).tolist(), batch["event_id"], strict=True):
+                seen = max(seen, ts)
+                if pd.isna(event_id):
+                    last = ts if last is None else max(last, ts)
+                else:
+                    fresh.append((int(event_id), ts))
+        valid = lambda ts: last is None or ts > last
+        gone = [i for i, ts in zip(ids, times, strict=True) if not valid(ts)]
+        kept = [(i, ts) for i, ts in [*zip(ids, times, strict=True), *fresh] if valid(ts)]
+        state.update((last, seen, [i for i, _ in kept], [ts for _, ts in kept]))
+        _expire(state, seen // 1000, expire_ms)
+        out = [(i, False) for i in gone] + [(i, valid(ts)) for i, ts in fresh]
+        yield pd.DataFrame({"page_id": [key[0]] * len(out), "event_id": [i for i, _ in out], "valid": [v for _, v in out]})
+
+    rows = derived.select("page_id", "ts", F.col("event_id").cast("long").alias("event_id"))
+    rows = rows.unionByName(recleans.select("page_id", "ts", F.lit(None).cast("long").alias("event_id")))
+    return rows.withWatermark("ts", delay).groupBy("page_id").applyInPandasWithState(step, "page_id long, event_id long, valid boolean", "last long, seen long, ids array<long>, times array<long>", "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def applied(stack: list, at: int, op: str, value: str | None, depth: int) -> tuple[list, int]:
+    """The stack of an edit log and the place in it, after one more entry."""
+    if op == "push":
+        stack = [*stack[:at], value][-depth:]
+        return stack, len(stack)
+    if op == "undo":
+        return stack, max(0, at - 1)
+    return (stack, min(len(stack), at + 1)) if op == "redo" else ([], 0)
+
+
+def replay_edits_stream(log: DataFrame, depth: int = 50, expire_ms: int = 86_400_000, delay: str = "1 day") -> DataFrame:
+    """Streaming twin of ``replay_edits`` (session_id, page_id, seq, op, value, ts): a row for each log and micro-batch that added to it.
+    Entries of one micro-batch are taken in order of ``seq``; a log's writer sends them in that order, so later ones follow. The
+    state is the log's stack, at most ``depth`` entries, dropped when the log had none for ``expire_ms`` by the watermark, which
+    is ``delay`` behind."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        stack, at, seen = state.get if state.exists else ([], 0, 0)
+        rows = pd.concat(list(batches)).sort_values(["seq", "op", "value"], na_position="first")
+        for op, value in zip(rows["op"], rows["value"], strict=True):
+            stack, at = applied(stack, at, op, None if pd.isna(value) else value, depth)
+        seen = max(seen, rows["ts"].max().value // 1_000_000)
+        state.update((stack, at, seen))
+        _expire(state, seen, expire_ms)
+        yield pd.DataFrame({"session_id": [key[0]], "page_id": [key[1]], "value": [stack[at - 1] if at else None], "depth": [len(stack)]})
+
+    rows = log.select("session_id", "page_id", F.col("seq").cast("long").alias("seq"), "op", F.col("value").cast("string").alias("value"), "ts")
+    return rows.withWatermark("ts", delay).groupBy("session_id", "page_id").applyInPandasWithState(step, "session_id long, page_id long, value string, depth int", "stack array<string>, at int, seen long", "update", GroupStateTimeout.EventTimeTimeout)
+
+
 def replay_edits(log: DataFrame, depth: int = 50) -> DataFrame:
     """Value that each edit log (session_id, page_id, seq, op, value) ends on: push, undo, redo, clear. A push cuts what could be
     redone; at most ``depth`` entries are kept. Logs are sorted within partitions and folded row by row, so a task holds one
@@ -154,15 +246,7 @@ def replay_edits(log: DataFrame, depth: int = 50) -> DataFrame:
                 if new != key:
                     out += done()
                     key, stack, at = new, [], 0
-                if op == "push":
-                    stack = [*stack[:at], value][-depth:]
-                    at = len(stack)
-                elif op == "undo":
-                    at = max(0, at - 1)
-                elif op == "redo":
-                    at = min(len(stack), at + 1)
-                else:
-                    stack, at = [], 0
+                stack, at = applied(stack, at, op, value, depth)
             yield batch_of(out)
             out = []
         yield batch_of(done())

@@ -1,5 +1,7 @@
 """Fixed expectations of single operators."""
 
+import os
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -250,3 +252,52 @@ def test_sources_and_sinks(spark, tmp_path):
     rows = spark.createDataFrame([("a", 0.5, "00ff"), (" ", float("nan"), "XY"), (None, 2.0, None)], "name string, score double, sha string")
     valid, bad = ingest.split_valid(rows, rules)
     assert valid.count() == 1 and [r.violations for r in bad.collect()] == [["name", "score", "sha"]] * 2
+
+
+def test_streams_of_durations_invalidation_and_edits(spark, tmp_path):
+    import datetime as dt
+    import random
+
+    from quirework.streaming import events as E
+
+    rnd = random.Random(3)
+    at = lambda s: dt.datetime(2026, 1, 1) + dt.timedelta(seconds=s)
+
+    def ran(make, name, mode, **parts):
+        """Runs over the files of each table, one a micro-batch; rows in the order of the micro-batches."""
+        streams, out = {}, []
+        for table, (schema, batches) in parts.items():
+            for i, rows in enumerate(batches):
+                # Files are read in the order of their times.
+                spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}-{table}/{i}")
+                for f in (tmp_path / f"{name}-{table}" / str(i)).glob("*.parquet"):
+                    os.utime(f, (1_700_000_000 + i, 1_700_000_000 + i))
+            streams[table] = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/{name}-{table}")
+        df = make(**streams)
+        q = df.writeStream.outputMode(mode).foreachBatch(lambda b, i: out.extend(b.collect())).option("checkpointLocation", f"{tmp_path}/c-{name}").trigger(availableNow=True).start()
+        assert q.awaitTermination(240)
+        return out
+
+    # Events come up to 40 seconds late; the last one of all lets the watermark pass the others.
+    events = sorted(((i % 4, i, at(10 * i), f"s{i % 3}") for i in range(40)), key=lambda e: e[1] + rnd.randrange(4))
+    schema = "job_id long, event_id long, ts timestamp, stage string"
+    end = (9, 99, at(9000), "end")
+    batch = {tuple(r) for r in E.stage_durations(spark.createDataFrame([*events, end], schema)).collect()}
+    got = ran(lambda e: E.stage_durations_stream(e, delay="1 minute"), "durations", "append", e=(schema, [events[:15], events[15:30], events[30:], [end]]))
+    assert len(got) == len(batch) == 36 and set(map(tuple, got)) == batch
+    short = ran(lambda e: E.stage_durations_stream(e, 1000, "1 minute"), "short", "append", e=(schema, [[(1, 1, at(0), "a")], [end], [(9, 98, at(9001), "end")], [(1, 2, at(9002), "b")], [(9, 100, at(19_000), "end")]]))
+    assert [(r.job_id, r.event_id) for r in short] == [(9, 99)]  # job 1 had expired
+
+    derived = [(i % 3, i, at(i)) for i in range(30)]
+    recleans = [(0, at(7)), (1, at(16)), (0, at(21))]
+    d, r = "page_id long, event_id long, ts timestamp", "page_id long, ts timestamp"
+    want = {x.event_id: x.valid for x in E.invalidate_derived(spark.createDataFrame(derived, d), spark.createDataFrame(recleans, r)).collect()}
+    got = ran(E.invalidate_derived_stream, "derived", "update", derived=(d, [derived[:12], derived[12:]]), recleans=(r, [recleans[:1], recleans[1:]]))
+    assert {x.event_id: x.valid for x in got} == want and len(got) > len(want)
+
+    ops = [(i % 2, 5, i, rnd.choice(["push", "push", "push", "undo", "redo", "clear"] if i < 40 else ["push", "push", "undo"]), f"v{i}" if i % 5 else None, at(i)) for i in range(120)]
+    log = "session_id long, page_id long, seq int, op string, value string, ts timestamp"
+    want = sorted(map(tuple, E.replay_edits(spark.createDataFrame(ops, log), 7).collect()))
+    cuts = [ops[:30], ops[30:31], ops[31:90], ops[90:]]
+    got = ran(lambda x: E.replay_edits_stream(x, 7), "edits", "update", x=(log, [rnd.sample(c, len(c)) for c in cuts]))
+    assert sorted({r.session_id: tuple(r) for r in got}.values()) == want and max(r.depth for r in got) == 7
