@@ -98,6 +98,12 @@ def media_kind(name: Column) -> Column:
     return F.when(ext.isin("png", "jpg", "jpeg", "webp"), "image").when(ext.isin("zip", "cbz"), "archive").when(ext == "pdf", "pdf").otherwise("other")
 
 
+def image_type(name: Column) -> Column:
+    """Media type of an image by its extension; JPEG if it has another one or none."""
+    ext = F.lower(split_name(name, "")[1])
+    return F.when(ext.isin("png", "webp", "gif"), F.concat(F.lit("image/"), ext)).otherwise("image/jpeg")
+
+
 # --- scores -----------------------------------------------------------------------------------------------
 
 

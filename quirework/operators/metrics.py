@@ -39,15 +39,25 @@ def category_report(regions: DataFrame) -> DataFrame:
     return regions.rollup("category").agg(F.count("*").alias("region_count"), n_if(F.col("status") == "repaired").alias("repaired_count"), F.grouping("category").cast("int").alias("is_total"))
 
 
-def corpus_summary(pages: DataFrame) -> DataFrame:
-    """One row over page reports (with total_ms, changed_outside, changed_protected, identical: null where not applicable)."""
+def corpus_summary(pages: DataFrame, patches: DataFrame | None = None, protected: DataFrame | None = None, reviews: DataFrame | None = None) -> DataFrame:
+    """One row over page reports (with total_ms, changed_outside, changed_protected, identical: null where not applicable; the greatest
+    peak_rss_mb, if there). ``patches_pass``: none of ``patches`` has ``failed``. ``protected`` pages add their changed_protected.
+    ``visual_pass``: ``passed`` of ``reviews``, one row."""
     passed = lambda rate: F.sum(F.bround(F.col(rate) * F.col("eligible_count")).cast("long"))
     s = pages.agg(
         F.bround(F.percentile("total_ms", 0.5)).alias("median_total_ms"), F.bround(F.percentile("total_ms", 0.95)).alias("p95_total_ms"),
         passed("residual_pass_rate").alias("rp"), passed("automatic_pass_rate").alias("ap"), F.sum("eligible_count").alias("e"), F.sum("region_count").alias("r"),
         F.sum("needs_review_count").alias("needs_review_count"), F.sum("unexpected_count").alias("unexpected_count"), F.sum("preserved_sfx_count").alias("preserved_sfx_count"),
         F.sum("changed_outside").alias("changed_outside"), F.sum("changed_protected").alias("changed_protected"), F.coalesce(F.bool_and("identical"), F.lit(True)).alias("text_free_identical"),
+        *([F.max("peak_rss_mb").alias("peak_rss_mb")] if "peak_rss_mb" in pages.columns else []),
     )
+    # Each of these is one row: a scalar subquery.
+    if protected is not None:
+        s = s.withColumn("changed_protected", F.col("changed_protected") + protected.agg(F.coalesce(F.sum("changed_protected"), F.lit(0))).scalar())
+    if patches is not None:
+        s = s.withColumn("patches_pass", patches.agg(~F.coalesce(F.bool_or("failed"), F.lit(False))).scalar())
+    if reviews is not None:
+        s = s.withColumn("visual_pass", reviews.select("passed").scalar())
     return s.withColumns({"residual_pass_rate": safe_ratio(F.col("rp"), F.col("e")), "automatic_pass_rate": safe_ratio(F.col("ap"), F.col("e")), "needs_review_rate": safe_ratio(F.col("needs_review_count"), F.col("r"), 0.0)}).drop("rp", "ap", "e", "r")
 
 

@@ -364,9 +364,12 @@ sm AS (SELECT round_even(quantile_cont(total_ms, 0.5), 0) AS median_total_ms, ro
     sum(round_even(residual_pass_rate * eligible_count, 0)) / sum(eligible_count) AS residual_pass_rate, sum(round_even(automatic_pass_rate * eligible_count, 0)) / sum(eligible_count) AS automatic_pass_rate, sum(needs_review_count) / CAST(sum(region_count) AS DOUBLE) AS needs_review_rate FROM pr)"""
 
 
+def _reported(r):
+    return run_pipeline(_featured(r)).withColumns({"total_ms": (F.col("page_id") % 5000).cast("int"), "changed_outside": F.lit(0), "changed_protected": F.when(F.col("page_id") % 900 == 0, 1).otherwise(0), "identical": F.when(F.col("page_id") % 3 == 0, F.col("page_id") % 6 >= 0)})
+
+
 def _summary(r):
-    pages = run_pipeline(_featured(r)).withColumns({"total_ms": (F.col("page_id") % 5000).cast("int"), "changed_outside": F.lit(0), "changed_protected": F.when(F.col("page_id") % 900 == 0, 1).otherwise(0), "identical": F.when(F.col("page_id") % 3 == 0, F.col("page_id") % 6 >= 0)})
-    return metrics.corpus_summary(pages)
+    return metrics.corpus_summary(_reported(r))
 
 
 @query(f"WITH {_SUMMARY} SELECT * FROM sm")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..operators import curate, raster, state
+from ..operators import curate, metrics, raster, state
 from ..streaming import events as E
+from . import queries
 from .queries import query
 
 # --- state ------------------------------------------------------------------------------------------------
@@ -163,6 +164,20 @@ def raster_diff(r):
     return raster.raster_diff(r.raster.select("page_id", "y", "x", "v"), r.raster2, r.raster.where("y < 4"), r.raster.where("y = 0"))
 
 
+@query(None)
+def acceptance_gate_of_tables(r):
+    """The gate with patches, reviews and protected pages from tables of their own."""
+    protected = raster_diff(r).select(F.col("inside_protected").alias("changed_protected"))
+    out = metrics.acceptance_gate(metrics.corpus_summary(queries._reported(r), queries.patch_score(r), protected, queries.coverage_gate(r)))
+    return out.select(*(c for c in out.columns if c.startswith("gate_")), "passed")
+
+
+queries.ORACLES["acceptance_gate_of_tables"] = f"""WITH gate AS ({queries.ORACLES["acceptance_gate"]}), summary AS ({queries.ORACLES["corpus_summary"]}), patches AS (SELECT NOT coalesce(bool_or(failed), false) AS fine FROM ({queries.ORACLES["patch_score"]})),
+reviews AS (SELECT passed AS visual FROM ({queries.ORACLES["coverage_gate"]})), diff AS (SELECT coalesce(sum(inside_protected), 0) AS inside FROM ({queries.ORACLES["raster_diff"]})),
+clauses AS (SELECT gate_time, gate_residual, gate_automatic, gate_unexpected, gate_outside, changed_protected + inside = 0 AS gate_protected, gate_identical, fine AS gate_patches, visual AS gate_visual FROM gate, summary, patches, reviews, diff)
+SELECT *, gate_time AND gate_residual AND gate_automatic AND gate_unexpected AND gate_outside AND gate_protected AND gate_identical AND gate_patches AND gate_visual AS passed FROM clauses"""
+
+
 @query("SELECT page_id, count(*) AS area, min(x) AS x, min(y) AS y, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h FROM raster WHERE v < 110 OR v > 150 GROUP BY page_id")
 def mask_bbox(r):
     return raster.mask_bbox(raster.mask_union(r.raster.where("v < 110"), r.raster.where("v > 150")))

@@ -301,3 +301,45 @@ def test_streams_of_durations_invalidation_and_edits(spark, tmp_path):
     cuts = [ops[:30], ops[30:31], ops[31:90], ops[90:]]
     got = ran(lambda x: E.replay_edits_stream(x, 7), "edits", "update", x=(log, [rnd.sample(c, len(c)) for c in cuts]))
     assert sorted({r.session_id: tuple(r) for r in got}.values()) == want and max(r.depth for r in got) == 7
+
+
+def test_summary_of_patches_protected_pages_and_reviews(spark):
+    pages = spark.createDataFrame([(1, 4, 10, 100, 1, 2, True, 0.5, 0.5, 9.5), (2, 2, 4, 300, 0, 0, None, 1.0, 0.5, 7.0)], "page_id int, eligible_count long, region_count long, total_ms int, changed_outside long, changed_protected long, identical boolean, residual_pass_rate double, automatic_pass_rate double, peak_rss_mb double")
+    pages = pages.withColumns({c: F.lit(0) for c in ("needs_review_count", "unexpected_count", "preserved_sfx_count")})
+    patch = lambda *x: spark.createDataFrame([(v,) for v in x], "failed boolean")
+    other = spark.createDataFrame([(3,), (4,)], "changed_protected long")
+    r = one(metrics.corpus_summary(pages, patch(False, True), other, spark.createDataFrame([(True,)], "passed boolean")))
+    assert (r.median_total_ms, r.peak_rss_mb, r.patches_pass, r.visual_pass, r.changed_outside, r.changed_protected, r.residual_pass_rate) == (200, 9.5, False, True, 1, 9, 4 / 6)
+    r = one(metrics.corpus_summary(pages, patch(), other.limit(0)))
+    assert r.patches_pass and r.changed_protected == 2 and "visual_pass" not in r
+
+
+def test_slots_take_other_steps_and_vectorised_scorers(spark):
+    from quirework.plans.page import run_pipeline
+
+    @F.pandas_udf("double")
+    def score(area: pd.Series) -> pd.Series:
+        return 1 / area
+
+    regions = spark.createDataFrame([(1, 2.0, "none"), (1, 10.0, "none"), (2, 10.0, "none"), (3, 10.0, "none")], "page_id int, area double, page_role string").withColumn("hits_protected", F.lit(False))
+    pages = spark.createDataFrame([(1, "comic"), (2, "credits")], "page_id int, kind string")
+    classify = lambda p: p.withColumns({"role": F.col("kind"), "confidence": F.lit(1.0)})
+    eligibility = lambda d: d.withColumns({"action": F.when(F.col("page_role") == "comic", "clean").otherwise("preserve"), "text_role": F.lit("dialogue"), "reasons": F.array(F.lit("x"))})
+    verdict = lambda d: d.withColumn("residual_score", score("area")).withColumn("status", F.when(F.col("residual_score") < 0.2, "repaired").otherwise("needs_review"))
+    out = run_pipeline(regions, pages, classify=classify, eligibility=eligibility, route=lambda d: d.withColumn("route", F.lit("flat")), verdict=verdict)
+    assert {r.page_id: (r.region_count, r.eligible_count, r.repaired_count, r.residual_pass_count) for r in out.collect()} == {1: (2, 2, 1, 1), 2: (1, 0, 0, 0), 3: (1, 0, 0, 0)}
+
+
+def test_image_types_and_stores_of_streams(spark, tmp_path):
+    names = spark.createDataFrame([("a.PNG",), ("b.x.webp",), ("c.gif",), ("d.jpg",), ("e",), ("f.bmp",)], "name string")
+    assert [r[0] for r in names.select(X.image_type(F.col("name"))).collect()] == ["image/png", "image/webp", "image/gif", "image/jpeg", "image/jpeg", "image/jpeg"]
+    schema = "key string, v int, at int"
+    spark.createDataFrame([("k", 1, 1), ("k", 2, 2), ("j", 3, 1)], schema).write.parquet(f"{tmp_path}/in")
+    held = spark.createDataFrame([("k", 0, 0), ("i", 0, 0)], schema)
+    corpus.upsert(spark, held, f"{tmp_path}/store", ["key"], ["at"])
+    for i in range(2):  # the second run, without its checkpoint, writes all again
+        q = corpus.upsert_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/store").option("checkpointLocation", f"{tmp_path}/c{i}").trigger(availableNow=True).start()
+        assert q.awaitTermination(120)
+    assert {r.key: r.v for r in state.latest_by_key(spark.read.parquet(f"{tmp_path}/store"), ["key"], ["at"]).collect()} == {"k": 2, "j": 3, "i": 0}
+    corpus.clear_store(spark, f"{tmp_path}/store", held.schema)
+    assert spark.read.parquet(f"{tmp_path}/store").count() == 0
