@@ -2,7 +2,7 @@
 
 Values found by rule are the protected entities. A term's disclosure of an entity is estimated from the corpus: of the
 documents that hold the term, the share ``p(e|t)`` in which it stands within ``WINDOW`` words of the entity, on the same
-line; the pointwise information is log2 of p(e|t) / p(e). Both are taken at the lower bound of p(e|t) (Wilson's, SURE standard
+line; the pointwise information is log2 of p(e|t) / p(e), where p(e) counts the documents with a term near the entity. Both are taken at the lower bound of p(e|t) (Wilson's, SURE standard
 errors), so a rare term needs a purer record. A term is sensitive if, for some entity, it was seen in at least ``CONTEXTS``
 different surroundings (exact copies of a passage are one), p(e|t) >= ``DISCLOSURE`` and the information is at least ``BITS``. An
 entity is the same however its digits are grouped. Sensitive terms are marked wherever they stand. In redaction those with p(e|t) >=
@@ -176,7 +176,7 @@ def candidates(located: DataFrame) -> DataFrame:
 
 
 def bloom(wanted: DataFrame) -> np.ndarray:
-    """Bits of all terms, at most BLOOM_BITS / 64 rows of which reach the driver."""
+    """Bits of all terms, at most BLOOM_BITS / 32 rows of which reach the driver."""
 
     def setup():
         def one(term):
