@@ -6,7 +6,8 @@ boundary behind it at which old and new cuts agree, encodes those pre-tokens, an
 leaves. The cut of a pre-token looks at most ``LOOK`` characters past its end, so what stands before is unaffected;
 and as every cut depends on the text after it alone, all behind the agreed boundary stays as it was.
 
-Null text counts as empty; an edit beyond the end is moved to it; null edits are none; repeated rows each give a row; an
+Null text counts as empty; an edit beyond the end is moved to it; null edits, one or all, are none, and a null place,
+length or insertion is 0 or empty; very long texts are held whole, and an edit costs what it touches; repeated rows each give a row; an
 empty table gives an empty one; other columns don't matter.
 """
 
@@ -177,9 +178,10 @@ def edited_counts(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         def one(doc_id, text, edits):
             held = CountedText(text or "", split, count)
             before = held.n_pieces, held.n_tokens
-            for e in edits or []:
+            edits = [e for e in edits or [] if e]
+            for e in edits:
                 held.replace(e["start"] or 0, e["length"] or 0, lone.sub("", e["insert"] or ""))
-            return [(doc_id, *before, len(edits or []), held.reencoded, held.n_tokens, len(held))]
+            return [(doc_id, *before, len(edits), held.reencoded, held.n_tokens, len(held))]
 
         return one
 

@@ -48,4 +48,20 @@ def test_query(spark, tmp_path):
         for at, length, new in ((n // 3, 0, f" {lang or ''} "), (n // 2, 7, ""), (2 * n // 3, 5, source or "")):
             t = t[:at] + new + t[at + length :]
         assert (r.n_tokens_after, r.n_chars_after) == (len(ENCODING.encode_ordinary(t)), len(t)), (r, rows[r.doc_id])
-    assert tc.op5_token_counts(spark, str(tmp_path)).limit(0).count() == 0
+
+
+def test_null_edits_and_edits_past_the_end(spark):
+    whole, some = "hello there world", [None, (None, None, None), (5, 6, None), None, (1000, 5, "!"), (-3, 2, "J")]
+    rows = [(1, whole, some, "x"), (2, whole, None, "x"), (3, None, [(0, 0, "new words")], "x"), (None, "", [], None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, edits array<struct<start:int,length:int,insert:string>>, n_edits string")
+    got = {r.doc_id: r for r in tc.edited_counts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect()}
+    count = lambda t: (len(ENCODING.encode_ordinary(t)), len(t))
+    want = {1: (whole, "Jllo world!", 4), 2: (whole, whole, 0), 3: ("", "new words", 1), None: ("", "", 0)}
+    for doc_id, (before, after, n) in want.items():
+        r = got[doc_id]
+        assert (r.n_tokens, r.n_edits, r.n_tokens_after, r.n_chars_after) == (count(before)[0], n, *count(after)), r
+
+
+def test_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert tc.op5_token_counts(spark, str(tmp_path)).count() == 0
