@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dedup, url_filter, vector_search
+from . import manifest, near_dedup, url_filter, vector_search
 from .bpe import op10_byte_bpe
 from .lm_score import op4_lm_score
 from .packing import op2_packing
@@ -26,10 +26,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_secret_scan": op9_secret_scan,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_merkle_manifest": manifest.op11_merkle_manifest,
 }
 
 ORACLES: dict[str, str] = {
     "op1_url_filter": url_filter.ORACLE,
     "op3_near_duplicates": near_dedup.ORACLE,
     "op6_top_k": vector_search.ORACLE,
+    "op11_merkle_manifest": manifest.ORACLE,
 }
