@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import manifest, near_dedup, url_filter, vector_search
+from . import collocations, manifest, near_dedup, url_filter, vector_search
 from .bpe import op10_byte_bpe
 from .lm_score import op4_lm_score
 from .packing import op2_packing
 from .pii import op7_pii
 from .quality import op8_quality_rules
+from .quality_trees import op13_quality_trees
 from .secrets import op9_secret_scan
 from .token_counts import op5_token_counts
 
@@ -27,6 +28,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secret_scan": op9_secret_scan,
     "op10_byte_bpe": op10_byte_bpe,
     "op11_merkle_manifest": manifest.op11_merkle_manifest,
+    "op12_collocations": collocations.op12_collocations,
+    "op13_quality_trees": op13_quality_trees,
 }
 
 ORACLES: dict[str, str] = {
@@ -34,4 +37,5 @@ ORACLES: dict[str, str] = {
     "op3_near_duplicates": near_dedup.ORACLE,
     "op6_top_k": vector_search.ORACLE,
     "op11_merkle_manifest": manifest.ORACLE,
+    "op12_collocations": collocations.ORACLE,
 }
