@@ -1,5 +1,5 @@
-"""Event-stream operators. Each takes a batch or a streaming DataFrame where that makes sense; stateful ones have a batch twin
-that gives the same rows."""
+"""Event-stream operators. Each takes a batch or a streaming DataFrame where that makes sense. Stateful ones have a batch twin with
+the same outcome once the watermark has passed all events; where a stream gives rows before that, its docstring says which."""
 
 from __future__ import annotations
 
@@ -78,39 +78,91 @@ def stage_durations(events: DataFrame) -> DataFrame:
     return events.select("job_id", "event_id", "stage", (micros(nxt) - micros(F.col("ts"))).alias("duration_us")).where("duration_us IS NOT NULL")
 
 
-def watchdog(starts: DataFrame, ends: DataFrame, seconds: int) -> DataFrame:
-    """(id, outcome): published if its completion came within ``seconds``; late ones and none at all are failed."""
-    first = ends.groupBy("id").agg(F.min("ts").alias("done"))
-    on_time = F.col("done") <= F.col("ts") + F.make_dt_interval(secs=F.lit(seconds))
-    return starts.join(first, "id", "left").select("id", F.when(on_time, "published").when(F.col("done").isNotNull(), "late").otherwise("missing").alias("outcome"))
+def watchdog(starts: DataFrame, ends: DataFrame, seconds: int, grace: int | None = None) -> DataFrame:
+    """(id, outcome) for each started id, by its earliest start: published if its first completion came within ``seconds``; late if it came
+    after (with ``grace``: at most as many seconds after); else missing."""
+    begun, first = starts.groupBy("id").agg(F.min("ts").alias("ts")), ends.groupBy("id").agg(F.min("ts").alias("done"))
+    until = lambda s: F.col("done") <= F.col("ts") + F.make_dt_interval(secs=F.lit(s))
+    late = F.col("done").isNotNull() if grace is None else until(seconds + grace)
+    return begun.join(first, "id", "left").select("id", F.when(until(seconds), "published").when(late, "late").otherwise("missing").alias("outcome"))
 
 
-def watchdog_stream(starts: DataFrame, ends: DataFrame, seconds: int, delay: str = "1 minute") -> DataFrame:
-    """Streaming twin: (id, published). A start is published when a completion within ``seconds`` of it arrives, and fails when the
-    watermark has passed that time without one; then both leave the state. Each completion in time gives a row."""
-    s = starts.select("id", "ts").withWatermark("ts", delay)
-    e = ends.select(F.col("id").alias("of"), F.col("ts").alias("done")).withWatermark("done", delay)
-    within = (F.col("id") == F.col("of")) & (F.col("done") >= F.col("ts")) & F.expr(f"done <= ts + INTERVAL {int(seconds)} SECONDS")
-    return s.join(e, within, "left").select("id", F.col("done").isNotNull().alias("published"))
+def watchdog_stream(starts: DataFrame, ends: DataFrame, seconds: int, grace: int = 3600, delay: str = "1 minute") -> DataFrame:
+    """Streaming twin: one row for each started id. It is published as soon as a completion in time is there; late once the watermark,
+    ``delay`` behind, has passed the time and there is a later one; missing when it has passed ``grace`` seconds more. Further completions
+    are quiet. A timer an id, set to the next of these times, wakes it; the last one drops its state, which is four numbers. A
+    completion whose start hasn't come waits as long."""
+    allowed, most = seconds * 1_000_000, (seconds + grace) * 1_000_000
 
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        begun, done, told = state.get if state.exists else (None, None, False)
+        watermark, out = state.getCurrentWatermarkMs() * 1000, []
+        if not state.hasTimedOut:
+            for batch in batches:
+                for ts, is_start in zip((batch["ts"].astype("int64") // 1000).tolist(), batch["is_start"], strict=True):
+                    if is_start:
+                        begun = ts if begun is None else min(begun, ts)
+                    else:
+                        done = ts if done is None else min(done, ts)
+        if begun is not None and not told:
+            if done is not None and done <= begun + allowed:
+                out, told = ["published"], True
+            elif watermark > begun + allowed and done is not None and done <= begun + most:
+                out, told = ["late"], True
+            elif watermark > begun + most:
+                out, told = ["missing"], True
+        end = (done if begun is None else begun) + most
+        if watermark > end:
+            state.remove()
+        else:
+            state.update((begun, done, told))
+            wake = begun + allowed if begun is not None and not told and done is not None and watermark <= begun + allowed else end
+            state.setTimeoutTimestamp(max(wake // 1000 + 1, watermark // 1000 + 1))
+        yield pd.DataFrame({"id": [key[0]] * len(out), "outcome": out})
 
-def drop_stale_stream(results: DataFrame, expire_ms: int = 86_400_000, delay: str = "1 day") -> DataFrame:
-    """Streaming twin of ``drop_stale`` (page_id, ts, event_id, token): the state is one token a page, dropped when the page had no
-    result for ``expire_ms`` by the watermark, which is ``delay`` behind."""
+    rows = starts.select("id", "ts", F.lit(True).alias("is_start")).unionByName(ends.select("id", "ts", F.lit(False).alias("is_start")))
+    return rows.withWatermark("ts", delay).groupBy("id").applyInPandasWithState(step, "id long, outcome string", "begun long, done long, told boolean", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def drop_stale_stream(results: DataFrame, changes: DataFrame | None = None, expire_ms: int = 86_400_000, delay: str = "1 day") -> DataFrame:
+    """Streaming twin of ``drop_stale`` with ``changes``: results (page_id, ts, event_id, token) that apply. Results and changes of pages are held until the
+    watermark, ``delay`` behind, has passed them and then judged in the order of their times, so neither the order in which they come nor the cut
+    into micro-batches matters. The state of a page is its newest token, whether it exists and what is held; it goes when the page
+    had neither for ``expire_ms`` by the watermark."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        newest, there, seen, *held = state.get if state.exists else (None, True, 0, [], [], [], [])
+        held, watermark = list(zip(*held, strict=True)), state.getCurrentWatermarkMs() * 1000
+        if not state.hasTimedOut:
+            for batch in batches:
+                held += zip((batch["ts"].astype("int64") // 1000).tolist(), *(batch[c].tolist() for c in ("event_id", "token", "here")), strict=True)
+            seen = max([seen, *(h[0] for h in held)])
+        # Changes of a page come before results of the same time.
+        held.sort(key=lambda h: (h[0], h[3] < 0, h[1], h[3]))
+        ripe, out = [h for h in held if h[0] < watermark], []
+        for ts, event_id, token, here in ripe:
+            if here >= 0:
+                there = here == 1
+                continue
+            newest = token if newest is None else max(newest, token)
+            if there and token == newest:
+                out.append((key[0], pd.Timestamp(ts, unit="us"), event_id, token))
+        held = held[len(ripe) :]
+        if not held and seen + expire_ms * 1000 < watermark:
             state.remove()
-            return
-        newest = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"], kind="stable")
-        best = rows["token"].cummax() if newest is None else rows["token"].cummax().clip(lower=newest)
-        state.update((int(best.iloc[-1]),))
-        _expire(state, rows["ts"].max().value // 1_000_000, expire_ms)
-        yield rows[rows["token"] >= best]
+        else:
+            state.update((newest, there, seen, *(map(list, zip(*held, strict=True)) if held else ([], [], [], []))))
+            wake = held[0][0] // 1000 + 1 if held else seen // 1000 + expire_ms + 1
+            state.setTimeoutTimestamp(max(wake, watermark // 1000 + 1))
+        yield pd.DataFrame(out, columns=["page_id", "ts", "event_id", "token"])
 
-    rows = results.select("page_id", "ts", "event_id", F.col("token").cast("long").alias("token"))
-    return rows.withWatermark("ts", delay).groupBy("page_id").applyInPandasWithState(step, rows.schema, "newest long", "append", GroupStateTimeout.EventTimeTimeout)
+    rows = results.where("token IS NOT NULL").select("page_id", "ts", *(F.col(c).cast("long").alias(c) for c in ("event_id", "token")), F.lit(-1).alias("here"))
+    if changes is not None:
+        none = F.lit(0).cast("long")
+        rows = rows.unionByName(changes.select("page_id", "ts", none.alias("event_id"), none.alias("token"), F.col("exists").cast("int").alias("here")))
+    result = T.StructType([rows.schema[c] for c in ("page_id", "ts", "event_id", "token")])
+    held = "newest long, there boolean, seen long, ts array<long>, event_id array<long>, token array<long>, here array<int>"
+    return rows.withWatermark("ts", delay).groupBy("page_id").applyInPandasWithState(step, result, held, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stage_durations_stream(events: DataFrame, expire_ms: int = 86_400_000, delay: str = "1 hour") -> DataFrame:
@@ -146,10 +198,20 @@ def debounce_last(edits: DataFrame, quiet: str, key: str = "key") -> DataFrame:
     return edits.groupBy(key, F.session_window("ts", quiet).alias("w")).agg(F.max_by("value", F.struct("ts", "event_id")).alias("value"), F.count("*").alias("n")).select(key, F.col("w.start").alias("begun"), "value", "n")
 
 
-def drop_stale(results: DataFrame, pages: DataFrame) -> DataFrame:
-    """Results that carry the newest token seen so far for their page, of pages that still exist."""
-    w = Window.partitionBy("page_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return results.withColumn("_t", F.max("token").over(w)).where(F.col("token") >= F.col("_t")).drop("_t").join(pages.select("page_id").distinct(), "page_id", "left_semi")
+def drop_stale(results: DataFrame, pages: DataFrame | None = None, changes: DataFrame | None = None) -> DataFrame:
+    """Results that carry the newest token seen so far for their page, of pages that exist: those of ``pages``, and with ``changes`` (page_id,
+    ts, exists) those that the last change up to the result's own time left there (a page without one exists)."""
+    order = Window.partitionBy("page_id").orderBy("ts", "_late", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = results.withColumns({"_late": F.lit(1), "_here": F.lit(None).cast("int")})
+    if changes is not None:
+        moved = changes.select("page_id", "ts", F.lit(0).alias("_late"), F.col("exists").cast("int").alias("_here"))
+        rows = rows.unionByName(moved, allowMissingColumns=True)
+        # Of several changes at one time, being there wins, as it comes last.
+        order = order.orderBy("ts", "_late", "event_id", "_here")
+    there = F.coalesce(F.last("_here", ignorenulls=True).over(order), F.lit(1)) == 1
+    out = rows.withColumns({"_t": F.max("token").over(order), "_there": there}).where((F.col("_late") == 1) & F.col("_there") & (F.col("token") >= F.col("_t")))
+    out = out.drop("_t", "_there", "_late", "_here")
+    return out if pages is None else out.join(pages.select("page_id").distinct(), "page_id", "left_semi")
 
 
 def first_seen(events: DataFrame, keys: list[str], delay: str | None = None) -> DataFrame:
@@ -206,54 +268,81 @@ def applied(stack: list, at: int, op: str, value: str | None, depth: int) -> tup
     return (stack, min(len(stack), at + 1)) if op == "redo" else ([], 0)
 
 
-def replay_edits_stream(log: DataFrame, depth: int = 50, expire_ms: int = 86_400_000, delay: str = "1 day") -> DataFrame:
-    """Streaming twin of ``replay_edits`` (session_id, page_id, seq, op, value, ts): a row for each log and micro-batch that added to it.
-    Entries of one micro-batch are taken in order of ``seq``; a log's writer sends them in that order, so later ones follow. The
-    state is the log's stack, at most ``depth`` entries, dropped when the log had none for ``expire_ms`` by the watermark, which
-    is ``delay`` behind."""
+def replay_edits_stream(log: DataFrame, depth: int = 50, first: int = 1, most: int = 1000, expire_ms: int = 86_400_000, delay: str = "1 hour") -> DataFrame:
+    """Streaming twin of ``replay_edits`` (session_id, page_id, seq, op, value, ts): a row for each log and micro-batch in which entries of it were
+    applied, with ``applied``, the seq up to which they are. Entries are applied in the order of ``seq``, which rises by one from ``first``:
+    one that comes early is held until all before it have come, and one that comes again counts once. A gap is given up, and what follows it
+    applied, when the watermark, ``delay`` behind, has passed an entry behind it (what is missing can't come any more), or when more
+    than ``most`` entries are held: then as far as makes room for them. The state is the log's stack, at most ``depth`` entries, and what is
+    held; it goes when the log had no entry for ``expire_ms`` by the watermark."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        stack, at, last, seen, *held = state.get if state.exists else ([], 0, first - 1, 0, [], [], [], [])
+        held, watermark = {seq: rest for seq, *rest in zip(*held, strict=True)}, state.getCurrentWatermarkMs() * 1000
+        if not state.hasTimedOut:
+            for batch in batches:
+                for seq, op, value, ts in zip(batch["seq"].tolist(), batch["op"], batch["value"], (batch["ts"].astype("int64") // 1000).tolist(), strict=True):
+                    entry = (op, None if pd.isna(value) else value, ts)
+                    seen = max(seen, ts)
+                    if seq > last and (seq not in held or _before(entry, held[seq])):
+                        held[seq] = entry
+        order = sorted(held)
+        # Up to here gaps are given up.
+        passed = max([last, *(seq for seq in order if held[seq][2] < watermark), *order[: max(0, len(order) - most)]])
+        begun = last
+        for seq in order:
+            if seq > passed and seq != last + 1:
+                break
+            op, value, _ = held.pop(seq)
+            stack, at = applied(stack, at, op, value, depth)
+            last = seq
+        if not held and seen + expire_ms * 1000 < watermark:
             state.remove()
-            return
-        stack, at, seen = state.get if state.exists else ([], 0, 0)
-        rows = pd.concat(list(batches)).sort_values(["seq", "op", "value"], na_position="first")
-        for op, value in zip(rows["op"], rows["value"], strict=True):
-            stack, at = applied(stack, at, op, None if pd.isna(value) else value, depth)
-        seen = max(seen, rows["ts"].max().value // 1_000_000)
-        state.update((stack, at, seen))
-        _expire(state, seen, expire_ms)
-        yield pd.DataFrame({"session_id": [key[0]], "page_id": [key[1]], "value": [stack[at - 1] if at else None], "depth": [len(stack)]})
+        else:
+            left = [(seq, *held[seq]) for seq in sorted(held)]
+            state.update((stack, at, last, seen, *(map(list, zip(*left, strict=True)) if left else ([], [], [], []))))
+            wake = min(x[3] for x in left) // 1000 + 1 if left else seen // 1000 + expire_ms + 1
+            state.setTimeoutTimestamp(max(wake, watermark // 1000 + 1))
+        if last > begun:
+            yield pd.DataFrame({"session_id": [key[0]], "page_id": [key[1]], "value": [stack[at - 1] if at else None], "depth": [len(stack)], "applied": [last]})
 
     rows = log.select("session_id", "page_id", F.col("seq").cast("long").alias("seq"), "op", F.col("value").cast("string").alias("value"), "ts")
-    return rows.withWatermark("ts", delay).groupBy("session_id", "page_id").applyInPandasWithState(step, "session_id long, page_id long, value string, depth int", "stack array<string>, at int, seen long", "update", GroupStateTimeout.EventTimeTimeout)
+    held = "stack array<string>, at int, last long, seen long, seq array<long>, op array<string>, value array<string>, ts array<long>"
+    return rows.withWatermark("ts", delay).groupBy("session_id", "page_id").applyInPandasWithState(step, "session_id long, page_id long, value string, depth int, applied long", held, "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def _before(a: tuple, b: tuple) -> bool:
+    """Order of two entries with one seq: by op, then value, null first."""
+    return (a[0], a[1] is not None, a[1] or "") < (b[0], b[1] is not None, b[1] or "")
 
 
 def replay_edits(log: DataFrame, depth: int = 50) -> DataFrame:
     """Value that each edit log (session_id, page_id, seq, op, value) ends on: push, undo, redo, clear. A push cuts what could be
-    redone; at most ``depth`` entries are kept. Logs are sorted within partitions and folded row by row, so a task holds one
+    redone; at most ``depth`` entries are kept; of entries with one seq the first by op and value counts. Logs are sorted within partitions and folded row by row, so a task holds one
     log's stack, however long the log."""
     keys = ["session_id", "page_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, stack, at, out = None, [], 0, []
+        key, stack, at, last, out = None, [], 0, None, []
 
         def done() -> list[tuple]:
             return [] if key is None else [(*key, stack[at - 1] if at else None, len(stack))]
 
         for batch in batches:
-            for *new, op, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for *new, op, value, seq in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if new != key:
                     out += done()
-                    key, stack, at = new, [], 0
-                stack, at = applied(stack, at, op, value, depth)
+                    key, stack, at, last = new, [], 0, None
+                if seq != last:
+                    stack, at = applied(stack, at, op, value, depth)
+                last = seq
             yield batch_of(out)
             out = []
         yield batch_of(done())
 
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    rows = log.select(*keys, "op", F.col("value").cast("string").alias("value"), "seq").repartition(*keys).sortWithinPartitions(*keys, "seq", "op", "value").drop("seq")
+    rows = log.select(*keys, "op", F.col("value").cast("string").alias("value"), "seq").repartition(*keys).sortWithinPartitions(*keys, "seq", "op", "value")
     result = T.StructType([*(rows.schema[k] for k in keys), T.StructField("value", T.StringType()), T.StructField("depth", T.IntegerType())])
     target = to_arrow_schema(result)
 
