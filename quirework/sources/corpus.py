@@ -1,14 +1,12 @@
-"""Sources and sinks: corpus scans, uploads, JSON documents, keyed stores."""
+"""Sources and sinks: corpus scans, uploads, JSON documents, stores that keep what they have."""
 
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import DataStreamWriter
 
-from ..operators.state import cache_put, latest_by_key
+from ..operators.state import cache_put
 
 IMAGES = r"(?i)\.(png|jpg|jpeg|webp)$"
 
@@ -56,20 +54,3 @@ def store_if_absent(spark: SparkSession, new: DataFrame, path: str, key: str = "
             raise
         held = new.limit(0)
     cache_put(held, new, key).write.mode("append").parquet(path)
-
-
-def upsert(spark: SparkSession, new: DataFrame, path: str, keys: list[str], order: list[str]) -> DataFrame:
-    """Append a change set to a keyed store; reading it gives the latest row of each key."""
-    new.write.mode("append").parquet(path)
-    return latest_by_key(spark.read.schema(new.schema).parquet(path), keys, order)
-
-
-def upsert_stream(changes: DataFrame, path: str) -> DataStreamWriter:
-    """Writer that appends each micro-batch of a stream of changes to a keyed store. A micro-batch written twice after a failure adds
-    no key, as reading gives the latest row of each."""
-    return changes.writeStream.foreachBatch(lambda batch, _: batch.write.mode("append").parquet(path))
-
-
-def clear_store(spark: SparkSession, path: str, schema: T.StructType) -> None:
-    """Leave an empty store."""
-    spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
