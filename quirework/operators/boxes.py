@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.exprs import clip, d, gap, half_up, iou
-from ..graph import components_within
-from ..scratch import keep
 
 
 def detector_candidates(raw: DataFrame, threshold: float = 0.1) -> DataFrame:
@@ -24,15 +22,15 @@ def greedy_nms(boxes: DataFrame, key: str = "page_id", threshold: float = 0.1, m
     """Greedy suppression per page: by falling confidence (then det_id), a box stays if it overlaps no kept box of its class
     by more than ``threshold``. Classes are moved apart, so one fold serves all. ``boxes`` has det_id, conf, class_id, x1..y2.
 
-    The fold is quadratic in a page's boxes; detectors return a bounded number of them, and at most ``most`` stay."""
+    At most ``most`` stay, and each box is held against those kept before it."""
     shift = F.col("class_id") * d(apart)
     box = F.struct(
         (-F.col("conf")).alias("neg"), "det_id", "class_id", (F.col("x1") + shift).alias("x1"), (F.col("y1") + shift).alias("y1"), (F.col("x2") + shift).alias("x2"), (F.col("y2") + shift).alias("y2")
     )
     pages = boxes.groupBy(key).agg(F.array_sort(F.collect_list(box)).alias("all"))
     none = F.slice(F.col("all"), 1, 0)
-    kept = F.aggregate("all", none, lambda acc, b: F.when(F.exists(acc, lambda k: F.coalesce(iou(k, b), d(0)) > d(threshold)), acc).otherwise(F.concat(acc, F.array(b))))
-    out = pages.select(key, F.posexplode(F.slice(kept, 1, most)).alias("rank", "b"))
+    kept = F.aggregate("all", none, lambda acc, b: F.when((F.size(acc) >= most) | F.exists(acc, lambda k: F.coalesce(iou(k, b), d(0)) > d(threshold)), acc).otherwise(F.concat(acc, F.array(b))))
+    out = pages.select(key, F.posexplode(kept).alias("rank", "b"))
     shift = F.col("b.class_id") * d(apart)
     return out.select(key, "rank", "b.det_id", "b.class_id", (-F.col("b.neg")).alias("conf"), *((F.col(f"b.{c}") - shift).alias(c) for c in ("x1", "y1", "x2", "y2")))
 
@@ -92,7 +90,8 @@ def merge_tiles(bubbles: DataFrame, threshold: float = 0.4) -> DataFrame:
 
 
 def layout_boxes(bubbles: DataFrame) -> DataFrame:
-    """Centre and size in per cent, clamped, from ``box`` or x, y, w, h; boxes without a place get a fallback slot, by idx."""
+    """Centre and size in per cent, clamped, from ``box`` or x, y, w, h; boxes without a place get a fallback slot, by idx. With page_w and page_h
+    also the box in pixels of the page: its top left corner, width and height."""
     box, four = F.col("box"), F.col("box").isNotNull() & (F.size("box") == 4)
     big = (F.coalesce("x", d(50)) > 100) | (F.coalesce("y", d(50)) > 100) | (F.coalesce("w", d(22)) > 100) | (F.coalesce("h", d(10)) > 100)
     own = lambda c, default: F.coalesce(F.col(c), d(default)) / F.when(big, d(10)).otherwise(d(1))
@@ -108,10 +107,16 @@ def layout_boxes(bubbles: DataFrame) -> DataFrame:
     b = fallback_slots(b, F.col("bad") & ~F.coalesce("placed", F.lit(False)))
     x = F.when(F.col("slot").isNotNull(), d(50)).when(F.col("bad"), (box[1] + box[3]) / 2 / 10).otherwise(F.col("rx"))
     y = F.when(F.col("slot").isNotNull(), F.col("slot")).when(F.col("bad"), (box[0] + box[2]) / 2 / 10).otherwise(F.col("ry"))
-    return b.select(
+    size = [c for c in ("page_w", "page_h") if c in bubbles.columns]
+    out = b.select(
         "page_id", "idx", clip(x, 0, 100).alias("cx"), clip(y, 0, 100).alias("cy"),
-        clip(F.when(F.col("bad"), d(30)).otherwise(F.col("rw")), 3, 85).alias("bw"), clip(F.when(F.col("bad"), d(15)).otherwise(F.col("rh")), 2, 85).alias("bh"), F.col("bad").alias("is_invalid_box"),
+        clip(F.when(F.col("bad"), d(30)).otherwise(F.col("rw")), 3, 85).alias("bw"), clip(F.when(F.col("bad"), d(15)).otherwise(F.col("rh")), 2, 85).alias("bh"), F.col("bad").alias("is_invalid_box"), *size,
     )
+    if len(size) < 2:
+        return out
+    px = lambda c, whole: F.col(c) / 100 * F.col(whole)
+    left, top = px("cx", "page_w") - px("bw", "page_w") / 2, px("cy", "page_h") - px("bh", "page_h") / 2
+    return out.withColumns({"px": left, "py": top, "pw": px("bw", "page_w"), "ph": px("bh", "page_h")}).drop(*size)
 
 
 def fallback_slots(bubbles: DataFrame, needs: Column) -> DataFrame:
@@ -153,27 +158,6 @@ def aligned() -> Column:
     return (dx < 0.04 * c("a", "page_w")) & (dy < 0.04 * c("a", "page_h")) & (ratio > 0.6)
 
 
-def group_regions(boxes: DataFrame, policy: str = "gap") -> DataFrame:
-    """Regions of nearby boxes (page_id, box_id, x, y, w, h, stroke, page_w, page_h): connected components under
-    gap <= max(1, 1.5 * median height, 0.02 * shorter side), or by axes. One row a region, numbered by smallest member."""
-    limit = boxes.groupBy("page_id").agg(F.percentile("h", 0.5).alias("mid"), F.min("page_w").alias("pw"), F.min("page_h").alias("ph"), F.max("h").alias("tallest"))
-    reach = F.greatest(d(1), 1.5 * F.col("mid"), 0.02 * F.least("pw", "ph"))
-    # No two boxes that meet begin further apart than this.
-    band = F.col("tallest") + (reach if policy == "gap" else 0.04 * F.col("ph"))
-    limit = limit.select("page_id", reach.alias("reach"), F.greatest(d(1), band).alias("band"))
-    held = keep(boxes.join(limit, "page_id"), "boxes")
-    pairs = box_pairs(held, near(F.col("a_reach")) if policy == "gap" else aligned(), F.floor(F.col("y") / F.col("band")))
-    found = components_within(pairs, "page_id", "a", "b")
-    root = found.select("page_id", F.col("node").alias("box_id"), F.col("component").alias("root"))
-    all_boxes = held.join(root, ["page_id", "box_id"], "left").withColumn("root", F.coalesce("root", "box_id").cast(boxes.schema["box_id"].dataType))
-    regions = all_boxes.groupBy("page_id", "root").agg(
-        F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + F.col("w")).alias("x2"), F.max(F.col("y") + F.col("h")).alias("y2"),
-        F.max("stroke").alias("stroke"), F.sort_array(F.collect_list("box_id")).alias("members"),
-    )
-    number = F.row_number().over(Window.partitionBy("page_id").orderBy("root"))
-    return regions.select("page_id", number.alias("region"), "x", "y", (F.col("x2") - F.col("x")).alias("w"), (F.col("y2") - F.col("y")).alias("h"), "stroke", "members")
-
-
 def reading_order(boxes: DataFrame, band: float = 120.0) -> DataFrame:
     """``ord`` by bands from the top, right to left within a band."""
     row = F.floor((F.col("y") + F.col("h") / 2) / band)
