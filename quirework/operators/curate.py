@@ -33,19 +33,24 @@ def stratified_select(candidates: DataFrame, count: int) -> DataFrame:
     best by score, then seeded key, whose path and content are not taken yet; then the rest by seeded key, with their best
     category. Raises if that can't be met.
 
-    A pick is one aggregate over the narrow candidates, whatever their number of paths or contents; the fill is a top-n."""
+    The best of all open categories are one aggregate over the narrow candidates, whatever their number of paths or contents. They are taken in order
+    up to the first that clashes with one taken before; the rest are asked for again. The fill is a top-n."""
     if count < len(CATEGORIES):
         raise ValueError(f"count must be at least {len(CATEGORIES)}")
     held = keep(candidates.select("path_hash", "content_sha", "scores", seeded_key(F.col("path_hash")).alias("tie")), "candidates")
     spark, picks = candidates.sparkSession, []
     left = held
-    for category in CATEGORIES:
-        # As many rows on the driver as there are categories.
-        best = left.agg(F.max_by(F.struct("path_hash", "content_sha"), F.struct(F.col("scores")[category], "tie", "content_sha")).alias("b")).first().b
-        if best is None:
-            raise ValueError(f"no unique candidate for {category}")
-        picks.append((best.path_hash, best.content_sha, category))
-        left = left.where((F.col("path_hash") != best.path_hash) & (F.col("content_sha") != best.content_sha))
+    while open_ones := CATEGORIES[len(picks) :]:
+        best = lambda c: F.max_by(F.struct("path_hash", "content_sha"), F.struct(F.col("scores")[c], "tie", "content_sha"))
+        # One row, with as many picks as there are categories.
+        found = left.agg(*(best(c).alias(f"b{i}") for i, c in enumerate(open_ones))).first()
+        for category, pick in zip(open_ones, found, strict=True):
+            if pick is None:
+                raise ValueError(f"no unique candidate for {category}")
+            if any(pick.path_hash == path or pick.content_sha == sha for path, sha, _ in picks):
+                break
+            picks.append((pick.path_hash, pick.content_sha, category))
+        left = held.where(~F.col("path_hash").isin([p for p, _, _ in picks]) & ~F.col("content_sha").isin([c for _, c, _ in picks]))
     one = dedupe_content(dedupe_content(left, "content_sha", [F.desc("tie"), F.asc("path_hash")]), "path_hash", [F.asc("content_sha")])
     rest = one.orderBy(F.desc("tie"), "path_hash").limit(count - len(CATEGORIES))
     first = spark.createDataFrame(picks, "path_hash string, content_sha string, category string")

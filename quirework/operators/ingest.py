@@ -50,12 +50,33 @@ def manual_bubbles(cached: DataFrame, active: DataFrame, cached_pages: DataFrame
     return cached.where("is_manual").unionByName(active.where("is_manual").join(held, "page_id", "left_anti"))
 
 
+def request_prompt(task: Column, target: Column, source: Column | None = None, retry: Column | None = None, directive: Column | None = None, default: str = "Thai") -> Column:
+    """Prompt of a request: the source language if it is known (not null, empty or ``auto``), the ``task`` to the ``target`` language (``default`` if null or empty),
+    and the ``directive`` where ``retry`` holds, on a line of its own."""
+    known = F.lit(False) if source is None else F.coalesce(~F.lower(F.trim(source)).isin("", "auto"), F.lit(False))
+    hint = F.when(known, F.concat(F.lit("The source language is "), F.lit("") if source is None else source, F.lit(". "))).otherwise("")
+    to = F.coalesce(F.when(F.trim(target) != "", target), F.lit(default))
+    again = F.when(F.coalesce(retry, F.lit(False)), F.concat(F.lit("\n"), directive, F.lit("\n"))).otherwise("") if retry is not None and directive is not None else F.lit("")
+    return F.concat(hint, task, F.lit(" to "), to, F.lit("."), again)
+
+
 def build_requests(bubbles: DataFrame, prompt: Column) -> DataFrame:
     """One payload a page: the prompt, and the texts by idx as a JSON array."""
     body = F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("idx", "t"))), lambda x: F.struct(x["t"].alias("t"))))
     return bubbles.groupBy("page_id").agg(F.concat(F.first(prompt), F.lit("\n"), body).alias("payload"))
 
 
+def page_requests(pages: DataFrame, bubbles: DataFrame, task: Column, directive: Column, instructions: str = "") -> DataFrame:
+    """Requests of pages (page_id, source_lang, target_lang, is_retry): the prompt, the ``instructions`` and the page's texts with their boxes as a JSON object of
+    ``bubbles``. Pages without bubbles ask for an empty list."""
+    item = F.struct("idx", "t", "box")
+    lists = bubbles.groupBy("page_id").agg(F.array_sort(F.collect_list(item)).alias("all"))
+    body = F.transform(F.coalesce("all", F.array().cast("array<struct<idx:int,t:string,box:array<double>>>")), lambda x: F.struct(x["t"].alias("t"), x["box"].alias("box")))
+    prompt = request_prompt(task, F.col("target_lang"), F.col("source_lang"), F.col("is_retry"), directive)
+    parts = [prompt, F.lit("\n"), *([F.lit(instructions), F.lit("\n")] if instructions else []), F.to_json(F.struct(body.alias("bubbles")))]
+    return pages.join(lists, "page_id", "left").select("page_id", F.concat(*parts).alias("payload"))
+
+
 def validate(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """``violations``: names of the rules (conditions that must hold; unknown fails) that a row breaks."""
     broken = F.array(*(F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()))

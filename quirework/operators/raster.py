@@ -83,16 +83,21 @@ def mask_subtract(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select(*at).join(b.select(*at).distinct(), at, "left_anti")
 
 
-def zone_texture(pixels: DataFrame, zones: DataFrame) -> DataFrame:
-    """Entropy in bits, mean distance to the median, and share below 80, from a histogram per zone. With gradients ``gx``, ``gy`` of
-    the pixels also ``coherence``: the length of their sum by the sum of their lengths, 0 where there is none."""
+def zone_texture(pixels: DataFrame, zones: DataFrame, channels: list[str] | None = None) -> DataFrame:
+    """Entropy of ``v`` in bits, mean distance of a pixel's ``channels`` (``v`` alone if not given) to the point of their medians, and share of v below 80.
+    With gradients ``gx``, ``gy`` of the pixels also ``coherence``: the length of their sum by the sum of their lengths, 0 where there is none.
+
+    All come from one joint histogram a zone: its rows are the distinct pixels, summed up in the scan's tasks, and the medians of all channels
+    one aggregate over them."""
     inside = in_zones(pixels, zones)
-    h = inside.groupBy("page_id", "zone_id", "v").agg(F.count("*").alias("n"))
-    key = ["page_id", "zone_id"]
-    t = h.groupBy(*key).agg(F.sum("n").alias("t"), F.expr("percentile(v, 0.5, n)").alias("mid"))
-    j = h.join(t, key)
-    p = F.col("n") / F.col("t")
-    out = j.groupBy(*key).agg((-F.sum(p * F.log2(p))).alias("entropy"), (F.sum(F.abs(F.col("v") - F.col("mid")) * F.col("n")) / F.first("t")).alias("spread"), (F.sum(F.when(F.col("v") < 80, F.col("n")).otherwise(0)) / F.first("t")).alias("dark_share"))
+    key, c = ["page_id", "zone_id"], channels or ["v"]
+    h = inside.groupBy(*key, *dict.fromkeys(["v", *c])).agg(F.count("*").alias("n"))
+    t = h.groupBy(*key).agg(F.sum("n").alias("t"), *(F.expr(f"percentile({x}, 0.5, n)").alias(f"mid_{x}") for x in c))
+    apart = F.sqrt(sum(((F.col(x) - F.col(f"mid_{x}")) * (F.col(x) - F.col(f"mid_{x}")) for x in c), d(0)))
+    share = F.col("n") / F.col("t")
+    spread = h.join(t, key).groupBy(*key).agg((F.sum(apart * F.col("n")) / F.first("t")).alias("spread"), (F.sum(F.when(F.col("v") < 80, F.col("n")).otherwise(0)) / F.first("t")).alias("dark_share"))
+    grey = h.groupBy(*key, "v").agg(F.sum("n").alias("n")).join(t.select(*key, "t"), key).groupBy(*key).agg((-F.sum(share * F.log2(share))).alias("entropy"))
+    out = grey.join(spread, key)
     if not {"gx", "gy"} <= set(pixels.columns):
         return out
     g = inside.groupBy(*key).agg(F.hypot(F.sum("gx"), F.sum("gy")).alias("along"), F.sum(F.hypot("gx", "gy")).alias("all"))

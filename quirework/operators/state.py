@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .. import bloom
+from ..scratch import keep
+
 
 def latest_by_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of each key; one aggregation, no sort of a key's history."""
@@ -36,45 +39,84 @@ def reconcile_results(saved: DataFrame, pages: DataFrame, loaded: DataFrame) ->
     return saved.join(p, "page_id", "left").join(on, "page_id", "left").select(*[saved[c] for c in saved.columns], state.alias("state"))
 
 
-def lookup_url(wanted: DataFrame, images: DataFrame, shortest: int = 5, salts: int = 16) -> DataFrame:
+def lookup_url(wanted: DataFrame, images: DataFrame, shortest: int = 5, salts: int = 8) -> DataFrame:
     """(id, image_id, tier): the first image with the same url; else the first whose url contains the wanted file name (the
-    column ``name``, or else the last segment of the url), if that is longer than ``shortest``. The second tier is two
-    equi-joins, not a nested loop: places of a url that begin as a name does, then the stretches there of a name's length."""
+    column ``name``, or else the last segment of the url), if that is longer than ``shortest``.
+
+    For the second tier the urls are indexed by runs of shortest + 1 characters, as far as some wanted name holds them (a filter of fixed size tells
+    in the scan). Each name is looked up by the run of its own that the fewest urls hold, and its urls are then tested whole; a name with a run that no url holds
+    is in none."""
     first = images.groupBy("url").agg(F.min("image_id").alias("image_id"))
     exact = wanted.join(first, "url").groupBy("id").agg(F.min("image_id").alias("image_id")).withColumn("tier", F.lit(1))
     left = wanted.join(exact.select("id"), "id", "left_anti")
     if "name" not in wanted.columns:
         left = left.withColumn("name", F.element_at(F.split(F.regexp_extract("url", r"^([^?#]*)", 1), "/"), -1))
-    left = left.where(F.length("name") > shortest)
+    left = left.where(F.length("name") > shortest).select("id", "name")
     width = F.lit(shortest + 1)
-    heads = left.select(F.substr("name", F.lit(1), width).alias("head"), F.length("name").alias("n")).distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    # Salted, as most urls share beginnings such as "https:".
-    places = first.where(F.length("url") > shortest).select("image_id", "url", F.pmod(F.xxhash64("url"), F.lit(salts)).cast("int").alias("salt"), F.explode(F.sequence(F.lit(1), F.length("url") - shortest)).alias("at"))
-    near = places.withColumn("head", F.substr("url", F.col("at"), width)).join(heads, ["head", "salt"]).where(F.col("at") + F.col("n") <= F.length("url") + 1)
-    names = near.groupBy(F.substr("url", F.col("at"), F.col("n")).alias("name")).agg(F.min("image_id").alias("image_id"))
+    grams = lambda c: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - shortest), lambda i: F.substr(c, i, width)))).alias("gram")
+    spread = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
+    salt = lambda c: F.pmod(F.xxhash64(c), F.lit(salts)).cast("int").alias("salt")
+
+    asked = keep(left.select("name").distinct().select("name", grams("name")), "asked")
+    held = first.where(F.length("url") > shortest).select("image_id", "url", grams("url"))
+    index = keep(held.where(bloom.passing(held, "gram", bloom.cells(asked, "gram"))).select("gram", "image_id", "url", salt("url")), "index")
+    held_by = index.groupBy("gram").agg(F.count("*").alias("urls"))
+    # Salted, as very many names may share a run such as ".jpeg".
+    counted = asked.select("name", "gram", salt("name")).join(held_by.select("gram", "urls", spread), ["gram", "salt"], "left")
+    rarest = counted.groupBy("name").agg(F.min(F.struct(F.coalesce("urls", F.lit(0)).alias("urls"), "gram")).alias("x")).where("x.urls > 0")
+    met = index.join(rarest.select("name", "x.gram", spread), ["gram", "salt"]).where(F.contains("url", "name"))
+    names = met.groupBy("name").agg(F.min("image_id").alias("image_id"))
     found = left.join(names, "name").groupBy("id").agg(F.min("image_id").alias("image_id")).withColumn("tier", F.lit(2))
     return exact.unionByName(found)
 
 
-def apply_overrides(regions: DataFrame, overrides: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Manual actions on regions: (regions with new status, role and action, version and lineage; rejected overrides). The
-    last override of a region counts; ``accepted`` is the outcome of the repair that it asked for."""
-    last = latest_by_key(overrides, ["page_id", "region"], ["seq"])
-    known = regions.select("page_id", "region")
-    bad = F.when(F.col("mask_pixels") <= 0, "empty-mask").when(~F.col("manual_action").isin("automatic", "force-clean", "protect"), "unknown-action")
-    last = last.withColumn("error", bad)
-    orphans = last.join(known, ["page_id", "region"], "left_anti").withColumn("error", F.coalesce("error", F.lit("unknown-region")))
-    rejected = orphans.unionByName(last.where(F.col("error").isNotNull()).join(known, ["page_id", "region"], "left_semi")).select("page_id", "region", "seq", "error")
-    o = last.where(F.col("error").isNull()).select("page_id", "region", "manual_action", "accepted")
+ACTIONS = ["automatic", "force-clean", "protect"]
+
+
+def override_errors(regions: DataFrame, overrides: DataFrame) -> DataFrame:
+    """``overrides`` with ``error``, null for those that apply: unknown-action, wrong-dimensions (mask_w and mask_h, where given, against
+    page_w and page_h of the page's regions), unknown-region or empty-mask, in this order."""
+    of = regions.select("page_id", F.col("region").alias("_known"), *(F.col(c).alias(f"_{c}") for c in ("page_w", "page_h") if c in regions.columns))
+    sized = {"mask_w", "mask_h"} <= set(overrides.columns) and "_page_w" in of.columns
+    pages = of.groupBy("page_id").agg(F.max("_page_w").alias("_page_w"), F.max("_page_h").alias("_page_h")) if sized else None
+    out = overrides if pages is None else overrides.join(pages, "page_id", "left")
+    out = out.join(of.select("page_id", F.col("_known").alias("region"), F.lit(True).alias("_known")).distinct(), ["page_id", "region"], "left")
+    error = F.when(~F.coalesce(F.col("manual_action").isin(*ACTIONS), F.lit(False)), "unknown-action")
+    if sized:
+        error = error.when((F.col("mask_w") != F.col("_page_w")) | (F.col("mask_h") != F.col("_page_h")), "wrong-dimensions")
+    error = error.when(F.col("_known").isNull(), "unknown-region").when(F.coalesce("mask_pixels", F.lit(0)) <= 0, "empty-mask")
+    return out.select(*overrides.columns, error.alias("error"))
+
+
+def override_versions(regions: DataFrame, overrides: DataFrame) -> DataFrame:
+    """One row for each override that applies (page_id, region, version, parent_version, seq, manual_action, status, action, text_role): successive retries of a
+    region make a chain of versions, each on top of the one before.
+
+    A protected region is preserved. A forced one is repaired, and then counts as dialogue. An automatic one is repaired if ``accepted``, else it needs review and is left
+    as it is; it keeps the role that it has by then. If it is judged to be preserved (``judged_role``, where the overrides have it), it is, in that role."""
+    judged = F.col("judged_role") if "judged_role" in overrides.columns else F.lit(None).cast("string")
     m = F.col("manual_action")
-    out = regions.join(o, ["page_id", "region"], "left").withColumns({
-        "status": F.when(m == "protect", "preserved").when(m.isNotNull(), F.when(F.col("accepted"), "repaired").otherwise("needs_review")).otherwise(F.col("status")),
-        "action": F.when(m == "protect", "preserve").when(m.isin("force-clean", "automatic"), "clean").otherwise(F.col("action")),
-        "text_role": F.when(m == "protect", "protected").otherwise(F.col("text_role")),
-        "parent_version": F.when(m.isNotNull(), F.col("version")),
-        "version": F.col("version") + m.isNotNull().cast("int"),
-    })
-    return out.drop("manual_action", "accepted"), rejected
+    keeps = (m == "automatic") & judged.isNotNull()
+    done = (m == "force-clean") | F.coalesce("accepted", F.lit(False))
+    status = F.when((m == "protect") | keeps, "preserved").when(done, "repaired").otherwise("needs_review")
+    action = F.when((m == "protect") | keeps | ~done, "preserve").otherwise("clean")
+    role = F.when(m == "protect", "protected").when(m == "force-clean", "dialogue").when(keeps, judged)
+    good = override_errors(regions, overrides).where("error IS NULL").select("page_id", "region", "seq", "manual_action", status.alias("status"), action.alias("action"), role.alias("new_role"))
+    order = Window.partitionBy("page_id", "region").orderBy("seq")
+    rows = good.join(regions.select("page_id", "region", F.col("version").alias("base"), F.col("text_role").alias("old_role")), ["page_id", "region"])
+    rows = rows.withColumns({"version": F.col("base") + F.row_number().over(order), "text_role": F.coalesce(F.last("new_role", ignorenulls=True).over(order), "old_role")})
+    return rows.select("page_id", "region", "version", (F.col("version") - 1).alias("parent_version"), "seq", "manual_action", "status", "action", "text_role")
+
+
+def apply_overrides(regions: DataFrame, overrides: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Manual actions on regions: (regions as their last version leaves them, with version and the one it was made from; rejected overrides with their
+    ``error``). ``seq`` orders the overrides of a region."""
+    keys = ["page_id", "region"]
+    last = latest_by_key(override_versions(regions, overrides), keys, ["version"])
+    names = ["status", "action", "text_role"]
+    new = last.select(*keys, "parent_version", *(F.col(c).alias(f"_{c}") for c in (*names, "version")))
+    out = regions.join(new, keys, "left").withColumns({c: F.coalesce(f"_{c}", c) for c in (*names, "version")}).drop(*(f"_{c}" for c in (*names, "version")))
+    return out, override_errors(regions, overrides).where("error IS NOT NULL").select("page_id", "region", "seq", "error")
 
 
 def resolve_layer(pages: DataFrame, translated: DataFrame, rendered: DataFrame, clean: DataFrame) -> DataFrame:
@@ -104,9 +146,23 @@ def batch_outcomes(attempts: DataFrame, book: str = "book_id") -> DataFrame:
     return pages.withColumn("attempted", F.coalesce(stopped, F.lit(0)) == 0)
 
 
-def batch_summary(outcomes: DataFrame, book: str = "book_id") -> DataFrame:
-    bad = F.when(F.col("attempted") & ~F.col("ok"), F.col("page_index"))
-    return outcomes.groupBy(book).agg(F.count_if(F.col("attempted") & F.col("ok")).alias("succeeded"), F.array_join(F.transform(F.array_sort(F.collect_list(bad)), lambda x: x.cast("string")), ", ").alias("failed_pages"), F.count_if(~F.col("attempted")).alias("skipped"))
+def batch_summary(outcomes: DataFrame, book: str = "book_id", unclean: DataFrame | None = None) -> DataFrame:
+    """Pages of a book that succeeded, those that failed and those never tried. ``unclean`` names pages (book, page_index) whose cleaning failed, so that no
+    request was made: they fail at the stage ``cleaning``, the others at ``translation``, and ``failures`` lists both as page:stage. A book stopped
+    by the quota does not try its later pages."""
+    if unclean is None:
+        out, stage = outcomes, F.lit("translation")
+    else:
+        # The quota of a page before stops its cleaning too.
+        stop = outcomes.where(F.col("last_error") == "QUOTA").groupBy(book).agg(F.min("page_index").alias("_stop"))
+        failed = unclean.select(book, "page_index").distinct().join(stop, book, "left").select(book, "page_index", F.lit(False).alias("ok"), (F.col("_stop").isNull() | (F.col("page_index") < F.col("_stop"))).alias("attempted"), F.lit("cleaning").alias("stage"))
+        out = outcomes.join(failed.select(book, "page_index"), [book, "page_index"], "left_anti").select(book, "page_index", "ok", "attempted", F.lit("translation").alias("stage")).unionByName(failed)
+        stage = F.col("stage")
+    bad = F.when(F.col("attempted") & ~F.col("ok"), F.struct("page_index", stage.alias("stage")))
+    joined = lambda f: F.array_join(F.transform(F.array_sort(F.collect_list(bad)), f), ", ")
+    text = lambda x: x["page_index"].cast("string")
+    stages = [] if unclean is None else [joined(lambda x: F.concat(text(x), F.lit(":"), x["stage"])).alias("failures")]
+    return out.groupBy(book).agg(F.count_if(F.col("attempted") & F.col("ok")).alias("succeeded"), joined(text).alias("failed_pages"), F.count_if(~F.col("attempted")).alias("skipped"), *stages)
 
 
 def batch_progress(pages: DataFrame, book: str = "book_id") -> DataFrame:

@@ -51,7 +51,10 @@ INPUTS: dict[str, str] = {
     "job_events": """SELECT user_id AS job_id, event_id, ts, CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'succeeded' WHEN 'view' THEN 'queued' ELSE 'running' END AS status,
         event_type AS stage, value, user_id % 20 AS page_id, event_id - (event_id % 5) * 10 AS token FROM {events}""",
     "raster": """SELECT vec_id AS page_id, CAST(floor(i / 8e0) AS INT) AS y, CAST(i % 8 AS INT) AS x, CAST(greatest(0, least(255, floor((CAST(e AS DOUBLE) + 1) * 1275e-1))) AS INT) AS v, label FROM @cells({embeddings})""",
-    "raster2": """SELECT page_id, y, x, CASE WHEN label % 3 = 0 AND x = 2 THEN v + 1 ELSE v END AS v FROM {raster}""",
+    "raster2": """SELECT page_id, y, x, CASE WHEN label % 3 = 0 AND x = 2 THEN v + 1 ELSE v END AS v FROM {raster} WHERE NOT (page_id % 5 = 0 AND x = 3 AND y IN (0, 5))""",
+    "colour": """SELECT page_id, y, x, v, v AS r, (v * 7 + x * 3) % 256 AS g, (v * 3 + y * 5) % 256 AS b, x - 3e0 AS gx, (v % 5) - 2e0 AS gy FROM {raster}""",
+    "retries": """SELECT page_id, 1 + box_id % 3 + CASE WHEN sk % 20 = 0 THEN 100 ELSE 0 END AS region, box_id AS seq, CASE sk % 4 WHEN 0 THEN 'automatic' WHEN 1 THEN 'force-clean' WHEN 2 THEN 'protect' ELSE 'paint' END AS manual_action,
+        sk % 8 AS mask_pixels, CASE WHEN sk % 11 = 0 THEN 599 ELSE 600 END AS mask_w, 400 AS mask_h, pk % 4 = 0 AS accepted, CASE WHEN pk % 7 = 0 THEN 'narration' END AS judged_role FROM {boxes} WHERE pk % 3 <> 0""",
     "rects": """SELECT vec_id AS page_id, CAST(z AS INT) AS zone_id, CAST(vec_id % 3 + z AS DOUBLE) AS zx, CAST(z * 2 AS DOUBLE) AS zy, CAST(3 AS DOUBLE) AS zw, CAST(4 AS DOUBLE) AS zh FROM @both({embeddings})""",
 }
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..operators import boxes as B
-from ..operators import curate, ingest, metrics, rules, state
+from ..operators import curate, ingest, metrics, regions, rules, state
 from .inputs import Reader, oracle
 from .page import run_pipeline
 
@@ -89,6 +89,16 @@ def build_requests(r):
     return ingest.build_requests(r.conversations.select(F.col("conv_id").alias("page_id"), F.col("turn").alias("idx"), F.col("role").alias("t")), F.lit("Translate to th"))
 
 
+@query(r"""WITH b AS (SELECT conv_id AS page_id, string_agg('{"t":"' || role || '","box":[' || turn || '.0,0.0]}', ',' ORDER BY turn) AS items FROM conversations WHERE conv_id % 4 <> 0 GROUP BY conv_id)
+SELECT p.page_id, CASE p.page_id % 3 WHEN 0 THEN 'The source language is ja. ' ELSE '' END || 'Translate this page to ' || CASE WHEN p.page_id % 5 = 0 THEN 'Thai' ELSE 'German' END || '.' || CASE WHEN p.page_id % 2 = 0 THEN chr(10) || 'Look again.' || chr(10) ELSE '' END
+    || chr(10) || 'JSON only.' || chr(10) || '{"bubbles":[' || coalesce(items, '') || ']}' AS payload FROM (SELECT DISTINCT conv_id AS page_id FROM conversations) p LEFT JOIN b USING (page_id)""")
+def page_requests(r):
+    c = r.conversations.select(F.col("conv_id").alias("page_id"), F.col("turn").cast("int").alias("idx"), F.col("role").alias("t"), F.array(F.col("turn").cast("double"), F.lit(0e0)).alias("box"))
+    source = F.when(F.col("page_id") % 3 == 0, "ja").when(F.col("page_id") % 3 == 1, "auto")
+    pages = c.select("page_id").distinct().withColumns({"source_lang": source, "target_lang": F.when(F.col("page_id") % 5 != 0, "German"), "is_retry": F.col("page_id") % 2 == 0})
+    return ingest.page_requests(pages, c.where("page_id % 4 <> 0"), F.lit("Translate this page"), F.lit("Look again."), "JSON only.")
+
+
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, list_filter([CASE WHEN NOT l_quantity > 10 THEN 'quantity' END, CASE WHEN NOT l_discount BETWEEN 0.01 AND 0.08 THEN 'discount' END, CASE WHEN NOT l_returnflag IN ('A', 'N') THEN 'flag' END], lambda x: x IS NOT NULL) AS violations FROM lineitem""")
 def validate(r):
     checks = {"quantity": F.col("l_quantity") > 10, "discount": F.col("l_discount").between(0.01, 0.08), "flag": F.col("l_returnflag").isin("A", "N")}
@@ -221,18 +231,30 @@ raw3 AS (SELECT *, inv OR CASE WHEN four THEN (rw >= 85 AND rh >= 85) OR (rw = 0
 raw4 AS (SELECT *, sum(CASE WHEN bad AND NOT placed THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY idx ROWS UNBOUNDED PRECEDING) - 1 AS n FROM raw3)"""
 
 
-@query(f"""WITH {_LAY} SELECT page_id, idx, bad AS is_invalid_box, greatest(0e0, least(100e0, CASE WHEN bad AND NOT placed THEN 50 ELSE rx END)) AS cx,
+_LAID = """laid AS (SELECT page_id, idx, bad AS is_invalid_box, greatest(0e0, least(100e0, CASE WHEN bad AND NOT placed THEN 50 ELSE rx END)) AS cx,
 greatest(0e0, least(100e0, CASE WHEN bad AND NOT placed THEN CASE WHEN n < 7 THEN 10 + 12 * n ELSE 8 + 12 * ((n - 7) % 7) END ELSE ry END)) AS cy,
-greatest(3e0, least(85e0, CASE WHEN bad THEN 30 ELSE rw END)) AS bw, greatest(2e0, least(85e0, CASE WHEN bad THEN 15 ELSE rh END)) AS bh FROM raw4""")
-def layout_boxes(r):
+greatest(3e0, least(85e0, CASE WHEN bad THEN 30 ELSE rw END)) AS bw, greatest(2e0, least(85e0, CASE WHEN bad THEN 15 ELSE rh END)) AS bh FROM raw4)"""
+
+
+def _placed(r, *more):
     three, five = F.col("pk") % 3 == 0, F.col("pk") % 5 == 0
     b = r.boxes.select(
         "page_id", F.col("box_id").alias("idx"), F.when(~three, F.array("y", "x", F.col("y") + F.col("h") * 5, F.col("x") + F.col("w") * 9)).alias("box"),
-        F.when(~five, F.col("x")).alias("x"), F.when(~five, F.col("y")).alias("y"), "w", "h", (F.col("sk") % 13 == 0).alias("is_invalid_box"),
+        F.when(~five, F.col("x")).alias("x"), F.when(~five, F.col("y")).alias("y"), "w", "h", (F.col("sk") % 13 == 0).alias("is_invalid_box"), *more,
     )
     return B.layout_boxes(b)
 
 
+@query(f"WITH {_LAY}, {_LAID} SELECT * FROM laid")
+def layout_boxes(r):
+    return _placed(r)
+
+
+@query(f"WITH {_LAY}, {_LAID} SELECT *, cx / 100 * 700 - bw / 100 * 700 / 2 AS px, cy / 100 * 800 - bh / 100 * 800 / 2 AS py, bw / 100 * 700 AS pw, bh / 100 * 800 AS ph FROM laid")
+def layout_boxes_in_pixels(r):
+    return _placed(r, "page_w", "page_h")
+
+
 @query("SELECT page_id, box_id, greatest(0e0, x - 96) AS px, greatest(0e0, y - 96) AS py, least(7e2, x + w + 96) - greatest(0e0, x - 96) AS pw, least(8e2, y + h + 96) - greatest(0e0, y - 96) AS ph FROM boxes")
 def pad_rect(r):
     return B.pad_rect(r.boxes, 96).select("page_id", "box_id", "px", "py", "pw", "ph")
@@ -256,14 +278,14 @@ FROM (SELECT page_id, root, min(x) AS x, min(y) AS y, max(x + w) AS x2, max(y +
 e0 AS (SELECT a.page_id, a.box_id AS a, b.box_id AS b FROM boxes a JOIN boxes b ON a.page_id = b.page_id AND a.box_id < b.box_id JOIN lim l ON l.page_id = a.page_id WHERE {_GAP} <= l.reach),
 edges AS (SELECT page_id, a, b FROM e0 UNION ALL SELECT page_id, b, a FROM e0), {_GROUPED}""")
 def group_regions(r):
-    return B.group_regions(r.boxes)
+    return regions.group_regions(r.boxes)
 
 
 @query(f"""WITH e0 AS (SELECT a.page_id, a.box_id AS a, b.box_id AS b FROM boxes a JOIN boxes b ON a.page_id = b.page_id AND a.box_id < b.box_id
 WHERE greatest(0e0, greatest(a.x, b.x) - least(a.x + a.w, b.x + b.w)) < 4e-2 * a.page_w AND greatest(0e0, greatest(a.y, b.y) - least(a.y + a.h, b.y + b.h)) < 4e-2 * a.page_h AND least(a.h, b.h) / greatest(a.h, b.h) > 6e-1),
 edges AS (SELECT page_id, a, b FROM e0 UNION ALL SELECT page_id, b, a FROM e0), {_GROUPED}""")
 def group_regions_axis(r):
-    return B.group_regions(r.boxes, "axis")
+    return regions.group_regions(r.boxes, "axis")
 
 
 @query("SELECT b.page_id, b.box_id, bool_or(z.zx IS NOT NULL AND b.x < zx - 8 + zw + 16 AND zx - 8 < b.x + b.w AND b.y < zy - 8 + zh + 16 AND zy - 8 < b.y + b.h) AS protected FROM boxes b LEFT JOIN zones z ON z.page_id = b.page_id GROUP BY b.page_id, b.box_id")
@@ -415,6 +437,18 @@ def stage_timings(r):
     return metrics.stage_timings(r.events.select(F.col("user_id").alias("page_id"), F.col("event_type").alias("stage"), F.floor("value").alias("ms")), ["click", "view"])
 
 
+@query(f"WITH st AS ({ORACLES['stage_timings']}), l AS (SELECT unnest(['click', 'view', 'total']) AS stage, unnest([click, view, total]) AS ms FROM st) SELECT stage, quantile_cont(ms, 0.5) AS median_ms, quantile_cont(ms, 0.95) AS p95_ms FROM l GROUP BY stage")
+def stage_percentiles(r):
+    return metrics.stage_percentiles(stage_timings(r), ["click", "view"])
+
+
+@query(f"WITH base AS ({ORACLES['residual_score']}), o AS (SELECT page_id, y // 4 AS region, max(v) / 2e2 AS ocr FROM raster WHERE page_id % 3 = 0 GROUP BY ALL) SELECT page_id, region, CASE WHEN ocr IS NULL THEN residual ELSE greatest(0e0, least(1e0, 75e-2 * residual + 25e-2 * greatest(0e0, least(1e0, ocr)))) END AS residual FROM base LEFT JOIN o USING (page_id, region)")
+def residual_score_with_readings(r):
+    px = r.raster.withColumns({"region": F.floor(F.col("y") / 4), "prob": F.col("v") / 255})
+    ocr = px.where("page_id % 3 = 0").groupBy("page_id", "region").agg((F.max("v") / 200).alias("ocr"))
+    return metrics.residual_score(px, px.where("v >= 130").withColumn("area", F.lit(4)), ocr)
+
+
 _ATT = """a AS (SELECT *, CASE WHEN transport_error THEN 'TIMEOUT' WHEN http_status = 429 THEN 'QUOTA' WHEN http_status >= 400 THEN 'UPSTREAM' WHEN block_reason IS NOT NULL THEN 'BLOCKED' END AS error FROM attempts)"""
 
 
@@ -450,6 +484,14 @@ def batch_summary(r):
     return state.batch_summary(_outcomes(r))
 
 
+@query(f"""WITH {_OUT}, stop AS (SELECT book_id, min(page_index) AS s FROM oc WHERE last_error = 'QUOTA' GROUP BY book_id), un AS (SELECT DISTINCT a.book_id, a.page_index, coalesce(a.page_index < s, true) AS attempted FROM a LEFT JOIN stop USING (book_id) WHERE a.page_index % 13 = 5),
+every AS (SELECT book_id, page_index, ok, attempted, 'translation' AS stage FROM oc WHERE page_index % 13 <> 5 UNION ALL SELECT book_id, page_index, false, attempted, 'cleaning' FROM un)
+SELECT book_id, count(*) FILTER (attempted AND ok) AS succeeded, coalesce(string_agg(CAST(page_index AS VARCHAR), ', ' ORDER BY page_index) FILTER (attempted AND NOT ok), '') AS failed_pages, count(*) FILTER (NOT attempted) AS skipped,
+    coalesce(string_agg(page_index || ':' || stage, ', ' ORDER BY page_index) FILTER (attempted AND NOT ok), '') AS failures FROM every GROUP BY book_id""")
+def batch_summary_by_stage(r):
+    return state.batch_summary(_outcomes(r), unclean=r.attempts.where("page_index % 13 = 5").select("book_id", "page_index"))
+
+
 # --- curation ---------------------------------------------------------------------------------------------
 
 _CATS = [
@@ -491,7 +533,7 @@ def review_selection(r):
 
 _STRATA = f"""{_SCORED}, u AS (SELECT * FROM cat),
 pick(k, paths, shas) AS (SELECT 0, CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]) UNION ALL
-    SELECT k + 1, list_append(paths, b.path_hash), list_append(shas, b.content_sha) FROM (SELECT p.k, p.paths, p.shas, (SELECT arg_max({{'path_hash': u.path_hash, 'content_sha': u.content_sha}}, {{'a': u.s[p.k + 1], 'b': u.tie}}) FROM u WHERE NOT list_contains(p.paths, u.path_hash) AND NOT list_contains(p.shas, u.content_sha)) AS b FROM pick p WHERE p.k < 9)),
+    SELECT k + 1, list_append(paths, b.path_hash), list_append(shas, b.content_sha) FROM (SELECT p.k, p.paths, p.shas, (SELECT arg_max({{'path_hash': u.path_hash, 'content_sha': u.content_sha}}, {{'a': u.s[p.k + 1], 'b': u.tie, 'c': u.content_sha}}) FROM u WHERE NOT list_contains(p.paths, u.path_hash) AND NOT list_contains(p.shas, u.content_sha)) AS b FROM pick p WHERE p.k < 9)),
 done AS (SELECT paths, shas FROM pick WHERE k = 9), first AS (SELECT unnest(paths) AS path_hash, unnest(shas) AS content_sha, unnest(range(1, 10)) AS i FROM done),
 once AS (SELECT * FROM u WHERE path_hash NOT IN (SELECT path_hash FROM first) AND content_sha NOT IN (SELECT content_sha FROM first) QUALIFY row_number() OVER (PARTITION BY content_sha ORDER BY tie DESC, path_hash) = 1),
 rest AS (SELECT path_hash, content_sha, category FROM once ORDER BY tie DESC, path_hash LIMIT 21),

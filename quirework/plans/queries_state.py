@@ -43,8 +43,8 @@ def reconcile_results(r):
 
 @query("""WITH w AS (SELECT page_id AS id, CASE WHEN page_id % 2 = 0 THEN url ELSE split_part(url, '?', 1) END AS url FROM pages), i AS (SELECT page_id AS image_id, url FROM pages),
 ex AS (SELECT w.id, min(image_id) AS image_id FROM w JOIN i USING (url) GROUP BY w.id), lf AS (SELECT id, list_last(string_split(regexp_extract(url, '^([^?#]*)', 1), '/')) AS name FROM w WHERE id NOT IN (SELECT id FROM ex)),
-nm AS (SELECT DISTINCT image_id, unnest(regexp_split_to_array(url, '[/?#&=]')) AS name FROM i)
-SELECT id, image_id, 1 AS tier FROM ex UNION ALL SELECT lf.id, min(nm.image_id), 2 FROM lf JOIN nm USING (name) WHERE length(lf.name) > 5 GROUP BY lf.id""")
+lg AS (SELECT * FROM lf WHERE length(name) > 5)
+SELECT id, image_id, 1 AS tier FROM ex UNION ALL SELECT lg.id, min(i.image_id), 2 FROM lg JOIN i ON contains(i.url, lg.name) GROUP BY lg.id""")
 def lookup_url(r):
     wanted = r.pages.select(F.col("page_id").alias("id"), F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise(F.split_part("url", F.lit("?"), F.lit(1))).alias("url"))
     return state.lookup_url(wanted, r.pages.select(F.col("page_id").alias("image_id"), "url"))
@@ -59,29 +59,31 @@ def lookup_url_by_name(r):
     return state.lookup_url(wanted, r.pages.select(F.col("page_id").alias("image_id"), "url"))
 
 
-def _overridden(r):
-    base = r.regions.select("page_id", "region", F.lit("needs_review").alias("status"), F.lit("clean").alias("action"), F.lit("review").alias("text_role"), F.lit(1).alias("version"))
-    o = r.boxes.where("pk % 6 = 0").select(
-        "page_id", (F.col("box_id") + F.when(F.col("sk") % 20 == 0, 100).otherwise(0)).alias("region"), F.col("stroke").alias("seq"), F.element_at(F.array(*map(F.lit, ["automatic", "force-clean", "protect", "paint"])), (F.col("sk") % 4 + 1).cast("int")).alias("manual_action"),
-        (F.col("sk") % 8).alias("mask_pixels"), (F.col("pk") % 4 == 0).alias("accepted"),
-    )
-    return state.apply_overrides(base, o)
+def _base(r):
+    return r.regions.select("page_id", "region", F.lit("needs_review").alias("status"), F.lit("clean").alias("action"), F.lit("review").alias("text_role"), F.lit(1).alias("version"), "page_w", "page_h")
 
 
-_OVER = """o AS (SELECT page_id, box_id + CASE WHEN sk % 20 = 0 THEN 100 ELSE 0 END AS region, stroke AS seq, ['automatic', 'force-clean', 'protect', 'paint'][sk % 4 + 1] AS m, sk % 8 AS px, pk % 4 = 0 AS accepted FROM boxes WHERE pk % 6 = 0),
-e AS (SELECT o.*, CASE WHEN px <= 0 THEN 'empty-mask' WHEN m = 'paint' THEN 'unknown-action' WHEN r.region IS NULL THEN 'unknown-region' END AS error FROM o LEFT JOIN regions r ON r.page_id = o.page_id AND r.region = o.region)"""
+_OVER = """e AS (SELECT o.*, manual_action AS m, CASE WHEN manual_action = 'paint' THEN 'unknown-action' WHEN mask_w <> 600 OR mask_h <> 400 THEN 'wrong-dimensions' WHEN r.region IS NULL THEN 'unknown-region' WHEN mask_pixels <= 0 THEN 'empty-mask' END AS error FROM retries o LEFT JOIN regions r ON r.page_id = o.page_id AND r.region = o.region),
+f AS (SELECT *, m = 'automatic' AND judged_role IS NOT NULL AS keeps, m = 'force-clean' OR accepted AS done FROM e WHERE error IS NULL),
+g AS (SELECT page_id, region, seq, m, CASE WHEN m = 'protect' OR keeps THEN 'preserved' WHEN done THEN 'repaired' ELSE 'needs_review' END AS status, CASE WHEN m = 'protect' OR keeps OR NOT done THEN 'preserve' ELSE 'clean' END AS action,
+    CASE WHEN m = 'protect' THEN 'protected' WHEN m = 'force-clean' THEN 'dialogue' WHEN keeps THEN judged_role END AS new_role FROM f),
+ver AS (SELECT page_id, region, CAST(1 + row_number() OVER w AS INT) AS version, CAST(row_number() OVER w AS INT) AS parent_version, seq, m AS manual_action, status, action, coalesce(last_value(new_role IGNORE NULLS) OVER w, 'review') AS text_role FROM g WINDOW w AS (PARTITION BY page_id, region ORDER BY seq ROWS UNBOUNDED PRECEDING))"""
 
 
-@query(f"""WITH {_OVER}, g AS (SELECT * FROM e WHERE error IS NULL) SELECT r.page_id, r.region, CASE WHEN m = 'protect' THEN 'preserved' WHEN m IS NOT NULL THEN CASE WHEN accepted THEN 'repaired' ELSE 'needs_review' END ELSE 'needs_review' END AS status,
-CASE WHEN m = 'protect' THEN 'preserve' ELSE 'clean' END AS action, CASE WHEN m = 'protect' THEN 'protected' ELSE 'review' END AS text_role, CASE WHEN m IS NOT NULL THEN 2 ELSE 1 END AS version, CASE WHEN m IS NOT NULL THEN 1 END AS parent_version
-FROM regions r LEFT JOIN g ON r.page_id = g.page_id AND r.region = g.region""")
+@query(f"WITH {_OVER} SELECT * FROM ver")
+def override_versions(r):
+    return state.override_versions(_base(r), r.retries)
+
+
+@query(f"""WITH {_OVER}, z AS (SELECT * FROM ver QUALIFY row_number() OVER (PARTITION BY page_id, region ORDER BY version DESC) = 1)
+SELECT r.page_id, r.region, coalesce(z.status, 'needs_review') AS status, coalesce(z.action, 'clean') AS action, coalesce(z.text_role, 'review') AS text_role, coalesce(z.version, 1) AS version, z.parent_version FROM regions r LEFT JOIN z ON r.page_id = z.page_id AND r.region = z.region""")
 def apply_overrides(r):
-    return _overridden(r)[0]
+    return state.apply_overrides(_base(r), r.retries)[0].drop("page_w", "page_h")
 
 
 @query(f"WITH {_OVER} SELECT page_id, region, seq, error FROM e WHERE error IS NOT NULL")
 def rejected_overrides(r):
-    return _overridden(r)[1]
+    return state.apply_overrides(_base(r), r.retries)[1]
 
 
 @query("SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 't' WHEN page_id % 5 = 0 THEN 'r' WHEN page_id % 3 = 0 THEN 'c' ELSE 'o' END || CAST(page_id AS VARCHAR) AS layer, CASE WHEN page_id % 7 = 0 THEN 'translated' WHEN page_id % 5 = 0 THEN 'rendered' WHEN page_id % 3 = 0 THEN 'clean' ELSE 'original' END AS source FROM book_pages")
@@ -159,7 +161,7 @@ def page_profile(r):
     return raster.page_profile(r.raster)
 
 
-@query("SELECT a.page_id, count(*) FILTER (a.v <> b.v) AS changed, count(*) FILTER (a.v <> b.v AND a.y >= 4) AS outside, count(*) FILTER (a.v <> b.v AND a.y = 0) AS inside_protected, count(*) FILTER (a.v <> b.v) = 0 AS identical FROM raster a JOIN raster2 b USING (page_id, y, x) GROUP BY a.page_id")
+@query("SELECT page_id, count(*) FILTER (c) AS changed, count(*) FILTER (c AND y >= 4) AS outside, count(*) FILTER (c AND y = 0) AS inside_protected, count(*) FILTER (c) = 0 AS identical FROM (SELECT page_id, y, a.v IS DISTINCT FROM b.v AS c FROM raster a FULL JOIN raster2 b USING (page_id, y, x)) GROUP BY page_id")
 def raster_diff(r):
     return raster.raster_diff(r.raster.select("page_id", "y", "x", "v"), r.raster2, r.raster.where("y < 4"), r.raster.where("y = 0"))
 
@@ -189,9 +191,26 @@ def mask_subtract(r):
 
 
 @query(f"""WITH {_IN}, h AS (SELECT page_id, zone_id, v, count(*) AS n FROM iz GROUP BY page_id, zone_id, v), t AS (SELECT page_id, zone_id, count(*) AS t, quantile_cont(v, 0.5) AS mid FROM iz GROUP BY page_id, zone_id)
-SELECT page_id, zone_id, round(-sum(n / CAST(t AS DOUBLE) * log2(n / CAST(t AS DOUBLE))), 9) AS entropy, sum(abs(v - mid) * n) / max(t) AS spread, sum(CASE WHEN v < 80 THEN n ELSE 0 END) / CAST(max(t) AS DOUBLE) AS dark_share FROM h JOIN t USING (page_id, zone_id) GROUP BY page_id, zone_id""")
+SELECT page_id, zone_id, round(-sum(n / CAST(t AS DOUBLE) * log2(n / CAST(t AS DOUBLE))), 9) AS entropy, round(sum(abs(v - mid) * n) / max(t), 9) AS spread, sum(CASE WHEN v < 80 THEN n ELSE 0 END) / CAST(max(t) AS DOUBLE) AS dark_share FROM h JOIN t USING (page_id, zone_id) GROUP BY page_id, zone_id""")
 def zone_texture(r):
-    return raster.zone_texture(r.raster, r.rects).withColumn("entropy", F.round("entropy", 9))
+    return raster.zone_texture(r.raster, r.rects).withColumns({c: F.round(c, 9) for c in ("entropy", "spread")})
+
+
+_IN3 = _IN.replace("y, x, v FROM raster", "y, x, v, r, g, b, gx, gy FROM colour")
+
+
+@query(f"""WITH {_IN3}, h AS (SELECT page_id, zone_id, v, count(*) AS n FROM iz GROUP BY page_id, zone_id, v), t AS (SELECT page_id, zone_id, count(*) AS t, quantile_cont(r, 0.5) AS mr, quantile_cont(g, 0.5) AS mg, quantile_cont(b, 0.5) AS mb, sum(gx) AS sx, sum(gy) AS sy, sum(sqrt(gx * gx + gy * gy)) AS sl FROM iz GROUP BY page_id, zone_id),
+en AS (SELECT page_id, zone_id, -sum(n / CAST(t AS DOUBLE) * log2(n / CAST(t AS DOUBLE))) AS entropy FROM h JOIN t USING (page_id, zone_id) GROUP BY page_id, zone_id)
+SELECT page_id, zone_id, round(max(entropy), 9) AS entropy, round(avg(sqrt((r - mr) * (r - mr) + (g - mg) * (g - mg) + (b - mb) * (b - mb))), 9) AS spread, avg(CASE WHEN v < 80 THEN 1e0 ELSE 0 END) AS dark_share, round(max(CASE WHEN sl <= 1e-6 THEN 0 ELSE least(1e0, sqrt(sx * sx + sy * sy) / sl) END), 9) AS coherence FROM iz JOIN t USING (page_id, zone_id) JOIN en USING (page_id, zone_id) GROUP BY page_id, zone_id""")
+def zone_texture_in_colour(r):
+    out = raster.zone_texture(r.colour, r.rects, ["r", "g", "b"])
+    return out.withColumns({c: F.round(c, 9) for c in ("entropy", "spread", "coherence")})
+
+
+@query("""WITH p AS (SELECT *, greatest(r, g, b) AS hi, least(r, g, b) AS lo, (r + g + b) / 3e0 AS m FROM colour)
+SELECT page_id, round(avg(CASE WHEN hi = 0 THEN 0 ELSE round(255 * (hi - lo) / CAST(hi AS DOUBLE)) / 255 END), 9) AS saturation, round(avg(sqrt(((r - m) * (r - m) + (g - m) * (g - m) + (b - m) * (b - m)) / 3)) / 120, 9) AS channel_spread FROM p GROUP BY page_id""")
+def page_stats_in_colour(r):
+    return raster.page_stats(r.colour).select("page_id", F.round("saturation", 9).alias("saturation"), F.round("channel_spread", 9).alias("channel_spread"))
 
 
 @query(f"WITH {_IN} SELECT page_id, zone_id, round(greatest(0e0, least(1e0, 1 - stddev_pop(v) / 96)), 9) AS uniformity FROM iz WHERE NOT (x = 3 AND y % 2 = 0) GROUP BY page_id, zone_id")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quirework.functions import exprs as X
 from quirework.graph import connected_components
 from quirework.operators import boxes as B
-from quirework.operators import curate, ingest, metrics, rules, state
+from quirework.operators import curate, ingest, metrics, regions, rules, state
 from quirework.sources import corpus
 from quirework.streaming import events as E
 
@@ -48,7 +48,7 @@ def test_detector_boxes(spark):
 
 def test_grouping_and_components(spark):
     df = spark.createDataFrame([(1, 1, 5.0, 5.0, 4.0, 10.0, 1, 48, 48), (1, 2, 12.0, 6.0, 10.0, 4.0, 2, 48, 48), (1, 3, 40.0, 40.0, 4.0, 4.0, 1, 48, 48)], "page_id long, box_id int, x double, y double, w double, h double, stroke int, page_w int, page_h int")
-    got = {r.region: r.members for r in B.group_regions(df).collect()}
+    got = {r.region: r.members for r in regions.group_regions(df).collect()}
     assert got == {1: [1, 2], 2: [3]}
     chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 100), (7, 90)], "src long, dst long")
     assert {r.node: r.component for r in connected_components(chain).collect()} == {**dict.fromkeys(range(41), 0), 90: 0}
@@ -209,29 +209,6 @@ def test_selection_takes_the_better_of_one_path(spark):
     assert len(got) == 10 and len({r.path_hash for r in got}) == 10 and ("b", CATEGORIES[0]) in {(r.content_sha, r.category) for r in got}
 
 
-def test_streams_of_watchdog_and_tokens(spark, tmp_path):
-    import datetime as dt
-
-    from quirework.streaming import events as E
-
-    at = lambda s: dt.datetime(2026, 1, 1) + dt.timedelta(seconds=s)
-    spark.createDataFrame([(1, at(0)), (2, at(1)), (3, at(900))], "id long, ts timestamp").write.parquet(f"{tmp_path}/starts")
-    spark.createDataFrame([(1, at(5)), (1, at(6)), (2, at(300)), (3, at(901))], "id long, ts timestamp").write.parquet(f"{tmp_path}/ends")
-    read = lambda name, schema: spark.readStream.schema(schema).parquet(f"{tmp_path}/{name}")
-    out = E.watchdog_stream(read("starts", "id long, ts timestamp"), read("ends", "id long, ts timestamp"), 30)
-    q = out.writeStream.format("memory").queryName("dogs").outputMode("append").option("checkpointLocation", f"{tmp_path}/c1").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert {(r.id, r.published) for r in spark.table("dogs").collect()} == {(1, True), (2, False), (3, True)}
-    rows = [(7, at(1), 1, 10), (7, at(2), 2, 9), (7, at(3), 3, 12), (7, at(4), 4, 12), (8, at(1), 5, 1)]
-    schema = "page_id long, ts timestamp, event_id long, token long"
-    table = spark.createDataFrame(rows, schema)
-    table.write.parquet(f"{tmp_path}/tokens")
-    q = E.drop_stale_stream(read("tokens", schema)).writeStream.format("memory").queryName("tokens").outputMode("append").option("checkpointLocation", f"{tmp_path}/c2").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    batch = E.drop_stale(table, table).select("page_id", "event_id")
-    assert sorted((r.page_id, r.event_id) for r in spark.table("tokens").collect()) == sorted(map(tuple, batch.collect())) == [(7, 1), (7, 3), (7, 4), (8, 5)]
-
-
 def test_sources_and_sinks(spark, tmp_path):
     from quirework.operators import ingest
     from quirework.sources import corpus
@@ -244,17 +221,13 @@ def test_sources_and_sinks(spark, tmp_path):
     pages = spark.range(20).withColumnRenamed("id", "page_id").repartition(4)
     corpus.write_report(pages.selectExpr("count(*) AS n"), pages, str(tmp_path / "r"))
     assert spark.read.json(f"{tmp_path}/r/summary").first().n == 20 and spark.read.json(f"{tmp_path}/r/pages").count() == 20
-    change = lambda v: spark.createDataFrame([("k", v, v), ("j", 0, v)], "key string, v int, at int")
-    for v in (1, 2):
-        latest = corpus.upsert(spark, change(v), f"{tmp_path}/store", ["key"], ["at"])
-    assert {r.key: r.at for r in latest.collect()} == {"k": 2, "j": 2}
     rules = {"name": ingest.required_string("name"), "score": ingest.finite_within("score", 0, 1), "sha": ingest.hex_digits("sha", 4)}
     rows = spark.createDataFrame([("a", 0.5, "00ff"), (" ", float("nan"), "XY"), (None, 2.0, None)], "name string, score double, sha string")
     valid, bad = ingest.split_valid(rows, rules)
     assert valid.count() == 1 and [r.violations for r in bad.collect()] == [["name", "score", "sha"]] * 2
 
 
-def test_streams_of_durations_invalidation_and_edits(spark, tmp_path):
+def test_streams_of_durations_and_invalidation(spark, tmp_path):
     import datetime as dt
     import random
 
@@ -295,13 +268,6 @@ def test_streams_of_durations_invalidation_and_edits(spark, tmp_path):
     got = ran(E.invalidate_derived_stream, "derived", "update", derived=(d, [derived[:12], derived[12:]]), recleans=(r, [recleans[:1], recleans[1:]]))
     assert {x.event_id: x.valid for x in got} == want and len(got) > len(want)
 
-    ops = [(i % 2, 5, i, rnd.choice(["push", "push", "push", "undo", "redo", "clear"] if i < 40 else ["push", "push", "undo"]), f"v{i}" if i % 5 else None, at(i)) for i in range(120)]
-    log = "session_id long, page_id long, seq int, op string, value string, ts timestamp"
-    want = sorted(map(tuple, E.replay_edits(spark.createDataFrame(ops, log), 7).collect()))
-    cuts = [ops[:30], ops[30:31], ops[31:90], ops[90:]]
-    got = ran(lambda x: E.replay_edits_stream(x, 7), "edits", "update", x=(log, [rnd.sample(c, len(c)) for c in cuts]))
-    assert sorted({r.session_id: tuple(r) for r in got}.values()) == want and max(r.depth for r in got) == 7
-
 
 def test_summary_of_patches_protected_pages_and_reviews(spark):
     pages = spark.createDataFrame([(1, 4, 10, 100, 1, 2, True, 0.5, 0.5, 9.5), (2, 2, 4, 300, 0, 0, None, 1.0, 0.5, 7.0)], "page_id int, eligible_count long, region_count long, total_ms int, changed_outside long, changed_protected long, identical boolean, residual_pass_rate double, automatic_pass_rate double, peak_rss_mb double")
@@ -330,16 +296,6 @@ def test_slots_take_other_steps_and_vectorised_scorers(spark):
     assert {r.page_id: (r.region_count, r.eligible_count, r.repaired_count, r.residual_pass_count) for r in out.collect()} == {1: (2, 2, 1, 1), 2: (1, 0, 0, 0), 3: (1, 0, 0, 0)}
 
 
-def test_image_types_and_stores_of_streams(spark, tmp_path):
+def test_image_types(spark):
     names = spark.createDataFrame([("a.PNG",), ("b.x.webp",), ("c.gif",), ("d.jpg",), ("e",), ("f.bmp",)], "name string")
     assert [r[0] for r in names.select(X.image_type(F.col("name"))).collect()] == ["image/png", "image/webp", "image/gif", "image/jpeg", "image/jpeg", "image/jpeg"]
-    schema = "key string, v int, at int"
-    spark.createDataFrame([("k", 1, 1), ("k", 2, 2), ("j", 3, 1)], schema).write.parquet(f"{tmp_path}/in")
-    held = spark.createDataFrame([("k", 0, 0), ("i", 0, 0)], schema)
-    corpus.upsert(spark, held, f"{tmp_path}/store", ["key"], ["at"])
-    for i in range(2):  # the second run, without its checkpoint, writes all again
-        q = corpus.upsert_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/store").option("checkpointLocation", f"{tmp_path}/c{i}").trigger(availableNow=True).start()
-        assert q.awaitTermination(120)
-    assert {r.key: r.v for r in state.latest_by_key(spark.read.parquet(f"{tmp_path}/store"), ["key"], ["at"]).collect()} == {"k": 2, "j": 3, "i": 0}
-    corpus.clear_store(spark, f"{tmp_path}/store", held.schema)
-    assert spark.read.parquet(f"{tmp_path}/store").count() == 0
