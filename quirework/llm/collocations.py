@@ -1,8 +1,8 @@
 """Phrase collocation mining with mergeable Misra-Gries summaries (operator 12).
 
 Phrases of 2 to ``LONGEST`` words that occur at least ``LEAST`` times in their language, scored by how far their words belong together.
-Word runs are found level by level, by 64-bit keys that hold the language too. Tasks count the keys of a level; the counts
-go to hash partitions, each of which folds them into one Misra-Gries summary. Its capacity exceeds the partition's mass divided
+Word runs are found level by level, by 64-bit keys that hold the language too. Tasks count the keys of a level and cut the counts by
+hash partition: small summaries, a row each, that are merged into one Misra-Gries summary of the partition. Its capacity exceeds the partition's mass divided
 by ``LEAST``, so what all its decrements take away stays below ``LEAST`` and every frequent phrase survives (a summary whose partition is
 heavier than the mean grows instead of decrementing too far). A run of n words is counted only if both its runs of n - 1 words
 survived, by a Bloom filter of fixed size. The texts are encoded once, words that did not survive becoming breaks. A second pass over
@@ -12,62 +12,90 @@ Sizes: a task holds ``BUFFER`` keys or a summary of about 2 * ``MASS`` / ``LEAST
 Words ``the`` or such are parts of very many phrases: joins by parts are salted.
 
 Words are ``[^\\x20\\x09]+`` within pieces, which end at ``[.,;:!?\\x0A-\\x0D]``; A-Z are lower-cased. Null language is ``und``; null, empty or wordless
-text adds nothing; very long texts are read whole; repeated rows count as often as they occur; an empty table gives an empty result; ties are
+text adds nothing; very long texts are read whole (about 60 bytes of memory for each of theirs); repeated rows count as often as they occur; an empty table gives an empty result; ties are
 broken as ``collocations`` says; other columns, whatever their names, don't matter.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from itertools import compress
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..scratch import keep
-from .text import WordHashes, bounded, mix, ngram_hashes
+from .text import bounded, mix, ngram_hashes, span_hashes, spans, text_chunks
 
 LEAST, LONGEST, MOST = 100, 5, 2000
 #: Occurrences of phrases that one hash partition gets, about.
 MASS = 20_000_000
 #: Keys that a task gathers before it counts them, and distinct phrases before it passes their counts on.
-BUFFER, PHRASES = 4_000_000, 200_000
-#: Words in a row of the encoded texts.
-ROW = 1 << 15
+BUFFER, PHRASES = 4_000_000, 400_000
+#: Bytes of text that are taken at once, and words in a row of the encoded texts, about.
+CHUNK, ROW = 1 << 20, 1 << 15
 #: Cells of 64 bits in a level's filter (8 MB).
 CELLS = 1 << 20
 SALTS = 8
 BREAKS = b".,;:!?\n\x0b\x0c\r"
-_TO_DOT = bytes.maketrans(BREAKS, b"." * len(BREAKS))
+_BREAK = np.isin(np.arange(256), list(BREAKS))
+_OUTSIDE = _BREAK | np.isin(np.arange(256), list(b" \t"))
+_LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
 _U = np.uint64
 
 
-def pieces(text: str | None) -> list[bytes]:
-    """The words, with ``.`` where a piece ends."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().translate(_TO_DOT).replace(b".", b" . ").split()
+class Words:
+    """The words of some texts, in order. ``at`` are their places in a stream that has one more place for each break: between pieces and texts,
+    and at the end."""
 
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        self.data = _LOWER[data]
+        self.starts, ends = spans(_OUTSIDE[data], offsets)
+        self.lengths = ends - self.starts
+        self.text = np.searchsorted(offsets, self.starts, side="right") - 1
+        breaks = np.cumsum(_BREAK[data], dtype=np.int32)
+        apart = (breaks[self.starts[1:]] != breaks[ends[:-1] - 1]) | (self.text[1:] != self.text[:-1])
+        self.at = np.arange(len(self.starts)) + np.concatenate([[0], np.cumsum(apart)]) if len(self.starts) else np.empty(0, np.int64)
+        self.size = int(self.at[-1]) + 2 if len(self.at) else 1
 
-class Keys:
-    """Keys of words, by language; zero for breaks."""
+    def keys(self, salts: np.ndarray) -> np.ndarray:
+        """A key for each word, none of them zero; ``salts``, one a text, tells languages apart."""
+        solid = self.data[~_OUTSIDE[self.data]]
+        at = np.cumsum(self.lengths) - self.lengths
+        return mix(span_hashes(solid, at, self.lengths) ^ salts[self.text]) | _U(1)
 
-    def __init__(self):
-        self.hashes, self.salts = WordHashes({b".": 0}), {}
+    def stream(self, values: np.ndarray) -> np.ndarray:
+        """Values of the words (0: none) at their places, zero at breaks."""
+        out = np.zeros(self.size, values.dtype)
+        out[self.at] = values
+        return out
 
-    def of(self, lang: str, tokens: list[bytes]) -> np.ndarray:
-        salt = self.salts.get(lang)
-        if salt is None:
-            if len(self.salts) > 10_000:
-                self.salts.clear()
-            salt = self.salts[lang] = _U(xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"), seed=12))
-        h = self.hashes.of(tokens)
-        keys = mix(h ^ salt) | _U(1)
-        keys[h == 0] = 0
-        return keys
+    def word(self, i: int) -> bytes:
+        return self.data[self.starts[i] : self.starts[i] + self.lengths[i]].tobytes()
+
+
+class Salts(dict):
+    """A number for each language."""
+
+    def __missing__(self, lang: str) -> int:
+        if len(self) > 10_000:
+            self.clear()
+        self[lang] = xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"), seed=12)
+        return self[lang]
+
+    def of(self, langs: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, langs), _U, len(langs))
+
+
+def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], Words]]:
+    for batch in batches:
+        for first, end, data, offsets in text_chunks(batch.column(1), CHUNK):
+            yield batch.column(0).slice(first, end - first).to_pylist(), Words(data, offsets)
 
 
 def runs(words: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,16 +107,51 @@ def runs(words: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return (words if n == 1 else ngram_hashes(words, n)), whole
 
 
-def _places(keys: np.ndarray) -> list[np.ndarray]:
-    mask = _U(CELLS * 64 - 1)
-    return [keys & mask, (keys >> _U(32)) & mask, mix(keys) & mask]
+def reduced(keys: np.ndarray, partitions: int) -> np.ndarray:
+    """Keys as the summaries hold them: the hash partition above, 40 bits within it. As partitions are of bounded mass, few of them
+    share a key by chance, and those that do only let each other survive."""
+    return ((keys & _U((1 << 24) - 1)) % _U(partitions)) << _U(40) | keys >> _U(24)
 
 
-def may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    found = np.ones(len(keys), bool)
-    for p in _places(keys):
-        found &= (bits[(p >> _U(6)).astype(np.int64)] >> (p & _U(63))) & _U(1) == 1
-    return found
+@dataclass(frozen=True)
+class Filter:
+    """A Bloom filter of keys."""
+
+    bits: np.ndarray
+    partitions: int
+
+    def may_hold(self, keys: np.ndarray) -> np.ndarray:
+        """A key that fails at one place is not looked up at the next."""
+        h = mix(reduced(keys, self.partitions))
+        found = np.arange(len(keys))
+        for shift in _SHIFTS:
+            place = (h[found] >> _U(shift)) & _U(CELLS * 64 - 1)
+            found = found[(self.bits[(place >> _U(6)).astype(np.int64)] >> (place & _U(63))) & _U(1) == 1]
+        out = np.zeros(len(keys), bool)
+        out[found] = True
+        return out
+
+
+#: Where the places of a key are taken from its scrambled bits.
+_SHIFTS = (0, 19, 38)
+
+
+def _mark(bits: np.ndarray, reduced_keys: np.ndarray) -> None:
+    h = mix(reduced_keys)
+    for shift in _SHIFTS:
+        place = (h >> _U(shift)) & _U(CELLS * 64 - 1)
+        np.bitwise_or.at(bits, (place >> _U(6)).astype(np.int64), _U(1) << (place & _U(63)))
+
+
+def _planes(values: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of each number, all first bytes, then all second ones: sorted numbers shrink well so."""
+    return values.view(np.uint8).reshape(len(values), -1)[:, :width].T.tobytes()
+
+
+def _numbers(planes: bytes, width: int, kind: type) -> np.ndarray:
+    out = np.zeros((len(planes) // width, np.dtype(kind).itemsize), np.uint8)
+    out[:, :width] = np.frombuffer(planes, np.uint8).reshape(width, -1).T
+    return out.view(kind).ravel()
 
 
 class Summary:
@@ -122,15 +185,17 @@ class Summary:
         return self.keys[self.counts + self.lost >= self.least]
 
 
-def _counted(parts: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """(h, c) of the keys of a task, at most BUFFER at a time."""
+def _counted(parts: Iterator[np.ndarray], partitions: int) -> Iterator[pa.RecordBatch]:
+    """(part, keys, counts): the keys of a task, at most BUFFER at a time, counted and cut by hash partition."""
     held, size = [], 0
 
     def flush() -> Iterator[pa.RecordBatch]:
-        if size:
-            keys, counts = np.unique(np.concatenate(held), return_counts=True)
-            for i in range(0, len(keys), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + (1 << 16)].view(np.int64)), pa.array(counts[i : i + (1 << 16)].astype(np.int64))], names=["h", "c"])
+        keys, counts = np.unique(reduced(np.concatenate(held), partitions), return_counts=True)
+        counts, cuts = counts.astype(np.int32), np.searchsorted(keys, np.arange(partitions + 1, dtype=_U) << _U(40))
+        for i in range(0, partitions, 64):
+            full = [j for j in range(i, min(i + 64, partitions)) if cuts[j] < cuts[j + 1]]
+            cut = lambda a, width: pa.array([_planes(a[cuts[j] : cuts[j + 1]], width) for j in full], pa.binary())  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), cut(keys, 5), cut(counts, 4)], names=["part", "keys", "counts"])
 
     for part in parts:
         held.append(part)
@@ -138,149 +203,221 @@ def _counted(parts: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
         if size >= BUFFER:
             yield from flush()
             held, size = [], 0
-    yield from flush()
+    if size:
+        yield from flush()
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
-    for batch in batches:
-        for start in range(0, batch.num_rows, 256):
-            part = batch.slice(start, 256)
-            for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                yield lang, pieces(text)
+_COUNTS = "part int, keys binary, counts binary"
+
+
+def partitions_of(df: DataFrame, mass: int) -> int:
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-mass // MASS))
 
 
-def survivors(counts: DataFrame, mass: int, least: int) -> np.ndarray:
-    """The filter of the keys (h, c) whose summaries say that they may occur ``least`` times."""
-    parts = max(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-mass // MASS))
-    capacity = 2 * mass // (parts * least) + 1024
+def survivors(counts: DataFrame, mass: int, least: int) -> Filter:
+    """The filter of the keys whose summaries say that they may occur ``least`` times."""
+    partitions = partitions_of(counts, mass)
+    capacity = 2 * mass // (partitions * least) + 1024
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        summary, held, size = Summary(capacity, least), [], 0
-        for batch in batches:
-            held.append((batch.column(0).to_numpy().view(_U), batch.column(1).to_numpy()))
-            size += batch.num_rows
-            if size >= capacity:
+        bits, at, held, size, summary = np.zeros(CELLS, _U), None, [], 0, None
+
+        def merge() -> None:
+            nonlocal held, size
+            if held:
                 summary.add(*map(np.concatenate, zip(*held, strict=True)))
-                held, size = [], 0
-        if held:
-            summary.add(*map(np.concatenate, zip(*held, strict=True)))
+            held, size = [], 0
+
+        def close() -> None:
+            merge()
+            if summary is not None:
+                _mark(bits, summary.frequent() | _U(at << 40))
+
+        for batch in batches:
+            for part, keys, some in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part != at:
+                    close()
+                    at, summary = part, Summary(capacity, least)
+                held.append((_numbers(keys, 5, _U), _numbers(some, 4, np.int32).astype(np.int64)))
+                size += len(held[-1][0])
+                if size >= max(capacity, 1 << 16):
+                    merge()
+        close()
         # As cells of the filter, which is what the next level reads.
-        bits = np.zeros(CELLS, _U)
-        for p in _places(summary.frequent()):
-            np.bitwise_or.at(bits, (p >> _U(6)).astype(np.int64), _U(1) << (p & _U(63)))
         full = np.flatnonzero(bits)
         for i in range(0, len(full), 1 << 16):
             some = full[i : i + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(bits[some].view(np.int64))], names=["cell", "b"])
 
-    cells = bounded(counts.repartition(parts, "h")).mapInArrow(fold, "cell int, b long").groupBy("cell").agg(F.bit_or("b").alias("b"))
+    dealt = counts.repartition(partitions, "part").sortWithinPartitions("part")
+    cells = bounded(dealt).mapInArrow(fold, "cell int, b long").groupBy("cell").agg(F.bit_or("b").alias("b"))
     # At most CELLS rows of 12 bytes.
     table, bits = cells.toArrow(), np.zeros(CELLS, _U)
     bits[table["cell"].to_numpy()] = table["b"].to_numpy().view(_U)
-    return bits
+    return Filter(bits, partitions)
 
 
-def filters(docs: DataFrame, least: int, longest: int) -> list[np.ndarray]:
+def filters(docs: DataFrame, least: int, longest: int) -> list[Filter]:
     """For each length from 1 word, a filter that all runs of it that occur ``least`` times in a language pass."""
     size = docs.agg(F.sum(F.octet_length("text") + 1).alias("n")).first().n or 0
     mass = -(-size // 2)  # words, at most
+    partitions = partitions_of(docs, mass)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = Keys()
-
-        def each() -> Iterator[np.ndarray]:
-            for lang, tokens in _texts(batches):
-                w = keys.of(lang, tokens)
-                yield w[w != 0]
+        salts = Salts()
+        yield from _counted((w.keys(salts.of(langs)) for langs, w in chunks(batches)), partitions)
 
-        yield from _counted(each())
-
-    found = [survivors(bounded(docs).mapInArrow(words, "h long, c long"), mass, least)]
+    found = [survivors(bounded(docs).mapInArrow(words, _COUNTS), mass, least)]
+    common = found[0]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, bits, held, size = Keys(), found[0], [], 0
-        for lang, tokens in _texts(batches):
-            w = keys.of(lang, tokens)
-            w[~may_hold(bits, w)] = 0
-            w = np.append(w, _U(0))
+        salts = Salts()
+        for langs, w in chunks(batches):
+            keys = w.keys(salts.of(langs))
+            keys[~common.may_hold(keys)] = 0
+            stream = w.stream(keys)
             # One break in a row says as much as several.
-            w = w[(w != 0) | np.concatenate([[True], w[:-1] != 0])]
-            held.append(w)
-            size += len(w)
-            if size >= ROW:
-                yield _rows(held)
-                held, size = [], 0
-        yield _rows(held)
+            yield _rows(stream[(stream != 0) | np.concatenate([[True], stream[:-1] != 0])])
 
     # Only runs of two words or more are left to find.
     coded = keep(bounded(docs).mapInArrow(encode, "w array<long>"), "encoded") if longest > 1 else None
     for n in range(2, longest + 1):
 
-        def level(batches: Iterator[pa.RecordBatch], n: int = n) -> Iterator[pa.RecordBatch]:
-            below = found[n - 2]
-
+        def level(batches: Iterator[pa.RecordBatch], n: int = n, below: Filter = found[-1]) -> Iterator[pa.RecordBatch]:
             def each() -> Iterator[np.ndarray]:
                 for batch in batches:
                     w = batch.column(0).flatten().to_numpy().view(_U)
                     keys, ok = runs(w, n)
                     if n > 2:
-                        inner, _ = runs(w, n - 1)
                         at = np.flatnonzero(ok)
-                        ok[at] = may_hold(below, inner[at]) & may_hold(below, inner[at + 1])
+                        inner = below.may_hold(runs(w, n - 1)[0])
+                        ok[at] = inner[at] & inner[at + 1]
                     yield keys[ok]
 
-            yield from _counted(each())
+            yield from _counted(each(), partitions)
 
-        found.append(survivors(bounded(coded).mapInArrow(level, "h long, c long"), mass, least))
+        found.append(survivors(bounded(coded).mapInArrow(level, _COUNTS), mass, least))
     return found
 
 
-def _rows(held: list[np.ndarray]) -> pa.RecordBatch:
-    flat = np.concatenate(held) if held else np.empty(0, _U)
+def _rows(flat: np.ndarray) -> pa.RecordBatch:
     # Rows end behind a break, so long texts give several.
     breaks = np.flatnonzero(flat == 0) + 1
     cuts = sorted({0, len(flat), *breaks[np.searchsorted(breaks, np.arange(ROW, len(flat), ROW))].tolist()})
     return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(cuts if len(flat) else [0], pa.int32()), pa.array(flat.view(np.int64)))], names=["w"])
 
 
+def _identified(w: Words, keys: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """For each word its number among the distinct ones, from 1, and these; words of the same key are held against each other byte by byte."""
+    _, first, number = np.unique(keys, return_index=True, return_inverse=True)
+    lead = first[number]
+    step = np.arange(int(w.lengths.sum())) - np.repeat(np.cumsum(w.lengths) - w.lengths, w.lengths)
+    same = (w.lengths == w.lengths[lead]).all() and np.array_equal(w.data[np.repeat(w.starts, w.lengths) + step], w.data[np.repeat(w.starts[lead], w.lengths) + step])
+    if same:
+        return number + 1, [w.word(i) for i in first.tolist()]
+    known: dict[bytes, int] = {}
+    return np.array([known.setdefault(w.word(i), len(known) + 1) for i in range(len(keys))]), list(known)
+
+
+def _counts_of(langs: list[str], w: Words, salts: Salts, found: list[Filter], counts: dict) -> None:
+    """Adds the phrases of some texts that pass the filters to ``counts``: by language and length, those of each phrase."""
+    names, code = np.unique(np.array(langs, object), return_inverse=True)
+    of = code[w.text]
+    for i, n in zip(*np.unique(of, return_counts=True), strict=True):
+        all_words = counts.setdefault((names[i], 0), {})
+        all_words[None] = all_words.get(None, 0) + int(n)
+    keys = w.keys(salts.of(langs))
+    often = found[0].may_hold(keys)
+    w.starts, w.lengths, w.at, w.text, keys, of = w.starts[often], w.lengths[often], w.at[often], w.text[often], keys[often], of[often]
+    if not len(keys):
+        return
+    number, distinct = _identified(w, keys)
+    stream, ids, lang = w.stream(keys), w.stream(number), w.stream(of)
+    # A run's number stands for its words: that of its run without the last word, and the last word.
+    run, phrases = ids.astype(np.int64), [b"", *distinct]
+    for n, common in enumerate(found, 1):
+        key, ok = runs(stream, n)
+        at = np.flatnonzero(ok)
+        at = at[common.may_hold(key[at])]
+        if not len(at):
+            return  # no longer run can be frequent either
+        if n == 1:
+            pair = ids[at].astype(np.int64)
+        else:
+            # What a frequent run begins with is frequent too, so it has a number.
+            at = at[run[at] > 0]
+            pair = run[at] * (len(distinct) + 1) + ids[at + n - 1]
+        both = pair * len(names) + lang[at]
+        some, inverse, c = np.unique(both, return_inverse=True, return_counts=True)
+        texts = [phrases[p] if n == 1 else phrases[p // (len(distinct) + 1)] + b" " + distinct[p % (len(distinct) + 1) - 1] for p in (some // len(names)).tolist()]
+        for phrase, i, m in zip(texts, (some % len(names)).tolist(), c.tolist(), strict=True):
+            mine = counts.setdefault((names[i], n), {})
+            mine[phrase] = mine.get(phrase, 0) + m
+        run = np.zeros(len(stream), np.int64)
+        run[at], phrases = inverse + 1, [b"", *texts]
+
+
 def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> DataFrame:
     """(lang, phrase, w, a): words and runs of up to ``longest`` words that occur at least ``least`` times in a language, with their exact
     counts; and a row with w = 0 and no phrase with the number of all words of each language."""
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
     found = filters(texts, least, longest)
 
+    partitions = found[0].partitions
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = Keys(), {}
+        salts, counts = Salts(), {}
 
         def flush() -> Iterator[pa.RecordBatch]:
-            rows = [(lang, None if phrase is None else phrase.decode("utf-8", "surrogatepass"), n, c) for (lang, n), some in counts.items() for phrase, c in some.items()]
+            """The counts by hash partition, a row each."""
+            parts: dict[int, list[tuple]] = {}
+            for (lang, n), some in counts.items():
+                for phrase, c in some.items():
+                    parts.setdefault(xxhash.xxh32_intdigest(phrase or b"") % partitions, []).append((lang, None if phrase is None else phrase.decode("utf-8", "surrogatepass"), n, c))
             counts.clear()
-            for i in range(0, len(rows), 20_000):
-                columns = zip(*rows[i : i + 20_000], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.int64()), strict=True)], names=["lang", "phrase", "w", "a"])
-
-        for lang, tokens in _texts(batches):
-            w = keys.of(lang, tokens)
-            counts.setdefault((lang, 0), Counter())[None] += int((w != 0).sum())
-            for n in range(1, longest + 1):
-                k, ok = runs(w, n)
-                at = np.flatnonzero(ok)
-                at = at[may_hold(found[n - 1], k[at])]
-                if not len(at):
-                    break  # no longer run can be frequent either
-                c = counts.setdefault((lang, n), Counter())
-                if n == 1:
-                    ok[:] = False
-                    ok[at] = True
-                    c.update(compress(tokens, ok.tolist()))
-                else:
-                    c.update([b" ".join(tokens[i : i + n]) for i in at.tolist()])
+            for part, rows in parts.items():
+                columns = list(zip(*rows, strict=True))
+                cut = pa.array([0, len(rows)], pa.int32())
+                lists = [pa.ListArray.from_arrays(cut, pa.array(c, t)) for c, t in zip(columns, _TYPES, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *lists], names=["part", *_NAMES])
+
+        for langs, w in chunks(batches):
+            _counts_of(langs, w, salts, found, counts)
             if sum(map(len, counts.values())) >= PHRASES:
                 yield from flush()
         yield from flush()
 
-    rows = bounded(texts).mapInArrow(count, "lang string, phrase string, w int, a long")
-    return keep(rows.groupBy("lang", "phrase", "w").agg(F.sum("a").alias("a")).where((F.col("a") >= least) | (F.col("w") == 0)), "phrases")
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, size = None, [], 0
+
+        def total() -> pa.Table:
+            return pa.concat_tables(held).group_by(_NAMES[:3]).aggregate([("a", "sum")]).rename_columns(_NAMES)
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if held:
+                t = total()
+                for batch in t.filter((pc.field("a") >= least) | (pc.field("w") == 0)).to_batches(max_chunksize=10_000):
+                    yield batch
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                if (part := row.column(0)[0].as_py()) != at:
+                    yield from close()
+                    at, held, size = part, [], 0
+                some = pa.Table.from_arrays([c.flatten() for c in row.columns[1:]], names=_NAMES)
+                held.append(some)
+                size += some.num_rows
+                if size >= 1_000_000:
+                    held = [total()]
+                    size = held[0].num_rows // 2
+        yield from close()
+
+    rows = bounded(texts).mapInArrow(count, "part int, lang array<string>, phrase array<string>, w array<int>, a array<long>")
+    return keep(bounded(rows.repartition(partitions, "part").sortWithinPartitions("part")).mapInArrow(add, "lang string, phrase string, w int, a long"), "phrases")
+
+
+_NAMES, _TYPES = ["lang", "phrase", "w", "a"], [pa.string(), pa.string(), pa.int32(), pa.int64()]
 
 
 def _part(start: Column | int, length: Column | int) -> Column:

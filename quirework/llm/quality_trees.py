@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import bounded, mix, ngram_hashes
+from .text import bounded, mix, ngram_hashes, span_hashes, spans, text_chunks
 
 FIT_ROWS = 20_000
 BINS, DEPTH, ROUNDS, RATE = 64, 4, 60, 0.15
@@ -29,7 +29,6 @@ RIDGE, LEAST_WEIGHT = 1.0, 2.0
 #: Bytes of text whose statistics are taken at once, about.
 CHUNK = 1 << 19
 _U = np.uint64
-_BASE = _U(0x9E3779B97F4A7C15)
 
 _KINDS = {
     "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "lower": b"abcdefghijklmnopqrstuvwxyz", "digits": b"0123456789", "space": b" \t\x0b\x0c\r", "newline": b"\n", "stops": b".", "commas": b",;:",
@@ -49,14 +48,6 @@ def _ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.divide(a, b, out=np.zeros(len(a)), where=np.asarray(b) > 0)
 
 
-def _hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """A hash of each of the consecutive, non-empty spans of ``data``."""
-    powers = np.cumprod(np.full(int(lengths.max()) if len(lengths) else 0, _BASE, _U))
-    terms = powers[np.arange(len(data)) - np.repeat(starts, lengths)]
-    terms *= data
-    return mix(np.add.reduceat(terms, starts)) if len(starts) else np.empty(0, _U)
-
-
 def _again(keys: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(distinct keys of each document, count of its commonest, for each key whether it occurs again in it)."""
     _, first, inverse, counts = np.unique(mix(keys ^ mix(of.astype(_U) + _U(1))), return_index=True, return_inverse=True, return_counts=True)
@@ -74,13 +65,8 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     share = _ratio(counts.ravel(), np.repeat(sizes, 256)).reshape(n, 256)
     entropy = -(share * np.log2(share, out=np.zeros_like(share), where=share > 0)).sum(axis=1)
 
-    full = sizes > 0
     space = _SPACE[data]
-    before, after = np.concatenate([[True], space[:-1]]) if len(data) else space, np.concatenate([space[1:], [True]]) if len(data) else space
-    before[offsets[:-1][full]] = True
-    after[offsets[1:][full] - 1] = True
-    begins = ~space & before
-    starts, ends = np.flatnonzero(begins), np.flatnonzero(~space & after) + 1
+    starts, ends = spans(space, offsets)
     lengths, of = ends - starts, doc[starts]
     solid, at = data[~space], np.cumsum(ends - starts) - (ends - starts)
     per = lambda weights: np.bincount(of, weights, minlength=n)
@@ -89,7 +75,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     spread = np.sqrt(np.maximum(_ratio(per(lengths.astype(float) ** 2), words) - mean**2, 0))
     longest = np.zeros(n)
     np.maximum.at(longest, of, lengths)
-    hashes = _hashes(solid, at, lengths)
+    hashes = span_hashes(solid, at, lengths)
     distinct, top, _ = _again(hashes, of, n)
     inside = lambda k: of[: max(len(of) - k + 1, 0)] == of[k - 1 :]  # noqa: E731  windows of k words within one text
     pairs, windows = inside(2), inside(5)
@@ -103,15 +89,15 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     covered = np.cumsum(covered)[:-1] > 0
     holding = lambda mask: np.add.reduceat(mask[solid].astype(np.int64), at) if len(at) else np.empty(0, np.int64)
 
-    line_starts = np.union1d(offsets[:-1][full], np.flatnonzero(_IS["newline"][data]) + 1)
+    line_starts = np.union1d(offsets[:-1][sizes > 0], np.flatnonzero(_IS["newline"][data]) + 1)
     line_starts = line_starts[line_starts < len(data)].astype(np.int64)
     line_sizes, line_of = np.diff(np.append(line_starts, len(data))), doc[line_starts]
     lines = np.bincount(line_of, minlength=n).astype(float)
-    line_words = np.add.reduceat(begins.astype(np.int64), line_starts) if len(line_starts) else np.empty(0, np.int64)
+    line_words = np.diff(np.append(np.searchsorted(starts, line_starts), len(starts)))
     long_line = np.zeros(n)
     np.maximum.at(long_line, line_of, line_sizes)
     spoken = line_words > 0
-    distinct_lines, _, _ = _again(_hashes(np.where(_IS["newline"][data], 0, data), line_starts, line_sizes)[spoken], line_of[spoken], n)
+    distinct_lines, _, _ = _again(span_hashes(np.where(_IS["newline"][data], 0, data), line_starts, line_sizes)[spoken], line_of[spoken], n)
     filled = np.bincount(line_of[spoken], minlength=n)
 
     columns = [
@@ -209,21 +195,6 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = ROUNDS,
     return Trees(*(np.array(a, t) for a, t in zip((roots, feature, threshold, left, right, value), (int, int, float, int, int, float), strict=True)), start, depth)
 
 
-def _chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(first row, end, statistics) of consecutive rows."""
-    texts = texts.fill_null("") if texts.null_count else texts
-    _, offsets, data = texts.buffers()
-    if not len(texts):
-        return
-    offsets = np.frombuffer(offsets, np.int64 if pa.types.is_large_string(texts.type) else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
-    data = np.frombuffer(data or b"", np.uint8)
-    first = 0
-    while first < len(texts):
-        end = max(first + 1, int(np.searchsorted(offsets, offsets[first] + CHUNK, side="right")) - 1)
-        yield first, end, statistics(data[offsets[first] : offsets[end]], offsets[first : end + 1] - offsets[first])
-        first = end
-
-
 def training_rows(labels: DataFrame, training: Column, rows: int = FIT_ROWS) -> DataFrame:
     """(doc_id, y, w): at most ``rows`` labelled documents of each label, with the weight that makes them stand for all."""
     one = labels.where(F.col("doc_id").isNotNull() & training).groupBy("doc_id").agg(F.min("quality").alias("y")).where("y IN (0, 1)").withColumn("h", F.xxhash64("doc_id"))
@@ -239,7 +210,8 @@ def train(docs: DataFrame, labels: DataFrame, training: Column, rows: int = FIT_
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, end, x in _chunks(batch.column(0)):
+            for first, end, *chunk in text_chunks(batch.column(0), CHUNK):
+                x = statistics(*chunk)
                 part = batch.slice(first, end - first)
                 values = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), part.column(3), values], names=["doc_id", "y", "w", "x"])
@@ -256,8 +228,8 @@ def score_documents(docs: DataFrame, trees: Trees, held_out: Column) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, end, x in _chunks(batch.column(2)):
-                part, score = batch.slice(first, end - first), trees.score(x)
+            for first, end, *chunk in text_chunks(batch.column(2), CHUNK):
+                part, score = batch.slice(first, end - first), trees.score(statistics(*chunk))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     return bounded(docs.select("doc_id", held_out.alias("held_out"), "text")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")

@@ -57,6 +57,41 @@ def ngram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def text_chunks(texts: pa.Array, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end, bytes, offsets) of consecutive texts of about ``size`` bytes together, as Arrow holds them; null ones are empty."""
+    texts = texts.fill_null("") if texts.null_count else texts
+    if not len(texts):
+        return
+    _, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets, np.int64 if pa.types.is_large_string(texts.type) else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(data or b"", np.uint8)
+    first = 0
+    while first < len(texts):
+        end = max(first + 1, int(np.searchsorted(offsets, offsets[first] + size, side="right")) - 1)
+        yield first, end, data[offsets[first] : offsets[end]], offsets[first : end + 1] - offsets[first]
+        first = end
+
+
+def spans(outside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of the maximal runs of bytes that aren't ``outside``, none beyond its own text."""
+    before, after = outside.copy(), outside.copy()
+    before[1:], after[:-1] = outside[:-1], outside[1:]
+    full = offsets[1:] > offsets[:-1]
+    before[offsets[:-1][full]] = True
+    after[offsets[1:][full] - 1] = True
+    return np.flatnonzero(~outside & before), np.flatnonzero(~outside & after) + 1
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """A hash of each of the consecutive, non-empty spans that make up ``data``."""
+    if not len(starts):
+        return np.empty(0, _U)
+    powers = np.cumprod(np.full(int(lengths.max()), _U(0x9E3779B97F4A7C15), _U))
+    terms = powers[np.arange(len(data)) - np.repeat(starts, lengths)]
+    terms *= data
+    return mix(np.add.reduceat(terms, starts))
+
+
 def bounded(df: DataFrame) -> DataFrame:
     """``df``, whose session from now on sends Arrow batches of at most BATCH_BYTES to Python."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)

@@ -62,6 +62,7 @@ def test_small_summaries_and_buffers_lose_nothing(spark, rows, monkeypatch):
     monkeypatch.setattr(co, "BUFFER", 500)
     monkeypatch.setattr(co, "PHRASES", 50)
     monkeypatch.setattr(co, "ROW", 64)
+    monkeypatch.setattr(co, "CHUNK", 700)
     assert run(spark, rows, least=20, most=7) == expected(rows, 20, most=7)
 
 
@@ -87,6 +88,22 @@ def test_summary_keeps_what_is_frequent():
     assert s.lost < 40 and set(range(1, 30)) <= set(s.frequent().tolist())
 
 
+def test_words_with_one_key_are_told_apart(monkeypatch):
+    data = np.frombuffer("Aa bb aa. cc Bb\tbb ; aa".encode(), np.uint8)
+    w = co.Words(data, np.array([0, len(data)]))
+    assert [w.word(i) for i in range(len(w.starts))] == [b"aa", b"bb", b"aa", b"cc", b"bb", b"bb", b"aa"] and w.at.tolist() == [0, 1, 2, 4, 5, 6, 8] and w.size == 10
+    number, distinct = co._identified(w, w.keys(np.zeros(1, np.uint64)))
+    assert [distinct[i - 1] for i in number] == [w.word(i) for i in range(7)] and len(distinct) == 3
+    number, distinct = co._identified(w, np.full(7, 5, np.uint64))
+    assert [distinct[i - 1] for i in number] == [w.word(i) for i in range(7)] and len(distinct) == 3
+
+
+def test_planes():
+    keys = np.array([1, 2**39 + 7, 2**40 - 1], np.uint64)
+    assert co._numbers(co._planes(keys, 5), 5, np.uint64).tolist() == keys.tolist()
+    assert co._numbers(co._planes(np.array([1, 70_000], np.int32), 4), 4, np.int32).tolist() == [1, 70_000]
+
+
 def test_scores_beyond_64_bits(spark):
     big = 3_000_000_000_000
     counts = spark.createDataFrame([("en", None, 0, 40 * big), ("en", "a", 1, 2 * big), ("en", "b", 1, 3 * big), ("en", "a b", 2, big + 7)], "lang string, phrase string, w int, a long")
