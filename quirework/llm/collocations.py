@@ -36,7 +36,7 @@ LEAST, LONGEST, MOST = 100, 5, 2000
 #: Occurrences of phrases that one hash partition gets, about.
 MASS = 20_000_000
 #: Keys that a task gathers before it counts them, and distinct phrases before it passes their counts on.
-BUFFER, PHRASES = 4_000_000, 400_000
+BUFFER, PHRASES = 4_000_000, 1_000_000
 #: Bytes of text that are taken at once, and words in a row of the encoded texts, about.
 CHUNK, ROW = 1 << 20, 1 << 15
 #: Cells of 64 bits in a level's filter (8 MB).
@@ -307,54 +307,120 @@ def _rows(flat: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(cuts if len(flat) else [0], pa.int32()), pa.array(flat.view(np.int64)))], names=["w"])
 
 
-def _identified(w: Words, keys: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    """For each word its number among the distinct ones, from 1, and these; words of the same key are held against each other byte by byte."""
-    _, first, number = np.unique(keys, return_index=True, return_inverse=True)
-    lead = first[number]
-    step = np.arange(int(w.lengths.sum())) - np.repeat(np.cumsum(w.lengths) - w.lengths, w.lengths)
-    same = (w.lengths == w.lengths[lead]).all() and np.array_equal(w.data[np.repeat(w.starts, w.lengths) + step], w.data[np.repeat(w.starts[lead], w.lengths) + step])
-    if same:
-        return number + 1, [w.word(i) for i in first.tolist()]
-    known: dict[bytes, int] = {}
-    return np.array([known.setdefault(w.word(i), len(known) + 1) for i in range(len(keys))]), list(known)
-
-
-def _counts_of(langs: list[str], w: Words, salts: Salts, found: list[Filter], counts: dict) -> None:
-    """Adds the phrases of some texts that pass the filters to ``counts``: by language and length, those of each phrase."""
-    names, code = np.unique(np.array(langs, object), return_inverse=True)
-    of = code[w.text]
-    for i, n in zip(*np.unique(of, return_counts=True), strict=True):
-        all_words = counts.setdefault((names[i], 0), {})
-        all_words[None] = all_words.get(None, 0) + int(n)
-    keys = w.keys(salts.of(langs))
-    often = found[0].may_hold(keys)
-    w.starts, w.lengths, w.at, w.text, keys, of = w.starts[often], w.lengths[often], w.at[often], w.text[often], keys[often], of[often]
-    if not len(keys):
-        return
-    number, distinct = _identified(w, keys)
-    stream, ids, lang = w.stream(keys), w.stream(number), w.stream(of)
-    # A run's number stands for its words: that of its run without the last word, and the last word.
-    run, phrases = ids.astype(np.int64), [b"", *distinct]
-    for n, common in enumerate(found, 1):
-        key, ok = runs(stream, n)
-        at = np.flatnonzero(ok)
-        at = at[common.may_hold(key[at])]
-        if not len(at):
-            return  # no longer run can be frequent either
-        if n == 1:
-            pair = ids[at].astype(np.int64)
-        else:
+class Tally:
+    """Exact counts of phrases, as a task gathers them. A word has a number for each language; a longer phrase has one for the pair of its
+    numbers, that of the phrase without its last word and that of this word."""
+
+    def __init__(self):
+        self.langs: dict[str, int] = {}
+        self.totals = np.zeros(0, np.int64)
+        self.keys, self.numbers = np.empty(0, _U), np.empty(0, np.int64)  # sorted keys of words, and the words' numbers
+        self.data, self.starts, self.lengths, self.lang = np.empty(0, np.uint8), *(np.empty(0, np.int64) for _ in range(3))
+        self.odd: dict[tuple[int, bytes], int] = {}
+        self.levels: list[_Level] = []
+
+    def size(self) -> int:
+        return len(self.starts) + sum(len(x.codes) for x in self.levels)
+
+    def _enter(self, data: np.ndarray, lengths: np.ndarray, lang: np.ndarray) -> np.ndarray:
+        """Numbers, from 1, of new words."""
+        first = len(self.starts)
+        self.starts = np.concatenate([self.starts, len(self.data) + np.cumsum(lengths) - lengths])
+        self.data, self.lengths, self.lang = (np.concatenate(x) for x in ((self.data, data), (self.lengths, lengths), (self.lang, lang)))
+        return np.arange(first, len(self.starts)) + 1
+
+    def words(self, w: Words, keys: np.ndarray, lang: np.ndarray) -> np.ndarray:
+        """The number of each word. Keys find it; the bytes decide."""
+        u, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, u)
+        new = np.ones(len(u), bool)
+        new[at < len(self.keys)] = self.keys[at[at < len(self.keys)]] != u[at < len(self.keys)]
+        i = first[new]
+        entered = self._enter(w.data[_places_in(w.starts[i], w.lengths[i])], w.lengths[i], lang[i])
+        self.keys, self.numbers = np.insert(self.keys, at[new], u[new]), np.insert(self.numbers, at[new], entered)
+        out = self.numbers[np.searchsorted(self.keys, u)][inverse]
+        same = (w.lengths == self.lengths[out - 1]) & (lang == self.lang[out - 1])
+        ok = np.flatnonzero(same)
+        mine, theirs = w.data[_places_in(w.starts[ok], w.lengths[ok])], self.data[_places_in(self.starts[out[ok] - 1], w.lengths[ok])]
+        if len(ok) and not np.array_equal(mine, theirs):
+            same[ok] = ~np.logical_or.reduceat(mine != theirs, np.cumsum(w.lengths[ok]) - w.lengths[ok])
+        for j in np.flatnonzero(~same).tolist():  # another word has the key
+            name = (int(lang[j]), w.word(j))
+            if name not in self.odd:
+                self.odd[name] = int(self._enter(np.frombuffer(name[1], np.uint8), w.lengths[j : j + 1], lang[j : j + 1])[0])
+            out[j] = self.odd[name]
+        return out
+
+    def add(self, langs: list[str], w: Words, salts: Salts, found: list[Filter]) -> None:
+        """The phrases of some texts that pass the filters."""
+        lang = np.fromiter((self.langs.setdefault(x, len(self.langs)) for x in langs), np.int64, len(langs))[w.text]
+        self.totals = _plus(self.totals, lang)
+        keys = w.keys(salts.of(langs))
+        often = found[0].may_hold(keys)
+        w.starts, w.lengths, w.at, w.text, keys, lang = w.starts[often], w.lengths[often], w.at[often], w.text[often], keys[often], lang[often]
+        if not len(keys):
+            return
+        stream, word = w.stream(keys), w.stream(self.words(w, keys, lang))
+        run = word
+        for n, common in enumerate(found, 1):
+            if n > len(self.levels):
+                self.levels.append(_Level())
+            key, ok = runs(stream, n)
+            at = np.flatnonzero(ok)
             # What a frequent run begins with is frequent too, so it has a number.
             at = at[run[at] > 0]
-            pair = run[at] * (len(distinct) + 1) + ids[at + n - 1]
-        both = pair * len(names) + lang[at]
-        some, inverse, c = np.unique(both, return_inverse=True, return_counts=True)
-        texts = [phrases[p] if n == 1 else phrases[p // (len(distinct) + 1)] + b" " + distinct[p % (len(distinct) + 1) - 1] for p in (some // len(names)).tolist()]
-        for phrase, i, m in zip(texts, (some % len(names)).tolist(), c.tolist(), strict=True):
-            mine = counts.setdefault((names[i], n), {})
-            mine[phrase] = mine.get(phrase, 0) + m
-        run = np.zeros(len(stream), np.int64)
-        run[at], phrases = inverse + 1, [b"", *texts]
+            at = at[common.may_hold(key[at])]
+            if not len(at):
+                return  # no longer run can be frequent either
+            codes = run[at] if n == 1 else (run[at] << 32) | word[at + n - 1]
+            run = np.zeros(len(stream), np.int64)
+            run[at] = self.levels[n - 1].add(codes)
+
+    def rows(self) -> Iterator[tuple[str, bytes | None, int, int]]:
+        """(lang, phrase, w, a); the number of all words has w = 0."""
+        names = list(self.langs)
+        for name, n in zip(names, self.totals.tolist(), strict=False):
+            yield name, None, 0, n
+        raw = self.data.tobytes()
+        words = [b"", *(raw[s : s + n] for s, n in zip(self.starts.tolist(), self.lengths.tolist(), strict=True))]
+        lang, before = [None, *(names[i] for i in self.lang.tolist())], words
+        for n, level in enumerate(self.levels, 1):
+            phrases = [b""]
+            for code, c in zip(level.code.tolist(), level.counts.tolist(), strict=True):
+                last = code & 0xFFFFFFFF
+                phrases.append(words[last] if n == 1 else before[code >> 32] + b" " + words[last])
+                yield lang[last], phrases[-1], n, c
+            before = phrases
+
+
+class _Level:
+    """Phrases of one length: their codes, sorted, with their numbers; code and count by number."""
+
+    def __init__(self):
+        self.codes, self.numbers, self.code, self.counts = (np.empty(0, np.int64) for _ in range(4))
+
+    def add(self, codes: np.ndarray) -> np.ndarray:
+        u, inverse, c = np.unique(codes, return_inverse=True, return_counts=True)
+        at = np.searchsorted(self.codes, u)
+        new = np.ones(len(u), bool)
+        new[at < len(self.codes)] = self.codes[at[at < len(self.codes)]] != u[at < len(self.codes)]
+        entered = len(self.code) + 1 + np.arange(int(new.sum()))
+        self.codes, self.numbers = np.insert(self.codes, at[new], u[new]), np.insert(self.numbers, at[new], entered)
+        self.code, self.counts = np.concatenate([self.code, u[new]]), np.concatenate([self.counts, np.zeros(len(entered), np.int64)])
+        out = self.numbers[np.searchsorted(self.codes, u)]
+        self.counts[out - 1] += c
+        return out[inverse]
+
+
+def _places_in(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places of all bytes of some spans, one span after another."""
+    return np.arange(int(lengths.sum())) + np.repeat(starts - np.cumsum(lengths) + lengths, lengths)
+
+
+def _plus(totals: np.ndarray, places: np.ndarray) -> np.ndarray:
+    more = np.bincount(places, minlength=len(totals)).astype(np.int64)
+    more[: len(totals)] += totals
+    return more
 
 
 def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> DataFrame:
@@ -366,15 +432,13 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -
     partitions = found[0].partitions
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        salts, counts = Salts(), {}
+        salts, tally = Salts(), Tally()
 
         def flush() -> Iterator[pa.RecordBatch]:
             """The counts by hash partition, a row each."""
             parts: dict[int, list[tuple]] = {}
-            for (lang, n), some in counts.items():
-                for phrase, c in some.items():
-                    parts.setdefault(xxhash.xxh32_intdigest(phrase or b"") % partitions, []).append((lang, None if phrase is None else phrase.decode("utf-8", "surrogatepass"), n, c))
-            counts.clear()
+            for lang, phrase, n, c in tally.rows():
+                parts.setdefault(xxhash.xxh32_intdigest(phrase or b"") % partitions, []).append((lang, None if phrase is None else phrase.decode("utf-8", "surrogatepass"), n, c))
             for part, rows in parts.items():
                 columns = list(zip(*rows, strict=True))
                 cut = pa.array([0, len(rows)], pa.int32())
@@ -382,9 +446,10 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *lists], names=["part", *_NAMES])
 
         for langs, w in chunks(batches):
-            _counts_of(langs, w, salts, found, counts)
-            if sum(map(len, counts.values())) >= PHRASES:
+            tally.add(langs, w, salts, found)
+            if tally.size() >= PHRASES:
                 yield from flush()
+                tally = Tally()
         yield from flush()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

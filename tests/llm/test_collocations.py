@@ -88,14 +88,18 @@ def test_summary_keeps_what_is_frequent():
     assert s.lost < 40 and set(range(1, 30)) <= set(s.frequent().tolist())
 
 
-def test_words_with_one_key_are_told_apart(monkeypatch):
+def test_words_with_one_key_are_told_apart():
     data = np.frombuffer("Aa bb aa. cc Bb\tbb ; aa".encode(), np.uint8)
     w = co.Words(data, np.array([0, len(data)]))
     assert [w.word(i) for i in range(len(w.starts))] == [b"aa", b"bb", b"aa", b"cc", b"bb", b"bb", b"aa"] and w.at.tolist() == [0, 1, 2, 4, 5, 6, 8] and w.size == 10
-    number, distinct = co._identified(w, w.keys(np.zeros(1, np.uint64)))
-    assert [distinct[i - 1] for i in number] == [w.word(i) for i in range(7)] and len(distinct) == 3
-    number, distinct = co._identified(w, np.full(7, 5, np.uint64))
-    assert [distinct[i - 1] for i in number] == [w.word(i) for i in range(7)] and len(distinct) == 3
+    words = [w.word(i) for i in range(7)]
+    for keys in (w.keys(np.zeros(1, np.uint64)), np.full(7, 5, np.uint64), np.array([5, 5, 5, 9, 9, 5, 5], np.uint64)):
+        tally = co.Tally()
+        for lang in (np.zeros(7, int), np.zeros(7, int), np.ones(7, int)):
+            number = tally.words(w, keys, lang)
+            named = [tally.data[tally.starts[i - 1] : tally.starts[i - 1] + tally.lengths[i - 1]].tobytes() for i in number]
+            assert named == words and (tally.lang[number - 1] == lang).all()
+        assert len(tally.starts) == 6
 
 
 def test_planes():
