@@ -28,9 +28,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import bloom
 from ..graph import connected_components
 from ..scratch import keep
-from . import bloom
 from .text import WordHashes, map_rows, ngram_hashes, words
 
 K, LISTED, SHORT = 48, 24, 32
@@ -274,27 +274,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     return judged(docs, width, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _unused(names: list[str], like: str) -> str:
-    while like in names:
-        like += "_"
-    return like
-
-
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """``docs``, all columns, with one row of each component, and all rows without words. The texts of rows that stay aren't
-    shuffled, but for the few that a Bloom filter of the others lets through."""
+    shuffled, but for the few that a Bloom filter of the others lets through. A row travels as one value, so its columns may have any names."""
     verdicts = judged(docs, width, percent).groupBy("doc_id", "place").agg(F.count("*").alias("c"), F.bool_or("stays").alias("stays"), F.max("n").alias("n"))
     # Rows that go, and repeated rows of which one stays.
     suspects = keep(verdicts.where("n > 0 AND (NOT stays OR c > 1)").select(F.xxhash64("doc_id", "place").alias("key"), F.col("doc_id").alias("id"), F.col("place").alias("at"), "stays"), "suspects")
-    place, maybe = _unused(docs.columns, "place"), _unused(docs.columns, "maybe")
-    keyed = docs.withColumn(place, F.xxhash64("text")).withColumn(maybe, F.xxhash64("doc_id", place))
-    tagged = keyed.withColumn(maybe, bloom.passing(keyed, maybe, bloom.cells(suspects, "key")))
-    clear = tagged.where(~F.col(maybe)).select(docs.columns)
-    a, b = tagged.where(F.col(maybe)).alias("a"), suspects.select("id", "at", "stays").alias("b")
-    same = F.col("a.doc_id").eqNullSafe(F.col("b.id")) & (F.col(f"a.{place}") == F.col("b.at"))
-    others = a.join(b, same, "left_anti").select(docs.columns)
-    once = a.join(b.where("stays"), same, "left_semi").dropDuplicates(["doc_id", place]).select(docs.columns)
-    return clear.unionByName(others).unionByName(once)
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("own"), F.xxhash64("text").alias("place")).withColumn("key", F.xxhash64("own", "place"))
+    tagged = keyed.withColumn("maybe", bloom.passing(keyed, "key", bloom.cells(suspects, "key"))).drop("key")
+    clear, others = tagged.where(~F.col("maybe")), tagged.where("maybe")
+    same = F.col("own").eqNullSafe(F.col("id")) & (F.col("place") == F.col("at"))
+    wanted = suspects.select("id", "at", "stays")
+    once = others.join(wanted.where("stays"), same, "left_semi").dropDuplicates(["own", "place"])
+    return clear.unionByName(others.join(wanted, same, "left_anti")).unionByName(once).select("row.*")
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -326,7 +326,7 @@ def redact(docs: DataFrame) -> DataFrame:
 
         return one
 
-    renamed = docs.select(*(F.col(f"`{f.name}`").alias(c) for f, c in zip(target, columns, strict=True)))
+    renamed = docs.toDF(*columns)
     if spans is None:
         full = renamed.withColumn("found", F.lit(None).cast("array<struct<s:int,e:int,risk:double>>"))
     else:

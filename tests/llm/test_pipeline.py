@@ -1,6 +1,7 @@
 import random
 
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -50,6 +51,37 @@ def test_stages_take_effect(spark, tmp_path):
     assert sorted(map(str, direct.collect())) == sorted(map(str, seen[3].select("doc_id", "piece", "length", "ids_crc32").collect()))
 
 
+def test_columns_of_any_name_pass_all_stages(spark, tmp_path):
+    _, docs = make(spark, tmp_path)
+    extra = {"Place": "P", "MAYBE": "M", "a.b": "dot", "key": "k", "row": "r", "found": "f", "we`ird": "w"}
+    wide = docs
+    for name, value in extra.items():
+        wide = wide.withColumn(name, F.concat(F.lit(value), F.coalesce(F.col("doc_id"), F.lit(-1)).cast("string")))
+    wide.write.parquet(f"{tmp_path}/wide/documents.parquet")
+    spark.read.parquet(f"{tmp_path}/labels.parquet").write.parquet(f"{tmp_path}/wide/labels.parquet")
+    held = spark.read.parquet(f"{tmp_path}/wide/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        held = stage(spark, held, f"{tmp_path}/wide")
+        assert held.columns == wide.columns
+        rows = held.collect()
+        assert rows and all(tuple(r)[5:] == tuple(f"{v}{-1 if r.doc_id is None else r.doc_id}" for v in extra.values()) for r in rows)
+        held = spark.createDataFrame(rows, wide.schema)
+    assert corpus_pipeline.STAGES[-1][1](spark, held, f"{tmp_path}/wide").count() > 60
+
+
+def test_repeats_ties_and_very_long_texts(spark, tmp_path):
+    texts, docs = make(spark, tmp_path)
+    rows = [(1, texts[1]), (1, texts[1]), (1, texts[2]), (2, texts[1]), (None, texts[1]), (500, texts[403] * 12), (501, texts[403] * 12)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    more = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], schema)
+    kept = corpus_pipeline.near_dedup_stage(spark, more, str(tmp_path))
+    # One row of each text: of the smallest id that has one; near copies of any length are one group.
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([(1, texts[1]), (1, texts[2]), (500, texts[403] * 12)])
+    assert corpus_pipeline.pii_stage(spark, more, str(tmp_path)).count() == len(rows)
+    packed = corpus_pipeline.packing_stage(spark, more, str(tmp_path)).where("doc_id = 500").collect()
+    assert len(packed) > 20 and sorted(r.piece for r in packed) == list(range(len(packed)))
+
+
 def test_empty_documents(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
