@@ -135,7 +135,11 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], listed: DataFram
     (column ``url``) holds what stands before that: it is a variant of a page on the list. All others are allowed."""
     judged = with_rules(parsed(pages), rules)
     hits = on_list(judged.where(F.col("rule").isNull()).select(F.col("bare").alias("url")), listed).select(F.col("url").alias("bare"), F.lit("block").alias("variant"))
-    return judged.join(hits, "bare", "left").select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("rule").isNull(), F.col("variant")), F.lit("allow")).alias("verdict"))
+    verdict = lambda variant: F.coalesce("ruled", F.when(F.col("rule").isNull(), variant), F.lit("allow")).alias("verdict")
+    # Urls that can't be on the list are most of them; they don't meet it.
+    may = F.col("rule").isNull() & F.col("bare").isNotNull()
+    met = judged.where(may).join(hits, "bare", "left").select("page_id", "host", "path", "rule", verdict(F.col("variant")))
+    return judged.where(~may).select("page_id", "host", "path", "rule", verdict(F.lit(None))).unionByName(met)
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
