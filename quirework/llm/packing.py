@@ -20,7 +20,7 @@ import zlib
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -198,15 +198,25 @@ def pack(found: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
     counts[table.length.astype(int)] = table.n
     buckets = max(1, int(counts.max()) // RANKED + 1)
     runs = spark.createDataFrame(plan(counts, sequence) or [(0, 0, 0, 0, 0)], "length long, first long, n long, sequence long, offset long")
-    # By place in the written table, so that repeated rows are spread as well.
+    # By place in the table, so that repeated rows are spread as well; written, as two readings must agree on it.
     salted = found.withColumn("bucket", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(buckets)))
+    if buckets > 1:
+        salted = keep(salted, "buckets")
     order = Window.partitionBy("length").orderBy("bucket")
     before = salted.groupBy("length", "bucket").agg(F.count("*").alias("m")).withColumn("before", F.sum("m").over(order) - F.col("m")).drop("m")
     ranked = salted.withColumn("r", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1)
     ranked = ranked.join(before, ["length", "bucket"]).withColumn("rank", F.col("r") + F.col("before")).drop("r", "before", "bucket")
-    # Runs of one length lie in a sorted array (their number is bounded by the plan's steps); each piece finds its own.
+    # Runs of one length lie in an array sorted by first rank (their number is bounded by the plan's steps); each piece finds its own by halving.
     by_length = runs.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("first", "n", "sequence", "offset"))).alias("runs"))
-    hit = F.element_at(F.filter("runs", lambda x: (x["first"] <= F.col("rank")) & (F.col("rank") < x["first"] + x["n"])), 1)
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size("runs") + F.lit(1))).cast("int"))
+    ends = F.struct(F.lit(0).alias("lo"), F.size("runs").alias("hi"))  # the last run that doesn't begin behind the rank is in lo..hi - 1
+    middle = lambda a: ((a["lo"] + a["hi"]) / 2).cast("int")
+
+    def halve(a: Column, _: Column) -> Column:
+        beyond = F.get("runs", middle(a))["first"] > F.col("rank")
+        return F.when(a["hi"] - a["lo"] <= 1, a).otherwise(F.struct(F.when(beyond, a["lo"]).otherwise(middle(a)).alias("lo"), F.when(beyond, middle(a)).otherwise(a["hi"]).alias("hi")))
+
+    hit = F.get("runs", F.aggregate(steps, ends, halve, lambda a: a["lo"]))
     return (
         ranked.join(F.broadcast(by_length), "length")
         .withColumn("run", hit)
