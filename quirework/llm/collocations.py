@@ -36,7 +36,7 @@ LEAST, LONGEST, MOST = 100, 5, 2000
 #: Occurrences of phrases that one hash partition gets, about.
 MASS = 20_000_000
 #: Keys that a task gathers before it counts them, and distinct phrases before it passes their counts on.
-BUFFER, PHRASES = 4_000_000, 1_000_000
+BUFFER, PHRASES = 2_000_000, 500_000
 #: Bytes of text that are taken at once, and words in a row of the encoded texts, about.
 CHUNK, ROW = 1 << 20, 1 << 15
 #: Cells of 64 bits in a level's filter (8 MB).
@@ -376,21 +376,33 @@ class Tally:
             run = np.zeros(len(stream), np.int64)
             run[at] = self.levels[n - 1].add(codes)
 
-    def rows(self) -> Iterator[tuple[str, bytes | None, int, int]]:
-        """(lang, phrase, w, a); the number of all words has w = 0."""
-        names = list(self.langs)
-        for name, n in zip(names, self.totals.tolist(), strict=False):
-            yield name, None, 0, n
-        raw = self.data.tobytes()
-        words = [b"", *(raw[s : s + n] for s, n in zip(self.starts.tolist(), self.lengths.tolist(), strict=True))]
-        lang, before = [None, *(names[i] for i in self.lang.tolist())], words
+    def batches(self, partitions: int) -> Iterator[pa.RecordBatch]:
+        """What was counted, by hash partition of the phrase, a row each: part, and lists of lang, phrase, w and a. The number of all words of a language has w = 0 and
+        no phrase."""
+        names = pa.array(list(self.langs), pa.string())
+        n = len(self.totals)
+        yield _by_part(np.zeros(n, np.int64), names.slice(0, n), pa.nulls(n, pa.string()), 0, self.totals)
+        ends = np.append(self.starts, len(self.data)).astype(np.int32)
+        words = pa.StringArray.from_buffers(len(self.starts), pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(self.data)))
+        before = words
         for n, level in enumerate(self.levels, 1):
-            phrases = [b""]
-            for code, c in zip(level.code.tolist(), level.counts.tolist(), strict=True):
-                last = code & 0xFFFFFFFF
-                phrases.append(words[last] if n == 1 else before[code >> 32] + b" " + words[last])
-                yield lang[last], phrases[-1], n, c
+            last = (level.code & 0xFFFFFFFF) - 1
+            phrases = words.take(pa.array(last))
+            if n > 1:
+                phrases = pc.binary_join_element_wise(before.take(pa.array((level.code >> 32) - 1)), phrases, " ")
             before = phrases
+            _, offsets, data = phrases.buffers()
+            offsets = np.frombuffer(offsets, np.int32)[phrases.offset : phrases.offset + len(phrases) + 1].astype(np.int64)
+            hashes = span_hashes(np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets[:-1] - offsets[0], np.diff(offsets))
+            yield _by_part((hashes % _U(partitions)).astype(np.int64), names.take(pa.array(self.lang[last])), phrases, n, level.counts)
+
+
+def _by_part(part: np.ndarray, lang: pa.Array, phrases: pa.Array, n: int, counts: np.ndarray) -> pa.RecordBatch:
+    order = np.argsort(part, kind="stable")
+    full, first = np.unique(part[order], return_index=True)
+    cuts, at = pa.array(np.append(first, len(order)).astype(np.int32)), pa.array(order)
+    lists = [pa.ListArray.from_arrays(cuts, x) for x in (lang.take(at), phrases.take(at), pa.array(np.full(len(order), n, np.int32)), pa.array(counts[order]))]
+    return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *lists], names=["part", *_NAMES])
 
 
 class _Level:
@@ -434,23 +446,12 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salts, tally = Salts(), Tally()
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            """The counts by hash partition, a row each."""
-            parts: dict[int, list[tuple]] = {}
-            for lang, phrase, n, c in tally.rows():
-                parts.setdefault(xxhash.xxh32_intdigest(phrase or b"") % partitions, []).append((lang, None if phrase is None else phrase.decode("utf-8", "surrogatepass"), n, c))
-            for part, rows in parts.items():
-                columns = list(zip(*rows, strict=True))
-                cut = pa.array([0, len(rows)], pa.int32())
-                lists = [pa.ListArray.from_arrays(cut, pa.array(c, t)) for c, t in zip(columns, _TYPES, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *lists], names=["part", *_NAMES])
-
         for langs, w in chunks(batches):
             tally.add(langs, w, salts, found)
             if tally.size() >= PHRASES:
-                yield from flush()
+                yield from tally.batches(partitions)
                 tally = Tally()
-        yield from flush()
+        yield from tally.batches(partitions)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held, size = None, [], 0
@@ -482,7 +483,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -
     return keep(bounded(rows.repartition(partitions, "part").sortWithinPartitions("part")).mapInArrow(add, "lang string, phrase string, w int, a long"), "phrases")
 
 
-_NAMES, _TYPES = ["lang", "phrase", "w", "a"], [pa.string(), pa.string(), pa.int32(), pa.int64()]
+_NAMES = ["lang", "phrase", "w", "a"]
 
 
 def _part(start: Column | int, length: Column | int) -> Column:
