@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quirework.llm import vector_search as vs
@@ -30,9 +31,47 @@ def test_parts_and_blocks(spark, monkeypatch):
     whole = {tuple(r) for r in vs.top_k(df, F.col("vec_id") % 10 == 0).collect()}
     monkeypatch.setattr(vs, "PART_SIZE", 480)
     monkeypatch.setattr(vs, "BLOCK_SIZE", 88)
+    monkeypatch.setattr(vs, "ROW_SIZE", 24)
+    monkeypatch.setattr(vs, "LANES", 3)
+    monkeypatch.setattr(vs, "AT_ONCE", 2)
+    monkeypatch.setattr(vs, "HELD", 50)
     assert {tuple(r) for r in vs.top_k(df, F.col("vec_id") % 10 == 0).collect()} == whole and len(whole) == 500
 
 
+def test_lanes_leave_few_candidates(spark, monkeypatch):
+    monkeypatch.setattr(vs, "PART_SIZE", 3200)
+    monkeypatch.setattr(vs, "LANES", 4)
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame([(int(i), [float(x) for x in rng.normal(0, 0.3, 32)]) for i in range(4000)], "vec_id long, embedding array<double>")
+    rows = vs.keep(vs.integers(df, "vec_id", "embedding", 1024), "vectors")
+    left = vs.candidates(rows, F.col("vec_id") % 100 == 0, 10)
+    # 40 parts, but each query keeps what its four lanes leave, and of these what all lanes leave.
+    assert 40 * 10 <= left.count() < 40 * 60 and left.agg(F.max("r")).first()[0] < 120
+
+
+def test_very_long_vectors_and_other_lengths(spark):
+    rng = np.random.default_rng(9)
+    long = [(int(i), [float(x) for x in rng.normal(0, 0.3, 70_000)]) for i in range(0, 400, 100)]
+    short = [(int(i), [float(x) for x in rng.normal(0, 0.3, 3)]) for i in range(1, 40)] + [(500, [0.5, 0.25, 0.125]), (600, [])]
+    got = {}
+    for r in vs.top_k(spark.createDataFrame(long + short, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0, 2).collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    ints = {i: np.floor(1024 * np.array(v)) for i, v in long + short}
+    for q in (0, 100, 200, 300, 500):
+        best = sorted((-int(ints[q] @ v), i) for i, v in ints.items() if i != q and len(v) == len(ints[q]))[:2]
+        assert got[q] == [(i, -s) for s, i in best]
+    assert set(got) == {0, 100, 200, 300, 500}
+
+
+def test_row_scores():
+    a = pa.array([[1.0, 2.0], [2.0**52, 2.0**52], [1e300, 1.0], [3.0, 4.0]])
+    b = pa.array([[3.0, 4.0], [3.0, 5.0], [1e10, 1.0], [-1.0, -2.0]])
+    assert vs.row_scores(a, b).tolist() == [11, 2**55, 2**63 - 1, -11]
+    assert vs.row_scores(a.slice(1), b.slice(1)).tolist() == [2**55, 2**63 - 1, -11]
+    assert vs.row_scores(pa.array([[1.0], [1.0, 2.0]]), pa.array([[5.0], [1.0, 3.0]])).tolist() == [5, 7]
+    assert vs.row_scores(a.slice(0, 0), b.slice(0, 0)).tolist() == []
+
+
 def test_few_exact_vectors_are_read(spark):
     rng = np.random.default_rng(5)
     df = spark.createDataFrame([(int(i), [float(x) for x in rng.normal(0, 0.3, 32)]) for i in range(3000)], "vec_id long, embedding array<double>")
