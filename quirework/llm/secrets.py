@@ -1,23 +1,30 @@
 """Secret scans by rules and by character Markov models (operator 9). DataFrame and SQL functions only.
 
-Three kinds are found by rule. A fourth, ``random``, comes from two first-order character models, one of random
-strings and one of ordinary identifiers. Their labelled samples come from the corpus itself: what the rules found
-is random; a run outside all spans found by rule whose parts are letters, digits, or letters and a short number is ordinary. Every run of
-at least ``MIN_RUN`` characters outside those spans, of whatever shape, is a secret if its log-likelihood ratio exceeds
-``THRESHOLD`` per character, and ``LEAST`` in all, which is more for short runs. All documents train the models; each
-distinct run counts once, so that copies of a secret don't make it ordinary, and the model is a table of fixed size (one
-number for each pair of printable ASCII characters).
+Three kinds are found by rule. A fourth, ``random``, comes from two character models, one of random strings and one of ordinary
+identifiers. Their labelled samples come from the corpus itself: what the rules found is random; a run outside all spans found by rule
+whose parts are letters, digits, or letters and a short number is ordinary. Every run of at least ``MIN_RUN`` characters outside those spans,
+of whatever shape, is a secret if its log-likelihood ratio exceeds ``THRESHOLD`` per character, and ``LEAST`` in all, which is more for short runs.
+
+Both models fold digits, which are alike in either, and the case of letters, which is told by one of four patterns (lower, upper, capitalised parts, other). Ordinary runs are a
+second-order chain, begun at the edge of the run, with absolute discounting of one: what a single run alone has shown says nothing for
+another, so a secret that stands in the text does not make itself ordinary. Random strings are a first-order chain within the
+run's own kind of characters (letters, digits, signs and their unions, or hexadecimal; all kinds and cases are held equally likely before), mixed half and half with the even choice.
+All documents train the models; each distinct run counts once, so that copies of a secret don't make it ordinary either. The models are tables of fixed
+size (``CODES`` ** 3 and ``KINDS`` * ``CODES`` ** 2 rows), which are broadcast. Distinct runs are scored, and the few that are secrets are looked up in the texts.
 
 Null text counts as empty; very long texts and texts of very many matches take time little above proportion; repeated
-rows each give a row; other columns don't matter; an empty table gives an empty one. Without samples of both classes the models say nothing.
+rows each give a row; equal runs are judged alike; other columns don't matter; an empty table gives an empty one. Without samples of both classes the models say nothing.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from math import log
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from .. import bloom
 from ..scratch import keep
 
 #: Nats per character by which the random model must be likelier.
@@ -41,22 +48,34 @@ STRETCHES = """transform(IF(size(base) = 0, CAST(array() AS array<bigint>), sequ
 BOUNDED = f"transform({STRETCHES}, k -> named_struct('lo', array_min(transform(k, b -> b.s)), 'hi', array_max(transform(k, b -> b.e)), 'all', k))"
 #: Holds for a run ``x`` outside all of them.
 OUTSIDE = "NOT exists(stretches, k -> k.lo < x.e AND x.s < k.hi AND exists(k.all, b -> b.s < x.e AND x.s < b.e))"
-ALPHABET, SYMBOLS = 95, 64  # printable ASCII, from space on; those that random strings draw from
+#: Characters by number: letters without case, any digit, ``+/_-``, the edge of a run, all others.
+CODES, DIGIT, EDGE, OTHER = 33, 26, 31, 32
+CODE = f"""CASE WHEN x BETWEEN 97 AND 122 THEN x - 97 WHEN x BETWEEN 65 AND 90 THEN x - 65 WHEN x BETWEEN 48 AND 57 THEN {DIGIT}
+    WHEN x = 43 THEN 27 WHEN x = 47 THEN 28 WHEN x = 95 THEN 29 WHEN x = 45 THEN 30 ELSE {OTHER} END"""
+#: Weight of what the ordinary model takes for granted, in characters, pairs and triples: matters for small corpora alone.
+PRIOR = (2000.0, 60.0, 3.0)
+#: Kinds of runs: bits for letters, digits and signs; the last is hexadecimal with both.
+KINDS, HEX = 9, 8
+#: Kinds and cases that a random string may have, held equally likely.
+CHOICES = 16
+SALTS = 8
 _ITEM = "struct<s:bigint,e:bigint,r:int,kind:string,v:string>"
 
 
-def _found(text: Column, kind: str, rank: int, pattern: str, group: int, least: int, needs: tuple[str, ...], name: str) -> list[tuple[str, Column]]:
-    """Columns (in steps) for the leftmost non-overlapping matches with their places in code points. The text
+def _gate(text: Column, needs: tuple[str, ...]) -> Column:
+    """Whether the text holds one of some strings that every match must have; true if there are none."""
+    return reduce(lambda a, b: a | b, (F.contains(text, F.lit(x)) for x in needs)) if needs else F.lit(True)
+
+
+def _found(text: Column, kind: str, rank: int, pattern: str, group: int, least: int, gate: Column, name: str) -> list[tuple[str, Column]]:
+    """Columns (in steps) for the leftmost non-overlapping matches with their places in code points, none where the gate is shut. The text
     between matches, cut out by ``split``, gives the places."""
-    gate = F.lit(True)
-    if needs:
-        gate = F.lit(False)
-        for x in needs:
-            gate = gate | F.contains(text, F.lit(x))
     empty = F.array().cast("array<string>")
+    # Where the group is all of the match, the matches serve for both.
+    inner = F.when(F.size(f"{name}_h") > 0, F.regexp_extract_all(text, F.lit(pattern), F.lit(group))).otherwise(empty) if group > 1 else F.col(f"{name}_h")
     return [
         (f"{name}_h", F.when(gate, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(empty)),
-        (f"{name}_g", F.when(F.size(f"{name}_h") > 0, F.regexp_extract_all(text, F.lit(pattern), F.lit(group))).otherwise(empty)),
+        (f"{name}_g", inner),
         (f"{name}_p", F.when(F.size(f"{name}_h") > 0, F.transform(F.split(text, pattern, -1), F.length)).otherwise(F.array().cast("array<int>"))),
         # Where matches begin is summed up in stretches of about the square root of their number, so no long array is copied
         # for each match.
@@ -82,80 +101,136 @@ def _found(text: Column, kind: str, rank: int, pattern: str, group: int, least:
     ]
 
 
-def locate(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """For each document its spans found by rule (``base``) and its long runs (``runs``), with places and values."""
-    df = docs.select(F.col(id_column), F.coalesce(F.col(text_column), F.lit("")).alias("_text"))
-    names = []
-    for rank, (kind, pattern, group, least, needs) in enumerate([*RULES, ("random", RUN, 1, MIN_RUN, ())]):
-        for name, column in _found(F.col("_text"), kind, rank, pattern, group, least, needs, f"_{kind}"):
-            df = df.withColumn(name, column)
-        names.append(f"_{kind}")
-    return df.select(id_column, F.array_sort(F.concat(*names[:-1])).alias("base"), F.col(names[-1]).alias("runs"))
-
-
-def _pair(a: str, b: str) -> str:
-    return f"(ascii({a}) - 32) * {ALPHABET} + ascii({b}) - 32"
-
+def _with_runs(df: DataFrame, gate: Column, name: str) -> DataFrame:
+    """``df`` (text, base) with the runs outside the spans of ``base``, with their places; none where the gate is shut."""
+    for step, column in _found(F.col("text"), "random", len(RULES), RUN, 1, MIN_RUN, gate, "_random"):
+        df = df.withColumn(step, column)
+    outside = F.when(F.size("base") == 0, F.col("_random")).otherwise(F.expr(f"filter(_random, x -> {OUTSIDE})"))
+    return df.withColumn("stretches", F.expr(BOUNDED)).withColumn(name, outside).drop("stretches", *(f"_random{x}" for x in ("", "_h", "_g", "_p", "_w", "_l", "_b")))
 
-def train(located: DataFrame) -> DataFrame:
-    """One row: ``model``, an array that holds, for each pair of characters, log P(b|a, random) - log P(b|a,
-    ordinary). The random model is mixed half and half with the even choice of ``SYMBOLS`` characters, the ordinary
-    one backs off to its single characters. Empty if a class has no sample."""
-    samples = located.select(F.explode("base.v").alias("v")).withColumn("random", F.lit(True)).unionByName(
-        located.select("runs", F.expr(BOUNDED).alias("stretches")).select(F.explode(F.expr(f"transform(filter(runs, x -> {OUTSIDE}), x -> x.v)")).alias("v")).where(~F.col("v").rlike(MIXED)).withColumn("random", F.lit(False))
-    )
-    distinct = samples.distinct()
-    pairs = (
-        distinct.withColumn("c", F.split("v", ""))
-        .select("random", F.explode(F.expr(f"transform(sequence(0, size(c) - 2), i -> {_pair('c[i]', 'c[i+1]')})")).alias("pair"))
-        .where(F.col("pair").between(0, ALPHABET * ALPHABET - 1))
-        .groupBy("pair")
-        .agg(F.count_if("random").alias("x"), F.count_if(~F.col("random")).alias("y"))
-    )
-    grid = located.sparkSession.range(ALPHABET * ALPHABET).select(F.col("id").cast("int").alias("pair"))
-    # The grid and all that joins it have a fixed number of rows.
-    full = (
-        grid.join(F.broadcast(pairs), "pair", "left")
-        .select("pair", F.expr(f"pair div {ALPHABET}").alias("a"), F.expr(f"pair % {ALPHABET}").alias("b"), F.coalesce("x", F.lit(0)).alias("x"), F.coalesce("y", F.lit(0)).alias("y"))
-    )
-    before = full.groupBy("a").agg(F.sum("x").alias("sx"), F.sum("y").alias("sy"))
-    single = full.groupBy("b").agg(F.sum("y").alias("by"))
-    total = Window.partitionBy(F.lit(0))
-    single = single.select("b", ((F.col("by") + 1) / (F.sum("by").over(total) + ALPHABET)).alias("p"))
-    random = 0.5 * F.coalesce(F.try_divide("x", "sx"), F.lit(1 / SYMBOLS)) + 0.5 / SYMBOLS
-    ordinary = (F.col("y") + F.col("p")) / (F.col("sy") + 1)
-    return (
-        full.join(F.broadcast(before), "a")
-        .join(F.broadcast(single), "b")
-        .agg(F.array_sort(F.collect_list(F.struct("pair", (F.log(random) - F.log(ordinary)).alias("llr")))).alias("all"), F.sum("x").alias("tx"), F.sum("y").alias("ty"))
-        .select(F.when((F.col("tx") > 0) & (F.col("ty") > 0), F.col("all.llr")).otherwise(F.array().cast("array<double>")).alias("model"))
-    )
 
-
-def scan(located: DataFrame, model: DataFrame, threshold: float = THRESHOLD, id_column: str = "doc_id") -> DataFrame:
-    """``located`` with ``found``: the spans of the models. The model, one row, is a scalar subquery."""
-    df = located.withColumn("model", model.scalar()).withColumn("stretches", F.expr(BOUNDED))
-    score = f"""aggregate(transform(array(split(x.v, '')), c -> aggregate(sequence(0, size(c) - 2), 0D, (t, i) -> t + element_at(model, {_pair('c[i]', 'c[i+1]')} + 1))), 0D, (t, y) -> t + y)"""
-    return df.withColumn(
-        "found",
-        F.expr(
-            f"""filter(runs, x -> size(model) > 0 AND {OUTSIDE} AND {score} > greatest({LEAST}D, {threshold}D * (length(x.v) - 1)))"""
-        ),
-    ).drop("model", "stretches")
+def locate(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """For each document a number ``row`` (to be written before it is used twice), its text, its spans found by rule (``base``), and the values of its long runs outside them
+    (``values``). Only where there are spans must the places of runs be known for that."""
+    df = docs.select(F.col(id_column), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    for rank, (kind, pattern, group, least, needs) in enumerate(RULES):
+        for name, column in _found(F.col("text"), kind, rank, pattern, group, least, _gate(F.col("text"), needs), f"_{kind}"):
+            df = df.withColumn(name, column)
+    df = df.select(F.monotonically_increasing_id().alias("row"), id_column, "text", F.array_sort(F.concat(*(f"_{kind}" for kind, *_ in RULES))).alias("base"))
+    df = _with_runs(df, F.size("base") > 0, "runs")
+    return df.withColumn("values", F.when(F.size("base") > 0, F.col("runs.v")).otherwise(F.regexp_extract_all("text", F.lit(RUN), F.lit(1)))).drop("runs")
+
+
+def coded(values: DataFrame) -> DataFrame:
+    """Runs ``v`` with ``codes``, ``kind``, ``pattern`` of case (0 to 3) and number of ``letters``."""
+    has = lambda p: F.col("v").rlike(p).cast("int")
+    kind = has("[A-Za-z]") + 2 * has("[0-9]") + 4 * has("[^A-Za-z0-9]")
+    hexadecimal = F.col("v").rlike("^[0-9a-f]+$") & (kind == 3)
+    pattern = F.when(~F.col("v").rlike("[A-Z]"), 0).when(~F.col("v").rlike("[a-z]"), 1).when(~F.col("v").rlike("[A-Za-z][A-Z]"), 2).otherwise(3)
+    return values.select(
+        "v", F.expr(f"transform(transform(split(v, ''), c -> ascii(c)), x -> {CODE})").alias("codes"), F.when(hexadecimal, HEX).otherwise(kind).alias("kind"), pattern.alias("pattern"),
+        F.length(F.regexp_replace("v", "[^A-Za-z]", "")).alias("letters"),
+    )
+
+
+def chains(runs: DataFrame, *keep_columns: str) -> DataFrame:
+    """A row for each character of each run: ``t``, the number of it and the two before it."""
+    before = lambda k: f"IF(i < {k}, {EDGE}, codes[i - {k}])"
+    return runs.select(*keep_columns, F.explode(F.expr(f"transform(sequence(0, size(codes) - 1), i -> ({before(2)} * {CODES} + {before(1)}) * {CODES} + codes[i])")).alias("t"))
+
+
+def _of_kind(code: Column, kind: Column) -> Column:
+    """Whether strings of a kind may have the character."""
+    some = ((code < DIGIT) & (kind.bitwiseAND(1) > 0)) | ((code == DIGIT) & (kind.bitwiseAND(2) > 0)) | ((code > DIGIT) & (code < EDGE) & (kind.bitwiseAND(4) > 0))
+    return F.when(kind == HEX, (code < 6) | (code == DIGIT)).otherwise(some)
+
+
+def train_ordinary(runs: DataFrame) -> DataFrame:
+    """(t, ordinary): log P(character | the two before) for every ``t``, by absolute discounting. CODES ** 3 rows."""
+    counts = keep(chains(runs.where(~F.col("v").rlike(MIXED))).groupBy("t").agg(F.count("*").alias("n")), "counts")
+    spark, c = runs.sparkSession, F.col
+    whole = lambda x, k: F.floor(F.col(x) / k)
+    known = lambda n: F.coalesce(n, F.lit(0))
+    less = F.greatest(known("n") - 1, F.lit(0))
+    # All tables below have a fixed number of rows.
+    pairs = counts.groupBy((c("t") % CODES**2).alias("p")).agg(F.sum("n").alias("n"))
+    single = counts.groupBy((c("t") % CODES).alias("b")).agg(F.sum("n").alias("n1"))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    p1 = spark.range(CODES).select(c("id").alias("b")).join(F.broadcast(single), "b", "left").select("b", ((F.coalesce("n1", F.lit(0)) + PRIOR[0] / EDGE) / (total.scalar() + PRIOR[0])).alias("p1"))
+    after = pairs.groupBy(whole("p", CODES).alias("a")).agg(F.sum("n").alias("na"), F.count("*").alias("ta"))
+    p2 = spark.range(CODES**2).select(c("id").alias("p"), whole("id", CODES).alias("a"), (c("id") % CODES).alias("b"))
+    p2 = p2.join(F.broadcast(pairs), "p", "left").join(F.broadcast(after), "a", "left").join(F.broadcast(p1), "b")
+    p2 = p2.select("p", ((less + (known("ta") + PRIOR[1]) * c("p1")) / (known("na") + PRIOR[1])).alias("p2"))
+    context = counts.groupBy(whole("t", CODES).alias("za")).agg(F.sum("n").alias("nz"), F.count("*").alias("tz"))
+    p3 = spark.range(CODES**3).select(c("id").alias("t"), whole("id", CODES).alias("za"), (c("id") % CODES**2).alias("p"))
+    p3 = p3.join(F.broadcast(counts), "t", "left").join(F.broadcast(context), "za", "left").join(F.broadcast(p2), "p")
+    return keep(p3.select("t", F.log((less + (known("tz") + PRIOR[2]) * c("p2")) / (known("nz") + PRIOR[2])).alias("ordinary")), "ordinary")
+
+
+def train_random(samples: DataFrame) -> DataFrame:
+    """(kind, p, random): log P(character | the one before, kind) for every pair ``p``, half of it the even choice. KINDS * CODES ** 2 rows."""
+    c = F.col
+    pairs = chains(samples).where(F.floor(c("t") / CODES) % CODES != EDGE).groupBy((c("t") % CODES**2).alias("p")).agg(F.count("*").alias("n"))
+    grid = samples.sparkSession.range(KINDS * CODES**2).select(F.floor(c("id") / CODES**2).cast("int").alias("kind"), (c("id") % CODES**2).alias("p"))
+    grid = grid.withColumns({"a": F.floor(c("p") / CODES), "own": _of_kind(c("p") % CODES, c("kind"))}).join(F.broadcast(pairs), "p", "left")
+    weight = F.when(c("p") % CODES == DIGIT, 10).otherwise(1)
+    # One row for each kind and character before.
+    sums = grid.where("own").groupBy("kind", "a").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all"), F.sum(weight).alias("size"))
+    even = weight / c("size")
+    drawn = F.when(c("all") > 0, F.coalesce("n", F.lit(0)) / c("all")).otherwise(even)
+    return keep(grid.where("own").join(F.broadcast(sums), ["kind", "a"]).select("kind", "p", F.log(0.5 * drawn + 0.5 * even).alias("random")), "random")
+
+
+def secrets_of(located: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The distinct runs ``v`` that are secrets by the models."""
+    c = F.col
+    runs = keep(coded(located.select(F.explode("values").alias("v")).distinct()), "runs")
+    samples = keep(coded(located.select(F.explode("base.v").alias("v")).distinct()), "samples")
+    plain = runs.where(~c("v").rlike(MIXED))
+    if samples.isEmpty() or plain.isEmpty():
+        return runs.limit(0).select("v")
+    cases = plain.groupBy("pattern").agg(F.count("*").alias("n"))
+    # Four rows.
+    seen = {r.pattern: r.n for r in cases.collect()}
+    spread = -c("letters") * log(2)
+    case = reduce(lambda e, k: e.when(c("pattern") == k, -log((seen.get(k, 0) + 1) / (sum(seen.values()) + 4))), range(1, 4), F.when(c("pattern") == 0, -log((seen.get(0, 0) + 1) / (sum(seen.values()) + 4))))
+    # Letters of both cases: random ones have either each; of ordinary runs only those without a pattern do.
+    case = case + F.when(c("pattern") == 2, spread).otherwise(0.0)
+    each = chains(runs, "v", "kind").withColumn("p", c("t") % CODES**2)
+    each = each.join(F.broadcast(train_ordinary(runs)), "t").join(F.broadcast(train_random(samples)), ["kind", "p"])
+    sums = each.groupBy("v").agg(F.sum(c("random") - c("ordinary")).alias("s"))
+    ratio = c("s") + case - log(CHOICES)
+    return keep(runs.select("v", "pattern", "letters").join(sums, "v").where(ratio > F.greatest(F.lit(LEAST), threshold * (F.length("v") - 1))).select("v"), "found")
+
+
+def scan(located: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``located`` (a written table) with ``found``, the spans of the models, in place of text and values. Texts that hold no secret are not looked at again."""
+    secrets = secrets_of(located, threshold)
+    spread = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    runs = located.select("row", F.explode("values").alias("v"))
+    # A secret that is copied very often is met by several tasks.
+    some = runs.where(bloom.passing(runs, "v", bloom.cells(secrets, "v"))).withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
+    hits = keep(some.join(secrets.select("v", spread), ["v", "salt"]).groupBy("row").agg(F.collect_set("v").alias("secrets")), "hits")
+    maybe = bloom.passing(located, "row", bloom.cells(hits, "row"))
+    none = F.expr(f"CAST(array() AS array<{_ITEM}>)")
+    clear = located.where(~maybe).drop("text", "values").withColumn("found", none)
+    met = _with_runs(located.drop("values").where(maybe).join(hits, "row", "left"), F.col("secrets").isNotNull(), "runs")
+    found = F.filter("runs", lambda x: F.coalesce(F.array_contains(F.col("secrets"), x["v"]), F.lit(False)))
+    return clear.unionByName(met.withColumn("found", found).drop("text", "runs", "secrets").select(clear.columns))
 
 
 def redact(docs: DataFrame, threshold: float = THRESHOLD, mask: str = "<SECRET>") -> DataFrame:
     """The documents with all secrets found in ``text`` replaced; every other column stays."""
-    tagged = docs.select(F.col("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+    tagged = docs.select(F.col("text"), F.struct("*").alias("_row"))
     located = keep(locate(tagged, "_row", "text"), "secrets")
-    out = scan(located, train(located), threshold, "_row")
+    out = scan(located, threshold)
     cut = F.expr(
         f"""aggregate(array_sort(concat(base, found)), named_struct('at', 0L, 'out', ''), (a, x) -> CASE WHEN x.s < a.at
         THEN named_struct('at', greatest(a.at, x.e), 'out', a.out)
         ELSE named_struct('at', x.e, 'out', concat(a.out, substring(_row.text, CAST(a.at AS INT) + 1, CAST(x.s - a.at AS INT)), '{mask}')) END,
         a -> concat(a.out, substring(_row.text, CAST(a.at AS INT) + 1)))"""
     )
-    return out.withColumn("_cut", cut).select(*(F.col("_cut").alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
+    return out.withColumn("_cut", cut).select(F.col("_row").withField("text", F.col("_cut")).alias("_row")).select("_row.*")
 
 
 def report(located: DataFrame) -> DataFrame:
@@ -167,4 +242,4 @@ def report(located: DataFrame) -> DataFrame:
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     located = keep(locate(docs), "secrets")
-    return report(scan(located, train(located)))
+    return report(scan(located))
