@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import keep
-from .text import WordHashes, bounded, map_rows, words
+from .text import WordHashes, map_rows, words
 
 KINDS = ["email", "ip", "card", "phone"]
 WINDOW, CONTEXTS, DISCLOSURE, BITS, REMOVE = 5, 2, 0.5, 4.0, 0.9
@@ -156,7 +156,7 @@ def locate(docs: DataFrame) -> DataFrame:
         def one(doc_id, text):
             text = text or ""
             spans = rules(text)
-            return [(doc_id, xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1, [dict(kind=k, s=s, e=e) for k, s, e in spans], [dict(term=t, entity=x, around=y) for t, x, y in nearby(text, spans)])]
+            return [(doc_id, text_key(text), [dict(kind=k, s=s, e=e) for k, s, e in spans], [dict(term=t, entity=x, around=y) for t, x, y in nearby(text, spans)])]
 
         return one
 
@@ -233,7 +233,7 @@ def occurrences(docs: DataFrame, bits: np.ndarray) -> DataFrame:
             for term, s, e in terms(text, 0, len(text)):
                 if term in hits:
                     places.setdefault(term, []).append(dict(s=s, e=e))
-            key = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
+            key = text_key(text)
             return [(doc_id, key, term, x) for term, x in places.items()]
 
         return one
@@ -337,14 +337,13 @@ def redact(docs: DataFrame) -> DataFrame:
     return out.select(*(F.col(c).alias(f.name) for c, f in zip(columns, target, strict=True)))
 
 
-def keyed(docs: DataFrame, text: str) -> DataFrame:
-    """``docs`` with ``key``, the hash of its text that ``locate`` gives too."""
+def text_key(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), seed=42) >> 1
 
-    @F.pandas_udf("long")
-    def key(texts):
-        return texts.map(lambda t: xxhash.xxh64_intdigest((t or "").encode("utf-8", "surrogatepass")) >> 1)
 
-    return bounded(docs).withColumn("key", key(F.col(text)))
+def keyed(docs: DataFrame, text: str) -> DataFrame:
+    """``docs`` with ``key``, the ``text_key`` of its text, which Spark's own hash is too."""
+    return docs.withColumn("key", F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), 1))
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

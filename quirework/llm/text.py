@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,7 +18,7 @@ BATCH_BYTES = 4 << 20
 #: Rows in one Arrow batch that a Python task returns.
 OUT_ROWS = 2000
 #: Distinct words whose hash a worker remembers; others are hashed anew each time.
-MEMO = 120_000
+MEMO = 60_000
 _U = np.uint64
 
 
@@ -98,6 +100,14 @@ def bounded(df: DataFrame) -> DataFrame:
     return df
 
 
+def release() -> None:
+    """Give the memory that a task has freed back to the system: workers live on, and what they hold adds up beside the JVM's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def map_rows(df: DataFrame, columns: list[str], schema: str, setup: Callable[[], Callable | tuple[Callable, Callable]]) -> DataFrame:
     """Apply ``setup()(*values)`` to the named columns of each row; it yields any number of output rows.
     ``setup`` runs once in a task; it may return a pair, whose second function gives the rows that end the task.
@@ -119,6 +129,8 @@ def map_rows(df: DataFrame, columns: list[str], schema: str, setup: Callable[[],
         out.extend(end())
         for start in range(0, len(out), 10 * OUT_ROWS):
             yield _batch(out[start : start + 10 * OUT_ROWS], target)
+        del fn, end, out
+        release()
 
     return bounded(df).select(*columns).mapInArrow(run, schema)
 
