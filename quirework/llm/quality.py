@@ -2,11 +2,10 @@
 
 Words and word pairs fall into ``BUCKETS`` hash buckets. All documents fill the raw multinomial; the trusted one
 comes from labelled good documents, with ``PRIOR`` n-grams spread as in raw text added. A document's score is the mean over its n-grams of log(trusted / raw), and it
-fails below a fixed threshold. Labelled rows are the ``FIT_ROWS`` good and ``FIT_ROWS`` bad ones of least hash (a bound
-on what is fitted, not on what is counted or judged): half of the good ones make the trusted multinomial. The other half
+fails below a fixed threshold. All labelled rows count: half of the good ones, by hash, make the trusted multinomial. The other half
 and the bad ones, as far as the rules keep them, set the threshold: where the share of good lost and that of bad kept
-have the least sum, but not below the good ones' ``QUANTILE``, weighted by length, less ``MARGIN``. Without good rows
-the method keeps every document that the rules keep.
+have the least sum, but not below the good ones' ``QUANTILE``, weighted by length, less ``MARGIN``. Distinct scores are dealt by range, and each range is
+searched by itself, from what lies below it. Without good rows the method keeps every document that the rules keep.
 
 Null text counts as empty (no words, so it fails the rules); very long texts are judged whole; repeated rows each give a row;
 equal scores are judged alike, and of equally good thresholds the lowest counts; an empty table gives an empty one;
@@ -24,10 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import bloom
+from ..scratch import keep
 from .text import WordHashes, bounded, map_rows, ngram_hashes, release, words
 
 BUCKETS = 1 << 16
-FIT_ROWS = 20_000
 QUANTILE, MARGIN, PRIOR = 0.001, 0.05, 2000.0
 SYMBOLS = "#*$%&|<>"
 SPACE = " \t\n\x0b\x0c\r"
@@ -45,59 +45,98 @@ def buckets(tokens: list[bytes], hashes: WordHashes) -> np.ndarray:
     return (np.concatenate([ngram_hashes(h, 1), ngram_hashes(h, 2)]) % np.uint64(BUCKETS)).astype(np.int64)
 
 
-def labelled(labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
-    """(doc_id, role) of at most ``rows`` good and ``rows`` bad labelled documents: ``trusted`` and ``held`` are good and
+def labelled(labels: DataFrame) -> DataFrame:
+    """(doc_id, role) of the good and the bad labelled documents: ``trusted`` and ``held`` are good and
     not toxic, ``bad`` are of quality 0. A document with several labels counts by its worst."""
-    one = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).withColumn("h", F.xxhash64("doc_id"))
-    least = lambda df: df.orderBy("h", "doc_id").limit(rows)
-    good = least(one.where((F.col("q") == 1) & (F.coalesce("t", F.lit(0)) == 0)))
-    good = good.select("doc_id", F.when(F.col("h") % 2 == 0, "trusted").otherwise("held").alias("role"))
-    return good.unionByName(least(one.where(F.col("q") == 0)).select("doc_id", F.lit("bad").alias("role")))
+    one = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q"), F.max("toxic").alias("t"))
+    good = (F.col("q") == 1) & (F.coalesce("t", F.lit(0)) == 0)
+    role = F.when(good, F.when(F.xxhash64("doc_id") % 2 == 0, "trusted").otherwise("held")).when(F.col("q") == 0, "bad")
+    return one.select("doc_id", role.alias("role")).where("role IS NOT NULL")
+
+
+def _span(scores: np.ndarray, good: np.ndarray, bad: np.ndarray, n: np.ndarray, before: tuple, totals: tuple) -> tuple:
+    """(the good rows' quantile if it lies here, else infinity; cost, cut) for a run of ascending, distinct scores with the good and bad rows at each and the good ones' length.
+    ``before`` has the last score, good, bad and length below the run; ``totals`` has good, bad and length of all."""
+    least = QUANTILE * totals[2]
+    at = int(np.searchsorted(before[3] + np.cumsum(n), least))
+    # Rows below a cut fail. The cuts lie halfway between neighbouring scores; of equal ones the lowest counts. The cost is in whole numbers: the sum of shares times all pairs.
+    cuts = (np.concatenate([[before[0]], scores[:-1]]) + scores) / 2
+    cost = (before[1] + np.cumsum(good) - good) * totals[1] - (before[2] + np.cumsum(bad) - bad) * totals[0]
+    best = int(np.argmin(cost))
+    return float(scores[at]) if before[3] < least and at < len(scores) else np.inf, int(cost[best]), float(cuts[best])
+
+
+def _settled(found: list[tuple]) -> float:
+    return max(min(q for q, *_ in found) - MARGIN, min(x for _, *x in found)[1])
 
 
 def choose_threshold(good: np.ndarray, weights: np.ndarray, bad: np.ndarray) -> float:
-    """From scores of held good rows, their lengths, and scores of bad rows; all pass the base rules."""
+    """From scores of held good rows, their lengths, and scores of bad rows; all pass the base rules. ``threshold`` does the same on tables."""
     if not len(good):
         return -np.inf
-    order = np.argsort(good)
-    good, weights = good[order], np.cumsum(weights[order])
-    floor = float(good[np.searchsorted(weights, QUANTILE * weights[-1])]) - MARGIN
-    if not len(bad):
-        return floor
-    # Rows below a cut fail. The cuts lie halfway between neighbouring scores; of equal ones the lowest counts.
-    scores, bad = np.unique(np.concatenate([good, bad])), np.sort(bad)
-    cuts = np.concatenate([[-np.inf], (scores[:-1] + scores[1:]) / 2])
-    cost = np.searchsorted(good, cuts) / len(good) - np.searchsorted(bad, cuts) / len(bad)
-    return max(floor, float(cuts[np.argmin(np.round(cost, 12))]))
-
-
-def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
-    # At most FIT_ROWS rows of two short columns.
-    roles = F.broadcast(labelled(labels, rows))
-    tagged = docs.select("doc_id", "text").join(roles, "doc_id", "left").select("text", "role", "doc_id")
+    scores = np.unique(np.concatenate([good, bad]))
+    good_at, bad_at = np.searchsorted(scores, good), np.searchsorted(scores, bad)
+    per = [np.bincount(good_at, minlength=len(scores)), np.bincount(bad_at, minlength=len(scores)), np.bincount(good_at, weights, len(scores))]
+    return _settled([_span(scores, *per, (-np.inf, 0, 0, 0), (len(good), len(bad), per[2].sum()))])
+
+
+def threshold(scored: DataFrame) -> float:
+    """From rows (bad, n, score) that pass the base rules. Each range of scores is one group; the driver gets one row for each."""
+    good = ~F.col("bad")
+    each = scored.groupBy("score").agg(F.count_if(good).alias("good"), F.count_if("bad").alias("bad"), F.sum(F.when(good, F.col("n")).otherwise(0)).alias("n"))
+    # Written, as two readings must agree on the ranges.
+    spans = keep(each.repartitionByRange("score").withColumn("part", F.spark_partition_id()), "scores")
+    sums = spans.groupBy("part").agg(F.max("score").alias("last"), *(F.sum(c).alias(c) for c in ("good", "bad", "n"))).orderBy("part").collect()
+    totals = tuple(sum(r[c] for r in sums) for c in ("good", "bad", "n"))
+    if not totals[0]:
+        return -np.inf
+    before, below = {}, (-np.inf, 0, 0, 0)
+    for r in sums:
+        before[r.part] = below
+        below = (r.last, below[1] + r.good, below[2] + r.bad, below[3] + r.n)
+
+    def search(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("score")
+        found = _span(*(rows[c].to_numpy() for c in ("score", "good", "bad", "n")), before[int(key[0])], totals)
+        return pd.DataFrame([found], columns=["quantile", "cost", "cut"])
+
+    return _settled([tuple(r) for r in spans.groupBy("part").applyInPandas(search, "quantile double, cost long, cut double").collect()])
+
+
+def tally(docs: DataFrame) -> np.ndarray:
+    """How many n-grams of the texts fall into each bucket. At most BUCKETS rows reach the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, raw, trusted = WordHashes(), np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        hashes, sums = WordHashes(), np.zeros(BUCKETS, np.int64)
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                for text, role in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                for text in batch.column(0).slice(start, 256).to_pylist():
                     if tokens := words(text):
-                        n = np.bincount(buckets(tokens, hashes), minlength=BUCKETS)
-                        raw += n
-                        if role == "trusted":
-                            trusted += n
-        full = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array(raw[full]), pa.array(trusted[full])], names=["bucket", "raw", "trusted"])
-        del hashes, raw, trusted
+                        sums += np.bincount(buckets(tokens, hashes), minlength=BUCKETS)
+        full = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array(sums[full])], names=["bucket", "n"])
+        del hashes, sums
         release()
 
-    # At most BUCKETS rows reach the driver.
-    table = bounded(tagged).mapInArrow(count, "bucket long, raw long, trusted long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted")).toPandas()
-    raw, trusted = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    raw[table.bucket], trusted[table.bucket] = table.raw, table.trusted
+    table = bounded(docs.select("text")).mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(BUCKETS)
+    out[table.bucket] = table.n
+    return out
+
+
+def train(docs: DataFrame, labels: DataFrame) -> Model:
+    roles = keep(labelled(labels), "roles")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+    def of(condition: str) -> DataFrame:
+        """Documents with such a role. A filter of fixed size keeps most other texts out of the shuffle."""
+        some = roles.where(condition)
+        return keyed.where(bloom.passing(keyed, "doc_id", bloom.cells(some, "doc_id"))).join(some, "doc_id")
+
+    trusted = tally(of("role = 'trusted'"))
     if not trusted.sum():
         return Model(np.zeros(BUCKETS), -np.inf)
+    raw = tally(docs)
     whole = (raw + 1) / (raw.sum() + BUCKETS)
     ratio = np.log((trusted + PRIOR * whole) / (trusted.sum() + PRIOR)) - np.log(whole)
 
@@ -110,11 +149,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
 
         return score
 
-    # At most 2 * FIT_ROWS rows reach the driver: an id that the table holds several times counts once, by its worst row.
-    held = map_rows(tagged.where(F.col("role").isin("held", "bad")), ["doc_id", "text", "role"], "doc_id long, bad boolean, n long, score double", setup)
-    held = held.groupBy("doc_id", "bad").agg(F.min(F.struct("score", "n")).alias("x")).select("bad", "x.n", "x.score").toPandas()
-    good, bad = held[~held.bad.astype(bool)], held[held.bad.astype(bool)]
-    return Model(ratio, choose_threshold(good.score.to_numpy(float), good.n.to_numpy(float), bad.score.to_numpy(float)))
+    held = map_rows(of("role IN ('held', 'bad')"), ["doc_id", "text", "role"], "doc_id long, bad boolean, n long, score double", setup)
+    # An id that the table holds several times counts once, by its worst row.
+    held = held.groupBy("doc_id", "bad").agg(F.min(F.struct("score", "n")).alias("x")).select("bad", "x.n", "x.score")
+    return Model(ratio, threshold(held))
 
 
 def base_failed(n_words: int, repeats: int) -> bool:

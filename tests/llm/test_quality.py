@@ -119,3 +119,22 @@ def test_verdicts_match_brute_force(spark, tmp_path):
     assert all(got[i].kept == kept for i, (_, kept, edge) in enumerate(want) if not edge)
     decided = [kept for t, (_, kept, _) in zip(texts, want, strict=True) if not brute(t)[-1]]
     assert 0 < sum(decided) < len(decided)
+
+
+def test_every_labelled_row_counts(spark):
+    labels = spark.range(100_000).selectExpr("id AS doc_id", "CAST(id % 4 <> 0 AS INT) AS quality", "CAST(id % 40 = 1 AS INT) AS toxic")
+    got = {r.role: r["count"] for r in quality.labelled(labels).groupBy("role").count().collect()}
+    assert got["bad"] == 25_000 and got["trusted"] + got["held"] == 72_500 and abs(got["trusted"] - got["held"]) < 2_000
+
+
+def test_threshold_of_tables_is_that_of_arrays(spark):
+    rnd = random.Random(12)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several ranges, small as the tables are
+    try:
+        for k in (4, 10**9):  # many and few equal scores
+            rows = [(i % 3 == 0, rnd.randrange(10, 900), math.floor(rnd.gauss(-0.4 if i % 3 == 0 else 0.3, 0.3) * k) / k) for i in range(3000)]
+            for some in (rows, [r for r in rows if not r[0]], [r for r in rows if r[0]]):
+                arrays = [np.array([r[j] for r in some if r[0] == bad], float) for bad, j in ((False, 2), (False, 1), (True, 2))]
+                assert quality.threshold(spark.createDataFrame(some, "bad boolean, n long, score double")) == quality.choose_threshold(*arrays)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
