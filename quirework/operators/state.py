@@ -73,19 +73,47 @@ def lookup_url(wanted: DataFrame, images: DataFrame, shortest: int = 5, salts: i
 ACTIONS = ["automatic", "force-clean", "protect"]
 
 
+def _met(regions: DataFrame, overrides: DataFrame, columns: list[str]) -> tuple[DataFrame, Window]:
+    """(rows of both tables, ordered window of a region). Regions and overrides meet as one table dealt by page, so neither is read or shuffled twice: ``_r_`` columns are those of
+    ``regions`` (all named ones that it has), ``_o_`` ones those of ``overrides``, ``_over`` tells their rows apart. ``_error`` is null for overrides that apply."""
+    keys = ["page_id", "region"]
+    sized = {"mask_w", "mask_h"} <= set(overrides.columns) and "page_w" in regions.columns
+    mine = [c for c in dict.fromkeys([*columns, *(("page_w", "page_h") if sized else ())]) if c in regions.columns]
+    own = regions.select(*keys, F.lit(False).alias("_over"), *(F.col(c).alias(f"_r_{c}") for c in mine))
+    rows = own.unionByName(overrides.select(*keys, F.lit(True).alias("_over"), *(F.col(c).alias(f"_o_{c}") for c in overrides.columns)), allowMissingColumns=True)
+    order = Window.partitionBy(*keys).orderBy("_over", *(c for c in ("_o_seq",) if c in rows.columns))
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # A null key meets none.
+    rows = rows.withColumns({"_known": F.bool_or(~F.col("_over")).over(whole) & F.col("page_id").isNotNull() & F.col("region").isNotNull(), **{f"_{c}": F.max(f"_r_{c}").over(whole) for c in ("version", "text_role") if c in mine}})
+    error = F.when(~F.coalesce(F.col("_o_manual_action").isin(*ACTIONS), F.lit(False)), "unknown-action")
+    if sized:
+        # Rows are sorted by region, and so by page.
+        page = Window.partitionBy("page_id")
+        rows = rows.withColumns({f"_{c}": F.max(f"_r_{c}").over(page) for c in ("page_w", "page_h")})
+        error = error.when(F.col("page_id").isNotNull() & ((F.col("_o_mask_w") != F.col("_page_w")) | (F.col("_o_mask_h") != F.col("_page_h"))), "wrong-dimensions")
+    error = error.when(~F.col("_known"), "unknown-region").when(F.coalesce("_o_mask_pixels", F.lit(0)) <= 0, "empty-mask")
+    return rows.withColumn("_error", error), order
+
+
 def override_errors(regions: DataFrame, overrides: DataFrame) -> DataFrame:
     """``overrides`` with ``error``, null for those that apply: unknown-action, wrong-dimensions (mask_w and mask_h, where given, against
     page_w and page_h of the page's regions), unknown-region or empty-mask, in this order."""
-    of = regions.select("page_id", F.col("region").alias("_known"), *(F.col(c).alias(f"_{c}") for c in ("page_w", "page_h") if c in regions.columns))
-    sized = {"mask_w", "mask_h"} <= set(overrides.columns) and "_page_w" in of.columns
-    pages = of.groupBy("page_id").agg(F.max("_page_w").alias("_page_w"), F.max("_page_h").alias("_page_h")) if sized else None
-    out = overrides if pages is None else overrides.join(pages, "page_id", "left")
-    out = out.join(of.select("page_id", F.col("_known").alias("region"), F.lit(True).alias("_known")).distinct(), ["page_id", "region"], "left")
-    error = F.when(~F.coalesce(F.col("manual_action").isin(*ACTIONS), F.lit(False)), "unknown-action")
-    if sized:
-        error = error.when((F.col("mask_w") != F.col("_page_w")) | (F.col("mask_h") != F.col("_page_h")), "wrong-dimensions")
-    error = error.when(F.col("_known").isNull(), "unknown-region").when(F.coalesce("mask_pixels", F.lit(0)) <= 0, "empty-mask")
-    return out.select(*overrides.columns, error.alias("error"))
+    rows, _ = _met(regions, overrides, [])
+    return rows.where("_over").select(*(F.col(f"_o_{c}").alias(c) for c in overrides.columns), F.col("_error").alias("error"))
+
+
+def _judged(regions: DataFrame, overrides: DataFrame, columns: list[str]) -> tuple[DataFrame, Window]:
+    """``_met`` with what the overrides that apply make of their regions: ``_good``, ``_status``, ``_action`` and ``_new_role``, null in all other rows."""
+    rows, order = _met(regions, overrides, ["version", "text_role", *columns])
+    judged = F.col("_o_judged_role") if "judged_role" in overrides.columns else F.lit(None).cast("string")
+    m = F.col("_o_manual_action")
+    keeps = (m == "automatic") & judged.isNotNull()
+    done = (m == "force-clean") | F.coalesce("_o_accepted", F.lit(False))
+    status = F.when((m == "protect") | keeps, "preserved").when(done, "repaired").otherwise("needs_review")
+    action = F.when((m == "protect") | keeps | ~done, "preserve").otherwise("clean")
+    role = F.when(m == "protect", "protected").when(m == "force-clean", "dialogue").when(keeps, judged)
+    rows = rows.withColumn("_good", F.col("_over") & F.col("_error").isNull())
+    return rows.withColumns({f"_{name}": F.when(F.col("_good"), c) for name, c in (("status", status), ("action", action), ("new_role", role))}), order
 
 
 def override_versions(regions: DataFrame, overrides: DataFrame) -> DataFrame:
@@ -94,28 +122,24 @@ def override_versions(regions: DataFrame, overrides: DataFrame) -> DataFrame:
 
     A protected region is preserved. A forced one is repaired, and then counts as dialogue. An automatic one is repaired if ``accepted``, else it needs review and is left
     as it is; it keeps the role that it has by then. If it is judged to be preserved (``judged_role``, where the overrides have it), it is, in that role."""
-    judged = F.col("judged_role") if "judged_role" in overrides.columns else F.lit(None).cast("string")
-    m = F.col("manual_action")
-    keeps = (m == "automatic") & judged.isNotNull()
-    done = (m == "force-clean") | F.coalesce("accepted", F.lit(False))
-    status = F.when((m == "protect") | keeps, "preserved").when(done, "repaired").otherwise("needs_review")
-    action = F.when((m == "protect") | keeps | ~done, "preserve").otherwise("clean")
-    role = F.when(m == "protect", "protected").when(m == "force-clean", "dialogue").when(keeps, judged)
-    good = override_errors(regions, overrides).where("error IS NULL").select("page_id", "region", "seq", "manual_action", status.alias("status"), action.alias("action"), role.alias("new_role"))
-    order = Window.partitionBy("page_id", "region").orderBy("seq")
-    rows = good.join(regions.select("page_id", "region", F.col("version").alias("base"), F.col("text_role").alias("old_role")), ["page_id", "region"])
-    rows = rows.withColumns({"version": F.col("base") + F.row_number().over(order), "text_role": F.coalesce(F.last("new_role", ignorenulls=True).over(order), "old_role")})
-    return rows.select("page_id", "region", "version", (F.col("version") - 1).alias("parent_version"), "seq", "manual_action", "status", "action", "text_role")
+    rows, order = _judged(regions, overrides, [])
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumns({"version": F.col("_version") + F.count_if("_good").over(so_far).cast("int"), "text_role": F.coalesce(F.last("_new_role", ignorenulls=True).over(so_far), "_text_role")})
+    named = {"seq": "_o_seq", "manual_action": "_o_manual_action", "status": "_status", "action": "_action"}
+    return rows.where("_good").select("page_id", "region", "version", (F.col("version") - 1).alias("parent_version"), *(F.col(c).alias(name) for name, c in named.items()), "text_role")
 
 
 def apply_overrides(regions: DataFrame, overrides: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Manual actions on regions: (regions as their last version leaves them, with version and the one it was made from; rejected overrides with their
     ``error``). ``seq`` orders the overrides of a region."""
     keys = ["page_id", "region"]
-    last = latest_by_key(override_versions(regions, overrides), keys, ["version"])
-    names = ["status", "action", "text_role"]
-    new = last.select(*keys, "parent_version", *(F.col(c).alias(f"_{c}") for c in (*names, "version")))
-    out = regions.join(new, keys, "left").withColumns({c: F.coalesce(f"_{c}", c) for c in (*names, "version")}).drop(*(f"_{c}" for c in (*names, "version")))
+    rows, order = _judged(regions, overrides, regions.columns)
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    last = {f"_last_{c}": F.last(f"_{c}", ignorenulls=True).over(whole) for c in ("status", "action", "new_role")}
+    rows = rows.withColumns({"_n": F.count_if("_good").over(whole).cast("int"), **last}).where("NOT _over")
+    new = {"status": F.coalesce("_last_status", "_r_status"), "action": F.coalesce("_last_action", "_r_action"), "text_role": F.coalesce("_last_new_role", "_r_text_role"), "version": F.col("_r_version") + F.col("_n")}
+    parent = F.when(F.col("_n") > 0, F.col("_r_version") + F.col("_n") - 1).alias("parent_version")
+    out = rows.select(*keys, *(new.get(c, F.col(f"_r_{c}")).alias(c) for c in regions.columns if c not in keys), parent)
     return out, override_errors(regions, overrides).where("error IS NOT NULL").select("page_id", "region", "seq", "error")
 
 

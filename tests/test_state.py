@@ -43,6 +43,22 @@ def test_successive_retries_make_a_chain(spark):
     assert {(r.region, r.seq): r.error for r in rejected.collect()} == {(2, 1): "wrong-dimensions", (2, 2): "empty-mask", (9, 3): "unknown-region", (2, 4): "unknown-action"}
 
 
+def test_overrides_meet_their_regions_in_one_shuffle(spark, capsys):
+    base = spark.createDataFrame([(1, 1, "a", "b", "c", 1, 60, 40), (1, None, "a", "b", "c", 1, 60, 40), (None, 1, "a", "b", "c", 4, 60, 40)], "page_id int, region int, status string, action string, text_role string, version int, page_w int, page_h int")
+    rows = [(1, 1, 1, "protect", 9, 60, 40, True), (1, None, 2, "protect", 9, 60, 40, True), (None, 1, 3, "protect", 9, 61, 40, True), (1, 1, 4, "automatic", 9, None, None, None)]
+    o = spark.createDataFrame(rows, "page_id int, region int, seq int, manual_action string, mask_pixels int, mask_w int, mask_h int, accepted boolean")
+    last, rejected = state.apply_overrides(base, o)
+    assert last.columns == [*base.columns, "parent_version"]
+    # A null key meets none.
+    assert {tuple(r) for r in last.collect()} == {(1, 1, "needs_review", "preserve", "protected", 3, 60, 40, 2), (1, None, "a", "b", "c", 1, 60, 40, None), (None, 1, "a", "b", "c", 4, 60, 40, None)}
+    assert {(r.seq, r.error) for r in rejected.collect()} == {(2, "unknown-region"), (3, "unknown-region")}
+    for df in (last, rejected, state.override_versions(base, o)):
+        capsys.readouterr()
+        df.select("*").explain()
+        plan = capsys.readouterr().out
+        assert plan.count("Exchange ") == 1 and "Join" not in plan
+
+
 def test_batches_name_the_stage_that_failed(spark):
     rows = [(1, 0, 1, None), (1, 1, 1, "UPSTREAM"), (1, 3, 1, "QUOTA"), (1, 5, 1, None), (2, 0, 1, None)]
     out = state.batch_outcomes(spark.createDataFrame(rows, "book_id int, page_index int, attempt int, error string"))
