@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..scratch import keep
-from .text import map_rows
+from .text import map_rows, release
 
 SEQUENCE, END = 4096, 1
 #: Words whose ids a worker remembers.
@@ -60,6 +60,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(path)
+        release()  # what parsing the file took
         self.memo = WordMemo(self.full.model)
         # The file's pattern with letters, numbers and white space up to U+00FF.
         letters, numbers, spaces = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"

@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import bloom as bloom_filter
 from ..scratch import keep
 from .text import WordHashes, map_rows, words
 
@@ -330,9 +331,13 @@ def redact(docs: DataFrame) -> DataFrame:
     if spans is None:
         full = renamed.withColumn("found", F.lit(None).cast("array<struct<s:int,e:int,risk:double>>"))
     else:
+        # Only rows that may have spans are shuffled; a filter of fixed size lets all others pass by.
+        b = keep(spans.withColumnRenamed("doc_id", "b_id").withColumnRenamed("key", "b_key"), "pii-spans")
         key = keyed(renamed, f"c{at}")
-        b = spans.withColumnRenamed("doc_id", "b_id").withColumnRenamed("key", "b_key")
-        full = key.join(b, F.col(f"c{docs.columns.index('doc_id')}").eqNullSafe(F.col("b_id")) & (F.col("key") == F.col("b_key")), "left")
+        tagged = key.withColumn("maybe", bloom_filter.passing(key, "key", bloom_filter.cells(b, "b_key")))
+        met = tagged.where("maybe").join(b, F.col(f"c{docs.columns.index('doc_id')}").eqNullSafe(F.col("b_id")) & (F.col("key") == F.col("b_key")), "left")
+        clear = tagged.where(~F.col("maybe")).withColumn("found", F.lit(None).cast(b.schema["found"].dataType))
+        full = clear.select("found", *columns).unionByName(met.select("found", *columns))
     out = map_rows(full, ["found", *columns], ", ".join(f"{c} {f.dataType.simpleString()}" for c, f in zip(columns, target, strict=True)), setup)
     return out.select(*(F.col(c).alias(f.name) for c, f in zip(columns, target, strict=True)))
 

@@ -18,7 +18,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,12 +94,12 @@ def threshold(scored: DataFrame) -> float:
         before[r.part] = below
         below = (r.last, below[1] + r.good, below[2] + r.bad, below[3] + r.n)
 
-    def search(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("score")
-        found = _span(*(rows[c].to_numpy() for c in ("score", "good", "bad", "n")), before[int(key[0])], totals)
-        return pd.DataFrame([found], columns=["quantile", "cost", "cut"])
+    def search(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("score")
+        found = _span(*(rows[c].to_numpy() for c in ("score", "good", "bad", "n")), before[key[0].as_py()], totals)
+        return pa.table({c: [x] for c, x in zip(("quantile", "cost", "cut"), found, strict=True)})
 
-    return _settled([tuple(r) for r in spans.groupBy("part").applyInPandas(search, "quantile double, cost long, cut double").collect()])
+    return _settled([tuple(r) for r in spans.groupBy("part").applyInArrow(search, "quantile double, cost long, cut double").collect()])
 
 
 def tally(docs: DataFrame) -> np.ndarray:
@@ -207,11 +206,11 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 def filter_documents(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs``, all columns, that are kept. Python gets the texts alone."""
 
-    @F.pandas_udf("boolean")
-    def kept(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("boolean")
+    def kept(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         hashes = WordHashes()
         for texts in batches:
-            yield pd.Series([judge(text, model, hashes)[-1] for text in texts], dtype=bool)
+            yield pa.array((judge(text.as_py(), model, hashes)[-1] for text in texts), pa.bool_(), size=len(texts))
         del hashes
         release()
 

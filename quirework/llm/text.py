@@ -15,8 +15,8 @@ from pyspark.sql import types as T
 #: Bytes in one Arrow batch that a Python task gets, about: texts differ in length by orders of magnitude.
 BATCH_BYTES = 4 << 20
 
-#: Rows in one Arrow batch that a Python task returns.
-OUT_ROWS = 2000
+#: Rows in one Arrow batch that a Python task returns, and bytes of input after which what is there leaves, about.
+OUT_ROWS, OUT_BYTES = 2000, 1 << 20
 #: Distinct words whose hash a worker remembers; others are hashed anew each time.
 MEMO = 60_000
 _U = np.uint64
@@ -118,6 +118,7 @@ def map_rows(df: DataFrame, columns: list[str], schema: str, setup: Callable[[],
         fn = setup()
         fn, end = fn if isinstance(fn, tuple) else (fn, list)
         out: list[tuple] = []
+        taken = 0
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
@@ -125,7 +126,11 @@ def map_rows(df: DataFrame, columns: list[str], schema: str, setup: Callable[[],
                     out.extend(fn(*row))
                     if len(out) >= OUT_ROWS:
                         yield _batch(out, target)
-                        out = []
+                        out, taken = [], 0
+                taken += part.nbytes
+                if out and taken >= OUT_BYTES:
+                    yield _batch(out, target)
+                    out, taken = [], 0
         out.extend(end())
         for start in range(0, len(out), 10 * OUT_ROWS):
             yield _batch(out[start : start + 10 * OUT_ROWS], target)

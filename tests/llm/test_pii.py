@@ -66,6 +66,33 @@ def test_terms_that_disclose(spark, tmp_path):
     assert out[50].n_chars == 0 and pii.redact(docs).schema == docs.schema
 
 
+def shuffled_bytes(spark):
+    jvm, context = spark._jvm, spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty()
+    stages = context.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_redaction_shuffles_only_texts_with_sensitive_terms(spark):
+    rnd = random.Random(8)
+    filler = lambda n: " ".join("".join(rnd.choice(string.ascii_lowercase) for _ in range(9)) for _ in range(n))
+    rows = [(i, filler(2000)) for i in range(400)]
+    rows += [(1000 + i, f"{filler(30)}\nmail Quibbleton at q.x@mail.example.com {chr(97 + i)}{filler(3)}\n") for i in range(12)]
+    rows += [(2000, f"{filler(10)} Quibbleton {filler(10)}"), (2000, f"{filler(10)} Quibbleton {filler(10)}"), (None, "so says Quibbleton"), (None, None), (2001, None), (1, rows[1][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    before = shuffled_bytes(spark)
+    out = pii.redact(docs).collect()
+    assert shuffled_bytes(spark) - before < 4_000_000  # the filter takes under 2 MB, the 400 long texts over 5 MB
+    # Each row comes once, with its own text; those that name the term don't name it any more.
+    plain = lambda found: sorted((str(i), t or "") for i, t in found if "Quibbleton" not in (t or ""))
+    assert len(out) == len(rows) and not any("Quibbleton" in (r.text or "") for r in out)
+    kept = [(str(r.doc_id), r.text or "") for r in out]
+    for row in plain(rows):
+        kept.remove(row)
+    assert len(kept) == 15 and [t for i, t in kept if i == "None"] in (["so says "], ["so says <TERM>"])
+    assert sum(r.text is None for r in out) == 2
+
+
 def test_empty(spark, tmp_path):
     assert run(spark, tmp_path, []) == {}
 
